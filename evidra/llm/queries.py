@@ -11,6 +11,7 @@ from evidra.llm.bpe import default_path
 from evidra.llm.decontaminate import contamination
 from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
+from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
 from evidra.session import table
 
@@ -85,3 +86,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), PackParams(default_path(), end_id=1, capacity=2048))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = texts_to_tiff(table(spark, sf_dir, "documents"))
+    media = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return file_features(tiff_pages(media))
