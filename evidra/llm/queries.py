@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm.bpe import default_path
@@ -13,6 +13,7 @@ from evidra.llm.chat import format_chat, read_chat
 from evidra.llm.decontaminate import contamination
 from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
+from evidra.llm.quality import fit_quality, score_quality
 from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
 from evidra.session import table
@@ -128,3 +129,16 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def _remainder(mod: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``mod``; a row without doc_id has none."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(_remainder(5) != 0))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
