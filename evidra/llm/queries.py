@@ -16,6 +16,7 @@ from evidra.llm.packing import PackParams, pack
 from evidra.llm.quality import fit_quality, score_quality
 from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
+from evidra.llm.toxicity import fit_toxicity, score_toxicity
 from evidra.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, labels.where(_remainder(5) != 0))
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    tagger = fit_toxicity(docs, labels.where(_remainder(4) != 2))
+    scored = score_toxicity(docs, tagger)
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
