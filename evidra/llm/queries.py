@@ -13,6 +13,7 @@ from evidra.llm.chat import format_chat, read_chat
 from evidra.llm.decontaminate import contamination
 from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
+from evidra.llm.pii import BASE_KINDS, KINDS, find_pii
 from evidra.llm.quality import fit_quality, score_quality
 from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
@@ -151,3 +152,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagger = fit_toxicity(docs, labels.where(_remainder(4) != 2))
     scored = score_toxicity(docs, tagger)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
+
+
+def _span_digest(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """``kind:start:end`` of the spans of ``kinds``, in order, comma-joined."""
+    own = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_span_digest(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), _span_digest(F.col("spans"), KINDS).alias("spans"))
