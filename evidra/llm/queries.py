@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidra.llm.bpe import default_path
 from evidra.llm.chat import DEFAULT as CHAT
 from evidra.llm.chat import format_chat, read_chat
+from evidra.llm.chunk_dedup import repeated_passages
 from evidra.llm.decontaminate import contamination
 from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
@@ -165,3 +166,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_span_digest(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), _span_digest(F.col("spans"), KINDS).alias("spans"))
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
