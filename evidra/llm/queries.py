@@ -161,10 +161,14 @@ def _span_digest(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 @_query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_span_digest(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), _span_digest(F.col("spans"), KINDS).alias("spans"))
 
 
