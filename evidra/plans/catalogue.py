@@ -1,10 +1,8 @@
-"""Registered queries of the evidence engine and their SQL oracles."""
+"""All registered queries of the evidence engine and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evidra.plans import crawl_plans, markup_plans, review_plans, search_plans, series_plans, text_plans
+from evidra.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "crawl_plans", "markup_plans", "review_plans", "search_plans", "series_plans", "text_plans"]
