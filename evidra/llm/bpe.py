@@ -1,14 +1,19 @@
 """Byte-pair token ids of whole texts, by the tokenizers library behind a cache.
 
-The vocabulary's splitting pattern never joins a space and what follows it
-with anything before the space when both neighbours of the space are other
-than white space.  A text is cut in front of such spaces; each different unit
-is encoded once by the library and kept in a bounded cache of the worker.
+Texts are cut where the vocabulary's splitting pattern always cuts: in front
+of a space between two characters that aren't white space, between a letter
+and a mark, and around a single newline in front of a letter.  Each different
+unit is encoded once by the library and kept in a bounded cache of the worker.
+A unit of letters is one word of the pattern, so the library's model encodes
+it directly; others pass its whole chain.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +23,18 @@ from evidra.llm import blocks as B
 MAX_UNITS = 500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_PLAIN = ~_SPACE
+_PLAIN[128:] = False
+#: First bytes of characters that aren't white space; those that begin some white space are left out.
+_FIRST = ~_SPACE
+_FIRST[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+#: ASCII marks but the apostrophe, which can begin a contraction.
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -35,20 +52,32 @@ def default_path() -> str:
 
 
 def unit_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Byte offsets at which units begin: documents, and spaces between two characters that aren't white space."""
+    """Byte offsets at which units begin."""
     n = len(data)
-    at = np.flatnonzero(data == 32)
-    at = at[(at > 0) & (at < n - 1)]
-    before, after = data[at - 1], data[at + 1]
-    two = data[np.maximum(at - 2, 0)]
-    three = data[np.maximum(at - 3, 0)]
-    odd = (before >= 128) & ((two == 0xC2) | np.isin(three, (0xE1, 0xE2, 0xE3)))
-    ok = ~_SPACE[before] & ~_SPACE[after] & ~odd & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3))
-    starts = np.union1d(offs[:-1][offs[:-1] < offs[1:]], at[ok])
-    # A space that is the first or last byte of a document has a neighbour in another document.
-    edge = np.union1d(offs[1:-1], offs[1:-1] - 1)
-    drop = np.isin(starts, edge) & ~np.isin(starts, offs[:-1])
-    return starts[~drop]
+    if not n:
+        return np.zeros(0, np.int64)
+    begins = offs[:-1][offs[:-1] < offs[1:]]
+    before, two, three = np.full(n, 32, np.uint8), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    before[1:], two[2:], three[3:] = data[:-1], data[:-2], data[:-3]
+    before[begins] = 32
+    after = np.full(n, 32, np.uint8)
+    after[:-1] = data[1:]
+    after[begins[1:] - 1] = 32
+    high = before >= 128
+    solid = _PLAIN[before] | (high & (two != 0xC2) & ((three < 0xE1) | (three > 0xE3)))
+    letter = _ALPHA[before] | (high & (two == 0xC3) & (before != 0x97) & (before != 0xB7))
+    line = (data == 10) & solid & _ALPHA[after]
+    start = ((data == 32) & solid & _FIRST[after]) | (_MARK[data] & letter) | line
+    start[1:] |= line[:-1]
+    start[begins] = True
+    return np.flatnonzero(start)
+
+
+def _byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
 
 
 class Encoder:
@@ -58,31 +87,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The direct way holds for the byte-level chain without a normalizer; a test compares both.
+        kind = json.loads(self.tokenizer.to_str())
+        pre = kind.get("pre_tokenizer") or {}
+        direct = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.model = self.tokenizer.model if direct else None
+        self.characters = _byte_characters()
         self.clear()
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.hits = np.zeros(1024, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the units that came up in more than one block."""
+        size = len(self.slots)
+        keep = np.flatnonzero(self.hits[:size] > 1)
+        if len(keep) > size // 2:
+            keep = keep[len(keep) // 2 :]
+        names = list(self.slots)
+        lens = np.diff(self.starts[: size + 1])[keep]
+        total = np.concatenate(([0], np.cumsum(lens)))
+        at = np.repeat(self.starts[keep] - total[:-1], lens) + np.arange(total[-1])
+        ids = self.ids[at]
+        self.clear()
+        self._add([names[k] for k in keep.tolist()], ids, lens)
+
+    def _add(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        base = len(self.slots)
+        self.slots.update(zip(units, range(base, base + len(units)), strict=True))
+        while base + len(units) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.hits = np.concatenate((self.hits, np.zeros_like(self.hits)))
+        self.starts[base + 1 : base + len(units) + 1] = self.used + np.cumsum(sizes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        plain = self.model is not None
+        found: list[list[int]] = [[]] * len(units)
+        rest = []
+        for k, u in enumerate(units):
+            if plain and _LETTERS.fullmatch(u):
+                found[k] = [t.id for t in self.model.tokenize(u.encode().decode("latin-1").translate(self.characters))]
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
 
     def _slots(self, units: list[str]) -> np.ndarray:
         if len(self.slots) > MAX_UNITS:
-            self.clear()
-        slots = self.slots
-        new = [u for u in units if u not in slots]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self._shrink()
+        get = self.slots.get
+        slot = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            new = [units[k] for k in miss.tolist()]
+            found = self._encoded(new)
+            slot[miss] = len(self.slots) + np.arange(len(new))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            base = len(slots)
-            slots.update(zip(new, range(base, base + len(new)), strict=True))
-            while base + len(new) + 1 > len(self.starts):
-                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-            self.starts[base + 1 : base + len(new) + 1] = self.used + np.cumsum(sizes)
-            end = self.used + int(sizes.sum())
-            while end > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : end] = np.concatenate([np.asarray(x, np.uint32) for x in found])
-            self.used = end
-        return np.fromiter(map(slots.__getitem__, units), np.int64, len(units))
+            self._add(new, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        self.hits[slot] += 1  # a block names each unit once
+        return slot
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, and the bounds of each."""
