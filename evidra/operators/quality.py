@@ -15,7 +15,8 @@ SCHEMA = "struct<code:string,severity:string,penalty:int,start:int,end:int>"
 
 def _finding(when: Column, code: str, severity: str, penalty: int, pattern: str | None = None) -> Column:
     text = F.col("text")
-    start = F.when(F.lit(pattern is not None), F.regexp_instr(text, F.lit(pattern or "x")) - 1)
+    # The length of what stands before counts code points; regexp_instr counts UTF-16 units.
+    start = F.length(F.regexp_extract(text, rf"\A([\s\S]*?)(?:{pattern or 'x'})", 1))
     end = start + F.length(F.regexp_extract(text, pattern or "x", 0))
     null = F.lit(None).cast("int")
     return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(penalty).alias("penalty"), (start if pattern else null).alias("start"), (end if pattern else null).alias("end")))
