@@ -28,6 +28,8 @@ from evidra.llm import blocks as B
 from evidra.llm.scratch import stored
 
 WINDOW = 16
+#: Bytes before the size limit in which an overlong chunk is cut.
+WINDOW_LONG = 64
 
 
 @dataclass(frozen=True)
@@ -68,15 +70,18 @@ def boundaries(data: np.ndarray, offs: np.ndarray, p: ChunkParams) -> tuple[np.n
     inside = raw - offs[doc]
     ok = (inside >= WINDOW) & (raw < offs[doc + 1])
     raw, doc = raw[ok], doc[ok]
-    far = np.concatenate(([True], (np.diff(raw) >= p.least) | (np.diff(doc) > 0)))
+    far = np.concatenate(([True], (np.diff(raw) >= p.least) | (np.diff(doc) > 0)))[: len(raw)]
     cuts = np.union1d(raw[far], offs)
-    size = np.diff(cuts)
-    extra = (size - 1) // p.most
-    n = 1 + extra
-    first = np.cumsum(n) - n
-    step = np.arange(n.sum()) - np.repeat(first, n)
-    start = np.repeat(cuts[:-1], n) + step * p.most
-    return start, np.concatenate((start[1:], [len(data)]))
+    more: list[int] = []
+    for k in np.flatnonzero(np.diff(cuts) > p.most).tolist():
+        at, end = int(cuts[k]), int(cuts[k + 1])
+        while end - at > p.most:
+            # The least hash near the limit is at the same place of a text that repeats itself, whatever stands before.
+            look = at + p.most - WINDOW_LONG
+            at = look + int(h[look : at + p.most].argmin()) + 1
+            more.append(at)
+    cuts = np.union1d(cuts, np.array(more, np.int64)) if more else cuts
+    return cuts[:-1], cuts[1:]
 
 
 _CHUNKS = "doc_id long, row long, n int, digest long, start int, end int, words int"

@@ -498,6 +498,16 @@ def test_chunks_tile_and_resist_shifts():
     assert len(own[0] & own[1]) > 0.95 * len(own[0]) and len(own[0] & own[3]) > 0.9 * len(own[0])
 
 
+def test_texts_without_boundaries():
+    """Short texts, and texts that repeat a word, whose overlong chunks are cut at equal places."""
+    p = ChunkParams()
+    for text in (b"a", b"no cut", b"In " * 300):
+        start, end = boundaries(np.frombuffer(text, np.uint8), np.array([0, len(text)]), p)
+        assert start[0] == 0 and end[-1] == len(text) and (end > start).all()
+    cut = [{t[a:b] for a, b in zip(*boundaries(np.frombuffer(t, np.uint8), np.array([0, len(t)]), p), strict=True)} for t in (b"Hello there. " + b"In " * 300, b"In " * 300 + b"\nEnd")]
+    assert any(len(c) > 150 for c in cut[0] & cut[1])
+
+
 def shared(rows, k):
     seen = {}
     for i, text in rows:
