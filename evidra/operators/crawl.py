@@ -76,8 +76,7 @@ def check_status(checks: DataFrame) -> DataFrame:
     """The status that a checked document takes."""
     in_scope = F.col("subject_match") & (F.col("country").isNull() | F.col("geography_match")) & (F.coalesce(F.size("evidence_ids"), F.lit(0)) > 0)
     data = F.col("contains_data") | ((F.col("content_mode") == "conceptual") & F.col("contains_requested_metric"))
-    metric = (F.col("content_mode") != "statistical") | F.lit(True)
-    return checks.withColumn("status", F.when(in_scope & data & metric, "review").when(in_scope, "source_lead").otherwise("out_of_scope"))
+    return checks.withColumn("status", F.when(in_scope & data, "review").when(in_scope, "source_lead").otherwise("out_of_scope"))
 
 
 def retain_pages(pages: DataFrame, most: int = 24) -> DataFrame:
@@ -109,10 +108,12 @@ def frontier(graph: DataFrame, seeds: DataFrame, max_pages: int, max_depth: int)
         step = front.select(F.col("url").alias("src"), F.col("seq").alias("parent")).join(graph, "src")
         step = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent", "seq")).alias("s"))
         step = step.join(seen, "url", "left_anti")
-        front = step.select("url", F.lit(depth).alias("depth"), F.row_number().over(Window.orderBy("s", "url")).cast("long").alias("seq"))
-        front = front.limit(max_pages)
+        # The limit comes first, so only its rows are numbered in one task.
+        best = step.orderBy("s", "url").limit(max_pages)
+        front = best.select("url", F.lit(depth).alias("depth"), F.row_number().over(Window.orderBy("s", "url")).cast("long").alias("seq"))
         seen = seen.unionByName(front)
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("depth", "seq", "url"))).where(F.col("place") <= max_pages).drop("seq")
+    first = seen.orderBy("depth", "seq", "url").limit(max_pages)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("depth", "seq", "url"))).drop("seq")
 
 
 def discovery_failed(events: DataFrame) -> DataFrame:

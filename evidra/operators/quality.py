@@ -41,7 +41,7 @@ def assess(docs: DataFrame) -> DataFrame:
         _finding(~blank & (n_words < SHORT_WORDS), "short", "warning", 15),
         _finding(truth("partial"), "partial", "error", 40),
     ]
-    warnings = F.transform(F.coalesce(have.get("parser_warnings", null).cast("array<string>"), F.array().cast("array<string>")), lambda w: _finding(w.isNotNull() | w.isNull(), "parser_warning", "warning", 5))
+    warnings = F.transform(F.coalesce(have.get("parser_warnings", null).cast("array<string>"), F.array().cast("array<string>")), lambda w: _finding(F.lit(True), "parser_warning", "warning", 5))
     two = [
         _finding(text.rlike(DAMAGED), "encoding", "warning", 25, DAMAGED),
         _finding(text.rlike(DIRECTIVE), "instruction", "warning", 10, DIRECTIVE),

@@ -88,7 +88,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = DEPTH) -> DataFrame:
 
 def rerank(fused: DataFrame, ratings: DataFrame, least: int = 2) -> DataFrame:
     """Rows of ``fused`` whose rating in ``ratings(id, rating)`` is ``least`` or more, by rating, fused score, rank."""
-    kept = fused.join(F.broadcast(ratings) if fused is ratings else ratings, "id").where(F.col("rating") >= least)
+    kept = fused.join(ratings, "id").where(F.col("rating") >= least)
     order = Window.orderBy(F.desc("rating"), F.desc("fused"), F.asc("rank"))
     return kept.withColumn("position", F.row_number().over(order).cast("int"))
 

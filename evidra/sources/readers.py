@@ -59,9 +59,8 @@ def xml_rows(payloads: DataFrame) -> DataFrame:
     n = F.expr("cast(xpath_number(x, 'count(data/data)') as int)")
     ok = F.expr("xpath_int(x, 'data/@page') = 1 and xpath_int(x, 'data/@pages') = 1 and xpath_int(x, 'data/@total') = xpath_int(x, 'count(data/data)')")
     cols = [F.expr(f"xpath(x, '{p}')").alias(c) for c, p in paths.items()]
+    rows = x.withColumn("n", n).where("n > 0").select("series_id", ok.alias("envelope_ok"), F.col("x"), *cols, F.posexplode(F.sequence(F.lit(1), F.col("n"))).alias("position", "i"))
     # One value element for each row, so values are read by position.
-    value = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i)
-    rows = x.withColumn("n", n).where("n > 0").select("series_id", ok.alias("envelope_ok"), F.col("x"), *cols, F.posexplode(value).alias("position", "i"))
     got = F.regexp_extract_all("x", F.lit(r"<value(?:\s*/>|[^>]*>([^<]*)</value>)"), 1)
     return rows.select("series_id", "envelope_ok", "position", *[F.get(c, F.col("position")).alias(c) for c in paths], F.get(got, F.col("position")).try_cast("double").alias("value"))
 
