@@ -6,11 +6,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches of at most this many bytes, so a worker's memory doesn't follow the length of texts.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the place it is installed in."""
+    """Lets Python workers import this package from the place it is installed in, and bounds Arrow batches.
+
+    A batch size that the session's user has chosen stays.
+    """
+    if spark.conf.get(_BATCH_KEY, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
