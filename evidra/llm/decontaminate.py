@@ -30,7 +30,7 @@ WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = True
 WORD[128:] = True
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 GAP = 1 << 10
 INDEX_SCHEMA = "doc_ids binary, doc_starts binary, doc_words binary, terms binary, lists binary, positions binary"
 
