@@ -94,43 +94,78 @@ def document_evidence(model: crf.Crf, data: np.ndarray, offs: np.ndarray) -> tup
     return np.bincount(doc, m, n), top, start, end, doc, m
 
 
-def _cues(keys: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray, p: ToxicityParams) -> np.ndarray:
-    """Words and word beginnings that tell toxic documents from others, by odds and by log likelihood ratio."""
+def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First document, bytes and bounds of slices of the texts, so memory follows a slice and not the sample."""
+    data, offs = B.utf8(texts)
+    for i, j in B.slices(offs):
+        yield i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+def _cues(texts: pa.Array, toxic: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, int]:
+    """Words and word beginnings that tell toxic documents from others, by odds and by log likelihood ratio.
+
+    Also the number of sentences.  A key counts once a document.
+    """
     n_yes, n_no = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     base = n_yes / (n_yes + n_no)
+    kinds: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(STEMS))]
+    sentences = 0
+    for i, data, bounds in _parts(texts):
+        _, _, doc, keys, first, _ = tokens(data, bounds)
+        sentences += len(first)
+        there = toxic[doc + i]
+        for kind, key in zip(kinds, keys, strict=False):
+            _, once = np.unique(B.mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            values, at = np.unique(key[once], return_inverse=True)
+            kind.append((values, np.bincount(at, there[once], len(values)).astype(np.float32), np.bincount(at, ~there[once], len(values)).astype(np.float32)))
     found = []
-    for key in keys:
-        pairs = np.unique(np.column_stack((key, doc.astype(np.uint64))), axis=0)
-        values, at = np.unique(pairs[:, 0], return_inverse=True)
-        there = toxic[pairs[:, 1].astype(np.int64)]
-        yes, no = np.bincount(at, there, len(values)), np.bincount(at, ~there, len(values))
+    for kind in kinds:
+        if not kind:
+            continue
+        values, at = np.unique(np.concatenate([k[0] for k in kind]), return_inverse=True)
+        yes, no = (np.bincount(at, np.concatenate([k[c] for k in kind]), len(values)) for c in (1, 2))
         share = yes / np.maximum(yes + no, 1)
         ratio = yes * np.log(np.maximum(share, 1e-9) / base) + no * np.log(np.maximum(1 - share, 1e-9) / (1 - base))
         odds = (yes / n_yes) / ((no + 0.5) / n_no)
         found.append(values[(yes >= p.cue_docs) & (odds >= p.cue_odds) & (ratio >= p.cue_ratio)])
-    return np.unique(np.concatenate(found))
-
-
-def train_tagger(texts: list[str], labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> Tagger:
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), sentences
+
+
+def _sentences(texts: pa.Array, toxic: np.ndarray, cues: np.ndarray, total: int, p: ToxicityParams) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and bounds of the sentences to train on: those with cues, and others at equal steps, half each at most."""
+    keys_: list[list[np.ndarray]] = []
+    gold_, length_ = [], []
+    every, seen, hot_left = max(1, 2 * total // p.chains), 0, p.chains // 2
+    for i, data, bounds in _parts(texts):
+        _, _, doc, keys, first, length = tokens(data, bounds)
+        gold = (np.any([np.isin(k, cues) for k in keys[: 1 + len(STEMS)]], axis=0) & toxic[doc + i]).astype(np.int64)
+        has = np.bincount(np.repeat(np.arange(len(first)), length), gold, len(first)) > 0
+        hot = np.flatnonzero(has)[:hot_left]
+        hot_left -= len(hot)
+        rest = np.flatnonzero(~has & ((np.arange(len(first)) + seen) % every == 0))
+        seen += len(first)
+        pick = np.sort(np.concatenate((hot, rest)))
+        own = np.concatenate([np.arange(first[c], first[c] + length[c]) for c in pick]) if len(pick) else np.zeros(0, np.int64)
+        keys_.append([k[own] for k in keys])
+        gold_.append(gold[own])
+        length_.append(length[pick])
+    length = np.concatenate(length_)
+    return [np.concatenate(c) for c in zip(*keys_, strict=True)], np.concatenate(gold_), np.concatenate(([0], np.cumsum(length)[:-1])), length
+
+
+def train_tagger(texts: list[str] | pa.Array | pa.ChunkedArray, labels: np.ndarray, p: ToxicityParams = ToxicityParams()) -> Tagger:
     """Trains on labelled documents; without a toxic one every score is near zero."""
-    data, offs = B.utf8(pa.array(texts, pa.string()))
-    start, end, doc, keys, first, length = tokens(data, offs)
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     toxic = labels == 1
-    word = keys[0]
-    cues = _cues(keys[: 1 + len(STEMS)], doc, toxic, p)
+    cues, total = _cues(texts, toxic, p)
     if not len(cues):
-        model = crf.train(LABELS, [k[:1] for k in keys], np.zeros(min(1, len(word)), np.int64), np.zeros(min(1, len(word)), np.int64), np.ones(min(1, len(word)), np.int64), rounds=1)
+        none = np.zeros(0, np.int64)
+        model = crf.train(LABELS, [np.zeros(0, np.uint64)] * (4 + len(STEMS)), none, none, none, rounds=0)
         return Tagger(model, np.array([np.log((toxic.sum() + 0.5) / (len(labels) + 1)), 0.0, 0.0]))
-    gold = (np.any([np.isin(k, cues) for k in keys[: 1 + len(STEMS)]], axis=0) & toxic[doc]).astype(np.int64)
-    hot = np.flatnonzero(np.bincount(np.repeat(np.arange(len(first)), length), gold, len(first)))
-    rest = np.setdiff1d(np.arange(len(first)), hot)
-    rng = np.random.default_rng(5)
-    pick = np.sort(np.concatenate((rng.permutation(hot)[: p.chains // 2], rng.permutation(rest)[: p.chains // 2])))
-    own = np.concatenate([np.arange(first[c], first[c] + length[c]) for c in pick])
-    sub_length = length[pick]
-    sub_first = np.concatenate(([0], np.cumsum(sub_length)[:-1]))
-    model = crf.train(LABELS, [k[own] for k in keys], gold[own], sub_first, sub_length, rounds=60, l2=0.05, least=3)
-    expected, top, *_ = document_evidence(model, data, offs)
+    keys, gold, first, length = _sentences(texts, toxic, cues, total, p)
+    model = crf.train(LABELS, keys, gold, first, length, rounds=60, l2=0.05, least=3)
+    seen = [document_evidence(model, data, bounds)[:2] for _, data, bounds in _parts(texts)]
+    expected, top = (np.concatenate(x) for x in zip(*seen, strict=True))
     x = np.column_stack((np.ones(len(top)), top, np.log1p(expected)))
     w = np.zeros(3)
     for _ in range(200):  # logistic calibration by Newton steps
@@ -149,8 +184,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(params.sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The broadcast side has ``sample`` rows of two numbers at most.
-    got = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").orderBy("doc_id", "text", "y").toPandas()
-    return train_tagger(got["text"].tolist(), got["y"].to_numpy(), params)
+    got = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
+    return train_tagger(got["text"], got["y"].to_numpy(), params)
 
 
 _SCORED = "doc_id long, score double, spans array<struct<start:long,end:long,marginal:double>>"
