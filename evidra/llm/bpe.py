@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from evidra.llm import blocks as B
 
-MAX_UNITS = 500_000
+MAX_UNITS = 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _PLAIN = ~_SPACE
@@ -132,7 +132,8 @@ class Encoder:
         rest = []
         for k, u in enumerate(units):
             if plain and _LETTERS.fullmatch(u):
-                found[k] = [t.id for t in self.model.tokenize(u.encode().decode("latin-1").translate(self.characters))]
+                word = u.replace(" ", self.characters[32]) if u.isascii() else u.encode().decode("latin-1").translate(self.characters)
+                found[k] = [t.id for t in self.model.tokenize(word)]
             else:
                 rest.append(k)
         for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
@@ -163,9 +164,11 @@ class Encoder:
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
         coded = units.dictionary_encode()
         slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        size = self.starts[slot + 1] - self.starts[slot]
+        begin = self.starts[slot]
+        size = self.starts[slot + 1] - begin
         total = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.starts[slot] - total[:-1], size) + np.arange(total[-1])
+        at = np.repeat((begin - total[:-1]).astype(np.int32), size)
+        at += np.arange(total[-1], dtype=np.int32)
         return self.ids[at], total[np.searchsorted(starts, offs, "left")]
 
 

@@ -30,6 +30,7 @@ from evidra.llm.bpe import encode_with_end
 from evidra.llm.scratch import stored
 
 MAGIC = b"RPG1"
+BUCKET_BITS = 18
 _HEAD = struct.Struct("<4sIIIIQ")
 
 
@@ -60,7 +61,11 @@ def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
             break
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         keys[last[:-1]] = np.iinfo(np.uint64).max
-        ordered = np.sort(keys)
+        # Pairs whose hash bucket is rarer than they must be need no exact count.
+        bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        ordered = np.sort(keys[(np.bincount(bucket, minlength=1 << BUCKET_BITS) >= p.min_count)[bucket]])
+        if not len(ordered):
+            break
         cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(cut, len(ordered)))
         pairs = ordered[cut]
@@ -70,19 +75,23 @@ def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
             break
         if len(pairs) > p.per_round:
             pairs = np.sort(pairs[np.argsort(-count, kind="stable")[: p.per_round]])
-        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        hit = np.flatnonzero(pairs[at] == keys)
+        chosen = np.zeros(1 << BUCKET_BITS, bool)
+        chosen[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)] = True
+        near = np.flatnonzero(chosen[bucket])
+        at = np.minimum(np.searchsorted(pairs, keys[near]), len(pairs) - 1)
+        same = pairs[at] == keys[near]
+        hit, at = near[same], at[same]
         run = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
         place = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
-        hit = hit[place % 2 == 0]
-        used = np.unique(at[hit])
+        hit, at = hit[place % 2 == 0], at[place % 2 == 0]
+        used = np.unique(at)
         left, right = (pairs[used] >> np.uint64(32)).astype(np.uint32), (pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         number = np.zeros(len(pairs), np.uint32)
         number[used] = len(size_of) + np.arange(len(used), dtype=np.uint32)
         rules.append(np.column_stack((left, right)))
         sizes.append(size_of[left] + size_of[right])
         size_of = np.concatenate((size_of, sizes[-1]))
-        seq[hit] = number[at[hit]]
+        seq[hit] = number[at]
         last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
@@ -170,14 +179,17 @@ def write_token_files(docs: DataFrame, params: TokenFileParams) -> DataFrame:
         from pyspark import TaskContext
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             data, offs = B.utf8(batch.column(1))
-            for i, j in B.slices(offs, p.shard_bytes):
-                ids, bounds = encode_with_end(p.tokenizer, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p.end_id)
-                row = [[part], [seq], [start], [len(ids)], [batch.column(0).slice(i, j - i).to_pylist()], [compress(ids, bounds, p)]]
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "start", "n_ids", "doc_ids", "payload"])
-                seq, start = seq + 1, start + len(ids)
+            for i, j in B.slices(offs, 4 * p.shard_bytes):
+                own = offs[i : j + 1] - offs[i]
+                all_ids, cut = encode_with_end(p.tokenizer, data[offs[i] : offs[j]], own, p.end_id)
+                for a, b in B.slices(own, p.shard_bytes):
+                    ids, bounds = all_ids[cut[a] : cut[b]], cut[a : b + 1] - cut[a]
+                    row = [[part], [seq], [start], [len(ids)], [batch.column(0).slice(i + a, b - a).to_pylist()], [compress(ids, bounds, p)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "start", "n_ids", "doc_ids", "payload"])
+                    seq, start = seq + 1, start + len(ids)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
