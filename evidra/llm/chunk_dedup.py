@@ -7,7 +7,8 @@ passage are the same wherever it stands, and an insertion moves no boundary
 beyond its neighbourhood.  Chunks of whole documents are counted by digest;
 neighbouring chunks of a document that occur in another one too join to a passage,
 and passages of ``min_words`` words are repeats.  The first place of each
-repeated chunk, by document and position, is kept.
+repeated chunk, by document and position, is kept; a passage whose chunks have
+their first places in different documents is reported in parts.
 
 Scale.  The count of digests aggregates before its shuffle.  Chunk rows meet
 only the digests that repeat, in a join whose hot keys Spark can split, and a
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evidra.llm import blocks as B
 from evidra.llm.scratch import stored
@@ -128,11 +130,13 @@ def chunk_rows(docs: DataFrame, p: ChunkParams) -> DataFrame:
 def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Repeats of ``docs(doc_id, text)``: ``doc_id, start, end, n_words, kept, first_doc_id``.
 
-    One row for each run of repeated chunks of at least ``params.min_words``
-    words; offsets are code points, end exclusive.  ``first_doc_id`` is the
-    smallest id of a document that holds the run's first chunk; ``kept`` tells
-    that all of the run stands in its first place, and a deduplicated text
-    leaves out the other runs.  Rows without ``doc_id`` and null and empty
+    A run of neighbouring repeated chunks counts if it has ``params.min_words``
+    words, which ``n_words`` tells; it gives a row for each part of it along
+    which ``kept`` and ``first_doc_id`` stay the same.  Offsets are code
+    points, end exclusive.  ``first_doc_id`` is the smallest id of a document
+    that holds the part's chunks; ``kept`` tells that the part stands in its
+    first place, and a deduplicated text leaves out the other parts, so no
+    chunk loses its first place.  Rows without ``doc_id`` and null and empty
     texts have no repeats; rows that share a ``doc_id`` and a text are one
     document; an empty table gives none.  Other columns are not read.
     """
@@ -146,5 +150,9 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> D
     # A run is a maximal sequence of neighbouring numbers, so number less rank is the same along it.
     runs = hit.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("n", "start", "end", "words", "first", "first_doc_id"))).alias("c"))
     runs = runs.select("doc_id", "row", F.posexplode("c").alias("k", "c")).select("doc_id", "row", "c.*", (F.col("c.n") - F.col("k")).alias("run"))
-    out = runs.groupBy("doc_id", "row", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"), F.min("first").alias("kept"), F.min_by("first_doc_id", "n").alias("first_doc_id"))
-    return out.where(F.col("n_words") >= p.min_words).select("doc_id", "start", "end", "n_words", "kept", "first_doc_id")
+    along = Window.partitionBy("doc_id", "row", "run")
+    part = F.struct("first", "first_doc_id")
+    runs = runs.withColumns({"n_words": F.sum("words").over(along), "new": (part != F.lag(part).over(along.orderBy("n"))).cast("int")}).where(F.col("n_words") >= p.min_words)
+    runs = runs.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(along.orderBy("n")))
+    out = runs.groupBy("doc_id", "row", "run", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.first("n_words").alias("n_words"), F.first("first").alias("kept"), F.first("first_doc_id").alias("first_doc_id"))
+    return out.select("doc_id", "start", "end", "n_words", "kept", "first_doc_id")

@@ -539,6 +539,22 @@ def test_repeated_passages(spark):
     assert any(g.kept for g in got) and all(not g.kept or g.doc_id in firsts for g in got)
 
 
+def test_repeated_passages_in_parts(spark):
+    """Copies with a passage of an earlier document leave out that passage only; each repeated chunk is kept once."""
+    passage, own = prose(70, 901), [prose(300, 902), prose(300, 903)]
+    rows = [(1, prose(90, 904) + " " + passage + " " + prose(90, 905)), *((i, own[0] + " " + passage + " " + own[1]) for i in (10, 20, 30))]
+    texts, got = dict(rows), repeated_passages(spark.createDataFrame(rows, DOC)).collect()
+    removed = {i: [texts[i][g.start : g.end] for g in got if g.doc_id == i and not g.kept] for i in texts}
+    assert not removed[1] and {g.first_doc_id for g in got if g.doc_id == 10} == {1, 10}
+    assert [g.first_doc_id for g in got if g.doc_id == 10 and not g.kept] == [1]
+    assert 40 < len(removed[10][0].split()) <= 71 and removed[10][0] in texts[1]
+    for i in (20, 30):
+        assert sum(map(len, removed[i])) == len(texts[i]) and {g.first_doc_id for g in got if g.doc_id == i} == {1, 10}
+    kept = [(g.doc_id, texts[g.doc_id][g.start : g.end]) for g in got if g.kept]
+    assert {i for i, _ in kept} == {1, 10}
+    assert sum(len(t) for i, t in kept if i == 10) + len(removed[10][0]) == len(texts[10])
+
+
 def test_repeated_passages_awkward(docs, none):
     got = repeated_passages(docs).collect()
     assert {r.doc_id for r in got} == {7, 8}
