@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from evidra.operators import documents as D
 from evidra.operators import embedding as E
 from evidra.operators import responses as R
 from evidra.operators import retrieval as X
+from evidra.plans.document_plans import check_segments
 
 
 def test_plan_scope():
@@ -49,6 +52,19 @@ def test_small_rules(spark):
     assert tuple(row) == (True, "untitled", "My File 1", True)
 
 
+def test_segments_of_every_text(spark, tmp_path):
+    """Texts of all lengths have segments, by a plain loop over their lines."""
+    rows = [(1, "short\n\n \t\nlast line"), (2, "a" * 3100 + "\n" + "é" * 1500), (3, ("word " * 900 + "\n") * 6), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, text in rows:
+        spans = [(m.start() + o, min(m.start() + o + 1500, m.end())) for m in re.finditer(r"[^\n]+", text or "") for o in range(0, len(m.group()), 1500)]
+        spans = [(a, b) for a, b in spans if text[a:b].strip()]
+        want |= {(i, k, a, b, hashlib.sha256(text[a:b].encode()).hexdigest()) for k, (a, b) in enumerate(spans)}
+    got = [tuple(r) for r in check_segments(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {g[0] for g in got} == {1, 2, 3}
+
+
 def test_segments_and_alignment(spark):
     w = spark.createDataFrame([(1, 10, "ab\n\n  \n" + "x" * 1600)], "doc_id long, start int, text string")
     got = [(r.id, r.start, r.end) for r in D.segments(w).orderBy("id").collect()]
