@@ -15,6 +15,7 @@ from evidra.operators import quality as Q
 from evidra.operators import review as R
 from evidra.operators import search as S
 from evidra.operators import series as D
+from evidra.plans.series_plans import lineage_ancestors
 
 
 def rows(df, *keys):
@@ -213,6 +214,15 @@ def test_lineage(spark, nodes):
     assert {r.node for r in L.recursive_ancestors(spark, "lineage_edges", "check").collect()} == {"scope", "search", "crawl", "check"}
 
 
+def test_ancestors_of_every_chunk(spark, tmp_path):
+    """Each document's chunk has its closure, by a plain walk."""
+    rows = [(i, f"src{i % 3}") for i in range(1, 31)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.seed, r.node) for r in lineage_ancestors(spark, str(tmp_path)).collect()]
+    want = {(f"chunk-{i}", n) for i, s in rows for n in (f"chunk-{i}", f"doc-{i}", f"crawl-{s}", "scope")}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_integrity_and_remediation(spark):
     n = spark.createDataFrame([("a", "p", None), ("b", "q", "x"), ("c", None, None)], "id string, path string, sha256 string")
     files = spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b"2"))], "path string, content binary")
