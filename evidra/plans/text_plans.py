@@ -94,8 +94,9 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, substr('token=[MASKED] Bearer [MASKED] said ' || substr(text, 1, 40), 1, 1200) AS masked FROM conversations")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text is searched; the SQL beside it has its first 40 characters, unmasked."""
     key = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
-    text = F.concat(F.lit("token=k"), key, F.lit(" Bearer abc"), key, F.lit(" said "), F.substring("text", 1, 40))
+    text = F.concat(F.lit("token=k"), key, F.lit(" Bearer abc"), key, F.lit(" said "), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.redact_secrets(text).alias("masked"))
 
 

@@ -15,6 +15,7 @@ from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.functions import vectors as V
 from evidra.operators import chunks as C
+from evidra.plans.text_plans import redact_text
 
 
 def values(spark, column, rows, schema):
@@ -64,6 +65,16 @@ def test_relevance_and_detection(spark):
     assert one(spark, T.first_key(F.col("x"), T.COUNTRIES), "nowhere") is None
 
 
+def test_redaction_of_whole_texts(spark, tmp_path):
+    """Secrets far behind the 40th character are masked, and what follows them stays up to the result's limit."""
+    far = "x " * 300
+    rows = [(1, 0, "hello"), (1, 1, far + "password: p4ss, then api_key=K9 end"), (2, 0, far + "y" * 2000), (2, 1, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.masked for r in redact_text(spark, str(tmp_path)).collect()}
+    begin = "token=[MASKED] Bearer [MASKED] said "
+    assert got == {(1, 0): begin + "hello", (1, 1): begin + far + "password: [MASKED], then api_key=[MASKED] end", (2, 0): (begin + far + "y" * 2000)[:1200], (2, 1): None}
+
+
 def test_redaction_and_dates(spark):
     assert one(spark, T.redact_secrets(F.col("x"), ("s3cret",)), "Bearer abc; key s3cret password: p1, ok") == "Bearer [MASKED]; key [MASKED] password: [MASKED], ok"
     assert len(one(spark, T.redact_secrets(F.col("x")), "a" * 2000)) == 1200
