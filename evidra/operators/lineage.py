@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,23 +32,25 @@ def dangling(nodes: DataFrame) -> DataFrame:
     return edges(nodes).join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti")
 
 
-def reach(graph: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int = 64) -> DataFrame:
+def reach(graph: DataFrame, seeds: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
     """``seed, node`` reachable from ``seeds(seed)`` along ``source`` to ``target``, seeds included.
 
     A frontier moves one edge a round and forgets what it has seen, so
     diamonds cost nothing extra and cycles end.  Each round is checkpointed.
+    Rounds go on until nothing new is found; more than ``rounds`` are an error.
     """
     graph = graph.select(F.col(source).alias("node"), F.col(target).alias("next"))
     seen = seeds.select("seed", F.col("seed").alias("node")).distinct()
     front = seen
-    for _ in range(rounds):
+    for done in count():
         step = front.join(graph, "node").select("seed", F.col("next").alias("node")).distinct()
         front = step.join(seen, ["seed", "node"], "left_anti")
         front = _cut(front)
         if front.isEmpty():
-            break
+            return seen
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"the closure needs more than {rounds} rounds")
         seen = _cut(seen.unionByName(front))
-    return seen
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -56,15 +60,15 @@ def _cut(df: DataFrame) -> DataFrame:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(folder)
         return df.checkpoint()
-    return df.cache()
+    return df.localCheckpoint()
 
 
-def ancestors(nodes: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """G1: ``seed, node``: each seed and everything it was made from."""
     return reach(edges(nodes), seeds, "child", "parent", rounds)
 
 
-def descendants(nodes: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
+def descendants(nodes: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """``seed, node``: everything made from a seed, the seed left out."""
     return reach(edges(nodes), seeds, "parent", "child", rounds).where("seed <> node")
 

@@ -214,6 +214,15 @@ def test_lineage(spark, nodes):
     assert {r.node for r in L.recursive_ancestors(spark, "lineage_edges", "check").collect()} == {"scope", "search", "crawl", "check"}
 
 
+def test_long_paths(spark):
+    """A path of more than 64 edges is followed to its end; a bound that is too low is an error."""
+    path = spark.createDataFrame([(str(i), [str(i - 1)] if i else []) for i in range(71)], "id string, parents array<string>").coalesce(1).cache()
+    seed = spark.createDataFrame([("70",)], "seed string")
+    assert {r.node for r in L.ancestors(path, seed).collect()} == {str(i) for i in range(71)}
+    with pytest.raises(RuntimeError):
+        L.ancestors(path, seed, rounds=3)
+
+
 def test_ancestors_of_every_chunk(spark, tmp_path):
     """Each document's chunk has its closure, by a plain walk."""
     rows = [(i, f"src{i % 3}") for i in range(1, 31)]
