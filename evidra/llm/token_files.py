@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ _HEAD = struct.Struct("<4sIIIIQ")
 @dataclass(frozen=True)
 class TokenFileParams:
     """``end_id`` follows each document; a pair is replaced while it occurs ``min_count`` times,
-    in at most ``rounds`` rounds of at most ``per_round`` rules; ``shard_bytes`` of text make a shard."""
+    at most ``per_round`` rules a round, and in at most ``rounds`` rounds if that is given; ``shard_bytes`` of text make a shard."""
 
     tokenizer: str
     end_id: int = 2
     min_count: int = 8
-    rounds: int = 8
+    rounds: int | None = None
     per_round: int = 8192
     shard_bytes: int = 1 << 20
 
@@ -56,8 +57,8 @@ def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
     rules: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     size_of = np.ones(first_rule, np.uint32)
-    for _ in range(p.rounds):
-        if len(seq) < 2:
+    for done in count():
+        if len(seq) < 2 or done == p.rounds:
             break
         keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         keys[last[:-1]] = np.iinfo(np.uint64).max
@@ -67,14 +68,14 @@ def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
         if not len(ordered):
             break
         cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(cut, len(ordered)))
+        times = np.diff(np.append(cut, len(ordered)))
         pairs = ordered[cut]
-        often = (count >= p.min_count) & (pairs != np.iinfo(np.uint64).max)
-        pairs, count = pairs[often], count[often]
+        often = (times >= p.min_count) & (pairs != np.iinfo(np.uint64).max)
+        pairs, times = pairs[often], times[often]
         if not len(pairs):
             break
         if len(pairs) > p.per_round:
-            pairs = np.sort(pairs[np.argsort(-count, kind="stable")[: p.per_round]])
+            pairs = np.sort(pairs[np.argsort(-times, kind="stable")[: p.per_round]])
         chosen = np.zeros(1 << BUCKET_BITS, bool)
         chosen[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)] = True
         near = np.flatnonzero(chosen[bucket])

@@ -265,6 +265,19 @@ def test_grammar_round_trip_and_random_access():
         TokenShard(b"none" + payload[4:])
 
 
+def test_grammar_goes_on_while_pairs_are_frequent():
+    """Copies of a long passage shrink until no pair occurs often enough, and expand again."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 5000, 2000)
+    ids, bounds = np.tile(one, 40).astype(np.uint32), np.arange(41) * 2000
+    shard = TokenShard(compress(ids, bounds, TokenFileParams(PATH)))
+    inside = np.ones(len(shard.symbols) - 1, bool)
+    inside[shard.doc_symbols[1:-1] - 1] = False
+    _, times = np.unique(np.column_stack((shard.symbols[:-1], shard.symbols[1:]))[inside], axis=0, return_counts=True)
+    assert shard.sizes.max() > 2**8 and (not len(times) or times.max() < 8)
+    assert shard.expand(shard.symbols).tolist() == ids.tolist()
+
+
 def test_token_files(docs, none, tokenizer):
     p = TokenFileParams(PATH, shard_bytes=1000)
     got = read_token_files(write_token_files(docs, p)).collect()
