@@ -36,7 +36,7 @@ def reach(graph: DataFrame, seeds: DataFrame, source: str, target: str, rounds:
     """``seed, node`` reachable from ``seeds(seed)`` along ``source`` to ``target``, seeds included.
 
     A frontier moves one edge a round and forgets what it has seen, so
-    diamonds cost nothing extra and cycles end.  Each round is checkpointed.
+    diamonds cost nothing extra and cycles end.  Each round is written and read again.
     Rounds go on until nothing new is found; more than ``rounds`` are an error.
     """
     graph = graph.select(F.col(source).alias("node"), F.col(target).alias("next"))
@@ -45,22 +45,12 @@ def reach(graph: DataFrame, seeds: DataFrame, source: str, target: str, rounds:
     for done in count():
         step = front.join(graph, "node").select("seed", F.col("next").alias("node")).distinct()
         front = step.join(seen, ["seed", "node"], "left_anti")
-        front = _cut(front)
+        front = stored(front, "front")
         if front.isEmpty():
             return seen
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"the closure needs more than {rounds} rounds")
-        seen = _cut(seen.unionByName(front))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder or sc.getCheckpointDir():
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.localCheckpoint()
+        seen = stored(seen.unionByName(front), "seen")
 
 
 def ancestors(nodes: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -5,13 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a folder of our own only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which all executors share.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster
+    that is an error, since executors don't see each other's disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/evidra/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/evidra/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes ``df`` as Parquet under the shared folder and reads it back, which cuts lineage and survives a lost executor."""
+    path = folder(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
