@@ -1,20 +1,23 @@
 """Near-duplicate documents by b-bit MinHash with exact confirmation.
 
 Each document's word shingles give ``n_hashes`` minima.  Rows of minima hashed
-band by band make candidates; the low ``b`` bits of all minima are packed into
-a signature, whose equal positions, corrected for chance collisions, estimate
-the similarity of two candidates.  Links are confirmed on full shingle sets.
+band by band make buckets; the low ``b`` bits of all minima are packed into a
+signature, which is stored, and whose equal positions, corrected for chance
+collisions, estimate the similarity of two candidates.  Candidates whose
+estimate allows a link are confirmed on full shingle sets, and components are
+made of confirmed links only.
 
 Scale.  Equal sets are collapsed to one class first, with map-side
-aggregation, so copies never meet in a bucket.  A bucket sends one edge from
-each member to its smallest member, never all pairs.  Buckets that share
-members make a candidate cluster; a link can only lie inside one.  A cluster
-is read in blocks of bounded size, and a block confirms links through an
-inverted index of its shingles and returns at most one edge for each of its
-documents.  A cluster larger than a block is confirmed inside each block,
-then between blocks: first one representative of every component found so
-far, then every document outside the cluster's largest component against all
-blocks, so documents that are already together are not compared again.
+aggregation, so copies never meet in a bucket.  Then every document is
+confirmed against the most similar of its buckets' first members, one text for
+each document, which joins groups of near copies at a cost linear in their
+size.  What remains are buckets whose members are in different components:
+there signatures, not texts, are compared, each member outside the bucket's
+largest component with the others, in blocks of bounded size, and each is
+confirmed against its most similar partners, a few first, then all that are
+left, until no allowed pair of a bucket is both unconfirmed and apart.  So
+documents that are already together are not compared again.  A first member
+with many partners is dealt out over tasks by shingle count.
 """
 
 from __future__ import annotations
@@ -42,7 +45,10 @@ class MinHashParams:
 
     ``bands * rows`` minima form buckets: a pair at the threshold of 0.8
     shares none of 30 bands of 5 with a probability of 7e-6.  ``block``:
-    shingles that one task holds at once.
+    shingles of one document's partners that a task reads.  ``bucket``:
+    members of a bucket that a task compares with as many others.
+    ``partners``: how many are confirmed for each member of a bucket in the
+    first rounds; the last round leaves none out.
     """
 
     words: int = 5
@@ -52,6 +58,8 @@ class MinHashParams:
     n_hashes: int = 160
     b: int = 4
     block: int = 3_000_000
+    bucket: int = 8192
+    partners: tuple[int, ...] = (4, 64)
     seed: int = 11
 
 
@@ -65,23 +73,31 @@ def pack_low_bits(minima: np.ndarray, b: int) -> np.ndarray:
 
 
 def estimate(one: np.ndarray, many: np.ndarray, b: int, n_hashes: int) -> np.ndarray:
-    """Similarity of a packed signature to others: equal positions by bit counts, less chance collisions."""
-    diff = one[None, :] ^ many
+    """Similarity of packed signatures, row by row: equal positions by bit counts, less chance collisions."""
+    diff = one ^ many
     shift = 1
     while shift < b:
         diff |= diff >> np.uint64(shift)
         shift *= 2
     lowest = np.uint64(sum(1 << i for i in range(0, 64, b)))
-    differ = np.bitwise_count(diff & lowest).sum(axis=1)
+    differ = np.bitwise_count(diff & lowest).sum(axis=1, dtype=np.int32)
     chance = 1 / (1 << b)
     return ((n_hashes - differ) / n_hashes - chance) / (1 - chance)
 
 
 def floor_estimate(p: MinHashParams) -> float:
-    """Estimates below it are six deviations under the threshold and need no confirmation."""
+    """Estimates below it are 4.5 deviations under the threshold, which a link has with a probability of 4e-6."""
     chance, s = 1 / (1 << p.b), p.percent / 100
     q = chance + (1 - chance) * s
-    return s - 6 * (q * (1 - q) / p.n_hashes) ** 0.5 / (1 - chance)
+    return s - 4.5 * (q * (1 - q) / p.n_hashes) ** 0.5 / (1 - chance)
+
+
+def allowed(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray, p: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two signature tables that may be linked, by set sizes and estimate; the estimates of all rows, or -1."""
+    found = np.full(len(x), -1.0)
+    near = np.flatnonzero(100 * np.minimum(size_x, size_y) >= p.percent * np.maximum(size_x, size_y))
+    found[near] = estimate(x[near], y[near], p.b, p.n_hashes)
+    return found >= floor_estimate(p), found
 
 
 def _coefficients(p: MinHashParams) -> tuple[np.ndarray, np.ndarray]:
@@ -165,117 +181,147 @@ def _spread(packed: np.ndarray, at: np.ndarray, n: int) -> list[bytes]:
     return out
 
 
-def link_sets(sets: list[np.ndarray], packed: np.ndarray, p: MinHashParams, base: int | None = None) -> np.ndarray:
-    """Component of each set inside a block; linked sets are in one component.
+def _signature_rows(column: pa.Array, p: MinHashParams) -> np.ndarray:
+    """Packed signatures of a binary column, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -(-p.n_hashes * p.b // 64))
 
-    With ``base``, sets from that position on are only compared with the
-    earlier ones.  A set is compared with those that no component has reached
-    yet and whose estimate allows a link, so a group of copies costs about
-    one comparison for each copy.
-    """
-    n = len(sets)
-    label = np.full(n, -1)
-    size = np.array([len(s) for s in sets])
-    if n == 1:
-        return np.zeros(1, np.int64)
-    ids = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    open_ = np.ones(n, bool)
-    least = floor_estimate(p)
-
-    def partners(i: int) -> np.ndarray:
-        near = np.flatnonzero(open_)
-        if base is not None:
-            near = near[(near < base) != (i < base)]
-        near = near[(100 * np.minimum(size[near], size[i]) >= p.percent * np.maximum(size[near], size[i]))]
-        if len(near):
-            near = near[estimate(packed[i], packed[near], p.b, p.n_hashes) >= least]
-        if not len(near):
-            return near
-        if len(near) <= 8:
-            common = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in near])
-        else:
-            lo, hi = np.searchsorted(ids, sets[i], "left"), np.searchsorted(ids, sets[i], "right")
-            span = hi - lo
-            at = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            common = np.bincount(owner[at], minlength=n)[near]
-        return near[100 * common >= p.percent * (size[i] + size[near] - common)]
-
-    for root in np.argsort(-size, kind="stable"):
-        if not open_[root]:
-            continue
-        label[root], open_[root] = root, False
-        queue = [root]
-        while queue and open_.any():
-            found = partners(queue.pop())
-            label[found], open_[found] = root, False
-            queue.extend(found.tolist())
-            if open_.sum() * 2 < len(np.unique(owner)) and len(owner) > 1000:
-                keep = open_[owner]
-                ids, owner = ids[keep], owner[keep]
-    return label
+
+def _first_partners(keys: DataFrame, rows: DataFrame, p: MinHashParams) -> DataFrame:
+    """``(u, v, n)``: for each document the first member of one of its buckets that is most similar, if a link is allowed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_signature_rows(batch.column(c), p) for c in (4, 5))
+                ok, found = allowed(x, y, *(batch.column(c).to_numpy() for c in (2, 3)), p)
+                at = np.flatnonzero(ok)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), pa.array(found[at])], ["u", "v", "n", "estimate"])
+
+    low = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")).where("v < top").select("key", "v")
+    star = keys.join(low, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    own = rows.select("doc_id", "n_shingles", "packed")
+    pairs = star.join(own.toDF("u", "n", "pu"), "u").join(own.toDF("v", "m", "pv"), "v").select("u", "v", "n", "m", "pu", "pv")
+    close = pairs.mapInArrow(run, "u long, v long, n long, estimate double")
+    best = close.groupBy("u").agg(F.max_by(F.struct("v", "n"), F.struct("estimate", -F.col("v"))).alias("b"))
+    return best.select("u", "b.v", "b.n")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Rows with equal first ``keys`` columns, from batches sorted by them."""
+    """Rows of whole groups, from batches sorted by the first ``keys`` columns that tell them apart."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        cols = np.stack([batch.column(k).to_numpy() for k in range(keys)])
         cut = np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1
-        edges = [0, *cut.tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            key = tuple(cols[:, a])
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
+        if held:
+            before = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(keys)]
+            cut = np.concatenate(([0], cut)) if before != cols[:, 0].tolist() else cut
+        if len(cut):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut[-1])])
+            held = []
+            batch = batch.slice(cut[-1])
+        held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _link_blocks(texts: DataFrame, p: MinHashParams) -> DataFrame:
-    """``(block, task, side, doc_id, text)`` to edges ``(u, v)`` that join each component of a task."""
+#: Pairs of signatures that are compared at once.
+CELLS = 200_000
+
+
+def _bucket_pairs(keys: DataFrame, rows: DataFrame, labels: DataFrame, partners: int | None, p: MinHashParams) -> DataFrame:
+    """``(u, v, n, cut)``: allowed pairs of a bucket whose members are in different components.
+
+    Each member outside its bucket's largest component gets its most similar
+    ``partners``, in every task that compares it; ``cut`` tells that there
+    were more.  A bucket larger than ``p.bucket`` is compared block by block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = B.byte_values(lower=True)
-        out_u: list[np.ndarray] = []
-        out_v: list[np.ndarray] = []
         for table in _groups(batches, 2):
-            side = table.column(2).to_numpy()
-            order = np.argsort(side, kind="stable")
-            table, side = table.take(pa.array(order)), side[order]
-            doc = table.column(3).to_numpy()
-            data, offs = B.utf8(table.column(4))
-            sets: list[np.ndarray] = []
-            packed: list[np.ndarray] = []
+            key, task, side, doc, label, size = (table.column(c).to_numpy() for c in range(6))
+            packed = _signature_rows(table.column(6).combine_chunks(), p)
+            group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (task[1:] != task[:-1]))))
+            x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+            begin, end = (np.searchsorted(group[y], group[x], s) for s in ("left", "right"))
+            total = np.concatenate(([0], np.cumsum(end - begin)))
+            at = 0
+            while at < len(x):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, "right")) - 1)
+                count = (end - begin)[at:to]
+                xi = np.repeat(x[at:to], count)
+                yi = y[np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at] - begin[at:to], count)]
+                apart = np.flatnonzero(label[xi] != label[yi])
+                xi, yi = xi[apart], yi[apart]
+                ok, found = allowed(packed[xi], packed[yi], size[xi], size[yi], p)
+                xi, yi, found = xi[ok], yi[ok], found[ok]
+                order = np.lexsort((doc[yi], -found, xi))
+                xi, yi = xi[order], yi[order]
+                first = np.searchsorted(xi, xi, "left")
+                many = np.searchsorted(xi, xi, "right") - first
+                rank = np.arange(len(xi)) - first
+                keep = rank < (partners or len(xi) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[xi[keep]]), pa.array(doc[yi[keep]]), pa.array(size[xi[keep]]), pa.array((many > (partners or len(xi)))[keep])], ["u", "v", "n", "cut"])
+                at = to
+
+    own = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    sizes = own.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    mixed = sizes.where("labels > 1").select("key", "main", F.ceil(F.col("all") / p.bucket).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / p.bucket).alias("shares"))
+    members = own.join(mixed, "key").join(rows.select("doc_id", "n_shingles", "packed"), "doc_id")
+    share, block = F.pmod(F.xxhash64("doc_id", F.lit(2)), "shares"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks")
+    sides = F.when(F.col("label") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    members = members.withColumn("side", F.explode(sides))
+    tasks = F.when(F.col("side") == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: share * F.col("blocks") + b)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda a: a * F.col("blocks") + block))
+    members = members.withColumn("task", F.explode(tasks)).select("key", "task", "side", "doc_id", "label", "n_shingles", "packed")
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = members.repartition(n, "key", "task").sortWithinPartitions("key", "task").mapInArrow(run, "u long, v long, n long, cut boolean")
+    return found.groupBy("u", "v").agg(F.max("n").alias("n"), F.max("cut").alias("cut"))
+
+
+def _confirmed(texts: DataFrame, pairs: DataFrame, p: MinHashParams) -> DataFrame:
+    """Those ``(u, v)`` of ``pairs(u, v, n)`` that are linked, by their full shingle sets.
+
+    The partners of a document are dealt out over tasks, ``p.block`` shingles
+    each, and pass by its set one after another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = B.byte_values(lower=True)
+        now, hubs = None, []
+        for batch in batches:
+            v, task, side, doc = (batch.column(c).to_numpy() for c in range(4))
+            data, offs = B.utf8(batch.column(4))
+            linked: list[int] = []
             for i, j in B.slices(offs):
                 flat, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p.words, values)
-                sig = np.zeros((j - i, -(-p.n_hashes * p.b // 64)), np.uint64)
-                if len(flat):
-                    sig[np.diff(bounds) > 0] = pack_low_bits(minima(flat, bounds, p), p.b)
-                packed.append(sig)
-                sets += [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-            base = int((side == 0).sum()) if side.any() else None
-            label = link_sets(sets, np.concatenate(packed), p, base)
-            low = np.full(len(doc), np.iinfo(np.int64).max)
-            np.minimum.at(low, label, doc)
-            out_u.append(doc)
-            out_v.append(low[label])
-            if sum(map(len, out_u)) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], ["u", "v"])
-                out_u, out_v = [], []
-        if out_u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], ["u", "v"])
-
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = texts.select("block", "task", "side", "doc_id", "text")
-    return cols.repartition(n, "block", "task").sortWithinPartitions("block", "task").mapInArrow(run, "u long, v long")
+                for k in range(i, j):
+                    own = flat[bounds[k - i] : bounds[k - i + 1]]
+                    if (v[k], task[k]) != now:
+                        now, hubs = (v[k], task[k]), []
+                    if side[k] == 0:
+                        hubs.append(own.copy())
+                    elif any(_linked(own, hub, p.percent) for hub in hubs):
+                        linked.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[linked]), pa.array(v[linked])], ["u", "v"])
+
+    spark = texts.sparkSession
+    chunks = stored(pairs.groupBy("v").agg(F.ceil(F.sum("n") / p.block).alias("chunks")).where("chunks > 1"), "chunks")
+    task = F.pmod(F.xxhash64("u"), F.coalesce("chunks", F.lit(1)))
+    members = pairs.join(chunks, "v", "left").select("v", task.alias("task"), F.lit(1).alias("side"), F.col("u").alias("doc_id"))
+    hubs = members.select("v", "task").distinct().select("v", "task", F.lit(0).alias("side"), F.col("v").alias("doc_id"))
+    rows = members.unionByName(hubs).join(texts, "doc_id").select("v", "task", "side", "doc_id", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "v", "task").sortWithinPartitions("v", "task", "side").mapInArrow(run, "u long, v long")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted fingerprints are linked."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    common = int((b[at] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
@@ -291,59 +337,34 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     """
     p = params
     sig = stored(signatures(docs, p), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("lo", "hi", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = stored(classes, "classes")
-    rows = sig.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n_shingles > 0")
-    keys = rows.select("doc_id", F.explode("bands").alias("key"))
-    low = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("top")).where("v < top").select("key", "v")
-    candidates = keys.join(low, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
-    clusters = connected_components(candidates)
-    sizes = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
-    members = clusters.withColumnRenamed("id", "doc_id").join(sizes, "doc_id")
-    total = members.groupBy("component").agg(F.ceil(F.sum("n") / p.block).alias("blocks"))
-    members = stored(members.join(total, "component").select("doc_id", F.col("component").alias("block"), "blocks", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), "blocks")).otherwise(F.lit(0)).cast("long").alias("task")), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id")
-    edges = stored(_link_blocks(texts.withColumn("side", F.lit(0)), p), "links")
-    if members.where("blocks > 1").limit(1).count():
-        edges = _between_blocks(docs, members, edges, p)
-        found = connected_components(edges)
-    else:
-        found = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-    found = found.withColumnRenamed("id", "rep")
+    some = sig.where("n_shingles > 0 and doc_id is not null")
+    digest = ["lo", "hi", "n_shingles"]
+    reps = stored(some.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
+    rows = some.join(reps.withColumnRenamed("rep", "doc_id"), [*digest, "doc_id"], "left_semi")
+    keys = rows.select("doc_id", F.explode("bands").alias("key")).distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = stored(keys.join(shared, "key"), "keys")
+    rows = stored(rows.select("doc_id", "n_shingles", "packed").join(keys.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = stored(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    # A document with several texts joins the classes of all of them.
+    several = some.groupBy("doc_id").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("doc_id")
+    own = some.join(several, "doc_id", "left_semi").join(reps, digest).groupBy("doc_id").agg(F.collect_set("rep").alias("r"))
+    edges = own.select(F.explode("r").alias("u"), F.array_min("r").alias("v"))
+    links = stored(_confirmed(texts, stored(_first_partners(keys, rows, p), "pairs"), p).unionByName(edges), "links")
+    for partners in (*p.partners, None):
+        labels = connected_components(links)
+        pairs = stored(_bucket_pairs(keys, rows, labels, partners, p), "pairs")
+        seen = pairs.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
+        if seen.n:
+            links = stored(links.unionByName(_confirmed(texts, pairs, p)), "links")
+            labels = connected_components(links)
+        if not seen.cut:
+            break
+    near = labels.withColumnRenamed("id", "rep")
     return (
-        sig.select("doc_id", "n_shingles", "lo", "hi")
-        .join(reps.join(found, "rep", "left").select("lo", "hi", "n_shingles", F.coalesce("component", "rep").alias("near")), ["lo", "hi", "n_shingles"], "left")
+        sig.select("doc_id", *digest)
+        .join(reps.join(near, "rep", "left").select(*digest, F.coalesce("component", "rep").alias("near")), digest, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("near", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
-
-
-def _between_blocks(docs: DataFrame, members: DataFrame, edges: DataFrame, p: MinHashParams) -> DataFrame:
-    """Adds the links between the blocks of clusters that are larger than one block.
-
-    Representatives of the components found inside blocks meet first; they
-    are few where a cluster is made of near copies.  Then every document that
-    is not in its cluster's largest component is compared with all others, in
-    block pairs: its own share of such documents on one side, one block of
-    the cluster on the other.
-    """
-    spark = docs.sparkSession
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    large = members.where("blocks > 1")
-    part = edges.withColumnRenamed("u", "doc_id").join(large, "doc_id")
-    reps = part.select(F.col("v").alias("doc_id"), "block").distinct()
-    share = reps.groupBy("block").agg(F.ceil(F.count("*") / F.lit(2000)).alias("shares"))
-    reps = reps.join(share, "block").select("doc_id", "block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "shares").alias("task"), F.lit(0).alias("side"))
-    edges = stored(edges.union(_link_blocks(text.join(reps, "doc_id"), p)), "links")
-    now = stored(connected_components(edges).withColumnRenamed("id", "doc_id").join(large, "doc_id"), "partial")
-    sizes = now.groupBy("block", "component").count()
-    main = sizes.groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = now.join(main, "block").where("component <> main").select("doc_id", "block", "blocks", F.col("task").alias("own"))
-    if not rest.limit(1).count():
-        return edges
-    many = rest.groupBy("block").agg(F.ceil(F.count("*") / F.lit(2000)).alias("shares"))
-    rest = rest.join(many, "block").withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(2)), "shares"))
-    one = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "block", (F.col("share") * F.col("blocks") + F.col("other")).alias("task"), F.lit(1).alias("side"))
-    all_ = large.join(many, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("doc_id", "block", (F.col("share") * F.col("blocks") + F.col("task")).alias("task"), F.lit(0).alias("side"))
-    pairs = one.unionByName(all_)
-    return stored(edges.union(_link_blocks(text.join(pairs, "doc_id"), p)), "links")

@@ -6,27 +6,11 @@ local checkpoint doesn't.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from evidra.sources.folders import stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="evidra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/evidra/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "stored"]
 
 
 def drop(spark: SparkSession, df: DataFrame) -> None:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.llm import blocks as B
-from evidra.llm import bpe, crf, pii, tiff, token_files
+from evidra.llm import bpe, crf, minhash, pii, tiff, token_files
 from evidra.llm.chat import DEFAULT, format_chat, read_chat
 from evidra.llm.chunk_dedup import ChunkParams, boundaries, repeated_passages
 from evidra.llm.components import connected_components
@@ -94,15 +94,42 @@ def copies(seed, n=70, base=80):
     return out
 
 
-@pytest.mark.parametrize(("k", "block"), [(4, 3_000_000), (5, 3_000_000), (4, 500)])
-def test_near_duplicates(spark, k, block):
-    """Also with blocks so small that clusters are split."""
+@pytest.mark.parametrize(("k", "limits"), [(4, {}), (5, {}), (4, {"block": 500, "bucket": 7, "partners": (1, 2)}), (5, {"partners": ()})])
+def test_near_duplicates(spark, k, limits):
+    """Also with limits so small that hubs, buckets and rounds are split."""
     rows = copies(k)
-    got = near_duplicates(spark.createDataFrame(rows, DOC), MinHashParams(words=k, block=block)).collect()
+    got = near_duplicates(spark.createDataFrame(rows, DOC), MinHashParams(words=k, **limits)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, 80)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_of_shared_templates(spark, monkeypatch):
+    """Texts that share half their words meet in buckets, but are neither linked nor confirmed; a chain of copies is."""
+    confirmed = []
+    stored = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name, **o: confirmed.append((name, stored(df, name, **o))) or confirmed[-1][1])
+    template, work = prose(150, 41), []
+    for n in (60, 120):
+        rows = [(i, template + " " + prose(150, 42_000 + i)) for i in range(n)]
+        text = prose(200, 43).split()
+        for i in range(n):
+            text[(i * 7) % 200] = WORDS[i % 400]
+            rows.append((1000 + i, " ".join(text)))
+        confirmed.clear()
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, DOC), MinHashParams(words=4)).collect()}
+        assert got == {i: x[1] for i, x in brute_components(rows, 4, 80).items()}
+        assert all(got[i] == i for i in range(n)) and got[1000 + n - 1] == 1000
+        work.append(sum(df.count() for name, df in confirmed if name == "pairs"))
+    assert work[1] < 3 * work[0] and work[1] < 12 * 120
+
+
+def test_documents_of_several_texts(spark):
+    """Rows with one doc_id are one document, whichever classes their texts are in."""
+    rows = [(1, prose(50, 61)), (2, prose(50, 62)), (3, prose(50, 61)), (3, prose(50, 62)), (4, prose(50, 63))]
+    got = near_duplicates(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_awkward(docs, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, MinHashParams(words=4)).collect()), key=repr)
     by = {r[0]: r for r in got}
@@ -118,13 +145,14 @@ def test_estimate_corrects_collisions():
     for share in (0.0, 0.5, 0.8, 1.0):
         b = np.where(rng.random(a.shape) < share, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint32))
         for bits in (1, 2, 4, 8):
-            got = estimate(pack_low_bits(a, bits)[0], pack_low_bits(b, bits), bits, 6400)[0]
+            got = estimate(pack_low_bits(a, bits), pack_low_bits(b, bits), bits, 6400)[0]
             assert got == pytest.approx(share, abs=0.06)
 
 
 def test_components(spark):
     r = random.Random(3)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(5, 5), (None, 3)] + [(300 + i, 301 + i) for i in range(60)]
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(5, 5), (None, 3), (999, 999)] + [(300 + i, 301 + i) for i in range(60)]
+    edges += [(500 + i, 450) for i in range(40)] + [(401, 450), (401, 402), (470, 450), (700, 700), (700, 701)]
     parent = {}
 
     def find(x):
@@ -229,17 +257,22 @@ PATH = bpe.default_path()
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
+
+
+PARTS = ["a", "bc", "The", "é", "×", "ñ", "ɏ", "ɐ", " ", "  ", "\n", "\t", ",", ".", "'", "'s", "“", " ", "1", "22", "!!", "中", "　", "😀", "\x1c", "\0", "\r\n", "<|endoftext|>", "<|endof", "$$$", "ß", "\u0085", "_", " longerword", "a" * 16]
 
 
-def test_encoder_equals_library(tokenizer, monkeypatch):
+@pytest.mark.parametrize("direct", [True, False])
+def test_encoder_equals_library(tokenizer, monkeypatch, direct):
+    """Also with a cache that overflows, literals of added tokens, units at the length limit, and whole texts only."""
     monkeypatch.setattr(bpe, "MAX_UNITS", 2000)
     r = random.Random(5)
-    parts = ["a", "bc", "The", "é", "×", "ñ", " ", "  ", "\n", "\t", ",", ".", "'", "'s", "“", " ", "1", "22", "!!", "中", "　", "😀", "\x1c", "\r\n", "<|endoftext|>", "$$$", "ß", "\u0085", "_"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(8000)]
+    weights = [0.1 if x.startswith("<|") else 1 for x in PARTS]
+    texts = ["".join(r.choices(PARTS, weights, k=r.randint(0, 25))) for _ in range(8000 if direct else 500)]
     encoder = bpe.Encoder(PATH)
+    assert encoder.direct
+    encoder.direct = direct
     for at in range(0, len(texts), 500):
         part = texts[at : at + 500]
         ids, bounds = encoder.encode(*B.utf8(pa.array(part)))
@@ -247,9 +280,30 @@ def test_encoder_equals_library(tokenizer, monkeypatch):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids
 
 
+def test_encoder_keeps_added_tokens(tokenizer):
+    text = "hi <|endoftext|> x<|endoftext|>"
+    ids, _ = bpe.Encoder(PATH).encode(*B.utf8(pa.array(["<|endoftext", "|>", text])))
+    assert ids[-len(tokenizer.encode(text).ids) :].tolist() == tokenizer.encode(text, add_special_tokens=False).ids and 50256 in ids
+    split = [i for t in ("<|endoftext", "|>") for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert ids[: len(split)].tolist() == split
+
+
+def test_unit_table():
+    rng = np.random.default_rng(4)
+    table, want = bpe.UnitTable(4), {}
+    for _ in range(20):
+        rows = np.unique(rng.integers(0, 60, (40, 3)), axis=0).astype(np.uint64)
+        found = table.find(rows[:, 0], rows[:, 1], rows[:, 2].astype(np.uint8))
+        assert found.tolist() == [want.get(tuple(x), -1) for x in rows.tolist()]
+        new = rows[found < 0]
+        number = np.arange(len(want), len(want) + len(new))
+        table.add(new[:, 0], new[:, 1], new[:, 2].astype(np.uint8), number)
+        want |= dict(zip(map(tuple, new.tolist()), number.tolist(), strict=True))
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(2)
-    p = TokenFileParams(PATH, min_count=2, rounds=6)
+    p = TokenFileParams(PATH, min_count=2)
     sizes = [0, 1, 5, 3000, 0, 700]
     ids = np.concatenate([rng.integers(0, 6, n) for n in sizes]).astype(np.uint32)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
