@@ -1,4 +1,4 @@
-"""Chunking: exact spans, sections, identifiers, coverage."""
+"""Chunking: exact spans, sections, identifiers, versions, coverage."""
 
 from __future__ import annotations
 
@@ -124,6 +124,89 @@ def sections(docs: DataFrame) -> DataFrame:
     )
 
 
+def document_version(docs: DataFrame, chunker: str = "spans-1") -> Column:
+    """Digest of the raw bytes' digest, parser, library, options, chunker and content of each row.
+
+    Columns that ``docs`` lacks, and nulls, count as null; struct fields are
+    written in a fixed order, so equal documents have equal versions.
+    """
+    have = set(docs.columns)
+    part = lambda c: F.to_json(F.col(c)) if c in have and docs.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c).cast("string") if c in have else F.lit(None).cast("string")
+    content = F.sha2(F.to_json(F.struct(part("text").alias("text"), part("tables").alias("tables")), {"ignoreNullFields": "false"}), 256)
+    named = [part(c).alias(c) for c in ("raw_sha256", "parser", "parser_library_version", "parser_config")]
+    return F.sha2(F.to_json(F.struct(*named, F.lit(chunker).alias("chunker"), content.alias("content")), {"ignoreNullFields": "false"}), 256)
+
+
+def review_chunk_id(ordinal: Column, locator: Column, text: Column) -> Column:
+    """Identifier of a review chunk from its number, place and text."""
+    key = F.to_json(F.struct(ordinal.alias("ordinal"), locator.alias("locator"), text.alias("text")), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("c"), F.substring(F.sha2(key, 256), 1, 24))
+
+
+def source_id(url: Column, path: Column) -> Column:
+    """Digest of a document's URL, or of its path."""
+    return F.sha2(F.coalesce(F.nullif(url, F.lit("")), path), 256)
+
+
+def review_source_id(given: Column, source_sha256: Column, url: Column) -> Column:
+    """The given identifier of a reviewed source, or one from its URL, or from its bytes."""
+    made = F.coalesce(F.concat(F.lit("url-"), F.substring(F.sha2(F.nullif(url, F.lit("")), 256), 1, 24)), F.concat(F.lit("source-"), F.substring(source_sha256, 1, 16)))
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), made)
+
+
+def wide_rows(found: DataFrame, limit: int, count: Callable[[str], int] = characters) -> DataFrame:
+    """table rows of :func:`sections` over ``limit`` tokens, which can't be split safely."""
+
+    @batched("int")
+    def size(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: count(x or ""))
+
+    return found.where(F.col("kind") == "table").where(size("text") > limit)
+
+
+def make_chunks(docs: DataFrame, limit: int, count: Callable[[str], int] = characters, chunker: str = "spans-1") -> DataFrame:
+    """Chunks of every section of ``docs``, texts, pages, rows and table rows, with title lines in front.
+
+    ``docs`` as for :func:`sections`, with ``title, source_note``.  A chunk
+    holds ``limit`` tokens with its prefix; its identifier digests document,
+    place, start and content; its page is found by :func:`page_of`.  A prefix
+    that leaves fewer than 50 tokens, and a table row that doesn't fit, are
+    errors.
+    """
+    heads = docs.select("parsed_path", prefix().alias("prefix"), document_version(docs, chunker).alias("document_version"))
+    found = sections(docs).join(heads, "parsed_path").where(F.length("text") > 0)
+
+    @batched(f"struct<spans:{_SPANS},error:string>")
+    def cut(text: pd.Series, before: pd.Series, kind: pd.Series) -> pd.Series:
+        def one(t: str, p: str, k: str) -> dict:
+            room = limit - count(p)
+            if room < 50:
+                return {"spans": None, "error": "the title leaves no room"}
+            if k == "table" and count(t) > room:
+                return {"spans": None, "error": "a table row is too wide"}
+            return {"spans": [{"start": a, "end": b} for a, b in split(t, room, count)], "error": None}
+
+        return pd.Series([one(t, p, k) for t, p, k in zip(text, before, kind, strict=True)], dtype=object)
+
+    spans = found.withColumn("cut", cut("text", "prefix", "kind"))
+    checked = spans.withColumn("s", F.when(F.col("cut.error").isNotNull(), F.raise_error("cut.error")).otherwise(F.col("cut.spans")))
+    rows = checked.select("parsed_path", "kind", "page", "row", "table", "prefix", "document_version", "text", F.posexplode("s").alias("ordinal", "s"))
+    content = F.concat("prefix", F.expr("substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int))"))
+    place = F.to_json(F.struct("kind", "page", "row", "table"))
+    rows = rows.select("parsed_path", "kind", "page", "row", "table", "ordinal", "document_version", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"), content.alias("text"), place.alias("place"))
+    return rows.withColumn("chunk_id", F.concat(F.lit("c"), F.substring(F.sha2(F.concat_ws("|", "parsed_path", "place", F.col("char_start").cast("string"), "text"), 256), 1, 24))).drop("place")
+
+
+def page_of(page: Column, pages: Column) -> Column:
+    """The page of a document that a chunk's place names, null where there is none."""
+    return F.get(F.filter(pages, lambda p: p["page"] == page), F.lit(0))
+
+
+def index_metadata(chunks: DataFrame) -> DataFrame:
+    """What the index tells of a chunk: everything but its vector and cache key."""
+    return chunks.drop("vector", "cache_key")
+
+
 def row_with_headers(tables: DataFrame) -> DataFrame:
     """``table_id, row, column, text, cell_index, headers`` for each place of each table's grid.
 
@@ -159,4 +242,4 @@ def audit(chunks: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     return long.unionByName(repeats).groupBy("check").agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-__all__ = ["audit", "characters", "chunk", "coverage", "prefix", "row_with_headers", "sections", "spans_udf", "split", "word_pieces"]
+__all__ = ["audit", "characters", "chunk", "coverage", "document_version", "index_metadata", "make_chunks", "page_of", "prefix", "review_chunk_id", "review_source_id", "row_with_headers", "sections", "source_id", "spans_udf", "split", "wide_rows", "word_pieces"]

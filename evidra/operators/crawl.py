@@ -23,14 +23,16 @@ def rank_candidates(candidates: DataFrame, most: int) -> DataFrame:
 
     ``relevance`` under 3 is rejected.  The others are ordered by
     ``catalog_verified``, ``relation`` (direct before lead), ``relevance``,
-    ``priority``, then first place; those beyond ``most`` are deferred.
+    ``priority``, then first place; those beyond ``most`` are deferred and
+    have no ``place``.  URLs are unique, as merged candidates are.
     """
     relation = F.when(F.col("relation") == "direct", 2).when(F.col("relation") == "lead", 1).otherwise(0)
     order = [F.desc(F.coalesce("catalog_verified", F.lit(False))), F.desc(relation), F.desc("relevance"), F.desc("priority"), F.asc("first_seq"), F.asc("url")]
-    good = F.col("relevance") >= RELEVANT
-    place = F.row_number().over(Window.partitionBy(good).orderBy(*order))
-    decision = F.when(~good, "rejected").when(place <= most, "candidate").otherwise("deferred")
-    return candidates.withColumn("decision", decision).withColumn("place", F.when(good, place))
+    good = candidates.where(F.col("relevance") >= RELEVANT)
+    # The limit keeps ``most`` rows of each partition, so only that many are numbered in one task.
+    best = good.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("url", "place")
+    decision = F.when(F.coalesce(F.col("relevance") < RELEVANT, F.lit(True)), "rejected").when(F.col("place").isNotNull(), "candidate").otherwise("deferred")
+    return candidates.join(best, "url", "left").withColumn("decision", decision)
 
 
 def same_host_links(links: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidra.functions.text import COUNTRIES, STOP_TERMS, TOPICS
+from evidra.functions.text import COUNTRIES, STOP_TERMS, TOPICS, compatible
 from evidra.functions.udf import batched
 from evidra.operators.chunks import characters, split
 
@@ -40,8 +39,7 @@ class Plan:
 
 def plan_scope(brief: str) -> Plan:
     """What a brief asks for; vague, overlong and overwide briefs are errors."""
-    plain = unicodedata.normalize("NFKD", brief.lower().replace("đ", "d"))
-    text = " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
+    text = compatible(pd.Series([brief])).iloc[0]
     if len(brief.strip()) < 2 or len(brief) > 8000 or re.fullmatch(r"(?:de|bai) [a-z0-9]{1,2}", text):
         raise ScopeError("the brief names no subject or is too long")
     years = sorted({int(y) for y in re.findall(r"\b(?:19|20)\d{2}\b", brief)})
@@ -65,10 +63,10 @@ def segments(windows: DataFrame, size: int = 1500) -> DataFrame:
     ``windows(doc_id, start, text)``; blank pieces are left out, ids count
     from 0 in order of place, offsets are code points of the document.
     """
-    lines = windows.select("doc_id", F.col("start").alias("w"), F.split("text", "\n").alias("l"))
-    # Each line begins behind the ones before it and their newlines.
-    begin = F.transform("l", lambda x, i: F.aggregate(F.slice("l", 1, i), F.lit(0), lambda s, y: s + F.length(y) + 1))
-    lines = lines.select("doc_id", F.explode(F.arrays_zip("l", begin.alias("b"))).alias("z"), "w").select("doc_id", F.col("z.l").alias("line"), (F.col("w") + F.col("z.b")).alias("at")).where("line <> ''")
+    lines = windows.select("doc_id", F.col("start").alias("w"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    # Each line begins behind the ones before it and their newlines: a running sum along the window.
+    before = Window.partitionBy("doc_id", "w").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("at", F.col("w") + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).where("line <> ''")
     pieces = lines.select("doc_id", "at", "line", F.explode(F.sequence(F.lit(0), F.length("line") - 1, F.lit(size))).alias("o"))
     pieces = pieces.select("doc_id", (F.col("at") + F.col("o")).cast("int").alias("start"), F.expr(f"substring(line, o + 1, {size})").alias("text"))
     pieces = pieces.where(F.col("text").rlike(r"(?U)\S")).withColumn("end", F.col("start") + F.length("text"))
@@ -78,14 +76,16 @@ def segments(windows: DataFrame, size: int = 1500) -> DataFrame:
 def reading_order(items: DataFrame) -> DataFrame:
     """``doc_id, page, text, items`` of ``items(doc_id, page, seq, ref, label, text)``.
 
-    Items of a page are joined by blank lines and keep their offsets; items
-    without a page are never given one and come under a null page.
+    Items of a page are joined by blank lines and keep their offsets, which a
+    running sum gives; items without a page are never given one and come under
+    a null page.  One page is read in one task.
     """
-    row = F.struct("seq", "ref", "label", "text")
-    pages = items.where(F.trim("text") != "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    start = F.transform("r", lambda x, i: F.aggregate(F.slice("r", 1, i), F.lit(0), lambda s, y: s + F.length(y["text"]) + 2))
-    placed = F.zip_with("r", start, lambda x, s: F.struct(x["ref"].alias("ref"), x["label"].alias("label"), s.alias("char_start"), (s + F.length(x["text"])).alias("char_end")))
-    return pages.select("doc_id", "page", F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), placed.alias("items"))
+    before = Window.partitionBy("doc_id", "page").orderBy("seq", "ref", "label", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = items.where(F.trim("text") != "").withColumn("char_start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("int"))
+    row = F.struct("char_start", "text", "ref", "label", (F.col("char_start") + F.length("text")).alias("char_end"))
+    pages = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    kept = F.transform("r", lambda x: F.struct(x["ref"].alias("ref"), x["label"].alias("label"), x["char_start"].alias("char_start"), x["char_end"].alias("char_end")))
+    return pages.select("doc_id", "page", F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), kept.alias("items"))
 
 
 def items_of_span(items: Column, start: Column, end: Column) -> Column:

@@ -32,10 +32,17 @@ def plan(chunks: DataFrame, cache: DataFrame, model: str, dims: int) -> DataFram
     return joined.withColumn("source", F.when(F.col("known"), "hit").when(F.col("chunk_id") == F.col("first_id"), "embed").otherwise("reuse")).drop("known", "first_id")
 
 
-def receipts(planned: DataFrame, batch: int = BATCH) -> DataFrame:
-    """One row: cache hits, reuses, embedded texts and requests."""
+def receipts(planned: DataFrame, made: DataFrame | None = None, batch: int = BATCH) -> DataFrame:
+    """One row: cache hits, reuses, embedded texts and requests.
+
+    ``made``: the rows of :func:`embed_misses`, whose requests are counted;
+    without it the least number of requests that the plan needs.
+    """
     n = lambda s: F.count_if(F.col("source") == s)
-    return planned.agg(n("hit").alias("cache_hits"), n("reuse").alias("deduplicated"), n("embed").alias("embedded"), F.ceil(n("embed") / F.lit(batch)).alias("requests"))
+    counts = planned.agg(n("hit").alias("cache_hits"), n("reuse").alias("deduplicated"), n("embed").alias("embedded"))
+    if made is None:
+        return counts.withColumn("requests", F.ceil(F.col("embedded") / F.lit(batch)))
+    return counts.crossJoin(F.broadcast(made.agg(F.count_distinct("request").alias("requests"))))
 
 
 def hashed_embedder(dims: int) -> Callable[[list[str]], np.ndarray]:
@@ -53,20 +60,32 @@ def hashed_embedder(dims: int) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed_misses(planned: DataFrame, embedder: Callable[[list[str]], np.ndarray], batch: int = BATCH) -> DataFrame:
-    """``cache_key, vector`` of the rows to embed, in requests of ``batch`` texts; a wrong number of vectors is an error."""
+    """``cache_key, vector, request`` of the rows to embed, in requests of ``batch`` texts of a partition; a wrong number of vectors is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        request = TaskContext.get().partitionId() << 33
+        held = pd.DataFrame({"cache_key": [], "text": []}, dtype=object)
+
+        def asked(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal request
+            got = embedder(rows["text"].tolist())
+            if len(got) != len(rows):
+                raise ValueError("embedder returned a wrong number of vectors")
+            request += 1
+            return pd.DataFrame({"cache_key": rows["cache_key"], "vector": [list(map(float, v)) for v in got], "request": request})
+
         for pdf in batches:
-            vectors: list[list[float]] = []
-            texts = pdf["text"].tolist()
-            for i in range(0, len(texts), batch):
-                got = embedder(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]):
-                    raise ValueError("embedder returned a wrong number of vectors")
-                vectors += [list(map(float, v)) for v in got]
-            yield pd.DataFrame({"cache_key": pdf["cache_key"], "vector": vectors})
-
-    return planned.where("source = 'embed'").select("cache_key", "text").mapInPandas(run, "cache_key string, vector array<double>")
+            held = pd.concat([held, pdf])
+            full = len(held) - len(held) % batch
+            for i in range(0, full, batch):
+                yield asked(held.iloc[i : i + batch])
+            held = held.iloc[full:]
+        if len(held):
+            yield asked(held)
+
+    return planned.where("source = 'embed'").select("cache_key", "text").mapInPandas(run, "cache_key string, vector array<double>, request long")
 
 
 def with_vectors(planned: DataFrame, cache: DataFrame, legacy: DataFrame | None = None) -> DataFrame:

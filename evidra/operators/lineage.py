@@ -1,11 +1,16 @@
-"""Provenance graph."""
+"""Provenance graph."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from evidra.sources.folders import stored
 
 #: The stage at which each kind of issue is taken up again.
 RESTART = {
@@ -63,6 +68,94 @@ def descendants(nodes: DataFrame, seeds: DataFrame, rounds: int | None = None) -
     return reach(edges(nodes), seeds, "parent", "child", rounds).where("seed <> node")
 
 
+def preorder(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """G1, C20: ``seed, node, place``: the backward trace of each start, depth first, parents in their order, each node once.
+
+    A node's place is that of the least path of parent numbers among the paths
+    over which a depth-first walk reaches it first.  Paths are kept as arrays,
+    one for each node and seed, and are settled level by level: a node visited
+    through a smaller path stays where it is.
+    """
+    step = nodes.select(F.col("id").alias("node"), F.posexplode("parents").alias("k", "next"))
+    found = starts.select("seed", F.col("node"), F.array().cast("array<int>").alias("path")).distinct()
+    front = found
+    while True:
+        more = front.join(step, "node").select("seed", F.col("next").alias("node"), F.concat("path", F.array("k")).alias("path"))
+        best = found.unionByName(more).groupBy("seed", "node").agg(F.min("path").alias("path"))
+        front = stored(best.join(found, ["seed", "node", "path"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        found = stored(best, "paths")
+    order = Window.partitionBy("seed").orderBy("path")
+    return found.select("seed", "node", (F.row_number().over(order) - 1).alias("place"))
+
+
+def explain(nodes: DataFrame, issues: DataFrame, targets: DataFrame, files: DataFrame) -> DataFrame:
+    """``target, issue, node, place, intact`` of each target's backward trace.
+
+    A target is a node, or an issue of ``issues(id, detected_at)``, whose
+    trace begins where it was found; an unknown target gives no row.  ``intact``
+    tells whether a node's file is the recorded one, null without a file.
+    """
+    known = targets.select(F.col("id").alias("target"))
+    of_issue = known.join(issues.select(F.col("id").alias("target"), F.col("detected_at").alias("node")), "target")
+    of_node = known.join(issues.select(F.col("id").alias("target")), "target", "left_anti").withColumn("node", F.col("target"))
+    starts = of_issue.withColumn("issue", F.col("target")).unionByName(of_node.withColumn("issue", F.lit(None).cast("string")))
+    starts = starts.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    walked = preorder(nodes, starts.select(F.col("node").alias("seed"), "node").distinct())
+    trace = starts.select("target", "issue", F.col("node").alias("seed")).join(walked, "seed")
+    return trace.join(integrity(nodes, files).withColumnRenamed("id", "node"), "node", "left").select("target", "issue", "node", "place", "intact")
+
+
+class StageLog:
+    """Nodes and issues of a run, written by the driver as its stages begin and end.
+
+    A stage is running, then success or failed.  Of an error that unwinds
+    through several stages only the deepest makes an issue; codes 401 and 403
+    are ``AUTH_FAILED``.
+    """
+
+    def __init__(self) -> None:
+        self.nodes: list[dict] = []
+        self.issues: list[dict] = []
+        self.open: list[str] = []
+
+    def node(self, stage: str, label: str, parents: list[str] | None = None, path: str | None = None, sha256: str | None = None, status: str = "success") -> dict:
+        """A node under ``parents``, or under the open stage; each parent must exist."""
+        own = list(dict.fromkeys(self.open[-1:] if parents is None else parents))
+        if not set(own) <= {n["id"] for n in self.nodes}:
+            raise ValueError("a parent isn't in the log")
+        made = {"id": f"n{len(self.nodes) + 1:05d}", "stage": stage, "label": label, "parents": own, "path": path, "sha256": sha256, "status": status, "issue": None}
+        self.nodes.append(made)
+        return made
+
+    @contextmanager
+    def stage(self, stage: str, label: str, parents: list[str] | None = None) -> Iterator[dict]:
+        made = self.node(stage, label, parents, status="running")
+        self.open.append(made["id"])
+        try:
+            yield made
+            made["status"] = "success"
+        except Exception as error:
+            made["status"] = "failed"
+            known = next((i["id"] for i in self.issues if i["error"] is error), None)
+            if known is None:
+                code = getattr(error, "code", "STAGE_ERROR")
+                known = f"e{len(self.issues) + 1:05d}"
+                self.issues.append({"id": known, "code": "AUTH_FAILED" if code in (401, 403) else str(code), "detected_at": made["id"], "stage": stage, "message": str(error), "error": error})
+            made["issue"] = known
+            raise
+        finally:
+            self.open.pop()
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Nodes and issues as tables."""
+        names = ["id", "stage", "label", "parents", "path", "sha256", "status", "issue"]
+        nodes = spark.createDataFrame([tuple(n[c] for c in names) for n in self.nodes], "id string, stage string, label string, parents array<string>, path string, sha256 string, status string, issue string")
+        kept = ["id", "code", "detected_at", "stage", "message"]
+        return nodes, spark.createDataFrame([tuple(i[c] for c in kept) for i in self.issues], ", ".join(f"{c} string" for c in kept))
+
+
 def remediation(issues: DataFrame) -> DataFrame:
     """Issues with ``restart_from``, ``max_attempts`` and ``auto_modify_facts``; unknown codes restart where they were found."""
     table = F.create_map(*[F.lit(x) for kv in RESTART.items() for x in kv])

@@ -13,12 +13,29 @@ SHORT_WORDS = 30
 SCHEMA = "struct<code:string,severity:string,penalty:int,start:int,end:int>"
 
 
+#: Words that a match of the two long patterns holds, in the form of :func:`_plain`.
+DIRECTIVE_WORDS = ("instructions", "bỏ qua", "prompt")
+SENSITIVE_WORDS = ("private key", "key", "password", "mật khẩu")
+
+
+def _plain(text: Column) -> Column:
+    """Lower case, with the letters that patterns without case take for ASCII ones."""
+    return F.translate(F.lower(text), "ſı\u0307", "si")
+
+
+def _holds(plain: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(plain, F.lit(w))
+    return found
+
+
 def _finding(when: Column, code: str, severity: str, penalty: int, pattern: str | None = None) -> Column:
-    text = F.col("text")
-    # The length of what stands before counts code points; regexp_instr counts UTF-16 units.
-    start = F.length(F.regexp_extract(text, rf"\A([\s\S]*?)(?:{pattern or 'x'})", 1))
-    end = start + F.length(F.regexp_extract(text, pattern or "x", 0))
+    """A finding where ``when`` holds; with a pattern, the place of its first match, which is looked for only there."""
     null = F.lit(None).cast("int")
+    # What stands before is split off; its length counts code points, while regexp_instr counts UTF-16 units.
+    start = F.length(F.get(F.split("text", pattern or "x", 2), F.lit(0)))
+    end = start + F.length(F.regexp_extract("text", pattern or "x", 0))
     return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(penalty).alias("penalty"), (start if pattern else null).alias("start"), (end if pattern else null).alias("end")))
 
 
@@ -32,20 +49,22 @@ def assess(docs: DataFrame) -> DataFrame:
     have = {c: F.col(c) for c in docs.columns}
     null = F.lit(None)
     text = F.coalesce(F.col("text"), F.lit(""))
-    blank = F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == ""
-    n_words = F.size(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " "))
+    blank = ~text.rlike(r"(?U)\S")
+    # The pattern stops at the thirtieth word.
+    short = ~text.rlike(rf"(?U)^\s*+(?:\S++\s++){{{SHORT_WORDS - 1}}}\S")
+    plain = _plain(text)
     truth = lambda c: F.coalesce(have.get(c, null).cast("boolean"), F.lit(False))
     given = lambda c: F.coalesce(have.get(c, null).cast("string"), F.lit("")) != ""
     one = [
         _finding(blank, "empty", "error", 100),
-        _finding(~blank & (n_words < SHORT_WORDS), "short", "warning", 15),
+        _finding(~blank & short, "short", "warning", 15),
         _finding(truth("partial"), "partial", "error", 40),
     ]
     warnings = F.transform(F.coalesce(have.get("parser_warnings", null).cast("array<string>"), F.array().cast("array<string>")), lambda w: _finding(F.lit(True), "parser_warning", "warning", 5))
     two = [
         _finding(text.rlike(DAMAGED), "encoding", "warning", 25, DAMAGED),
-        _finding(text.rlike(DIRECTIVE), "instruction", "warning", 10, DIRECTIVE),
-        _finding(text.rlike(SENSITIVE), "sensitive", "warning", 20, SENSITIVE),
+        _finding(_holds(plain, DIRECTIVE_WORDS) & text.rlike(DIRECTIVE), "instruction", "warning", 10, DIRECTIVE),
+        _finding(_holds(plain, SENSITIVE_WORDS) & text.rlike(SENSITIVE), "sensitive", "warning", 20, SENSITIVE),
         _finding(given("duplicate_of"), "duplicate", "warning", 10),
         _finding(truth("time_sensitive") & ~given("effective_from"), "effective_date", "error", 25),
         _finding(~given("source_url"), "source_verification", "info", 0),

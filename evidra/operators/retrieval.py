@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ from evidra.operators import embedding as E
 from evidra.operators import search as S
 from evidra.operators.review import eligible
 from evidra.sources import sinks
+from evidra.sources.folders import stored
 
 Embedder = Callable[[list[str]], np.ndarray]
 READY = "ready_partial"
@@ -28,32 +30,39 @@ class StaleIndexError(RuntimeError):
 
 @dataclass(frozen=True)
 class Index:
-    """Folder of a published index: ``chunks`` with vectors, and a one-row ``manifest``."""
+    """Folder of a published index: ``chunks`` with vectors, ``postings``, and a one-row ``manifest``.
+
+    Its digest is checked once, by the first question.
+    """
 
     spark: SparkSession
     path: str
     chunks: DataFrame = field(init=False)
+    postings: DataFrame = field(init=False)
     manifest: dict = field(init=False)
+    seen: list = field(init=False, default_factory=list)
 
     def __post_init__(self) -> None:
         manifest = self.spark.read.json(f"{self.path}/manifest").first()
         object.__setattr__(self, "manifest", manifest.asDict() if manifest else {})
         if self.manifest.get("status") == READY:
             object.__setattr__(self, "chunks", self.spark.read.parquet(f"{self.path}/chunks"))
+            object.__setattr__(self, "postings", self.spark.read.parquet(f"{self.path}/{self.manifest['postings']}"))
 
     def check(self, model: str, dims: int) -> None:
         """ready, of this model and size, and unchanged since it was published."""
         m = self.manifest
         if m.get("status") != READY or m.get("model") != model or m.get("dims") != dims:
             raise StaleIndexError("the index isn't ready or is of another model")
-        if sinks.manifest(self.chunks, ["chunk_id", "text", "vector"]).first().digest != m.get("digest"):
+        if not self.seen and sinks.manifest(self.chunks, ["chunk_id", "text", "vector"]).first().digest != m.get("digest"):
             raise StaleIndexError("the index has changed since it was published")
+        self.seen.append(True)
 
 
 def _write_manifest(spark: SparkSession, path: str, **fields: object) -> None:
-    names = ["status", "model", "dims", "chunk_count", "digest"]
+    names = ["status", "model", "dims", "chunk_count", "digest", "postings", "avgdl"]
     row = [tuple(fields.get(n) for n in names)]
-    spark.createDataFrame(row, "status string, model string, dims int, chunk_count long, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    spark.createDataFrame(row, "status string, model string, dims int, chunk_count long, digest string, postings string, avgdl double").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int, embedder: Embedder, max_chunks: int = 10_000_000_000) -> dict:
@@ -70,12 +79,14 @@ def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int,
         if n > max_chunks:
             raise ValueError(f"{n} chunks exceed the limit of {max_chunks}")
         planned = E.plan(chunks, cache, model, dims)
-        known = cache.select("cache_key", "vector").unionByName(E.embed_misses(planned, embedder))
+        known = cache.select("cache_key", "vector").unionByName(E.embed_misses(planned, embedder).select("cache_key", "vector"))
         rows = E.with_vectors(planned, known.dropDuplicates(["cache_key"])).drop("source", "legacy_key")
         sinks.publish(rows, f"{path}/chunks", {"vector": V.valid_vector(F.col("vector"), dims)})
         written = spark.read.parquet(f"{path}/chunks")
         digest = sinks.manifest(written, ["chunk_id", "text", "vector"]).first()
-        state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest}
+        name = f"postings-{uuid.uuid4().hex}"
+        stats = S.write_postings(written, "chunk_id", "text", f"{path}/{name}")
+        state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "avgdl": float(stats["avgdl"])}
         _write_manifest(spark, path, **state)
         return state
     except Exception:
@@ -107,12 +118,14 @@ def retrieve(index: Index, question: str, model: str, dims: int, embedder: Embed
     query = spark.createDataFrame([(vector,)], "q array<double>")
     dense = S.dense_topk(chunks, "chunk_id", "vector", query).withColumnRenamed("vec_id", "id")
     folded = spark.range(1).select(T.query_terms(T.fold(F.lit(question))).alias("t")).first().t
-    sparse = S.lexical_topk(chunks, "chunk_id", "text", folded).withColumnRenamed("doc_id", "id")
+    scored = S.bm25_index(index.postings, index.manifest["chunk_count"], index.manifest["avgdl"], folded).withColumn("score", F.round("score", 6))
+    sparse = S.ranked(scored, "score", [F.asc("doc_id")], S.DEPTH).withColumnRenamed("doc_id", "id")
     fused = S.fuse(dense, sparse)
     if ratings is not None:
         fused = S.rerank(fused, ratings).withColumn("rank", F.col("position"))
-    anchors = fused.where(F.col("rank") <= top_k).select(F.col("id").alias("chunk_id"), F.row_number().over(Window.orderBy("rank")).cast("int").alias("rank")).cache()
-    placed = S.neighbours(chunks.select("chunk_id", "section", "char_start", "char_end"), anchors).select("chunk_id", "position")
+    # Both are lists of at most three times top_k rows, read more than once below.
+    anchors = stored(fused.where(F.col("rank") <= top_k).select(F.col("id").alias("chunk_id"), F.row_number().over(Window.orderBy("rank")).cast("int").alias("rank")), "anchors")
+    placed = stored(S.neighbours(chunks, anchors).select("chunk_id", "position"), "placed")
     near = chunks.join(placed, "chunk_id").select("chunk_id", "section", "char_start", "char_end", "text", "position")
     tokens = cost if cost is not None else F.size(F.regexp_extract_all("text", F.lit(r"(?U)(\w+|[^\w\s])"), 1))
     # A result list of at most three times top_k chunks.

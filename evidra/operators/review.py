@@ -1,4 +1,4 @@
-"""Review lifecycle."""
+"""Review lifecycle."""
 
 from __future__ import annotations
 
@@ -55,6 +55,154 @@ def fold_events(events: DataFrame) -> DataFrame:
     return cols.repartition(n, "doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(run, _FOLDED)
 
 
+#: Who may approve automatically, and the parser of a text that a person wrote.
+AUTOMATIC = "auto-review-v1"
+EDITED_PARSER = "human-edited-text-v1"
+LOW, HIGH = "0001-01-01", "9999-12-31"
+_STATE = ["collection", "source_id", "document_version", "effective_from", "effective_to", "digest", "n_chunks", "text_error", "text_warning", "partial", "n_warnings", "duplicate", "time_sensitive", "proven"]
+_EVENT = ["action", "revision", "actor", "note", "acknowledge", "mode"]
+_CHANGE = ["digest", "n_chunks", "text_error", "text_warning", "source_id", "document_version", "effective_from", "effective_to"]
+_GATED = "doc_id long, seq long, status string, revision long, outcome string, digest string, parser string"
+
+
+def valid_interval(start: Column, end: Column) -> Column:
+    """DT3: an end needs a start and comes after it."""
+    return F.coalesce(end.isNull() | (start.isNotNull() & (end > start)), F.lit(False))
+
+
+def local_today(now: Column, zone: str = "Asia/Ho_Chi_Minh") -> Column:
+    """DT2: the day that a UTC time falls on in a fixed zone."""
+    return F.from_utc_timestamp(now, zone).cast("date")
+
+
+def newest_first(rows: DataFrame, order: str, limit: int) -> DataFrame:
+    """The ``limit`` newest rows, the latest first."""
+    return rows.orderBy(F.desc(order)).limit(limit)
+
+
+class Ledger:
+    """The documents of one key and what is approved among them; events are applied in order."""
+
+    def __init__(self) -> None:
+        self.docs: dict[int, dict] = {}
+        self.approved: dict[tuple, dict[int, dict]] = {}
+
+    def _keys(self, d: dict) -> tuple[tuple, tuple]:
+        return ("source", d["collection"], d["source_id"]), ("digest", d["collection"], d["digest"])
+
+    def _conflict(self, doc_id: int, d: dict) -> str | None:
+        """The first approved document, by id, that has the source's version or days, or the text."""
+        source, digest = self._keys(d)
+        others = {**self.approved.get(source, {}), **self.approved.get(digest, {})}
+        for _, o in sorted((i, o) for i, o in others.items() if i != doc_id):
+            if o["source_id"] == d["source_id"]:
+                if o["document_version"] == d["document_version"]:
+                    return "version_exists"
+                if (d["effective_from"] or LOW) < (o["effective_to"] or HIGH) and (o["effective_from"] or LOW) < (d["effective_to"] or HIGH):
+                    return "period_overlaps"
+            if o["digest"] == d["digest"]:
+                return "content_exists"
+        return None
+
+    def apply(self, doc_id: int, given: dict, event: dict) -> tuple[str, int, str, str, str]:
+        """Status, revision, outcome, digest and parser after an event; ``given`` is the document as imported."""
+        d = self.docs.setdefault(doc_id, {**given, "status": "pending", "revision": 1, "parser": "imported"})
+        outcome = self._edit(d, event) if event["action"] == "edit" else self._decide(doc_id, d, event)
+        return d["status"], d["revision"], outcome, d["digest"], d["parser"]
+
+    def _edit(self, d: dict, event: dict) -> str:
+        """L4: only a pending document; another text takes the place of a partial one and of its parser's evidence."""
+        if event["revision"] != d["revision"]:
+            return "stale"
+        if d["status"] != "pending":
+            return "conflict"
+        new = {**d, **{k: event["new_" + k] for k in _CHANGE if event["new_" + k] is not None}}
+        if new["effective_to"] and (not new["effective_from"] or new["effective_to"] <= new["effective_from"]):
+            return "invalid"
+        if new["digest"] != d["digest"]:
+            new["parser"] = EDITED_PARSER
+            if d["partial"]:
+                new["partial"], new["n_warnings"] = False, d["n_warnings"] + 1
+        else:
+            new |= {k: d[k] for k in ("n_chunks", "text_error", "text_warning")}
+        d.update(new, revision=d["revision"] + 1)
+        return "applied"
+
+    def _decide(self, doc_id: int, d: dict, event: dict) -> str:
+        """The state machine, and for an approval its gate."""
+        status, revision, outcome = step(d["status"], d["revision"], (event["revision"], event["action"], event["actor"], event["note"]))
+        if outcome != "applied":
+            return outcome
+        if event["action"] == "approve":
+            error = d["text_error"] or d["partial"] or (d["time_sensitive"] and not d["effective_from"])
+            warning = d["text_warning"] or d["n_warnings"] > 0 or d["duplicate"]
+            if event["mode"] == "automatic" and (event["actor"] != AUTOMATIC or d["revision"] != 1 or not d["n_chunks"] or error or warning or not d["proven"]):
+                return "not_eligible"
+            if not d["n_chunks"] or error:
+                return "blocked"
+            if warning and event["acknowledge"] is not True:
+                return "not_acknowledged"
+            found = self._conflict(doc_id, d)
+            if found:
+                return found
+        for key in self._keys(d):
+            if event["action"] == "approve":
+                self.approved.setdefault(key, {})[doc_id] = d
+            elif event["action"] == "withdraw":
+                self.approved.get(key, {}).pop(doc_id, None)
+        d["status"], d["revision"] = status, revision
+        return "applied"
+
+
+def gate(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """``doc_id, seq, status, revision, outcome, digest, parser`` after each event, in ``seq`` order.
+
+    ``docs`` has ``doc_id`` and the columns of ``_STATE``, with dates as
+    strings; ``events(doc_id, seq, action, revision, actor, note, acknowledge,
+    mode)`` and, for edits, ``new_…`` columns of what changes, null for what
+    stays.  An approval needs chunks and no errors, a confirmation of
+    warnings, and no approved document of the collection with the same
+    source's version or days, or the same text.
+
+    Only documents that share a source or a text within their collection, now
+    or after an edit, can stand in each other's way, so the others are dealt
+    one by one, and these by collection; a task keeps the state of the
+    documents of one such collection at a time.
+    """
+    keep = {c: "string" for c in _STATE} | dict.fromkeys(("text_error", "text_warning", "partial", "duplicate", "time_sensitive", "proven"), "boolean") | dict.fromkeys(("n_chunks", "n_warnings"), "int")
+    for c in _CHANGE:
+        if "new_" + c not in events.columns:
+            events = events.withColumn("new_" + c, F.lit(None).cast(keep[c]))
+    e = events.select("doc_id", "seq", *_EVENT, *["new_" + c for c in _CHANGE])
+    marks = docs.select("doc_id", "collection", F.explode(F.array(F.concat(F.lit("s"), "source_id"), F.concat(F.lit("d"), "digest"))).alias("mark"))
+    later = e.join(docs.select("doc_id", "collection"), "doc_id").select("doc_id", "collection", F.explode(F.array(F.concat(F.lit("s"), "new_source_id"), F.concat(F.lit("d"), "new_digest"))).alias("mark"))
+    every = marks.unionByName(later).where("mark is not null").distinct()
+    shared = every.groupBy("collection", "mark").agg(F.count_distinct("doc_id").alias("n")).where("n > 1")
+    near = every.join(shared, ["collection", "mark"], "left_semi").select("doc_id").distinct().withColumn("near", F.lit(True))
+    rows = e.join(docs.select("doc_id", *[F.col(c).cast(t).alias(c) for c, t in keep.items()]), "doc_id").join(near, "doc_id", "left")
+    rows = rows.withColumn("key", F.when(F.col("near"), F.concat(F.lit("c"), "collection")).otherwise(F.concat(F.lit("i"), F.col("doc_id").cast("string")))).drop("near")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ledger = None, Ledger()
+        for pdf in batches:
+            out = []
+            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                if r["key"] != now:
+                    now, ledger = r["key"], Ledger()
+                given = {c: r[c] for c in _STATE}
+                out.append((r["doc_id"], r["seq"], *ledger.apply(r["doc_id"], given, r)))
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "status", "revision", "outcome", "digest", "parser"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key", "seq", "doc_id").mapInPandas(run, _GATED)
+
+
+def evidence_changes(gated: DataFrame) -> DataFrame:
+    """``doc_id, change``: what the last applied event of each document does to the evidence: insert, delete, or none."""
+    done = gated.where("outcome = 'applied'")
+    return done.groupBy("doc_id").agg(F.max_by("status", "seq").alias("status")).select("doc_id", F.when(F.col("status") == "approved", "insert").when(F.col("status") == "withdrawn", "delete").otherwise("none").alias("change"))
+
+
 def current(folded: DataFrame) -> DataFrame:
     """Last state of each document."""
     return folded.groupBy("doc_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("revision", "seq").alias("revision"))
@@ -83,10 +231,23 @@ def overlaps(docs: DataFrame) -> DataFrame:
     return d.withColumn("conflict", kind).where(F.col("conflict").isNotNull()).select("doc_id", "conflict")
 
 
+#: Imports of one digest that a task puts in order.
+BLOCK = 1 << 16
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, duplicate_of``: the newest earlier document of the collection with the same source digest."""
-    w = Window.partitionBy("collection", "source_sha256").orderBy("seq", "doc_id")
-    return docs.withColumn("duplicate_of", F.lag("doc_id").over(w)).where(F.col("duplicate_of").isNotNull()).select("doc_id", "duplicate_of")
+    """``doc_id, duplicate_of``: the newest earlier document of the collection with the same source digest.
+
+    A digest with many copies is ordered in blocks of ``BLOCK`` consecutive
+    ``seq``; the first copy of a block takes the last one of the block before.
+    """
+    key = ["collection", "source_sha256"]
+    rows = docs.select(*key, "doc_id", "seq", F.floor(F.col("seq") / BLOCK).alias("block"))
+    inside = rows.withColumn("before", F.lag("doc_id").over(Window.partitionBy(*key, "block").orderBy("seq", "doc_id")))
+    last = rows.groupBy(*key, "block").agg(F.max_by("doc_id", F.struct("seq", "doc_id")).alias("last"))
+    last = last.withColumn("last", F.lag("last").over(Window.partitionBy(*key).orderBy("block")))
+    found = inside.join(last, [*key, "block"]).select("doc_id", F.coalesce("before", "last").alias("duplicate_of"))
+    return found.where(F.col("duplicate_of").isNotNull())
 
 
 def currency(snapshot: DataFrame, now: DataFrame) -> DataFrame:

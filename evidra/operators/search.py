@@ -1,19 +1,23 @@
 """Lexical and dense retrieval, fusion, expansion and budgets.
 
 Scale.  Postings are one row for each document and term, aggregated before
-their shuffle; a query's terms filter them, so a search moves the postings of
-a few terms only.  Corpus statistics are one small aggregate.  Ranked lists
+their shuffle and stored by ranges of terms, so a search reads the postings of
+its few terms only.  Corpus statistics are one small aggregate.  Ranked lists
 are cut by ``orderBy().limit()``, which keeps k rows of each partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidra.functions import text as T
 from evidra.functions import vectors as V
+from evidra.sources.folders import stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -21,38 +25,64 @@ DEPTH = 20
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, term, tf`` of the folded words of each row."""
-    terms = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.words(T.fold(F.col(text)))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """``doc_id, term, tf, dl`` of the folded words of each row, ``dl`` the row's number of words."""
+    words = docs.select(F.col(doc_id).alias("doc_id"), T.words(T.fold(F.col(text))).alias("w"))
+    terms = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def write_postings(docs: DataFrame, doc_id: str, text: str, path: str) -> dict:
+    """Stores the postings by ranges of terms, so a reader of a few terms skips the rest; returns ``n`` and ``avgdl``.
+
+    Rows without words count in ``n`` and in the average length.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = postings(docs, doc_id, text).repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    found.write.mode("overwrite").parquet(path)
+    # Each row's length once: its first term in the stored table has it.
+    total = docs.sparkSession.read.parquet(path).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first().words
+    rows = docs.count()
+    return {"n": rows, "avgdl": total / rows if rows else 0.0}
 
 
-def lengths(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, dl``: the number of words, also of rows without any."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.size(T.words(T.fold(F.col(text)))), F.lit(0)).alias("dl"))
+def _weights(found: DataFrame, terms: list[str], wanted: list[str]) -> DataFrame:
+    """``doc_id, score`` of rows ``doc_id, dl, n, avgdl`` with counts ``tf0, tf1, …`` and document frequencies ``df0, …``."""
+    total, there = F.lit(0.0), F.lit(False)
+    for i, t in enumerate(wanted):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        ratio = (F.col("n") - df + 0.5) / (df + 0.5)
+        idf = F.when(ratio > 1, F.ln(ratio)).otherwise(1e-6)
+        part = F.greatest(idf, F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        total = total + F.when(tf > 0, F.lit(float(terms.count(t))) * part).otherwise(0.0)
+        there = there | (tf > 0)
+    return found.where(there).select("doc_id", total.alias("score"))
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str]) -> DataFrame:
     """M3: ``doc_id, score``, higher is better; a term given twice counts twice.
 
     The inverse document frequency ln((N - n + 0.5) / (n + 0.5)) is floored at
-    1e-6.  Statistics are those of all rows of ``docs``.  One pass over the
-    texts makes lengths and the query's term counts together.
+    1e-6.  Statistics are those of all rows of ``docs``.  The texts are folded
+    and cut into words once: lengths and the query's words are written to a
+    narrow table, from which statistics and scores are taken.
     """
     wanted = sorted(set(terms))
     if not wanted:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     words = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(T.words(T.fold(F.col(text))), F.array().cast("array<string>")).alias("w"))
-    counted = words.select("doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    narrow = stored(words.select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda w: w.isin(*wanted)).alias("w")), "words")
+    counted = narrow.select("doc_id", "dl", *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    total, there = F.lit(0.0), F.lit(False)
-    for i, t in enumerate(wanted):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        ratio = (F.col("n") - df + 0.5) / (df + 0.5)
-        idf = F.when(ratio > 1, F.ln(ratio)).otherwise(1e-6)
-        part = F.greatest(idf, F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        total = total + F.when(tf > 0, F.lit(float(terms.count(t))) * part).otherwise(0.0)
-        there = there | (tf > 0)
-    return counted.crossJoin(F.broadcast(stats)).where(there).select("doc_id", total.alias("score"))
+    return _weights(counted.crossJoin(F.broadcast(stats)), terms, wanted)
+
+
+def bm25_index(posted: DataFrame, n: int, avgdl: float, terms: list[str]) -> DataFrame:
+    """M3 from stored postings: ``doc_id, score``; only the query's terms are read."""
+    wanted = sorted(set(terms))
+    own = posted.where(F.col("term").isin(*wanted)) if wanted else posted.where("false")
+    df = own.groupBy().agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(wanted)], F.lit(n).alias("n"), F.lit(avgdl).alias("avgdl"))
+    counted = own.groupBy("doc_id").agg(F.first("dl").alias("dl"), *[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(wanted)])
+    return _weights(counted.crossJoin(F.broadcast(df)), terms, wanted)
 
 
 def _equals(term: str):  # noqa: ANN202
@@ -97,38 +127,52 @@ def neighbours(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors by rank, then the chunks of the same section that touch one, by anchor and place.
 
     ``chunks(chunk_id, section, char_start, char_end)``; ``anchors(chunk_id,
-    rank)``.  Two equi-joins, on the end and on the start; each chunk once.
+    rank)``, a ranked list.  The anchors' places are found first; one equi-join
+    on the section then finds them and what touches them, each chunk once.
     """
-    own = chunks.join(anchors, "chunk_id").select("chunk_id", "section", "char_start", "char_end", "rank")
-    a = own.select(F.col("section").alias("s"), F.col("char_start").alias("a0"), F.col("char_end").alias("a1"), F.col("rank").alias("anchor_rank"))
-    after = chunks.join(a, (F.col("section") == F.col("s")) & (F.col("char_start") == F.col("a1")))
-    before = chunks.join(a, (F.col("section") == F.col("s")) & (F.col("char_end") == F.col("a0")))
-    near = after.unionByName(before).join(anchors.select("chunk_id"), "chunk_id", "left_anti")
-    near = near.groupBy("chunk_id", "section", "char_start", "char_end").agg(F.min("anchor_rank").alias("anchor_rank"))
-    every = own.select("chunk_id", "section", "char_start", "char_end", F.col("rank").alias("anchor_rank"), F.lit(0).alias("is_neighbour")).unionByName(near.withColumn("is_neighbour", F.lit(1)))
+    place = chunks.join(anchors, "chunk_id").select(F.col("chunk_id").alias("anchor"), F.col("section").alias("s"), F.col("char_start").alias("a0"), F.col("char_end").alias("a1"), "rank")
+    touches = (F.col("char_start") == F.col("a1")) | (F.col("char_end") == F.col("a0")) | (F.col("chunk_id") == F.col("anchor"))
+    near = chunks.select("chunk_id", "section", "char_start", "char_end").join(place, (F.col("section") == F.col("s")) & touches)
+    itself = F.when(F.col("chunk_id") == F.col("anchor"), F.col("rank"))
+    every = near.groupBy("chunk_id", "section", "char_start", "char_end").agg(F.min(itself).alias("own"), F.min("rank").alias("near"))
+    every = every.select("chunk_id", "section", "char_start", "char_end", F.coalesce("own", "near").alias("anchor_rank"), F.col("own").isNull().cast("int").alias("is_neighbour"))
     order = Window.orderBy("is_neighbour", "anchor_rank", "section", "char_start")
     return every.withColumn("position", F.row_number().over(order).cast("int"))
 
 
 def budget_skip(items: DataFrame, group: list[str], order: str, item: str, cost: str, budget: int, reserve: int = 20) -> DataFrame:
-    """C11: items kept in order while they fit; one that doesn't is left out and later ones are still tried.
+    """C11: ``used, kept, omitted`` of each group: items kept in order while they fit; one that doesn't is left out and later ones are still tried.
 
-    A fold over a group's ranked items; groups are result lists of one query,
-    not tables.  Repeated items count once, at their first place.
+    Repeated items count once, at their first place.  Rows are dealt by group,
+    sorted, and folded one after another; the state is a sum, and the kept
+    items, whose positive costs the budget bounds, so a long group isn't
+    gathered.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col(cost).cast("long").alias("c"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("omitted"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seen = F.array_contains(acc["kept"], x["i"]) | F.array_contains(acc["omitted"], x["i"])
-        fits = acc["used"] + x["c"] <= budget - reserve
-        used = F.when(~seen & fits, acc["used"] + x["c"]).otherwise(acc["used"])
-        kept = F.when(~seen & fits, F.concat(acc["kept"], F.array(x["i"]))).otherwise(acc["kept"])
-        omitted = F.when(~seen & ~fits, F.concat(acc["omitted"], F.array(x["i"]))).otherwise(acc["omitted"])
-        return F.struct(used.alias("used"), kept.alias("kept"), omitted.alias("omitted"))
-
-    lists = items.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    return lists.select(*group, F.aggregate("r", start, step).alias("b")).select(*group, "b.used", "b.kept", F.size("b.omitted").alias("omitted"))
+    keys = [F.col(g) for g in group]
+    first = items.groupBy(*group, F.col(item).cast("long").alias("item")).agg(F.min_by(F.struct(F.col(order).cast("long").alias("order"), F.col(cost).cast("long").alias("cost")), F.col(order)).alias("f"))
+    rows = first.select(*keys, "f.order", "item", "f.cost")
+    schema = ", ".join(f"`{g}` {items.schema[g].dataType.simpleString()}" for g in group)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, kept, omitted = None, 0, [], 0
+        for pdf in batches:
+            done = []
+            for *key, _, i, c in pdf.itertuples(index=False, name=None):
+                if now is None or key != now:
+                    if now is not None:
+                        done.append((*now, used, kept, omitted))
+                    now, used, kept, omitted = key, 0, [], 0
+                if used + c <= budget - reserve:
+                    used += c
+                    kept.append(i)
+                else:
+                    omitted += 1
+            yield pd.DataFrame(done, columns=[*group, "used", "kept", "omitted"])
+        if now is not None:
+            yield pd.DataFrame([(*now, used, kept, omitted)], columns=[*group, "used", "kept", "omitted"])
+
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *group).sortWithinPartitions(*group, "order", "item").mapInPandas(run, f"{schema}, used long, kept array<long>, omitted int")
 
 
 def budget_prefix(items: DataFrame, group: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:

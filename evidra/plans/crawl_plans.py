@@ -31,7 +31,7 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_CANDIDATES}, s AS (SELECT url, first_seq, first_seq % 9 AS relevance, CASE first_seq % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'lead' ELSE 'none' END AS relation, first_seq % 11 = 0 AS catalog_verified, first_seq % 5 AS priority FROM m),
 o AS (SELECT *, row_number() OVER (PARTITION BY relevance >= 3 ORDER BY catalog_verified DESC, CASE relation WHEN 'direct' THEN 2 WHEN 'lead' THEN 1 ELSE 0 END DESC, relevance DESC, priority DESC, first_seq, url) AS p FROM s)
-SELECT url, CASE WHEN relevance < 3 THEN 'rejected' WHEN p <= 5 THEN 'candidate' ELSE 'deferred' END AS decision, CAST(CASE WHEN relevance >= 3 THEN p ELSE 0 END AS INTEGER) AS place FROM o"""
+SELECT url, CASE WHEN relevance < 3 THEN 'rejected' WHEN p <= 5 THEN 'candidate' ELSE 'deferred' END AS decision, CAST(CASE WHEN relevance >= 3 AND p <= 5 THEN p ELSE 0 END AS INTEGER) AS place FROM o"""
 )
 def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.col("first_seq")
@@ -124,16 +124,15 @@ def check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, doc_id % 4 AS score FROM documents),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page <= 2 DESC, score DESC, page) AS r FROM p WHERE page <= 2 OR score > 0)
-SELECT source, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY source ORDER BY page) AS INTEGER) AS position FROM k WHERE r <= 24"""
+    """WITH p AS (SELECT doc_id // 60 AS paper, doc_id % 60 + 1 AS page, doc_id % 4 AS score FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY page <= 2 DESC, score DESC, page) AS r FROM p WHERE page <= 2 OR score > 0)
+SELECT paper, page, CAST(row_number() OVER (PARTITION BY paper ORDER BY page) AS INTEGER) AS position FROM k WHERE r <= 24"""
 )
 def page_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    docs = table(spark, sf_dir, "documents")
-    pages = docs.select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), (F.col("doc_id") % 4).alias("score"))
-    return K.retain_pages(pages).select(F.col("doc_id").alias("source"), "page", "position")
+    """Sixty documents stand for a paper's pages."""
+    i = F.col("doc_id")
+    pages = table(spark, sf_dir, "documents").select(F.floor(i / 60).alias("doc_id"), (i % 60 + 1).alias("page"), (i % 4).alias("score"))
+    return K.retain_pages(pages).select(F.col("doc_id").alias("paper"), "page", "position")
 
 
 @query(

@@ -18,36 +18,39 @@ from evidra.sources.folders import folder
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT doc_id, text FROM documents WHERE length(text) > 20000),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM w),
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 p AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l),
 s AS (SELECT doc_id, pos + o AS start, substr(line, o + 1, 1500) AS text FROM (SELECT doc_id, pos, line, unnest(range(0, length(line), 1500)) AS o FROM p WHERE line <> ''))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS id, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", sha256(text) AS digest FROM s WHERE regexp_matches(text, '\\S')"""
 )
 def check_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text is one window; the SQL beside it has the long ones only."""
+    """Every text is one window."""
     s = D.segments(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("start"), "text"))
     return s.select("doc_id", "id", "start", "end", F.sha2("text", 256).alias("digest"))
 
 
 @query(
-    """WITH i AS (SELECT source AS doc_id, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 4 END AS page, doc_id AS seq, text FROM documents WHERE trim(text) <> '')
+    """WITH i AS (SELECT doc_id // 40 AS doc_id, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 4 END AS page, doc_id AS seq, text FROM documents WHERE trim(text) <> '')
 SELECT doc_id, coalesce(page, -1) AS page, sha256(string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS digest, CAST(sum(length(text) + 2) - max_by(length(text) + 2, seq) AS INTEGER) AS last_start FROM i GROUP BY doc_id, page"""
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source stand for the items of its pages; some have no page."""
+    """Forty documents stand for the items of a paper's pages; some have no page."""
     i = F.col("doc_id")
-    items = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.when(i % 9 != 0, i % 4).alias("page"), i.alias("seq"), i.cast("string").alias("ref"), F.lit("text").alias("label"), "text")
+    items = table(spark, sf_dir, "documents").select(F.floor(i / 40).alias("doc_id"), F.when(i % 9 != 0, i % 4).alias("page"), i.alias("seq"), i.cast("string").alias("ref"), F.lit("text").alias("label"), "text")
     r = D.reading_order(items)
     return r.select("doc_id", F.coalesce("page", F.lit(-1)).alias("page"), F.sha2("text", 256).alias("digest"), F.element_at("items", -1)["char_start"].alias("last_start"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'aligned' END AS state, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(text) END AS n_chars FROM documents WHERE length(trim(text)) > 10 AND NOT regexp_matches(substr(text, 6, 1), '\\s') AND NOT regexp_matches(substr(text, length(text), 1), '\\s') AND NOT regexp_matches(substr(text, 1, 1), '\\s')")
+@query(
+    """SELECT doc_id, CASE WHEN regexp_matches(rest, '\\S') AND (doc_id % 3 > 0 OR NOT regexp_matches(head, '\\S')) OR doc_id % 3 > 0 AND regexp_matches(head, '\\S') THEN 'aligned' ELSE 'error' END AS state,
+CASE WHEN state = 'error' THEN 0 WHEN doc_id % 3 = 0 THEN length(rest) ELSE length(head) + length(rest) END AS n_chars
+FROM (SELECT doc_id, coalesce(substr(text, 1, length(text) // 2), '') AS head, coalesce(substr(text, length(text) // 2 + 1), '') AS rest FROM documents)"""
+)
 def segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two segments cover each text, or the first one is left out, which is an error."""
-    d = table(spark, sf_dir, "documents").where((F.length(F.trim("text")) > 10) & ~F.substring("text", 6, 1).rlike(r"\s") & ~F.expr("substring(text, -1, 1)").rlike(r"\s") & ~F.substring("text", 1, 1).rlike(r"\s"))
-    rest = F.expr("substring(text, 6)")
-    parts = F.when(F.col("doc_id") % 3 == 0, F.array(rest)).otherwise(F.array(F.substring("text", 1, 5), rest))
+    """Two halves cover each text; of each third text the first half is left out, an error unless that is blank."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    head, rest = F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))"), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")
+    parts = F.when(F.col("doc_id") % 3 == 0, F.array(rest)).otherwise(F.array(head, rest))
     a = d.select("doc_id", D.aligned("text", parts, F.lit(400)).alias("a"))
     size = F.aggregate("a.chunks", F.lit(0), lambda s, c: s + F.length(c["text"]))
     return a.select("doc_id", F.when(F.col("a.error").isNull(), "aligned").otherwise("error").alias("state"), F.coalesce(size, F.lit(0)).cast("long").alias("n_chars"))

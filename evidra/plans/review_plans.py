@@ -137,3 +137,60 @@ def approval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = lambda n: F.when((i % 3 == 0) == F.lit(n == 2), "automatic")
     events = d.select("doc_id", F.lit(1).alias("seq"), F.lit("approve").alias("action"), mode(1).alias("mode")).unionByName(d.select("doc_id", F.lit(2).alias("seq"), F.lit("approve").alias("action"), mode(2).alias("mode")))
     return R.approval_mode(events)
+
+
+_GATE_DOCS = f"""g AS (SELECT doc_id, lang AS collection, source AS source_id, CAST(doc_id % 40 AS VARCHAR) AS v, strftime(effective_from, '%Y-%m-%d') AS a, coalesce(strftime(effective_to, '%Y-%m-%d'), '9999-12-31') AS b, sha256(text) AS digest,
+  doc_id % 11 = 0 AS error, doc_id % 5 = 0 AS warning, doc_id % 10 = 0 AS acknowledge, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM ({LIFECYCLE}))"""
+
+
+def _gate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    d = lifecycle(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", "collection", F.col("source").alias("source_id"), (i % 40).cast("string").alias("document_version"), F.date_format("effective_from", "yyyy-MM-dd").alias("effective_from"), F.date_format("effective_to", "yyyy-MM-dd").alias("effective_to"),
+        F.sha2("text", 256).alias("digest"), F.lit(1).alias("n_chunks"), (i % 11 == 0).alias("text_error"), (i % 5 == 0).alias("text_warning"), F.lit(False).alias("partial"), F.lit(0).alias("n_warnings"), F.lit(False).alias("duplicate"), F.lit(True).alias("time_sensitive"), F.lit(True).alias("proven"),
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_GATE_DOCS}, fold(collection, k, taken, doc_id, outcome) AS (
+  SELECT DISTINCT collection, CAST(0 AS BIGINT), CAST([] AS STRUCT(s VARCHAR, v VARCHAR, a VARCHAR, b VARCHAR, digest VARCHAR)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM g
+  UNION ALL
+  SELECT collection, k, CASE WHEN outcome = 'applied' THEN list_append(taken, struct_pack(s := source_id, v := v, a := a, b := b, digest := digest)) ELSE taken END, doc_id, outcome FROM (
+    SELECT f.collection, g.k, f.taken, g.doc_id, source_id, v, a, b, digest, CASE WHEN error THEN 'blocked' WHEN warning AND NOT acknowledge THEN 'not_acknowledged' ELSE coalesce(list_filter(list_transform(f.taken,
+      lambda o: CASE WHEN o.s = source_id AND o.v = g.v THEN 'version_exists' WHEN o.s = source_id AND g.a < o.b AND o.a < g.b THEN 'period_overlaps' WHEN o.digest = g.digest THEN 'content_exists' END), lambda x: x IS NOT NULL)[1], 'applied') END AS outcome
+    FROM fold f JOIN g ON g.collection = f.collection AND g.k = f.k + 1)
+)
+SELECT doc_id, outcome, CASE outcome WHEN 'applied' THEN 'approved' ELSE 'pending' END AS status FROM fold WHERE doc_id IS NOT NULL"""
+)
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is put up for approval, in the order of ids; earlier approvals stand in the way of later ones."""
+    docs, i = _gate_docs(spark, sf_dir), F.col("doc_id")
+    events = docs.select("doc_id", i.alias("seq"), F.lit("approve").alias("action"), F.lit(1).alias("revision"), F.lit("ann").alias("actor"), F.lit("").alias("note"), (i % 10 == 0).alias("acknowledge"), F.lit("manual").alias("mode"))
+    return R.gate(docs, events).select("doc_id", "outcome", "status")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'stale' WHEN doc_id % 4 = 2 THEN 'invalid' ELSE 'applied' END AS edited, CASE WHEN doc_id % 4 IN (1, 2) THEN 'blocked' WHEN doc_id % 3 = 0 THEN 'not_acknowledged' ELSE 'applied' END AS decided,
+CASE WHEN doc_id % 4 IN (1, 2) THEN 'imported' ELSE 'human-edited-text-v1' END AS parser, sha256(CASE WHEN doc_id % 4 IN (1, 2) THEN '' ELSE 'new ' END || text || CAST(doc_id AS VARCHAR)) AS digest FROM documents"""
+)
+def review_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partial text is replaced, where the edit is neither stale nor invalid, and then put up for approval."""
+    i, text = F.col("doc_id"), F.concat("text", F.col("doc_id").cast("string"))
+    docs = _gate_docs(spark, sf_dir).drop("digest").join(table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), F.sha2(F.concat(F.lit("new "), text), 256).alias("new")), "doc_id")
+    docs = docs.withColumns({"source_id": i.cast("string"), "partial": F.lit(True), "text_error": F.lit(False), "text_warning": F.lit(False)})
+    who = [F.lit("ann").alias("actor"), F.lit("").alias("note")]
+    edit = docs.select("doc_id", F.lit(1).alias("seq"), F.lit("edit").alias("action"), F.when(i % 4 == 1, 7).otherwise(1).alias("revision"), *who, F.lit(False).alias("acknowledge"), F.lit("manual").alias("mode"), F.col("new").alias("new_digest"), F.when(i % 4 == 2, "2000-01-01").alias("new_effective_to"))
+    approve = docs.select("doc_id", F.lit(2).alias("seq"), F.lit("approve").alias("action"), F.when((i % 4).isin(1, 2), 1).otherwise(2).alias("revision"), *who, (i % 3 > 0).alias("acknowledge"), F.lit("manual").alias("mode"))
+    found = R.gate(docs, edit.unionByName(approve, allowMissingColumns=True))
+    return found.groupBy("doc_id").agg(F.max_by("parser", "seq").alias("parser"), F.max_by("digest", "seq").alias("digest"), F.min_by("outcome", "seq").alias("edited"), F.max_by("outcome", "seq").alias("decided"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 5 = 0 THEN false ELSE o_orderkey % 7 > 0 END AS valid, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 24 >= 17 AS INTEGER) AS day FROM orders"""
+)
+def effective_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some intervals have no end, no start, or end on their first day; hours of a UTC day fall on the next one in the zone."""
+    i, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(i % 5 > 0, start).alias("a"), F.when(i % 3 > 0, F.date_add(start, F.when(i % 7 == 0, 0).otherwise(3))).alias("b"), F.timestamp_add("HOUR", i % 24, start.cast("timestamp")).alias("now"))
+    return o.select("o_orderkey", R.valid_interval(F.col("a"), F.col("b")).alias("valid"), R.local_today(F.col("now")).alias("day"))

@@ -167,25 +167,26 @@ def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-fold(source, k, used, kept, omitted) AS (
-  SELECT DISTINCT source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), 0 FROM documents
+    """WITH RECURSIVE r AS (SELECT doc_id // 50 AS list, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS k FROM documents),
+fold(list, k, used, kept, omitted) AS (
+  SELECT DISTINCT list, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), 0 FROM r
   UNION ALL
-  SELECT f.source, f.k + 1, CASE WHEN used + n_chars <= 9980 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 9980 THEN list_append(kept, doc_id) ELSE kept END, omitted + CASE WHEN used + n_chars <= 9980 THEN 0 ELSE 1 END
-  FROM fold f JOIN r ON r.source = f.source AND r.k = f.k + 1
+  SELECT f.list, f.k + 1, CASE WHEN used + n_chars <= 9980 THEN used + n_chars ELSE used END, CASE WHEN used + n_chars <= 9980 THEN list_append(kept, doc_id) ELSE kept END, omitted + CASE WHEN used + n_chars <= 9980 THEN 0 ELSE 1 END
+  FROM fold f JOIN r ON r.list = f.list AND r.k = f.k + 1
 )
-SELECT source, used, array_to_string(kept, ',') AS kept, omitted FROM fold QUALIFY k = max(k) OVER (PARTITION BY source)"""
+SELECT list, used, array_to_string(kept, ',') AS kept, omitted FROM fold QUALIFY k = max(k) OVER (PARTITION BY list)"""
 )
 def context_budget_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    kept = S.budget_skip(items, ["source"], "doc_id", "doc_id", "n_chars", 10_000)
-    return kept.select("source", "used", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "omitted")
+    """Fifty documents are a question's result list."""
+    items = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
+    kept = S.budget_skip(items, ["list"], "doc_id", "doc_id", "n_chars", 10_000)
+    return kept.select("list", "used", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "omitted")
 
 
-@query("SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) WHERE running <= 24000")
+@query("SELECT list, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id // 50 AS list, doc_id, sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS running FROM documents) WHERE running <= 24000")
 def context_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return S.budget_prefix(items, ["source"], [F.asc("doc_id")], "n_chars", 24_000).select("source", "doc_id", F.col("running").cast("long").alias("running"))
+    items = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
+    return S.budget_prefix(items, ["list"], [F.asc("doc_id")], "n_chars", 24_000).select("list", "doc_id", F.col("running").cast("long").alias("running"))
 
 
 _PLANNED = """k AS (SELECT doc_id, doc_id AS seq, sha256('stub|8|' || text) AS cache_key FROM documents),
@@ -211,9 +212,9 @@ def embedding_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.receipts(_planned(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_PLANNED} SELECT cache_key, CAST(8 AS INTEGER) AS dims, true AS valid FROM p WHERE source = 'embed'")
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the texts to embed; a stand-in embedder, so there is no SQL for them."""
+    """Vectors of the texts to embed, one for each key that the cache lacks; a stand-in embedder."""
     return E.embed_misses(_planned(spark, sf_dir), E.hashed_embedder(8)).select("cache_key", F.size("vector").alias("dims"), V.valid_vector(F.col("vector"), 8).alias("valid"))
 
 

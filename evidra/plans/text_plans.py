@@ -13,7 +13,6 @@ from evidra.sources import sinks
 
 CONCEPTS = [["thea", "theanes"], ["ontion"], ["der", "und"], ["leaux"]]
 PLAN = ["thea", "ontion", "nneverx", "ing"]
-SECRET_TEXT = "concat('token=', {i}, ' Bearer abc', {i}, ' said ', substr({t}, 1, 40))"
 
 
 @query(f"SELECT doc_id, sha256({sql_fold('text')}) AS folded FROM documents")
@@ -92,9 +91,12 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", U.host(F.col("u")).alias("host"), U.source_priority(F.col("u")).alias("priority"), U.public_url(F.col("u")).alias("is_public"))
 
 
-@query("SELECT conv_id, turn, substr('token=[MASKED] Bearer [MASKED] said ' || substr(text, 1, 40), 1, 1200) AS masked FROM conversations")
+@query(
+    r"""SELECT conv_id, turn, substr(regexp_replace('token=k' || CAST(conv_id * 100 + turn AS VARCHAR) || ' Bearer abc' || CAST(conv_id * 100 + turn AS VARCHAR) || ' said ' || text,
+'(bearer\s+|(?:api[_-]?key|token|password|secret)\s*[=:]\s*)[^\s&,;]+', '\1[MASKED]', 'gi'), 1, 1200) AS masked FROM conversations"""
+)
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole text is searched; the SQL beside it has its first 40 characters, unmasked."""
+    """Two secrets in front of each whole text, which is searched too."""
     key = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
     text = F.concat(F.lit("token=k"), key, F.lit(" Bearer abc"), key, F.lit(" said "), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.redact_secrets(text).alias("masked"))
@@ -142,7 +144,13 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(old, sinks.last_wins(new, ["url"], "version"), ["url"])
 
 
-@query()
+_DIGEST = "sha256(CAST(doc_id AS VARCHAR) || chr(31) || text)"
+
+
+@query(
+    f"""SELECT count(*) AS rows, sha256({" || '|' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))}) AS digest
+FROM (SELECT {_DIGEST} AS h FROM documents)"""
+)
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: a digest that doesn't depend on row order."""
     return sinks.manifest(table(spark, sf_dir, "documents"), ["doc_id", "text"])

@@ -1,4 +1,4 @@
-"""Readers and contract checks of inputs."""
+"""Readers and contract checks of inputs."""
 
 from __future__ import annotations
 
@@ -27,6 +27,51 @@ def parsed_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame
     return docs.where(F.col("status").isin(*INDEXABLE) & ~F.startswith(name, F.lit("unassessed-")))
 
 
+def json_texts(files: DataFrame) -> DataFrame:
+    """``files(path, content)`` of JSON bytes: ``path, text, value, error``; the text is the value written anew, the value keeps its structure."""
+    body = F.decode(F.col("content"), "UTF-8")
+    value = F.try_parse_json(F.regexp_replace(body, "^\ufeff", ""))
+    return files.select("path", F.to_json(value).alias("text"), value.alias("value"), F.when(value.isNull(), "not JSON").alias("error"))
+
+
+PARSER = "docling-local-v1"
+
+
+def parser_errors(text: Column, pages: Column, parser: Column, config: Column) -> Column:
+    """the first way in which a parser's output breaks its contract, null for none."""
+    return (
+        F.when(F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit("")) == "", "no text")
+        .when((F.length(text) > MAX_TEXT) | pages.isNull(), "text or pages out of bounds")
+        .when(~parser.eqNullSafe(F.lit(PARSER)) | config.isNull(), "no parser or options")
+    )
+
+
+def cache_key(content: Column, options: str, worker: str) -> Column:
+    """The key of a parse: the bytes, the options and the worker's signature."""
+    return F.sha2(F.concat(content, F.encode(F.lit(f"{options}|{worker}"), "UTF-8")), 256)
+
+
+def cached_parses(files: DataFrame, cache: DataFrame, options: str, worker: str) -> DataFrame:
+    """``path, document, state`` of ``files(path, content)`` against ``cache(key, sha256, document)``.
+
+    ``state`` is hit, miss, too_large, or changed: a stored document whose
+    digest isn't the recorded one is never served.
+    """
+    keyed = files.select("path", cache_key(F.col("content"), options, worker).alias("key"))
+    found = keyed.join(cache, "key", "left")
+    state = F.when(F.col("document").isNull(), "miss").when(F.length("document") > MAX_JSON, "too_large").when(F.sha2("document", 256) != F.col("sha256"), "changed").otherwise("hit")
+    return found.select("path", F.when(state == "hit", F.col("document")).alias("document"), state.alias("state"))
+
+
+#: Fields of a parse that a reviewer keeps.
+PARSER_FIELDS = ("text", "html_leads", "html_math", "pages", "tables", "docling_document", "unpaginated_items", "parser", "parser_library_version", "parser_config", "pdf_total_pages", "selected_pages", "parse_partial", "parse_warnings", "coverage_note")
+
+
+def parser_evidence(docs: DataFrame) -> Column:
+    """P10: the structure that a parser found, without paths or decisions of the run."""
+    return F.struct(*[F.col(c) for c in PARSER_FIELDS if c in docs.columns])
+
+
 _META = "struct<page:int,pages:int,total:int,sourceid:string,lastupdated:string>"
 _ROW = "array<struct<country:struct<id:string>,countryiso3code:string,indicator:struct<id:string>,date:string,value:double,unit:string>>"
 
