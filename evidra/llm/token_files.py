@@ -19,7 +19,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +37,59 @@ _HEAD = struct.Struct("<4sIIIIQ")
 @dataclass(frozen=True)
 class TokenFileParams:
     """``end_id`` follows each document; a pair is replaced while it occurs ``min_count`` times,
-    at most ``per_round`` rules a round, and in at most ``rounds`` rounds if that is given; ``shard_bytes`` of text make a shard."""
+    at most ``per_round`` rules a round; ``shard_bytes`` of text make a shard."""
 
     tokenizer: str
     end_id: int = 2
     min_count: int = 8
-    rounds: int | None = None
     per_round: int = 8192
     shard_bytes: int = 1 << 20
 
 
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def _frequent(keys: np.ndarray, bucket: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys that occur ``least`` times, and how often."""
+    # Keys whose hash bucket is rarer than they must be need no exact count.
+    ordered = np.sort(keys[(np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least)[bucket]])
+    cut = np.flatnonzero(np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1])))
+    times = np.diff(np.append(cut, len(ordered)))
+    often = times >= least
+    return ordered[cut[often]], times[often]
+
+
+def _occurrences(keys: np.ndarray, bucket: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``keys`` that hold one of ``pairs``, ascending, and the number of that pair."""
+    of = _buckets(pairs)
+    order = np.argsort(of, kind="stable")
+    of, by = of[order], pairs[order]
+    first = np.full(1 << BUCKET_BITS, len(pairs), np.int32)
+    first[of[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+    by, of = np.append(by, np.iinfo(np.uint64).max), np.append(of, -1)
+    at = first[bucket]
+    same = by[at] == keys
+    # A bucket's other pairs follow its first one.
+    near = np.flatnonzero(~same & (at < len(pairs)))
+    while len(near):
+        at[near] += 1
+        near = near[of[at[near]] == bucket[near]]
+        equal = by[at[near]] == keys[near]
+        same[near[equal]] = True
+        near = near[~equal]
+    hit = np.flatnonzero(same)
+    return hit, order[at[hit]]
+
+
 def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
-    """Payload of documents whose ids lie end to end."""
+    """Payload of documents whose ids lie end to end.
+
+    A replaced pair is gone from the sequence, and no other pair becomes more
+    frequent unless it holds a new nonterminal.  So once a round has taken all
+    frequent pairs, the next one looks only at the last round's nonterminals
+    and their neighbours.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
@@ -57,35 +97,27 @@ def compress(ids: np.ndarray, bounds: np.ndarray, p: TokenFileParams) -> bytes:
     rules: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     size_of = np.ones(first_rule, np.uint32)
-    for done in count():
-        if len(seq) < 2 or done == p.rounds:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        keys[last[:-1]] = np.iinfo(np.uint64).max
-        # Pairs whose hash bucket is rarer than they must be need no exact count.
-        bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-        ordered = np.sort(keys[(np.bincount(bucket, minlength=1 << BUCKET_BITS) >= p.min_count)[bucket]])
-        if not len(ordered):
-            break
-        cut = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        times = np.diff(np.append(cut, len(ordered)))
-        pairs = ordered[cut]
-        often = (times >= p.min_count) & (pairs != np.iinfo(np.uint64).max)
-        pairs, times = pairs[often], times[often]
+    newest = 0  # pairs of older symbols are known to be rare
+    while len(seq) > 1:
+        fresh = seq >= newest
+        spot = np.flatnonzero((fresh[:-1] | fresh[1:]) & ~last[:-1])
+        keys = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
+        bucket = _buckets(keys)
+        pairs, times = _frequent(keys, bucket, p.min_count)
         if not len(pairs):
             break
+        newest = len(size_of)
         if len(pairs) > p.per_round:
-            pairs = np.sort(pairs[np.argsort(-times, kind="stable")[: p.per_round]])
-        chosen = np.zeros(1 << BUCKET_BITS, bool)
-        chosen[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)] = True
-        near = np.flatnonzero(chosen[bucket])
-        at = np.minimum(np.searchsorted(pairs, keys[near]), len(pairs) - 1)
-        same = pairs[at] == keys[near]
-        hit, at = near[same], at[same]
-        run = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))
-        place = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
-        hit, at = hit[place % 2 == 0], at[place % 2 == 0]
-        used = np.unique(at)
+            pairs, newest = pairs[np.sort(np.argsort(-times, kind="stable")[: p.per_round])], 0
+        hit, at = _occurrences(keys, bucket, pairs)
+        hit = spot[hit]
+        # In a run of overlapping pairs every second one is replaced, from the left.
+        index = np.arange(len(hit))
+        begin = index.copy()
+        begin[1:][hit[1:] == hit[:-1] + 1] = 0
+        take = np.flatnonzero((index - np.maximum.accumulate(begin)) & 1 == 0)
+        hit, at = hit[take], at[take]
+        used = np.flatnonzero(np.bincount(at, minlength=len(pairs)))
         left, right = (pairs[used] >> np.uint64(32)).astype(np.uint32), (pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         number = np.zeros(len(pairs), np.uint32)
         number[used] = len(size_of) + np.arange(len(used), dtype=np.uint32)
@@ -136,15 +168,22 @@ class TokenShard:
         self.symbols = take("<u4", n_symbols)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids that a run of symbols stands for."""
-        while (rule := symbols >= self.first_rule).any():
-            at = np.cumsum(1 + rule) - 1 - rule
-            out = np.empty(len(symbols) + int(rule.sum()), np.uint32)
-            out[at[~rule]] = symbols[~rule]
-            pair = self.rules[symbols[rule] - self.first_rule]
-            out[at[rule]], out[at[rule] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols.astype(np.uint32)
+        """Ids that a run of symbols stands for: each symbol's place follows from expansion lengths, level by level."""
+        size_of = np.concatenate((np.ones(1, np.int64), self.sizes))
+
+        def size(of: np.ndarray) -> np.ndarray:
+            return size_of[np.maximum(of.astype(np.int64) - (self.first_rule - 1), 0)]
+
+        ends = np.cumsum(size(symbols))
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        at = np.concatenate((np.zeros(1, np.int64), ends[:-1]))[: len(symbols)]
+        while len(symbols):
+            rule = symbols >= self.first_rule
+            plain = ~rule
+            out[at[plain]] = symbols[plain]
+            pair, at = self.rules[symbols[rule] - self.first_rule], at[rule]
+            symbols, at = pair.T.reshape(-1), np.concatenate((at, at + size(pair[:, 0])))
+        return out
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.doc_symbols[k] : self.doc_symbols[k + 1]])
@@ -194,7 +233,8 @@ def write_token_files(docs: DataFrame, params: TokenFileParams) -> DataFrame:
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of the text deals rows that share an id, or have none, to several ranges.
+    rows = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return stored(rows.mapInArrow(run, _SHARDS), "tokens", compression="zstd")
 
 
