@@ -59,7 +59,7 @@ class MinHashParams:
     b: int = 4
     block: int = 3_000_000
     bucket: int = 8192
-    partners: tuple[int, ...] = (4, 64)
+    partners: tuple[int, ...] = (8,)
     seed: int = 11
 
 
@@ -315,6 +315,18 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, p: MinHashParams) -> DataFram
     return rows.repartition(n, "v", "task").sortWithinPartitions("v", "task", "side").mapInArrow(run, "u long, v long")
 
 
+def _pointed(links: DataFrame) -> DataFrame:
+    """``id, component``: for each larger end of a link a smaller document that links reach, four links away at most.
+
+    Documents with equal ones are together; more of them may be.
+    """
+    way = links.where("u <> v").groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("component"))
+    for _ in range(2):
+        way = stored(way, "way")
+        way = way.join(way.toDF("component", "further"), "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+    return stored(way, "labels")
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets of sorted fingerprints are linked."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -341,8 +353,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     digest = ["lo", "hi", "n_shingles"]
     reps = stored(some.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     rows = some.join(reps.withColumnRenamed("rep", "doc_id"), [*digest, "doc_id"], "left_semi")
-    keys = rows.select("doc_id", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = rows.select("doc_id", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     keys = stored(keys.join(shared, "key"), "keys")
     rows = stored(rows.select("doc_id", "n_shingles", "packed").join(keys.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -352,15 +364,16 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     own = some.join(several, "doc_id", "left_semi").join(reps, digest).groupBy("doc_id").agg(F.collect_set("rep").alias("r"))
     edges = own.select(F.explode("r").alias("u"), F.array_min("r").alias("v"))
     links = stored(_confirmed(texts, stored(_first_partners(keys, rows, p), "pairs"), p).unionByName(edges), "links")
+    labels = _pointed(links)
     for partners in (*p.partners, None):
-        labels = connected_components(links)
         pairs = stored(_bucket_pairs(keys, rows, labels, partners, p), "pairs")
         seen = pairs.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
         if seen.n:
             links = stored(links.unionByName(_confirmed(texts, pairs, p)), "links")
-            labels = connected_components(links)
+        labels = connected_components(links)
         if not seen.cut:
             break
+        labels = stored(labels, "labels")
     near = labels.withColumnRenamed("id", "rep")
     return (
         sig.select("doc_id", *digest)
