@@ -48,6 +48,16 @@ class Crf:
         return total
 
 
+#: Tokens of a chain at most, which bounds the steps of a batch.
+LONGEST = 1024
+
+
+def limited(new: np.ndarray) -> np.ndarray:
+    """Marks of first tokens, with further ones so that no chain has more than ``LONGEST`` tokens."""
+    at = np.arange(len(new))
+    return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % LONGEST == 0)
+
+
 def batches(length: np.ndarray, cells: int = 400_000) -> Iterator[np.ndarray]:
     """Chain numbers in groups of similar length of at most about ``cells`` padded positions."""
     order = np.argsort(length, kind="stable")

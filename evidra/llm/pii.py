@@ -5,7 +5,8 @@ stay.  The field tags what has no fixed pattern: ``secret`` (credentials),
 ``ssn`` (national ids in groups), ``iban`` and ``local`` (telephone numbers
 without a country code).  It is trained on a small labelled table made from a
 seed, sees word shapes, word beginnings, the word before and what stands
-between words, and is decoded by Viterbi over lines, many lines at a time.
+between words, and is decoded by Viterbi over lines, many lines at a time.  A
+line of more than ``crf.LONGEST`` words is read in pieces of that length.
 """
 
 from __future__ import annotations
@@ -171,7 +172,7 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple:
         none = np.zeros(0, np.int64)
         return start, end, doc, [np.zeros(0, np.uint64)] * 9, none, none
     line = np.concatenate(([0], np.cumsum(data == 10)))
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[start[1:]] != line[end[:-1]])))
+    new = crf.limited(np.concatenate(([True], (doc[1:] != doc[:-1]) | (line[start[1:]] != line[end[:-1]]))))
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, len(start)))
     size = end - start
@@ -259,12 +260,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``spans`` of all personal data in ``text``, by kind as in ``KINDS``, then start.
 
     Offsets are code points, end exclusive.  Null and empty texts have none.
-    Other columns pass through, but for one named ``spans``, which is
-    replaced.  Repeated rows get equal results; an empty table gives an empty
+    Other columns pass through, but for one named ``spans`` in any case, which
+    is replaced.  Repeated rows get equal results; an empty table gives an empty
     table.
     """
     model = default_model()
-    rest = [c for c in docs.columns if c != "spans"]
+    rest = [c for c in docs.columns if c.lower() != "spans"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

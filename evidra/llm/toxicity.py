@@ -70,7 +70,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     stems = [B.fingerprints(sums, start, np.minimum(end, start + k)) for k in STEMS]
     if len(start):
         stops = np.concatenate(([0], np.cumsum(_STOP[data])))
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (stops[start[1:]] != stops[end[:-1]])))
+        new = crf.limited(np.concatenate(([True], (doc[1:] != doc[:-1]) | (stops[start[1:]] != stops[end[:-1]]))))
     else:
         new = np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -101,18 +101,16 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def _cues(texts: pa.Array, toxic: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, int]:
+def _cues(texts: pa.Array, toxic: np.ndarray, p: ToxicityParams) -> np.ndarray:
     """Words and word beginnings that tell toxic documents from others, by odds and by log likelihood ratio.
 
-    Also the number of sentences.  A key counts once a document.
+    A key counts once a document.
     """
     n_yes, n_no = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     base = n_yes / (n_yes + n_no)
     kinds: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(STEMS))]
-    sentences = 0
     for i, data, bounds in _parts(texts):
-        _, _, doc, keys, first, _ = tokens(data, bounds)
-        sentences += len(first)
+        _, _, doc, keys, _, _ = tokens(data, bounds)
         there = toxic[doc + i]
         for kind, key in zip(kinds, keys, strict=False):
             _, once = np.unique(B.mix(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
@@ -128,23 +126,38 @@ def _cues(texts: pa.Array, toxic: np.ndarray, p: ToxicityParams) -> tuple[np.nda
         ratio = yes * np.log(np.maximum(share, 1e-9) / base) + no * np.log(np.maximum(1 - share, 1e-9) / (1 - base))
         odds = (yes / n_yes) / ((no + 0.5) / n_no)
         found.append(values[(yes >= p.cue_docs) & (odds >= p.cue_odds) & (ratio >= p.cue_ratio)])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64), sentences
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _sentences(texts: pa.Array, toxic: np.ndarray, cues: np.ndarray, total: int, p: ToxicityParams) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and bounds of the sentences to train on: those with cues, and others at equal steps, half each at most."""
-    keys_: list[list[np.ndarray]] = []
-    gold_, length_ = [], []
-    every, seen, hot_left = max(1, 2 * total // p.chains), 0, p.chains // 2
+def _marked(texts: pa.Array, toxic: np.ndarray, cues: np.ndarray) -> Iterator[tuple]:
+    """Features, labels and bounds of the sentences of each slice, whether they hold a cue, and a hash of their words."""
     for i, data, bounds in _parts(texts):
         _, _, doc, keys, first, length = tokens(data, bounds)
-        gold = (np.any([np.isin(k, cues) for k in keys[: 1 + len(STEMS)]], axis=0) & toxic[doc + i]).astype(np.int64)
-        has = np.bincount(np.repeat(np.arange(len(first)), length), gold, len(first)) > 0
-        hot = np.flatnonzero(has)[:hot_left]
-        hot_left -= len(hot)
-        rest = np.flatnonzero(~has & ((np.arange(len(first)) + seen) % every == 0))
-        seen += len(first)
-        pick = np.sort(np.concatenate((hot, rest)))
+        if len(first):
+            gold = (np.any([np.isin(k, cues) for k in keys[: 1 + len(STEMS)]], axis=0) & toxic[doc + i]).astype(np.int64)
+            place = np.arange(1, len(doc) + 1, dtype=np.uint64) - np.repeat(first, length).astype(np.uint64)
+            yield keys, gold, first, length, np.add.reduceat(gold, first) > 0, B.mix(np.add.reduceat(keys[0] * place, first))
+
+
+def _sentences(texts: pa.Array, toxic: np.ndarray, cues: np.ndarray, p: ToxicityParams) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and bounds of the sentences to train on.
+
+    ``chains // 2`` of those with cues and as many of the others, those with
+    the smallest hash of their words, so that the choice doesn't depend on the
+    order of documents; equal sentences are taken or left together.
+    """
+    found: list[list[np.ndarray]] = [[], []]
+    for *_, has, order in _marked(texts, toxic, cues):
+        found[0].append(order[~has])
+        found[1].append(order[has])
+    most = []
+    for kind in found:
+        order = np.sort(np.concatenate(kind)) if kind else np.zeros(0, np.uint64)
+        most.append(order[min(p.chains // 2, len(order)) - 1] if len(order) else np.uint64(0))
+    keys_: list[list[np.ndarray]] = []
+    gold_, length_ = [], []
+    for keys, gold, first, length, has, order in _marked(texts, toxic, cues):
+        pick = np.flatnonzero(order <= np.where(has, most[1], most[0]))
         own = np.concatenate([np.arange(first[c], first[c] + length[c]) for c in pick]) if len(pick) else np.zeros(0, np.int64)
         keys_.append([k[own] for k in keys])
         gold_.append(gold[own])
@@ -157,12 +170,12 @@ def train_tagger(texts: list[str] | pa.Array | pa.ChunkedArray, labels: np.ndarr
     """Trains on labelled documents; without a toxic one every score is near zero."""
     texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     toxic = labels == 1
-    cues, total = _cues(texts, toxic, p)
+    cues = _cues(texts, toxic, p)
     if not len(cues):
         none = np.zeros(0, np.int64)
         model = crf.train(LABELS, [np.zeros(0, np.uint64)] * (4 + len(STEMS)), none, none, none, rounds=0)
         return Tagger(model, np.array([np.log((toxic.sum() + 0.5) / (len(labels) + 1)), 0.0, 0.0]))
-    keys, gold, first, length = _sentences(texts, toxic, cues, total, p)
+    keys, gold, first, length = _sentences(texts, toxic, cues, p)
     model = crf.train(LABELS, keys, gold, first, length, rounds=60, l2=0.05, least=3)
     seen = [document_evidence(model, data, bounds)[:2] for _, data, bounds in _parts(texts)]
     expected, top = (np.concatenate(x) for x in zip(*seen, strict=True))
@@ -196,7 +209,8 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, params: ToxicityParams = Tox
     """``doc_id, score, spans`` of each row of ``docs(doc_id, text)``.
 
     ``spans`` are runs of tokens of one sentence whose marginal is
-    ``params.span`` at least, in code points, end exclusive.  Null and empty
+    ``params.span`` at least, in code points, end exclusive; a sentence of
+    more than ``crf.LONGEST`` words is read in pieces of that length.  Null and empty
     texts get the score of no evidence and no spans; a null ``doc_id`` is
     returned as null; repeated rows get equal results; an empty table gives
     an empty table.  Other columns are not read.
