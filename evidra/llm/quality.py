@@ -7,7 +7,7 @@ model, so a batch of documents costs two triangular products.
 
 Scale.  The fit needs counts, sums and cross products of each class, which add
 up over partitions, so it reads every labelled row, without a sample, and the
-driver gets a few hundred numbers from each partition.
+driver gets one row of a few hundred numbers.
 """
 
 from __future__ import annotations
@@ -191,24 +191,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QdaParams = QdaParam
             if batch.num_rows:
                 x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, N)
                 total += _moments(x, batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.reshape(-1)], names)
 
+    names = [f"m{i}" for i in range(2 * (1 + N + N * N))]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     joined = rows.mapInArrow(stats, "doc_id long, x binary").join(known, "doc_id").select("x", "y")
-    total = np.zeros((2, 1 + N + N * N))
-    for row in joined.mapInArrow(sums, "m binary").toLocalIterator():
-        total += np.frombuffer(row.m).reshape(total.shape)
+    every = joined.mapInArrow(sums, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    total = np.array([x or 0.0 for x in every]).reshape(2, -1)
     return fit_moments(total, params)
 
 
 def score_quality(docs: DataFrame, model: Qda) -> DataFrame:
-    """``docs`` with a ``quality_score`` of 0 to 1 for each row; the column is replaced if it exists.
+    """``docs`` with a ``quality_score`` of 0 to 1 for each row; a column of that name, in any case, is replaced.
 
     Null and empty texts are scored by their statistics, which are those of no
     words.  Other columns pass through; an empty table gives an empty table.
     """
-    rest = [c for c in docs.columns if c != "quality_score"]
+    rest = [c for c in docs.columns if c.lower() != "quality_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
