@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ WORD[128:] = True
 
 SHARD_BYTES = 2 << 20
 GAP = 1 << 10
-INDEX_SCHEMA = "doc_ids binary, doc_starts binary, doc_words binary, terms binary, lists binary, positions binary"
+INDEX_SCHEMA = "row long, doc_ids binary, doc_starts binary, doc_words binary, terms binary, lists binary, positions binary"
 
 
 @dataclass(frozen=True)
@@ -50,22 +51,26 @@ def _words(data: np.ndarray, offs: np.ndarray, values: np.ndarray) -> tuple[np.n
     return B.fingerprints(B.prefix_sums(data, values), start, end), doc
 
 
-def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES, gap: int = GAP) -> DataFrame:
     """Positional postings of every word of ``docs(doc_id, text)``, one row for each shard.
 
     Words are lower-cased A-Z.  Null and empty texts are documents without
-    words.  A null ``doc_id`` keeps its place and is returned as null.
+    words.  A null ``doc_id`` keeps its place and is returned as null.  ``row``
+    numbers the shard's first document; ``gap`` positions lie between two
+    documents, more than a match may span.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = B.byte_values(lower=True)
+        from pyspark import TaskContext
+
+        values, number = B.byte_values(lower=True), TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offs = B.utf8(batch.column(1))
             ids = batch.column(0)
             for i, j in B.slices(offs, shard_bytes):
                 h, doc = _words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], values)
                 count = np.bincount(doc, minlength=j - i)
-                begin = np.concatenate(([0], np.cumsum(count + GAP)[:-1]))
+                begin = np.concatenate(([0], np.cumsum(count + gap)[:-1]))
                 first = np.concatenate(([0], np.cumsum(count)[:-1]))
                 pos = np.arange(len(h)) - first[doc] + begin[doc]
                 order = np.argsort(h, kind="stable")
@@ -75,7 +80,8 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 known = part.is_valid().to_numpy(zero_copy_only=False)
                 id_bytes = known.astype(np.uint8).tobytes() + part.fill_null(0).to_numpy().astype("<i8").tobytes()
                 row = [id_bytes, begin.astype("<i8").tobytes(), count.astype("<i8").tobytes(), sorted_[new].tobytes(), new.astype("<i8").tobytes(), pos[order].astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["doc_ids", "doc_starts", "doc_words", "terms", "lists", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], ["row", "doc_ids", "doc_starts", "doc_words", "terms", "lists", "positions"])
+                number += j - i
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX_SCHEMA)
 
@@ -193,7 +199,7 @@ def _items(benchmark: DataFrame, block: int, window: int) -> Iterator[list[tuple
 
 
 def search(index: DataFrame, items: list[tuple[str, str]], p: PhraseParams) -> DataFrame:
-    """Per document of the index: ``doc_id, n_words, hits, items``.
+    """Per document of the index: ``row, doc_id, n_words, hits, items``.
 
     ``hits`` holds the word ranges, first and last position interleaved, of
     all matches; ``items`` the ids of the matched items.
@@ -204,7 +210,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], p: PhraseParams) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = Shard([batch.column(c)[k].as_py() for c in range(6)])
+                shard = Shard([batch.column(c)[k].as_py() for c in range(1, 7)])
                 n = len(shard.doc_ids)
                 if p.slop:
                     phrase, lo, hi = shard.proximities(terms, size, p.slop)
@@ -222,11 +228,11 @@ def search(index: DataFrame, items: list[tuple[str, str]], p: PhraseParams) -> D
                     hits[d] = _merged(lo[a:b] - shard.doc_starts[d], hi[a:b] - shard.doc_starts[d])
                     found[d] = sorted({names[x] for x in of[phrase[a:b]]})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, mask=~shard.known), pa.array(shard.doc_words), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "hits", "items"],
+                    [pa.array(batch.column(0)[k].as_py() + np.arange(n)), pa.array(shard.doc_ids, mask=~shard.known), pa.array(shard.doc_words), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))],
+                    ["row", "doc_id", "n_words", "hits", "items"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, hits array<long>, items array<string>")
+    return index.mapInArrow(run, "row long, doc_id long, n_words long, hits array<long>, items array<string>")
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> list[int]:
@@ -247,20 +253,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, params: PhraseParams =
     repeated rows are reported once each; an empty benchmark hits nothing; an
     empty table gives an empty table.  Other columns are not read.
     """
-    index = stored(build_index(docs), "index", compression="zstd")
-    parts = [search(index, items, params) for items in _items(benchmark, params.block, params.window)]
-    if len(parts) == 1:
-        found = parts[0]
-    elif not parts:
-        found = search(index, [], params)
-    else:
-        keyed = [x.withColumn("row", F.monotonically_increasing_id()) for x in parts]
-        every = keyed[0]
-        for x in keyed[1:]:
-            every = every.unionByName(x)
-        found = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        return _summary(found, merge=True)
-    return _summary(found, merge=False)
+    index = stored(build_index(docs, gap=max(GAP, params.window + params.slop + 1)), "index", compression="zstd")
+    blocks = _items(benchmark, params.block, params.window)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _summary(search(index, first, params), merge=False)
+    # Each pass is written before the next block comes to the driver; only documents that it hits are.
+    passes = None
+    for items in chain((first, second), blocks):
+        hit = stored(search(index, items, params).where(F.size("items") > 0).select("row", "hits", "items"), "hits")
+        passes = hit if passes is None else passes.unionByName(hit)
+    merged = passes.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = search(index, [], params).select("row", "doc_id", "n_words").join(merged, "row", "left")
+    none = F.array()
+    return _summary(every.withColumns({"hits": F.coalesce("hits", none.cast("array<long>")), "items": F.coalesce("items", none.cast("array<string>"))}), merge=True)
 
 
 def _summary(found: DataFrame, merge: bool) -> DataFrame:
