@@ -65,21 +65,40 @@ class Template:
 
     def parse(self, formatted: str) -> Iterator[tuple[str, str]]:
         """Turns of a formatted conversation."""
-        at = 0
-        name_from, name_to = self.other.before.split("{}")
-        while at < len(formatted):
-            for role, r in self.roles.items():
-                if formatted.startswith(r.before, at):
-                    at, after = at + len(r.before), r.after
+        reader = Reader(self)
+        yield from reader.feed(formatted)
+        reader.end()
+
+
+class Reader:
+    """Reads turns from the text of a conversation that comes in pieces of any length; it keeps the turn that isn't whole."""
+
+    def __init__(self, template: Template) -> None:
+        self.template, self.held = template, ""
+        self.name_from, self.name_to = template.other.before.split("{}")
+
+    def feed(self, text: str) -> Iterator[tuple[str, str]]:
+        held, at, t = self.held + text, 0, self.template
+        while at < len(held):
+            for role, r in t.roles.items():
+                if held.startswith(r.before, at):
+                    start, after = at + len(r.before), r.after
                     break
             else:
-                if not formatted.startswith(name_from, at):
-                    raise ValueError(f"no turn begins at {at}")
-                end = formatted.index(name_to, at)
-                role, at, after = self.unescape(formatted[at + len(name_from) : end]), end + len(name_to), self.other.after
-            end = formatted.index(after, at)
-            yield role, self.unescape(formatted[at:end])
+                end = held.find(self.name_to, at)
+                if not held.startswith(self.name_from, at) or end < 0:
+                    break
+                role, start, after = t.unescape(held[at + len(self.name_from) : end]), end + len(self.name_to), t.other.after
+            end = held.find(after, start)
+            if end < 0:
+                break
+            yield role, t.unescape(held[start:end])
             at = end + len(after)
+        self.held = held[at:]
+
+    def end(self) -> None:
+        if self.held:
+            raise ValueError("the conversation doesn't end with a turn")
 
 
 DEFAULT = Template(
@@ -92,13 +111,13 @@ DEFAULT = Template(
     final=frozenset({"assistant"}),
 )
 
-_SEGMENTS = "conv_id long, turn long, role string, seq int, segment string, loss boolean, step_ok boolean"
+_SEGMENTS = "conv_id long, place long, turn long, role string, seq int, segment string, loss boolean, step_ok boolean"
 
 
 def format_chat(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Segments of ``conversations(conv_id, turn, role, text)``, three a turn: opening, text, closing.
 
-    ``seq`` orders a turn's segments; ``loss`` marks the text of roles that
+    ``place`` numbers a conversation's turns and ``seq`` a turn's segments; ``loss`` marks the text of roles that
     count; ``step_ok`` tells whether the machine allows the role after the one
     before it.  Turns that it doesn't allow are formatted all the same.  Rows
     with equal ``turn`` go by role, then text, and repeated rows are turns of
@@ -112,20 +131,21 @@ def format_chat(conversations: DataFrame, template: Template = DEFAULT) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = batches  # no conversation yet
-        state = START
+        state, place = START, 0
         for batch in batches:
             out: list[tuple] = []
             for conv_id, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv_id != conv:
-                    conv, state = conv_id, START
+                    conv, state, place = conv_id, START, 0
                 before, after, loss = t.parts(role)
                 known = t.roles.get(role, t.other)
                 ok = state in known.follows
                 state = role
                 for seq, (segment, flag) in enumerate(((before, False), (t.escape(text), loss), (after, False))):
-                    out.append((conv_id, turn, role, seq, segment, flag, ok))
+                    out.append((conv_id, place, turn, role, seq, segment, flag, ok))
+                place += 1
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
                 names = [x.split()[0] for x in _SEGMENTS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -140,11 +160,12 @@ _READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_
 
 
 def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """One row for each conversation of :func:`format_chat` segments, read back from their text.
+    """One row for each conversation of :func:`format_chat` segments, in any order, read back from their text.
 
-    ``turns_sha256`` digests role, newline, text, newline of each turn;
-    ``loss_*`` the text under the loss flags, unescaped; ``valid`` tells
-    whether the machine accepts the conversation.
+    The segments of a conversation are laid end to end, and turns are parsed
+    from that text alone.  ``turns_sha256`` digests role, newline, text,
+    newline of each turn; ``loss_*`` the text under the loss flags, unescaped;
+    ``valid`` tells whether the machine accepts the conversation.
     """
     t = template
 
@@ -155,25 +176,24 @@ def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
         def close() -> None:
             if state:
-                turns, loss, n, chars, size, valid, role, _ = state
+                turns, loss, n, chars, size, valid, role, reader = state
+                reader.end()
                 out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, valid and role in t.final))
 
         for batch in batches:
-            for conv_id, segment, seq, loss, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv_id, segment, loss, ok in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not state or conv_id != conv:
                     close()
-                    conv, state = conv_id, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True, "", ""]
+                    conv, state = conv_id, [hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True, "", Reader(t)]
                 state[4] += len(segment)
-                state[7] += segment
+                state[5] = state[5] and ok
                 if loss:
                     text = t.unescape(segment)
                     state[1].update(text.encode())
                     state[3] += len(text)
-                if seq == 2:
-                    for role, text in t.parse(state[7]):
-                        state[0].update(f"{role}\n{text}\n".encode())
-                        state[2], state[6] = state[2] + 1, role
-                    state[5], state[7] = state[5] and ok, ""
+                for role, text in state[7].feed(segment):
+                    state[0].update(f"{role}\n{text}\n".encode())
+                    state[2], state[6] = state[2] + 1, role
             if out:
                 yield _rows(out)
                 out.clear()
@@ -181,7 +201,9 @@ def read_chat(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
         if out:
             yield _rows(out)
 
-    return segments.select("conv_id", "segment", "seq", "loss", "step_ok").mapInArrow(run, _READ)
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.repartition(n, "conv_id").sortWithinPartitions("conv_id", "place", "seq")
+    return rows.select("conv_id", "segment", "loss", "step_ok").mapInArrow(run, _READ)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

@@ -5,8 +5,8 @@ masked bits ends a chunk, unless another such byte lies less than ``least``
 before it.  Both rules look at nearby bytes only, so boundaries inside a
 passage are the same wherever it stands, and an insertion moves no boundary
 beyond its neighbourhood.  Chunks of whole documents are counted by digest;
-neighbouring chunks of a document that occur in another one too join to a passage,
-and passages of ``min_words`` words are repeats.  The first place of each
+neighbouring chunks of a document that stand at another place too join to a
+passage, and passages of ``min_words`` words are repeats.  The first place of each
 repeated chunk, by document and position, is kept; a passage whose chunks have
 their first places in different documents is reported in parts.
 
@@ -39,13 +39,15 @@ class ChunkParams:
     """``mask_bits`` and ``least``: a chunk has ``least + 2**mask_bits`` bytes on average; ``most`` at most.
 
     A passage loses about 70 bytes at its ends, where chunks reach beyond it,
-    so ``min_words`` of 20 finds passages of more than 50 words.
+    so ``min_words`` of 20 finds passages of more than 50 words.  ``inside``:
+    a passage that only one document repeats counts too.
     """
 
     mask_bits: int = 4
     least: int = 16
     most: int = 256
     min_words: int = 20
+    inside: bool = True
     seed: int = 23
 
 
@@ -107,6 +109,8 @@ def chunk_rows(docs: DataFrame, p: ChunkParams) -> DataFrame:
                 points = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))
                 begins = ~space[own]
                 begins[1:] &= space[own[:-1]]
+                heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+                begins[heads] = ~space[own[heads]]
                 words = np.concatenate(([0], np.cumsum(begins)))
                 at = pa.array(doc + i)
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
@@ -132,27 +136,35 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> D
 
     A run of neighbouring repeated chunks counts if it has ``params.min_words``
     words, which ``n_words`` tells; it gives a row for each part of it along
-    which ``kept`` and ``first_doc_id`` stay the same.  Offsets are code
-    points, end exclusive.  ``first_doc_id`` is the smallest id of a document
-    that holds the part's chunks; ``kept`` tells that the part stands in its
-    first place, and a deduplicated text leaves out the other parts, so no
-    chunk loses its first place.  Rows without ``doc_id`` and null and empty
-    texts have no repeats; rows that share a ``doc_id`` and a text are one
-    document; an empty table gives none.  Other columns are not read.
+    which ``kept`` and ``first_doc_id`` stay the same.  A chunk is repeated if
+    it stands at two places, of two documents or, with ``params.inside``, of
+    one.  Offsets are code points, end exclusive.  ``first_doc_id`` is the
+    smallest id of a document that holds the part's chunks; ``kept`` tells
+    that the part stands in its first place, and a deduplicated text leaves
+    out the other parts, so no chunk loses its first place.  Rows without
+    ``doc_id`` and null and empty texts have no repeats; rows that share a
+    ``doc_id`` are one document, and equal ones among them are one row; an
+    empty table gives none.  Other columns are not read.
     """
     p = params
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = rows.withColumn("row", F.xxhash64("text"))
     chunks = stored(chunk_rows(rows, p), "chunks", compression="zstd")
-    seen = chunks.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "row", "n")).alias("place"))
-    seen = seen.where("low < high").select("digest", "place")
-    hit = chunks.join(seen, "digest").select("doc_id", "row", "n", "start", "end", "words", (F.struct("doc_id", "row", "n") == F.col("place")).alias("first"), F.col("place.doc_id").alias("first_doc_id"))
+    # Numbers only, so the aggregate is by hash; a chunk stands at two places of a document if their hashes differ.
+    place = F.xxhash64("row", "n")
+    seen = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("high"), F.min(place).alias("a"), F.max(place).alias("b"))
+    seen = seen.where("first_doc_id < high or a < b" if p.inside else "first_doc_id < high").select("digest", "first_doc_id")
+    hit = chunks.join(seen, "digest").select("doc_id", "row", "n", "digest", "start", "end", "words", "first_doc_id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hit = hit.repartition(n, "doc_id").dropDuplicates(["doc_id", "row", "n"])
     # A run is a maximal sequence of neighbouring numbers, so number less rank is the same along it.
-    runs = hit.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("n", "start", "end", "words", "first", "first_doc_id"))).alias("c"))
-    runs = runs.select("doc_id", "row", F.posexplode("c").alias("k", "c")).select("doc_id", "row", "c.*", (F.col("c.n") - F.col("k")).alias("run"))
+    text = Window.partitionBy("doc_id", "row").orderBy("n")
+    runs = hit.withColumn("run", F.col("n") - F.row_number().over(text))
+    first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("row", "n")) == 1
+    runs = runs.withColumn("first", (F.col("doc_id") == F.col("first_doc_id")) & first)
     along = Window.partitionBy("doc_id", "row", "run")
     part = F.struct("first", "first_doc_id")
     runs = runs.withColumns({"n_words": F.sum("words").over(along), "new": (part != F.lag(part).over(along.orderBy("n"))).cast("int")}).where(F.col("n_words") >= p.min_words)
     runs = runs.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(along.orderBy("n")))
-    out = runs.groupBy("doc_id", "row", "run", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.first("n_words").alias("n_words"), F.first("first").alias("kept"), F.first("first_doc_id").alias("first_doc_id"))
+    out = runs.groupBy("doc_id", "row", "run", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.max("n_words").alias("n_words"), F.bool_and("first").alias("kept"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "start", "end", "n_words", "kept", "first_doc_id")

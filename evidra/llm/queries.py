@@ -16,6 +16,7 @@ from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
 from evidra.llm.pii import BASE_KINDS, KINDS, find_pii
 from evidra.llm.quality import fit_quality, score_quality
+from evidra.llm.scratch import stored
 from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
 from evidra.llm.toxicity import fit_toxicity, score_toxicity
@@ -96,7 +97,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = texts_to_tiff(table(spark, sf_dir, "documents"))
+    media = texts_to_tiff(table(spark, sf_dir, "documents"), mixed=True)
     media = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return file_features(tiff_pages(media))
 
@@ -106,7 +107,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    found = read_chat(format_chat(conversations.unionByName(fixed)))
+    found = read_chat(stored(format_chat(conversations.unionByName(fixed)), "chat"))
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
@@ -139,12 +140,17 @@ def _remainder(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % mod
 
 
+def _held_out(mod: int, remainder: int) -> Column:
+    """Whether labels of a row stay unseen; a row without doc_id has no label and isn't held out."""
+    return F.coalesce(_remainder(mod) == remainder, F.lit(False)).alias("held_out")
+
+
 @_query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels.where(_remainder(5) != 0))
     scored = score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held_out(5, 0), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
 @_query
@@ -152,7 +158,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     tagger = fit_toxicity(docs, labels.where(_remainder(4) != 2))
     scored = score_toxicity(docs, tagger)
-    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
+    return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
 
 
 def _span_digest(spans: Column, kinds: tuple[str, ...]) -> Column:

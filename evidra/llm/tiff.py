@@ -1,9 +1,11 @@
 """TIFF images in a binary column: one row for each page.
 
 The reader walks the chain of image directories in either byte order, gathers
-strips or tiles, undoes PackBits, LZW or deflate and the horizontal predictor,
-and gives 8-bit samples.  The writer makes files that the reader, and any
-other, can read: grey or RGB pages in strips or tiles.
+strips or tiles, of one or of separate planes, undoes PackBits, LZW or deflate
+and the horizontal predictor, and gives 8-bit samples.  What it doesn't
+support is an error, never other pixels, and nothing is allocated or unpacked
+beyond what the bytes at hand can hold.  The writer makes files that the
+reader, and any other, can read: grey or RGB pages in strips or tiles.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the format: tag numbers, field sizes, compression codes.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 FIELD = {1: "B", 3: "H", 4: "I"}
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 MAX_PAGES = 1 << 20
+#: Samples of a page at most, and how many a stored byte stands for at most, whatever the compression.
+MAX_SAMPLES, MAX_RATIO = 1 << 28, 4096
 
 
 class TiffError(ValueError):
@@ -45,10 +49,20 @@ class TiffParams:
     level: int = 1
     big_endian: bool = False
 
+    def of(self, raw: bytes) -> TiffParams:
+        """The form of one text when forms are mixed: most are these, one in sixteen is PackBits tiles, one LZW strips if it is short."""
+        kind = zlib.crc32(raw) % 16
+        if kind == 0:
+            return replace(self, compression=PACKBITS, tile_width=64, chunk_rows=64, predictor=1)
+        if kind == 1 and len(raw) <= 1 << 14:
+            return replace(self, compression=LZW)
+        return self
 
-def packbits_decode(data: bytes) -> bytes:
+
+def packbits_decode(data: bytes, most: int = MAX_SAMPLES) -> bytes:
+    """The unpacked bytes, ``most`` at most."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -58,7 +72,7 @@ def packbits_decode(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
-    return bytes(out)
+    return bytes(out[:most])
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -79,14 +93,14 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Most significant bit first; code lengths grow one code early, as the format asks."""
+def lzw_decode(data: bytes, most: int = MAX_SAMPLES) -> bytes:
+    """Most significant bit first; code lengths grow one code early, as the format asks; ``most`` bytes at most."""
     out = bytearray()
     table: list[bytes] = []
     bits = width = at = 0
     old = b""
     value = 0
-    while True:
+    while len(out) < most:
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
         while bits < width:
             if at >= len(data):
@@ -110,10 +124,11 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             word = old + old[:1] if code == len(table) else None
             table.append(word or b"")
-        if not word:
+        if not word or len(table) > 4096:
             raise TiffError("LZW code out of range")
         out += word
         old = word
+    return bytes(out[:most])
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -155,18 +170,19 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decoded(data: bytes, compression: int) -> bytes:
-    try:
-        if compression == NONE:
-            return data
-        if compression in (DEFLATE, OLD_DEFLATE):
-            return zlib.decompress(data)
-    except zlib.error as e:
-        raise TiffError(str(e)) from None
+def _decoded(data: bytes, compression: int, most: int) -> bytes:
+    """The unpacked bytes of a strip or tile, ``most`` at most."""
+    if compression == NONE:
+        return data[:most]
+    if compression in (DEFLATE, OLD_DEFLATE):
+        try:
+            return zlib.decompressobj().decompress(data, most)
+        except zlib.error as e:
+            raise TiffError(str(e)) from None
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     raise TiffError(f"compression {compression} is not known")
 
 
@@ -197,19 +213,32 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return tags, after
 
 
-def read_pages(data: bytes) -> Iterator[np.ndarray]:
-    """Pages of a file as arrays of (height, width, samples); raises :class:`TiffError` on anything else."""
+def directories(data: bytes) -> tuple[str, list[dict[int, tuple]], str | None]:
+    """Byte order, the tags of each page, and why the chain ends before its end, if it does."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(data[:4]))
     if order is None or len(data) < 8:
-        raise TiffError("no TIFF header")
+        return "<", [], "no TIFF header"
     (at,) = struct.unpack_from(order + "I", data, 4)
-    seen: set[int] = set()
+    found, seen = [], set()
     while at:
         if at in seen or len(seen) >= MAX_PAGES:
-            raise TiffError("directories form a loop")
+            return order, found, "directories form a loop"
         seen.add(at)
-        tags, at = _directory(data, at, order)
+        try:
+            tags, at = _directory(data, at, order)
+        except TiffError as e:
+            return order, found, str(e)
+        found.append(tags)
+    return order, found, None
+
+
+def read_pages(data: bytes) -> Iterator[np.ndarray]:
+    """Pages of a file as arrays of (height, width, samples); raises :class:`TiffError` on anything else."""
+    _, found, error = directories(data)
+    for tags in found:
         yield _page(data, tags)
+    if error:
+        raise TiffError(error)
 
 
 def _page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
@@ -221,33 +250,42 @@ def _page(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
         return tags[tag][0]
 
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    predictor, photometric = one(PREDICTOR, 1), one(PHOTOMETRIC, 1)
     if any(b != 8 for b in tags.get(BITS, (1,))):
         raise TiffError("samples aren't 8 bits wide")
-    if samples > 1 and one(PLANAR, 1) != 1:
-        raise TiffError("separate planes aren't supported")
+    if predictor not in (1, 2) or photometric not in (0, 1, 2) or one(FILL_ORDER, 1) != 1 or one(PLANAR, 1) not in (1, 2):
+        raise TiffError("predictor, photometric, fill order or planes aren't supported")
+    planes = samples if one(PLANAR, 1) == 2 else 1
+    per = samples // planes
     tiled = TILE_OFFSETS in tags
     cw = one(TILE_WIDTH) if tiled else width
     ch = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
     offsets, counts = (tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ()))
-    if not (width and height and cw and ch):
+    if not (width and height and samples and cw and ch):
         raise TiffError("page without area")
     across, down = -(-width // cw), -(-height // ch)
-    if len(offsets) < across * down or len(counts) < len(offsets):
+    if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("strips or tiles are missing")
+    area = down * ch * across * cw * samples
+    if area > min(MAX_SAMPLES, MAX_RATIO * (sum(counts) + 1)):
+        raise TiffError("the page is larger than its bytes can hold")
     page = np.empty((down * ch, across * cw, samples), np.uint8)
-    for k in range(across * down):
+    for k in range(across * down * planes):
         if offsets[k] + counts[k] > len(data):
             raise TiffError("strip or tile beyond the end")
-        row, col = divmod(k, across)
+        plane, place = divmod(k, across * down)
+        row, col = divmod(place, across)
         rows = ch if tiled else min(ch, height - row * ch)
-        raw = _decoded(data[offsets[k] : offsets[k] + counts[k]], one(COMPRESSION, 1))
-        if len(raw) < rows * cw * samples:
+        size = rows * cw * per
+        raw = _decoded(data[offsets[k] : offsets[k] + counts[k]], one(COMPRESSION, 1), size)
+        if len(raw) < size:
             raise TiffError("strip or tile is too short")
-        block = np.frombuffer(raw, np.uint8, rows * cw * samples).reshape(rows, cw, samples)
-        if one(PREDICTOR, 1) == 2:
+        block = np.frombuffer(raw, np.uint8, size).reshape(rows, cw, per)
+        if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
-        page[row * ch : row * ch + rows, col * cw : (col + 1) * cw] = block
-    return page[:height, :width]
+        page[row * ch : row * ch + rows, col * cw : (col + 1) * cw, plane * per : (plane + 1) * per] = block
+    page = page[:height, :width]
+    return 255 - page if photometric == 0 else page
 
 
 def write_pages(pages: list[np.ndarray], p: TiffParams) -> bytes:
@@ -295,9 +333,11 @@ def payload_of(text: bytes, width: int) -> bytes:
     return text + b" " * (width - len(text) % width if len(text) % width or not text else 0)
 
 
-def texts_to_tiff(docs: DataFrame, params: TiffParams = TiffParams()) -> DataFrame:
+def texts_to_tiff(docs: DataFrame, params: TiffParams = TiffParams(), mixed: bool = False) -> DataFrame:
     """``doc_id, n_bytes, media``: each whole text, as UTF-8 filled to whole rows, in a grey TIFF file.
 
+    ``mixed`` gives some texts another form, by their bytes alone.
+
     A null text is an empty one and makes one row of spaces.  A null
     ``doc_id`` is returned as null, repeated rows give one file each, and an
     empty table gives none.  Other columns are not read.
@@ -311,12 +351,14 @@ def texts_to_tiff(docs: DataFrame, params: TiffParams = TiffParams()) -> DataFra
                 raw = (text.as_py() or "").encode()
                 sizes.append(len(raw))
                 rows = np.frombuffer(payload_of(raw, p.width), np.uint8).reshape(-1, p.width, 1)
-                media.append(write_pages([rows[i : i + p.page_rows] for i in range(0, len(rows), p.page_rows)], p))
+                media.append(write_pages([rows[i : i + p.page_rows] for i in range(0, len(rows), p.page_rows)], p.of(raw) if mixed else p))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: Pixels that one batch of pages holds at most, but for a single larger page.
+BATCH_BYTES = 8 << 20
 PAGE_FIELDS = "page int, pages int, width int, height int, samples int, pixels binary, error string"
 
 
@@ -324,31 +366,49 @@ def tiff_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row for each page of each file in ``column``, after the table's other columns.
 
     ``pixels`` holds the page's samples row by row; ``page`` counts from 0 and
-    ``pages`` is the file's number of pages.  Bytes that can't be read give
-    one row with ``error`` set and nulls for the page, in place of all pages;
-    so does a null.  Rows keep their order inside a partition.  Other columns
-    named like the page's are replaced by them.
+    ``pages`` is the number of pages that the file's directories tell.  A page
+    that can't be read gives a row with ``error`` set and null pixels, and the
+    file's other pages come all the same.  Where the directories break off,
+    one more row has the error and a null ``page``; a file without a page, and
+    a null, give that row alone.  Rows keep their order inside a partition.
+    Other columns named like the page's, in any case, are replaced by them.
     """
     names = [x.split()[0] for x in PAGE_FIELDS.split(", ")]
-    rest = [c for c in media.columns if c not in (*names, column)]
+    rest = [c for c in media.columns if c.lower() not in (*names, column.lower())]
     quoted = [F.col(f"`{c}`") for c in rest]
+    kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
+
+    def rows(raw: bytes | None) -> Iterator[tuple]:
+        if raw is None:
+            yield (None, None, None, None, None, None, "no bytes")
+            return
+        _, found, error = directories(raw)
+        for i, tags in enumerate(found):
+            try:
+                x = _page(raw, tags)
+                yield (i, len(found), x.shape[1], x.shape[0], x.shape[2], x.tobytes(), None)
+            except TiffError as e:
+                yield (i, len(found), None, None, None, None, str(e))
+        if error or not found:
+            yield (None, len(found), None, None, None, None, error or "no pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
         for batch in batches:
+            held, size = [], 0
+
+            def flushed() -> pa.RecordBatch:
+                own = [batch.column(c).take(pa.array([k for k, _ in held])) for c in range(1, batch.num_columns)]
+                return pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(zip(*(x for _, x in held), strict=True), kinds, strict=True)], rest + names)
+
             for k in range(batch.num_rows):
-                raw = batch.column(0)[k].as_py()
-                try:
-                    if raw is None:
-                        raise TiffError("no bytes")
-                    pages = list(read_pages(raw))
-                    if not pages:
-                        raise TiffError("no pages")
-                    rows = [(i, len(pages), x.shape[1], x.shape[0], x.shape[2], x.tobytes(), None) for i, x in enumerate(pages)]
-                except TiffError as e:
-                    rows = [(None, None, None, None, None, None, str(e))]
-                own = [batch.column(c).take(pa.array([k] * len(rows))) for c in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], rest + names)
+                for row in rows(batch.column(0)[k].as_py()):
+                    held.append((k, row))
+                    size += len(row[5] or b"")
+                    if size > BATCH_BYTES:
+                        yield flushed()
+                        held, size = [], 0
+            if held:
+                yield flushed()
 
     schema = ", ".join([f"`{c}` {media.schema[c].dataType.simpleString()}" for c in rest] + [PAGE_FIELDS])
     return media.select(F.col(f"`{column}`"), *quoted).mapInArrow(run, schema)
@@ -361,28 +421,43 @@ def file_features(pages: DataFrame) -> DataFrame:
     """One row for each file of :func:`tiff_pages` rows of text files: digests of its samples and a feature string.
 
     The feature holds the page count, the mean sample of each quarter of the
-    payload and its commonest sample.  Rows of a file follow each other, as
-    that function returns them; nothing is shuffled.
+    payload and its commonest sample.  A file with a page that can't be read
+    has nulls for what its samples tell, and the error as its feature.  Rows
+    of a file follow each other, as that function returns them; nothing is
+    shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         held: list[bytes] = []
+        bad = None
         out: list[tuple] = []
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_id, n_bytes, media_bytes, media_sha, page, count, pixels = (batch.column(c)[k].as_py() for c in range(7))
-                held.append(pixels)
-                if page == count - 1:
-                    raw, held = b"".join(held), []
-                    a = np.frombuffer(raw, np.uint8)
-                    means = ",".join(f"{x.mean():.3f}" for x in np.array_split(a, 4))
-                    feature = f"pages={count};means={means};mode={np.bincount(a, minlength=256).argmax()}"
-                    out.append((doc_id, n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), media_bytes, media_sha, feature))
-            if out:
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _FILE.split(", ")])
-                out = []
-
-    return pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pages", "pixels").mapInArrow(run, _FILE)
+                doc_id, n_bytes, media_bytes, media_sha, page, count, pixels, error = (batch.column(c)[k].as_py() for c in range(8))
+                if page == 0:
+                    held, bad = [], None
+                bad = bad or error
+                held.append(pixels or b"")
+                if page is not None and page < count - 1:
+                    continue
+                if page is None and count:
+                    out.pop()  # the directories broke off behind the last page
+                raw, held = b"".join(held), []
+                if bad:
+                    out.append((doc_id, n_bytes, None, None, None, media_bytes, media_sha, f"error={bad}"))
+                    bad = None
+                    continue
+                a = np.frombuffer(raw, np.uint8)
+                means = ",".join(f"{x.mean():.3f}" for x in np.array_split(a, 4))
+                feature = f"pages={count};means={means};mode={np.bincount(a, minlength=256).argmax()}"
+                out.append((doc_id, n_bytes, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), media_bytes, media_sha, feature))
+            if len(out) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[:-1], strict=True), kinds, strict=True)], [x.split()[0] for x in _FILE.split(", ")])
+                out = out[-1:]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in _FILE.split(", ")])
+
+    return pages.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "pages", "pixels", "error").mapInArrow(run, _FILE)

@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.llm import blocks as B
-from evidra.llm import bpe, crf, minhash, pii, tiff, token_files
-from evidra.llm.chat import DEFAULT, format_chat, read_chat
+from evidra.llm import bpe, crf, minhash, pii, tiff, token_files, toxicity
+from evidra.llm.chat import DEFAULT, Reader, format_chat, read_chat
 from evidra.llm.chunk_dedup import ChunkParams, boundaries, repeated_passages
 from evidra.llm.components import connected_components
 from evidra.llm.decontaminate import PhraseParams, build_index, contamination, search
@@ -223,6 +223,14 @@ def test_toxicity(spark, docs, none):
     assert fit_toxicity(none.select("doc_id", "text"), known).score(np.zeros(1), np.zeros(1))[0] <= 0.5
 
 
+def test_long_sentences_are_cut():
+    """A line of a hundred thousand words is read in bounded pieces, by the tagger and by the finder of personal data."""
+    for cut in (toxicity.tokens, pii._tokens):
+        *_, first, length = cut(*B.utf8(pa.array([prose(100_000, 3), None, "one two"])))
+        assert length.sum() == 100_002 and length.max() == crf.LONGEST and len(first) == -(-100_000 // crf.LONGEST) + 1
+    assert crf.limited(np.zeros(0, bool)).tolist() == []
+
+
 def test_tagger_without_toxic_documents():
     t = train_tagger([prose(20, i) for i in range(5)], np.zeros(5), ToxicityParams())
     assert t.score(np.zeros(1), np.zeros(1))[0] < 0.3
@@ -424,6 +432,14 @@ def test_contamination_awkward(spark, docs, none):
     assert contamination(none, bench).count() == 0
 
 
+def test_wide_matches_stay_inside_documents(spark):
+    """The gap between documents follows the window and the slop."""
+    d = spark.createDataFrame([(1, "alpha " + prose(5, 71)), (2, prose(5, 72) + " omega")], DOC).coalesce(1)
+    bench = spark.createDataFrame([("i", "alpha omega")], "item_id string, text string")
+    assert not any(r.contaminated for r in contamination(d, bench, PhraseParams(window=2, slop=5000)).collect())
+    assert contamination(d.select("doc_id", F.lit("alpha x omega").alias("text")), bench, PhraseParams(window=2, slop=5000)).where("contaminated").count() == 2
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha x y beta gamma"), (3, "beta alpha gamma"), (4, "alpha. beta! gamma")], DOC)
     got = search(build_index(d), [("i", "alpha beta gamma")], PhraseParams(slop=1)).collect()
@@ -437,7 +453,7 @@ def test_chat(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "</s>[INST] \\ <s"), (1, 0, "system", None), (2, 0, "assistant", "x"), (3, 0, "user", "only"), (4, None, None, "n"), (4, 1, "tool[NAME]", "[/ROLE]"), (None, 0, "user", "u"), (5, 0, "user", "q"), (5, 0, "user", "q"), (6, 0, "user", "q"), (6, 1, "assistant", "A" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash"))
     segments = format_chat(df)
-    got = {r.conv_id: r for r in read_chat(segments).collect()}
+    got = {r.conv_id: r for r in read_chat(segments.orderBy("segment")).collect()}
     by = {}
     for c, t, role, text in sorted(rows, key=lambda r: (r[0] or -1, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
         by.setdefault(c, []).append((role or "", text or ""))
@@ -457,6 +473,15 @@ def test_chat_escapes_are_reversible():
         turns = [(r.choice(["user", "assistant", "system", "a[ROLE] [NAME] b", ""]), "".join(r.choice(parts) for _ in range(r.randint(0, 6)))) for _ in range(r.randint(0, 4))]
         text = "".join(DEFAULT.parts(a)[0] + DEFAULT.escape(b) + DEFAULT.parts(a)[1] for a, b in turns)
         assert list(DEFAULT.parse(text)) == turns
+        reader, at, pieces = Reader(DEFAULT), 0, []
+        while at < len(text):
+            to = at + r.randint(1, 12)
+            pieces += reader.feed(text[at:to])
+            at = to
+        reader.end()
+        assert pieces == turns
+    with pytest.raises(ValueError):
+        list(DEFAULT.parse("<s>open"))
 
 
 # Personal data
@@ -528,14 +553,89 @@ def test_lzw_long():
     assert tiff.lzw_decode(tiff.lzw_encode(raw)) == raw
 
 
+def field(tag, kind, *values):
+    return tag, kind, values
+
+
+def built(pages, fields, order="<"):
+    """A file of one directory whose strips are ``pages``, put together here."""
+    import struct
+
+    out, offsets = bytearray(b"II*\0\0\0\0\0" if order == "<" else b"MM\0*\0\0\0\0"), []
+    for p in pages:
+        offsets.append(len(out))
+        out += p
+    entries = sorted([*fields, (tiff.STRIP_OFFSETS, "I", tuple(offsets)), (tiff.STRIP_COUNTS, "I", tuple(map(len, pages)))])
+    packed = []
+    for tag, kind, values in entries:
+        raw = struct.pack(f"{order}{len(values)}{kind}", *values)
+        if len(raw) > 4:
+            where, raw = len(out), raw
+            out += raw
+            raw = struct.pack(order + "I", where)
+        packed.append(struct.pack(order + "HHI", tag, 3 if kind == "H" else 4, len(values)) + raw.ljust(4, b"\0"))
+    struct.pack_into(order + "I", out, 4, len(out))
+    return bytes(out + struct.pack(order + "H", len(packed)) + b"".join(packed) + b"\0\0\0\0")
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_foreign_tiff(order):
+    """Separate planes, white as zero, and forms that must be refused."""
+    red, green = np.arange(12, dtype=np.uint8).reshape(3, 4), np.arange(100, 112, dtype=np.uint8).reshape(3, 4)
+    size = [field(tiff.WIDTH, "I", 4), field(tiff.HEIGHT, "I", 3)]
+    (page,) = tiff.read_pages(built([red.tobytes(), green.tobytes()], [*size, field(tiff.BITS, "H", 8, 8), field(tiff.SAMPLES, "H", 2), field(tiff.PLANAR, "H", 2)], order))
+    assert (page[:, :, 0] == red).all() and (page[:, :, 1] == green).all()
+    grey = [*size, field(tiff.BITS, "H", 8)]
+    (page,) = tiff.read_pages(built([red.tobytes()], [*grey, field(tiff.PHOTOMETRIC, "H", 0)], order))
+    assert (page[:, :, 0] == 255 - red).all()
+    for bad in ([field(tiff.PREDICTOR, "H", 3)], [field(tiff.PHOTOMETRIC, "H", 6)], [field(tiff.FILL_ORDER, "H", 2)], [field(tiff.PLANAR, "H", 3), field(tiff.SAMPLES, "H", 1)], [field(tiff.COMPRESSION, "H", 7)]):
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_pages(built([red.tobytes()], [*grey, *bad], order)))
+    huge = [field(tiff.WIDTH, "I", 2**32 - 1), field(tiff.HEIGHT, "I", 2**32 - 1), field(tiff.BITS, "H", 8), field(tiff.ROWS_PER_STRIP, "I", 2**32 - 1)]
+    with pytest.raises(tiff.TiffError):
+        list(tiff.read_pages(built([red.tobytes()], huge, order)))
+    bomb = zlib.compress(bytes(10_000_000))
+    (page,) = tiff.read_pages(built([bomb], [*grey, field(tiff.COMPRESSION, "H", tiff.DEFLATE)], order))
+    assert page.shape == (3, 4, 1) and not page.any()
+
+
+def test_tiff_fuzz():
+    """Files with changed, cut or repeated bytes are read or refused, never anything else."""
+    rng = np.random.default_rng(5)
+    pages = [rng.integers(0, 256, (20, 30, 3), dtype=np.uint8), rng.integers(0, 4, (9, 17, 1), dtype=np.uint8)]
+    for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        good = tiff.write_pages(pages, tiff.TiffParams(chunk_rows=16, tile_width=16, compression=compression))
+        for _ in range(300):
+            bad = bytearray(good[: rng.integers(0, len(good) + 1)] if rng.random() < 0.2 else good)
+            for at in rng.integers(0, max(len(bad), 1), rng.integers(1, 12)):
+                if len(bad):
+                    bad[at] = rng.integers(0, 256)
+            try:
+                found = list(tiff.read_pages(bytes(bad)))
+            except tiff.TiffError:
+                continue
+            assert all(p.dtype == np.uint8 and p.size <= tiff.MAX_SAMPLES for p in found)
+
+
 def test_damaged_tiff(spark):
     good = tiff.write_pages([np.zeros((4, 4, 1), np.uint8)], tiff.TiffParams(width=4))
     loop = good[:-4] + (int.from_bytes(good[4:8], "little")).to_bytes(4, "little")
-    bad = [None, b"", b"GIF89a", good[:20], loop, good[:8] + b"\xff" * (len(good) - 8)]
-    df = spark.createDataFrame([(i, b and bytearray(b)) for i, b in enumerate([good, *bad])], "doc_id long, media binary").withColumn("page", F.lit("clash"))
-    got = {r.doc_id: r for r in tiff.tiff_pages(df).collect()}
-    assert len(got) == 7 and got[0].error is None and (got[0].width, got[0].pages) == (4, 1)
-    assert all(got[i].error and got[i].pixels is None for i in range(1, 7))
+    bad = [None, b"", b"GIF89a", good[:20], good[:8] + b"\xff" * (len(good) - 8)]
+    three = bytearray(tiff.write_pages([np.full((4, 4, 1), k, np.uint8) for k in range(3)], tiff.TiffParams(width=4, compression=tiff.NONE, predictor=1)))
+    at = three.find((tiff.COMPRESSION).to_bytes(2, "little") + b"\3\0", three.find((tiff.COMPRESSION).to_bytes(2, "little") + b"\3\0") + 1)
+    three[at + 8] = 7
+    df = spark.createDataFrame([(i, b and bytearray(b)) for i, b in enumerate([good, *bad, loop, bytes(three)])], "doc_id long, media binary").withColumn("Page", F.lit("clash"))
+    got = {}
+    for r in tiff.tiff_pages(df).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[0]) == 1 and got[0][0].error is None and (got[0][0].width, got[0][0].pages) == (4, 1)
+    assert all(len(got[i]) == 1 and got[i][0].error and got[i][0].page is None for i in range(1, 6))
+    assert [(r.page, r.error is None) for r in got[6]] == [(0, True), (None, False)]
+    assert [(r.page, r.pages, r.error is None) for r in got[7]] == [(0, 3, True), (1, 3, False), (2, 3, True)] and got[7][2].pixels == bytes([2] * 16)
+    files = df.withColumns({"n_bytes": F.lit(1), "media_bytes": F.lit(1), "media_sha256": F.lit("")}).coalesce(1)
+    features = {r.doc_id: r for r in tiff.file_features(tiff.tiff_pages(files)).collect()}
+    assert len(features) == 8 and features[0].payload_bytes == 16
+    assert all(features[i].payload_bytes is None and features[i].feature.startswith("error=") for i in range(1, 8))
 
 
 def test_text_files(docs, none):
@@ -597,10 +697,11 @@ def test_repeated_passages(spark):
         rows.append((i, w))
     got = repeated_passages(spark.createDataFrame(rows, DOC)).collect()
     ids = {r.doc_id for r in got}
-    assert shared(rows, 51) <= ids <= shared(rows, 18)
+    across = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, DOC), ChunkParams(inside=False)).collect()}
+    assert shared(rows, 51) <= across <= shared(rows, 18) and across <= ids
     texts = dict(rows)
     for g in got:
-        assert g.n_words >= 20 and any(texts[g.doc_id][g.start : g.end] in texts[j] for j in texts if j != g.doc_id)
+        assert g.n_words >= 20 and any(texts[g.doc_id][g.start : g.end] in texts[j] for j in texts if j != g.doc_id) | (texts[g.doc_id].count(texts[g.doc_id][g.start : g.end]) > 1)
         assert g.first_doc_id <= g.doc_id
     firsts = {g.first_doc_id for g in got}
     assert any(g.kept for g in got) and all(not g.kept or g.doc_id in firsts for g in got)
@@ -622,7 +723,17 @@ def test_repeated_passages_in_parts(spark):
     assert sum(len(t) for i, t in kept if i == 10) + len(removed[10][0]) == len(texts[10])
 
 
+def test_repeats_inside_a_document(spark):
+    """The first place of a passage that one document repeats is kept; rows of one document are one text."""
+    passage = prose(80, 951)
+    rows = [(1, f"{prose(50, 952)} {passage} {prose(50, 953)} {passage} {prose(50, 954)}"), (2, passage + " " + prose(40, 955)), (2, passage + " " + prose(41, 956)), (3, prose(100, 957)), (3, prose(100, 957))]
+    got = repeated_passages(spark.createDataFrame(rows, DOC)).collect()
+    assert [g.kept for g in sorted((g for g in got if g.doc_id == 1), key=lambda g: g.start)] == [True, False]
+    assert {g.doc_id for g in got} == {1, 2} and not any(g.kept for g in got if g.doc_id == 2)
+    assert {g.doc_id for g in repeated_passages(spark.createDataFrame(rows[:1], DOC), ChunkParams(inside=False)).collect()} == set()
+
+
 def test_repeated_passages_awkward(docs, none):
-    got = repeated_passages(docs).collect()
+    got = repeated_passages(docs, ChunkParams(inside=False)).collect()
     assert {r.doc_id for r in got} == {7, 8}
     assert repeated_passages(none).count() == 0
