@@ -189,7 +189,7 @@ def make_chunks(docs: DataFrame, limit: int, count: Callable[[str], int] = chara
         return pd.Series([one(t, p, k) for t, p, k in zip(text, before, kind, strict=True)], dtype=object)
 
     spans = found.withColumn("cut", cut("text", "prefix", "kind"))
-    checked = spans.withColumn("s", F.when(F.col("cut.error").isNotNull(), F.raise_error("cut.error")).otherwise(F.col("cut.spans")))
+    checked = spans.withColumn("s", F.when(F.col("cut.error").isNotNull(), F.raise_error(F.col("cut.error"))).otherwise(F.col("cut.spans")))
     rows = checked.select("parsed_path", "kind", "page", "row", "table", "prefix", "document_version", "text", F.posexplode("s").alias("ordinal", "s"))
     content = F.concat("prefix", F.expr("substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int))"))
     place = F.to_json(F.struct("kind", "page", "row", "table"))

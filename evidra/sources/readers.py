@@ -58,7 +58,7 @@ def cached_parses(files: DataFrame, cache: DataFrame, options: str, worker: str)
     digest isn't the recorded one is never served.
     """
     keyed = files.select("path", cache_key(F.col("content"), options, worker).alias("key"))
-    found = keyed.join(cache, "key", "left")
+    found = keyed.join(cache.select("key", "sha256", "document"), "key", "left")
     state = F.when(F.col("document").isNull(), "miss").when(F.length("document") > MAX_JSON, "too_large").when(F.sha2("document", 256) != F.col("sha256"), "changed").otherwise("hit")
     return found.select("path", F.when(state == "hit", F.col("document")).alias("document"), state.alias("state"))
 
