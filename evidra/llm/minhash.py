@@ -14,10 +14,12 @@ each document, which joins groups of near copies at a cost linear in their
 size.  What remains are buckets whose members are in different components:
 there signatures, not texts, are compared, each member outside the bucket's
 largest component with the others, in blocks of bounded size, and each is
-confirmed against its most similar partners, a few first, then all that are
-left, until no allowed pair of a bucket is both unconfirmed and apart.  So
-documents that are already together are not compared again.  A first member
-with many partners is dealt out over tasks by shingle count.
+confirmed against its most similar partners.  Where some have more partners
+than that, the components that allowed pairs connect are read in blocks, and
+every document outside the largest of them is compared with all of its block
+through an inverted index of shingles; no pairs are written.  So documents that
+are already together are not compared again.  A first member with many
+partners is dealt out over tasks by shingle count.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import blocks as B
@@ -45,10 +47,10 @@ class MinHashParams:
 
     ``bands * rows`` minima form buckets: a pair at the threshold of 0.8
     shares none of 30 bands of 5 with a probability of 7e-6.  ``block``:
-    shingles of one document's partners that a task reads.  ``bucket``:
-    members of a bucket that a task compares with as many others.
-    ``partners``: how many are confirmed for each member of a bucket in the
-    first rounds; the last round leaves none out.
+    shingles that a task reads of one document's partners, or of a block.
+    ``bucket``: members of a bucket that a task compares with as many others,
+    and documents that it compares with a block.  ``partners``: how many are
+    confirmed one by one for each member of a bucket, before blocks are read.
     """
 
     words: int = 5
@@ -59,7 +61,7 @@ class MinHashParams:
     b: int = 4
     block: int = 3_000_000
     bucket: int = 8192
-    partners: tuple[int, ...] = (8,)
+    partners: int = 8
     seed: int = 11
 
 
@@ -230,55 +232,162 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 CELLS = 200_000
 
 
-def _bucket_pairs(keys: DataFrame, rows: DataFrame, labels: DataFrame, partners: int | None, p: MinHashParams) -> DataFrame:
-    """``(u, v, n, cut)``: allowed pairs of a bucket whose members are in different components.
+def _bucket_members(keys: DataFrame, rows: DataFrame, labels: DataFrame, p: MinHashParams) -> DataFrame:
+    """``key, task, side, doc_id, label, n_shingles, packed``, dealt and sorted by task, of buckets in several components.
 
-    Each member outside its bucket's largest component gets its most similar
-    ``partners``, in every task that compares it; ``cut`` tells that there
-    were more.  A bucket larger than ``p.bucket`` is compared block by block.
+    Side 1 holds the members outside the bucket's largest component, side 0
+    all; a bucket larger than ``p.bucket`` has a task for each two blocks.
     """
+    own = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    sizes = own.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    mixed = sizes.where("labels > 1").select("key", "main", F.ceil(F.col("all") / p.bucket).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / p.bucket).alias("shares"))
+    members = own.join(mixed, "key").join(rows.select("doc_id", "n_shingles", "packed"), "doc_id")
+    return _dealt(members, F.col("label") != F.col("main"), ["key"], ["doc_id", "label", "n_shingles", "packed"])
+
+
+def _dealt(members: DataFrame, rest: Column, keys: list[str], more: list[str]) -> DataFrame:
+    """Rows by ``keys, task, side``: each of all members meets each of ``rest`` in one of ``blocks`` times ``shares`` tasks."""
+    share, block = F.pmod(F.xxhash64("doc_id", F.lit(2)), "shares"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks")
+    until = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    sides = members.withColumn("side", F.explode(F.when(rest, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    tasks = F.when(F.col("side") == 1, F.transform(until("blocks"), lambda b: share * F.col("blocks") + b)).otherwise(F.transform(until("shares"), lambda a: a * F.col("blocks") + block))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sides.withColumn("task", F.explode(tasks)).select(*keys, "task", "side", *more).repartition(n, *keys, "task").sortWithinPartitions(*keys, "task", "side")
+
+
+def _compared(table: pa.Table, p: MinHashParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers and estimates of the allowed pairs of :func:`_bucket_members` that are apart; the rows of side 1 come first."""
+    key, task, side, _, label, size = (table.column(c).to_numpy() for c in range(6))
+    packed = _signature_rows(table.column(6).combine_chunks(), p)
+    group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (task[1:] != task[:-1]))))
+    x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    begin, end = (np.searchsorted(group[y], group[x], s) for s in ("left", "right"))
+    total = np.concatenate(([0], np.cumsum(end - begin)))
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, "right")) - 1)
+        count = (end - begin)[at:to]
+        xi = np.repeat(x[at:to], count)
+        yi = y[np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at] - begin[at:to], count)]
+        apart = np.flatnonzero(label[xi] != label[yi])
+        xi, yi = xi[apart], yi[apart]
+        ok, found = allowed(packed[xi], packed[yi], size[xi], size[yi], p)
+        yield xi[ok], yi[ok], found[ok]
+        at = to
+
+
+def _bucket_pairs(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """``(u, v, n, cut)``: the ``p.partners`` most similar allowed partners of each member that is compared; ``cut``: there were more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
-            key, task, side, doc, label, size = (table.column(c).to_numpy() for c in range(6))
-            packed = _signature_rows(table.column(6).combine_chunks(), p)
-            group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (task[1:] != task[:-1]))))
-            x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-            begin, end = (np.searchsorted(group[y], group[x], s) for s in ("left", "right"))
-            total = np.concatenate(([0], np.cumsum(end - begin)))
-            at = 0
-            while at < len(x):
-                to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, "right")) - 1)
-                count = (end - begin)[at:to]
-                xi = np.repeat(x[at:to], count)
-                yi = y[np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at] - begin[at:to], count)]
-                apart = np.flatnonzero(label[xi] != label[yi])
-                xi, yi = xi[apart], yi[apart]
-                ok, found = allowed(packed[xi], packed[yi], size[xi], size[yi], p)
-                xi, yi, found = xi[ok], yi[ok], found[ok]
+            doc, size = table.column(3).to_numpy(), table.column(5).to_numpy()
+            for xi, yi, found in _compared(table, p):
                 order = np.lexsort((doc[yi], -found, xi))
                 xi, yi = xi[order], yi[order]
                 first = np.searchsorted(xi, xi, "left")
                 many = np.searchsorted(xi, xi, "right") - first
-                rank = np.arange(len(xi)) - first
-                keep = rank < (partners or len(xi) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[xi[keep]]), pa.array(doc[yi[keep]]), pa.array(size[xi[keep]]), pa.array((many > (partners or len(xi)))[keep])], ["u", "v", "n", "cut"])
-                at = to
+                keep = np.arange(len(xi)) - first < p.partners
+                more = many > p.partners
+                if not p.partners and len(xi):
+                    keep[0] = True  # a pair that tells that there are some
+                yield pa.RecordBatch.from_arrays([pa.array(doc[xi[keep]]), pa.array(doc[yi[keep]]), pa.array(size[xi[keep]]), pa.array(more[keep])], ["u", "v", "n", "cut"])
 
-    own = keys.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    sizes = own.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.count("*").alias("labels"))
-    mixed = sizes.where("labels > 1").select("key", "main", F.ceil(F.col("all") / p.bucket).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / p.bucket).alias("shares"))
-    members = own.join(mixed, "key").join(rows.select("doc_id", "n_shingles", "packed"), "doc_id")
-    share, block = F.pmod(F.xxhash64("doc_id", F.lit(2)), "shares"), F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks")
-    sides = F.when(F.col("label") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    members = members.withColumn("side", F.explode(sides))
-    tasks = F.when(F.col("side") == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: share * F.col("blocks") + b)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda a: a * F.col("blocks") + block))
-    members = members.withColumn("task", F.explode(tasks)).select("key", "task", "side", "doc_id", "label", "n_shingles", "packed")
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = members.repartition(n, "key", "task").sortWithinPartitions("key", "task").mapInArrow(run, "u long, v long, n long, cut boolean")
+    found = members.mapInArrow(run, "u long, v long, n long, cut boolean")
     return found.groupBy("u", "v").agg(F.max("n").alias("n"), F.max("cut").alias("cut"))
 
 
+def _least(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def _near_components(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """``(u, v)``: components that allowed pairs connect, each with the smallest that its task connects it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 2):
+            label = table.column(4).to_numpy()
+            u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for xi, yi, _ in _compared(table, p):
+                u, v = _least(np.concatenate((u, label[xi])), np.concatenate((v, label[yi])))
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+
+    return members.mapInArrow(run, "u long, v long").distinct()
+
+
+def _block_links(texts: DataFrame, rows: DataFrame, labels: DataFrame, near: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links between the components that ``near`` connects: every document outside the largest of them against all, block by block.
+
+    A document gives one link to each component that it is linked to.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = B.byte_values(lower=True)
+        now, parts, index = None, [], None
+        for batch in batches:
+            cluster, task, side, doc, label = (batch.column(c).to_numpy() for c in range(5))
+            data, offs = B.utf8(batch.column(5))
+            u: list[int] = []
+            v: list[int] = []
+            for i, j in B.slices(offs):
+                flat, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], p.words, values)
+                for k in range(i, j):
+                    own = flat[bounds[k - i] : bounds[k - i + 1]]
+                    if (cluster[k], task[k]) != now:
+                        now, parts, index = (cluster[k], task[k]), [], None
+                    if side[k] == 0:
+                        parts.append((own.copy(), int(doc[k]), int(label[k])))
+                    elif parts:
+                        index = index or _Block(parts, p.percent)
+                        for partner in index.linked(own, int(label[k])):
+                            u.append(int(doc[k]))
+                            v.append(partner)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    clusters = stored(connected_components(near), "clusters").toDF("label", "cluster")
+    sizes = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
+    members = sizes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    members = stored(members.join(clusters, "label").select("doc_id", "label", "cluster", "n"), "members")
+    parts = members.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    plan = parts.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.ceil(F.sum("n") / p.block).alias("blocks"), F.ceil((F.sum("c") - F.max("c")) / p.bucket).alias("shares"))
+    placed = members.join(plan, "cluster").join(texts, "doc_id")
+    return _dealt(placed, F.col("label") != F.col("main"), ["cluster"], ["doc_id", "label", "text"]).mapInArrow(run, "u long, v long")
+
+
+class _Block:
+    """An inverted index of the sets of a block: sorted shingles with their owners."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, int, int]], percent: int) -> None:
+        self.size = np.array([len(s) for s, _, _ in parts])
+        self.doc, self.label = np.array([d for _, d, _ in parts]), np.array([x for _, _, x in parts])
+        ids, owner = np.concatenate([s for s, _, _ in parts]), np.repeat(np.arange(len(parts)), self.size)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.owner, self.percent = ids[order], owner[order], percent
+
+    def linked(self, own: np.ndarray, label: int) -> list[int]:
+        """One document of each other component that a set is linked to."""
+        if not len(own):
+            return []
+        lo, hi = (np.searchsorted(self.ids, own, s) for s in ("left", "right"))
+        span = hi - lo
+        at = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.size))
+        hit = np.flatnonzero((100 * common >= self.percent * (len(own) + self.size - common)) & (common > 0) & (self.label != label))
+        _, first = np.unique(self.label[hit], return_index=True)
+        return self.doc[hit[first]].tolist()
+
+
 def _confirmed(texts: DataFrame, pairs: DataFrame, p: MinHashParams) -> DataFrame:
     """Those ``(u, v)`` of ``pairs(u, v, n)`` that are linked, by their full shingle sets.
 
@@ -358,22 +467,24 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     keys = stored(keys.join(shared, "key"), "keys")
     rows = stored(rows.select("doc_id", "n_shingles", "packed").join(keys.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    # The candidates grow with the documents, so they aren't broadcast at any size.
+    texts = stored(texts.join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     # A document with several texts joins the classes of all of them.
     several = some.groupBy("doc_id").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("doc_id")
     own = some.join(several, "doc_id", "left_semi").join(reps, digest).groupBy("doc_id").agg(F.collect_set("rep").alias("r"))
     edges = own.select(F.explode("r").alias("u"), F.array_min("r").alias("v"))
     links = stored(_confirmed(texts, stored(_first_partners(keys, rows, p), "pairs"), p).unionByName(edges), "links")
     labels = _pointed(links)
-    for partners in (*p.partners, None):
-        pairs = stored(_bucket_pairs(keys, rows, labels, partners, p), "pairs")
-        seen = pairs.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
-        if seen.n:
-            links = stored(links.unionByName(_confirmed(texts, pairs, p)), "links")
-        labels = connected_components(links)
-        if not seen.cut:
-            break
+    pairs = stored(_bucket_pairs(_bucket_members(keys, rows, labels, p), p), "pairs")
+    seen = pairs.agg(F.count("*").alias("n"), F.max("cut").alias("cut")).first()
+    if seen.n:
+        links = stored(links.unionByName(_confirmed(texts, pairs, p)), "links")
+    labels = connected_components(links)
+    if seen.cut:
         labels = stored(labels, "labels")
+        near = stored(_near_components(_bucket_members(keys, rows, labels, p), p), "near")
+        links = stored(links.unionByName(_block_links(texts, rows, labels, near, p)), "links")
+        labels = connected_components(links)
     near = labels.withColumnRenamed("id", "rep")
     return (
         sig.select("doc_id", *digest)
