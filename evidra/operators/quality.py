@@ -113,5 +113,5 @@ def blockers(docs: DataFrame) -> DataFrame:
 
 def severity_counts(assessed: DataFrame) -> DataFrame:
     """Number of findings and of documents by code and severity."""
-    long = assessed.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.code", "f.severity")
+    long = assessed.select("doc_id", F.explode_outer("findings").alias("f")).select("doc_id", "f.code", "f.severity")
     return long.groupBy("code", "severity").agg(F.count("*").alias("n_findings"), F.count_distinct("doc_id").alias("n_docs"))

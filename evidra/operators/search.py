@@ -27,7 +27,8 @@ DEPTH = 20
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, term, tf, dl`` of the folded words of each row, ``dl`` the row's number of words."""
     words = docs.select(F.col(doc_id).alias("doc_id"), T.words(T.fold(F.col(text))).alias("w"))
-    terms = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    # The outer form infers no filter on the array, which would fold and cut each text again.
+    terms = words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
