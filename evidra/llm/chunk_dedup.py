@@ -6,7 +6,7 @@ before it.  Both rules look at nearby bytes only, so boundaries inside a
 passage are the same wherever it stands, and an insertion moves no boundary
 beyond its neighbourhood.  Chunks of whole documents are counted by digest;
 neighbouring chunks of a document that stand at another place too join to a
-passage, and passages of ``min_words`` words are repeats.  The first place of each
+passage, and passages of enough words are repeats.  The first place of each
 repeated chunk, by document and position, is kept; a passage whose chunks have
 their first places in different documents is reported in parts.
 
@@ -39,15 +39,15 @@ class ChunkParams:
     """``mask_bits`` and ``least``: a chunk has ``least + 2**mask_bits`` bytes on average; ``most`` at most.
 
     A passage loses about 70 bytes at its ends, where chunks reach beyond it,
-    so ``min_words`` of 20 finds passages of more than 50 words.  ``inside``:
-    a passage that only one document repeats counts too.
+    so ``min_words`` of 20 finds passages of more than 50 words.  One that
+    only its own document repeats needs ``inside_words``.
     """
 
     mask_bits: int = 4
     least: int = 16
     most: int = 256
     min_words: int = 20
-    inside: bool = True
+    inside_words: int = 50
     seed: int = 23
 
 
@@ -134,11 +134,11 @@ def chunk_rows(docs: DataFrame, p: ChunkParams) -> DataFrame:
 def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Repeats of ``docs(doc_id, text)``: ``doc_id, start, end, n_words, kept, first_doc_id``.
 
-    A run of neighbouring repeated chunks counts if it has ``params.min_words``
-    words, which ``n_words`` tells; it gives a row for each part of it along
-    which ``kept`` and ``first_doc_id`` stay the same.  A chunk is repeated if
-    it stands at two places, of two documents or, with ``params.inside``, of
-    one.  Offsets are code points, end exclusive.  ``first_doc_id`` is the
+    A run of neighbouring repeated chunks has ``n_words`` words.  It counts if
+    ``params.min_words`` of them are in chunks that other documents hold too,
+    or if it has ``params.inside_words`` in all; it gives a row for each part
+    of it along which ``kept`` and ``first_doc_id`` stay the same.  A chunk is
+    repeated if it stands at two places, of two documents or of one.  Offsets are code points, end exclusive.  ``first_doc_id`` is the
     smallest id of a document that holds the part's chunks; ``kept`` tells
     that the part stands in its first place, and a deduplicated text leaves
     out the other parts, so no chunk loses its first place.  Rows without
@@ -153,8 +153,8 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> D
     # Numbers only, so the aggregate is by hash; a chunk stands at two places of a document if their hashes differ.
     place = F.xxhash64("row", "n")
     seen = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("high"), F.min(place).alias("a"), F.max(place).alias("b"))
-    seen = seen.where("first_doc_id < high or a < b" if p.inside else "first_doc_id < high").select("digest", "first_doc_id")
-    hit = chunks.join(seen, "digest").select("doc_id", "row", "n", "digest", "start", "end", "words", "first_doc_id")
+    seen = seen.where("first_doc_id < high or a < b").select("digest", "first_doc_id", (F.col("first_doc_id") < F.col("high")).alias("across"))
+    hit = chunks.join(seen, "digest").select("doc_id", "row", "n", "digest", "start", "end", "words", "first_doc_id", "across")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hit = hit.repartition(n, "doc_id").dropDuplicates(["doc_id", "row", "n"])
     # A run is a maximal sequence of neighbouring numbers, so number less rank is the same along it.
@@ -164,7 +164,9 @@ def repeated_passages(docs: DataFrame, params: ChunkParams = ChunkParams()) -> D
     runs = runs.withColumn("first", (F.col("doc_id") == F.col("first_doc_id")) & first)
     along = Window.partitionBy("doc_id", "row", "run")
     part = F.struct("first", "first_doc_id")
-    runs = runs.withColumns({"n_words": F.sum("words").over(along), "new": (part != F.lag(part).over(along.orderBy("n"))).cast("int")}).where(F.col("n_words") >= p.min_words)
+    shared = F.sum(F.when(F.col("across"), F.col("words")).otherwise(0)).over(along)
+    runs = runs.withColumns({"n_words": F.sum("words").over(along), "shared": shared, "new": (part != F.lag(part).over(along.orderBy("n"))).cast("int")})
+    runs = runs.where((F.col("shared") >= p.min_words) | (F.col("n_words") >= p.inside_words))
     runs = runs.withColumn("part", F.sum(F.coalesce("new", F.lit(0))).over(along.orderBy("n")))
     out = runs.groupBy("doc_id", "row", "run", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.max("n_words").alias("n_words"), F.bool_and("first").alias("kept"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "start", "end", "n_words", "kept", "first_doc_id")

@@ -697,7 +697,7 @@ def test_repeated_passages(spark):
         rows.append((i, w))
     got = repeated_passages(spark.createDataFrame(rows, DOC)).collect()
     ids = {r.doc_id for r in got}
-    across = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, DOC), ChunkParams(inside=False)).collect()}
+    across = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, DOC), ChunkParams(inside_words=1 << 30)).collect()}
     assert shared(rows, 51) <= across <= shared(rows, 18) and across <= ids
     texts = dict(rows)
     for g in got:
@@ -729,11 +729,11 @@ def test_repeats_inside_a_document(spark):
     rows = [(1, f"{prose(50, 952)} {passage} {prose(50, 953)} {passage} {prose(50, 954)}"), (2, passage + " " + prose(40, 955)), (2, passage + " " + prose(41, 956)), (3, prose(100, 957)), (3, prose(100, 957))]
     got = repeated_passages(spark.createDataFrame(rows, DOC)).collect()
     assert [g.kept for g in sorted((g for g in got if g.doc_id == 1), key=lambda g: g.start)] == [True, False]
-    assert {g.doc_id for g in got} == {1, 2} and not any(g.kept for g in got if g.doc_id == 2)
-    assert {g.doc_id for g in repeated_passages(spark.createDataFrame(rows[:1], DOC), ChunkParams(inside=False)).collect()} == set()
+    assert {g.doc_id for g in got} == {1, 2} and [g.kept for g in got if g.doc_id == 2 and g.first_doc_id == 1] == [False, False]
+    assert {g.doc_id for g in repeated_passages(spark.createDataFrame(rows[:1], DOC), ChunkParams(inside_words=1 << 30)).collect()} == set()
 
 
 def test_repeated_passages_awkward(docs, none):
-    got = repeated_passages(docs, ChunkParams(inside=False)).collect()
+    got = repeated_passages(docs, ChunkParams(inside_words=1 << 30)).collect()
     assert {r.doc_id for r in got} == {7, 8}
     assert repeated_passages(none).count() == 0

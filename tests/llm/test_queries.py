@@ -263,7 +263,8 @@ def test_passages(spark, sf_dir):
             if to > n:
                 words = sum(chunks[n][0] <= b < chunks[to - 1][1] for b in begins)
                 flags = [((places[chunks[k][2]][0] == (i, k)), places[chunks[k][2]][0][0]) for k in range(n, to)]
-                if words >= p.min_words:
+                across = [k for k in range(n, to) if len({i for i, _ in places[chunks[k][2]]}) > 1]
+                if words >= p.inside_words or sum(chunks[k][0] <= b < chunks[k][1] for k in across for b in begins) >= p.min_words:
                     at = n
                     for k in range(n + 1, to + 1):
                         if k == to or flags[k - n] != flags[at - n]:
