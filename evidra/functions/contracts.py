@@ -77,6 +77,11 @@ def canonical_json(body: pd.Series) -> pd.Series:
     return body.map(one, na_action="ignore")
 
 
+def same_keys(body: Column, keys: tuple[str, ...]) -> Column:
+    """Whether a JSON object has exactly these keys."""
+    return F.coalesce(F.array_sort(F.json_object_keys(body)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
+
+
 def evidence_ok(ids: Column, years: Column, segments: Column) -> Column:
     """Eight ids at most, all of them segments, and every year in the text of a chosen segment.
 

@@ -1,4 +1,4 @@
-"""Chunking: exact spans, sections, identifiers, versions, coverage."""
+"""Chunking: exact spans, sections, identifiers, versions, coverage."""
 
 from __future__ import annotations
 
@@ -242,4 +242,49 @@ def audit(chunks: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     return long.unionByName(repeats).groupBy("check").agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-__all__ = ["audit", "characters", "chunk", "coverage", "document_version", "index_metadata", "make_chunks", "page_of", "prefix", "review_chunk_id", "review_source_id", "row_with_headers", "sections", "source_id", "spans_udf", "split", "wide_rows", "word_pieces"]
+#: Kinds of sections whose place an audit can follow.
+KINDS = ("page", "text", "row", "table")
+
+
+def audit_sections(chunks: DataFrame, index: DataFrame, docs: DataFrame, limit: int, count: Callable[[str], int] = characters, chunker: str = "spans-1") -> DataFrame:
+    """``check, checked, failed`` of :func:`make_chunks` rows against the index and the parsed documents.
+
+    Each chunk must have a document, a known kind of place, the document's
+    prefix and version, the text of its section at its span, tokens within the
+    limit, its own identifier, and the same row in ``index(chunk_id, text)``;
+    identifiers are unique and the index holds no others.
+    """
+
+    @batched("int")
+    def size(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: count(x or ""))
+
+    place = ["parsed_path", "kind", "page", "row", "table"]
+    heads = docs.select("parsed_path", prefix().alias("p"), document_version(docs, chunker).alias("v"))
+    parts = sections(docs).select(*place, F.col("text").alias("whole"))
+    same = F.lit(True)
+    c, s = chunks.alias("c"), parts.alias("s")
+    for name in place:
+        same = same & F.col(f"c.{name}").eqNullSafe(F.col(f"s.{name}"))
+    # Equal on the path and the kind, so the join is by hash; the other parts of the place may be null.
+    near = c.join(s, (F.col("c.parsed_path") == F.col("s.parsed_path")) & (F.col("c.kind") == F.col("s.kind")) & same, "left").select("c.*", "whole").join(heads, "parsed_path", "left")
+    near = near.join(index.select("chunk_id", F.col("text").alias("indexed")), "chunk_id", "left")
+    body = F.expr("substring(whole, cast(char_start + 1 as int), cast(char_end - char_start as int))")
+    key = F.concat_ws("|", "parsed_path", F.to_json(F.struct("kind", "page", "row", "table")), F.col("char_start").cast("string"), "text")
+    checks = {
+        "document_found": F.col("v").isNotNull(),
+        "kind_known": F.col("kind").isin(*KINDS),
+        "prefix_kept": F.startswith("text", F.col("p")),
+        "version_equal": F.col("document_version") == F.col("v"),
+        "span_equal": F.col("text") == F.concat("p", body),
+        "within_limit": size("text") <= limit,
+        "id_recomputed": F.col("chunk_id") == F.concat(F.lit("c"), F.substring(F.sha2(key, 256), 1, 24)),
+        "index_equal": F.col("text") == F.col("indexed"),
+    }
+    rows = near.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in checks.items()])).alias("x")).select("x.*")
+    repeats = chunks.groupBy("chunk_id").count().select(F.lit("unique_id").alias("check"), (F.col("count") == 1).alias("ok"))
+    others = index.select("chunk_id").join(chunks.select("chunk_id").distinct().withColumn("known", F.lit(True)), "chunk_id", "left").select(F.lit("index_known").alias("check"), F.col("known").isNotNull().alias("ok"))
+    return rows.unionByName(repeats).unionByName(others).groupBy("check").agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+__all__ = ["audit", "audit_sections", "characters", "chunk", "coverage", "document_version", "index_metadata", "make_chunks", "page_of", "prefix", "review_chunk_id", "review_source_id", "row_with_headers", "sections", "source_id", "spans_udf", "split", "wide_rows", "word_pieces"]

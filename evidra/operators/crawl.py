@@ -1,4 +1,4 @@
-"""Discovery, candidates, links and crawl summaries."""
+"""Discovery, candidates, links and crawl summaries."""
 
 from __future__ import annotations
 
@@ -69,11 +69,20 @@ def status_counts(docs: DataFrame) -> DataFrame:
 def run_status(docs: DataFrame, ambiguities: int = 0) -> DataFrame:
     """A2: one row: the run's status by precedence."""
     n = lambda s: F.count_if(F.col("status") == s)
-    counts = docs.agg(n("verified_against_source").alias("verified"), (n("review") + n("source_lead")).alias("review"))
+    counts = docs.agg(n("verified_against_source").alias("verified"), n("review").alias("review"))
     status = F.when(F.lit(ambiguities > 0), "needs_clarification").when(F.col("verified") > 0, "has_verified_data").when(F.col("review") > 0, "needs_review").otherwise("incomplete")
     return counts.select("verified", "review", status.alias("run_status"))
 
 
+def crawl_summary(docs: DataFrame, candidates: DataFrame, observations: DataFrame, ambiguities: list[str] | None = None) -> DataFrame:
+    """One row: what a run found and how it ends; nothing that failed or waits for review counts as verified."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    counts = docs.agg(F.count("*").alias("processed"), n("review").alias("review"), n("failed").alias("failed"))
+    wide = counts.crossJoin(F.broadcast(candidates.agg(F.count("*").alias("candidates")))).crossJoin(F.broadcast(observations.agg(F.count("*").alias("rows"))))
+    status = F.when(F.lit(bool(ambiguities)), "needs_clarification").when(F.col("rows") > 0, "has_verified_data").when(F.col("review") > 0, "needs_review").otherwise("incomplete")
+    return wide.select("candidates", "processed", "rows", "review", "failed", status.alias("run_status"), F.lit("; ".join(ambiguities or [])).alias("to_clarify"))
+
+
 def check_status(checks: DataFrame) -> DataFrame:
     """The status that a checked document takes."""
     in_scope = F.col("subject_match") & (F.col("country").isNull() | F.col("geography_match")) & (F.coalesce(F.size("evidence_ids"), F.lit(0)) > 0)

@@ -261,3 +261,8 @@ def approval_mode(events: DataFrame) -> DataFrame:
     """Mode of the latest approval of each document; manual unless it says automatic."""
     latest = events.where("action = 'approve'").groupBy("doc_id").agg(F.max_by("mode", "seq").alias("m"))
     return latest.select("doc_id", F.when(F.col("m") == "automatic", "automatic").otherwise("manual").alias("approval_mode"))
+
+
+def factual_confidence(mode: Column) -> Column:
+    """What an approval says of a passage: no mode stands for checked facts."""
+    return F.when(mode == "automatic", "automatically_approved_not_fact_verified").otherwise("human_reviewed_not_guaranteed")

@@ -99,11 +99,16 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.status_counts(_with_status(spark, sf_dir))
 
 
-@query(f"SELECT count(*) FILTER (WHERE s = 'verified_against_source') AS verified, count(*) FILTER (WHERE s IN ('review', 'source_lead')) AS review, 'needs_review' AS run_status FROM (SELECT {_STATUS} AS s FROM documents)")
+@query(f"SELECT count(*) FILTER (WHERE s = 'verified_against_source') AS verified, count(*) FILTER (WHERE s = 'review') AS review, 'needs_review' AS run_status FROM (SELECT {_STATUS} AS s FROM documents)")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.run_status(_with_status(spark, sf_dir))
 
 
+@query(f"SELECT (SELECT count(*) FROM pages) AS candidates, count(*) AS processed, (SELECT count(*) FROM nation) AS rows, count(*) FILTER (WHERE s = 'review') AS review, count(*) FILTER (WHERE s = 'failed') AS failed, 'has_verified_data' AS run_status, '' AS to_clarify FROM (SELECT {_STATUS} AS s FROM documents)")
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.crawl_summary(_with_status(spark, sf_dir), table(spark, sf_dir, "pages"), table(spark, sf_dir, "nation"))
+
+
 @query(
     """SELECT doc_id, CASE WHEN NOT (doc_id % 2 = 0 AND (doc_id % 3 = 0 OR doc_id % 5 < 3)) OR doc_id % 7 = 0 THEN 'out_of_scope'
 WHEN doc_id % 11 < 5 OR (doc_id % 4 = 0 AND doc_id % 13 < 6) THEN 'review' ELSE 'source_lead' END AS status FROM documents"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import contracts as J
+from evidra.functions import markup as M
 from evidra.functions import text as T
 from evidra.operators import chunks as C
 from evidra.operators import lineage as L
@@ -230,3 +232,41 @@ def kept_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("text"), F.lit("p").alias("parser"), F.lit("/run/x").alias("parsed_path"))
     shown = C.index_metadata(d.select("doc_id", "text", F.lit(1).alias("vector"), F.lit("k").alias("cache_key")))
     return d.join(shown.select("doc_id", F.lit(len(shown.columns)).alias("n_columns")), "doc_id").select("doc_id", F.to_json(R.parser_evidence(d)).alias("evidence"), "n_columns")
+
+
+@query(
+    """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS two FROM customer), s AS (SELECT 3 * n + two AS chunks, n.n AS docs FROM n)
+SELECT c AS "check", CASE c WHEN 'index_known' THEN chunks - docs + 1 WHEN 'unique_id' THEN chunks ELSE chunks END AS checked,
+CASE c WHEN 'index_known' THEN 1 WHEN 'index_equal' THEN docs + (SELECT count(*) FROM customer WHERE c_custkey % 5 = 0) ELSE 0 END AS failed
+FROM s, (VALUES ('document_found'), ('kind_known'), ('prefix_kept'), ('version_equal'), ('span_equal'), ('within_limit'), ('id_recomputed'), ('index_equal'), ('unique_id'), ('index_known')) t(c)"""
+)
+def section_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that lacks the rows' chunks, has other texts for some tables, and one chunk too many."""
+    docs = _papers(spark, sf_dir)
+    chunks = C.make_chunks(docs, 400)
+    odd = (F.col("kind") == "table") & (F.col("parsed_path").cast("long") % 5 == 0)
+    index = chunks.where("kind <> 'row'").select("chunk_id", F.when(odd, "other").otherwise(F.col("text")).alias("text"))
+    more = spark.createDataFrame([("c0", "none")], "chunk_id string, text string")
+    return C.audit_sections(chunks, index.unionByName(more), docs, 400)
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS same, CASE WHEN doc_id % 2 = 0 THEN 'automatically_approved_not_fact_verified' ELSE 'human_reviewed_not_guaranteed' END AS confidence FROM documents")
+def answer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with exactly the asked keys (U3), and how far an approval goes."""
+    i = F.col("doc_id")
+    body = F.when(i % 3 == 0, '{"b": 1, "a": null}').when(i % 3 == 1, '{"a": 1}').otherwise('{"a": 1, "b": 2, "c": 3}')
+    return table(spark, sf_dir, "documents").select("doc_id", J.same_keys(body, ("a", "b")).alias("same"), V.factual_confidence(F.when(i % 2 == 0, "automatic")).alias("confidence"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'html' WHEN doc_id % 3 = 1 THEN 'text' ELSE 'none' END AS route, CASE WHEN doc_id % 3 = 2 THEN 'none' ELSE sha256(lang) END AS text FROM documents")
+def routed_parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of body goes to the parser that is registered for it."""
+    i = F.col("doc_id")
+    body = F.when(i % 3 == 0, F.concat(F.lit("<p>"), "lang", F.lit("</p>"))).otherwise(F.col("lang"))
+    files = table(spark, sf_dir, "documents").select(i.cast("string").alias("path"), body.cast("binary").alias("content"), F.when(i % 3 == 0, "html").when(i % 3 == 1, "txt").otherwise("pdf").alias("kind"))
+    parsers = {
+        "html": (("html",), lambda f: f.select("path", M.page_text(F.decode("content", "UTF-8")).alias("text"))),
+        "text": (("txt", "md"), lambda f: f.select("path", R.text_upload(F.col("content")).alias("text"))),
+    }
+    found = R.routed(files, parsers)
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.coalesce("route", F.lit("none")).alias("route"), F.coalesce(F.sha2("text", 256), F.lit("none")).alias("text"))

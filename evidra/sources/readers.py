@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import gzip
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,6 +202,25 @@ def parser_route(kind: Column, mode: str, layout_installed: bool) -> Column:
     return F.when(office, layout).when(kind == "pdf", F.coalesce(layout, F.lit("native"))).otherwise("native")
 
 
+Parser = Callable[[DataFrame], DataFrame]
+
+
+def routed(files: DataFrame, parsers: dict[str, tuple[tuple[str, ...], Parser]]) -> DataFrame:
+    """``path, route, text`` of ``files(path, content, kind)``: each row by the parser that is registered for its kind.
+
+    ``parsers`` maps a route to its kinds and to a function from files to
+    ``path, text``; a kind of several routes takes the first, and rows of none
+    come back without a route.
+    """
+    taken = F.coalesce(*[F.when(F.col("kind").isin(*kinds), F.lit(name)) for name, (kinds, _) in parsers.items()], F.lit(None).cast("string"))
+    dealt = files.withColumn("route", taken)
+    out = dealt.where("route is null").select("path", "route", F.lit(None).cast("string").alias("text"))
+    for name, (_, parse) in parsers.items():
+        own = parse(dealt.where(F.col("route") == name))
+        out = out.unionByName(own.select("path", F.lit(name).alias("route"), "text"))
+    return out
+
+
 def text_upload(content: Column) -> Column:
     """Strict UTF-8 text without a byte order mark; null for other bytes."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(F.decode(content, "utf-8"), "^\\x{FEFF}", ""))
