@@ -142,12 +142,13 @@ def original_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.original_intact(d.select("doc_id", F.when(_i() % 4 == 0, "other").otherwise(F.sha2("text", 256)).alias("source_sha256")), files)
 
 
-@query("SELECT min(p_partkey) AS id, p_name AS name FROM part WHERE p_partkey % 9 > 0 GROUP BY p_name HAVING count(*) = 1 AND p_name = (SELECT p_name FROM part WHERE p_partkey % 9 > 0 GROUP BY p_name HAVING count(*) = 1 ORDER BY p_name LIMIT 1)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 9 > 0 ORDER BY c_name LIMIT 1")
 def unique_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one part of a name stands for the one metric of it."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 9 > 0, "2").otherwise("1").alias("source_id"), F.lit("note").alias("source_note"), F.lit("org").alias("source_organization"))
-    name = p.where("source_id = '2'").groupBy("name").count().where("count = 1").agg(F.min("name")).first()[0]
-    return S.unique_metric(p, name, "2").select("id", "name")
+    """The one customer of a name stands for the one metric of it; another source has the name too."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 9 > 0, "2").otherwise("1").alias("source_id"), F.lit("note").alias("source_note"), F.lit("org").alias("source_organization"))
+    name = c.where("source_id = '2'").agg(F.min("name")).first()[0] or ""
+    return S.unique_metric(c.unionByName(c.withColumn("source_id", F.lit("9"))), name, "2").select("id", "name")
 
 
 @query(
