@@ -9,7 +9,7 @@ from evidra.functions import markup as M
 from evidra.functions import urls as U
 from evidra.operators import crawl as K
 from evidra.plans.registry import query
-from evidra.session import table
+from evidra.session import table, texts
 
 _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 _CANDIDATES = f"""r AS (SELECT {_HOST} AS url, 'title ' || CAST(page_id AS VARCHAR) AS title, 'query ' || CAST(page_id % 3 AS VARCHAR) AS query, page_id AS seq FROM pages),
@@ -73,7 +73,7 @@ def link_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN doc_id > claimed THEN 'duplicate' WHEN relevance < 3 THEN 'out_of_scope' ELSE 'kept' END AS outcome FROM d JOIN c USING (digest)"""
 )
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.sha2(F.lower("text"), 256).alias("digest"), (F.col("doc_id") % 7).alias("relevance"))
+    docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").alias("seq"), F.sha2(F.lower("text"), 256).alias("digest"), (F.col("doc_id") % 7).alias("relevance"))
     return K.dedupe(docs).select("doc_id", "outcome")
 
 
@@ -82,7 +82,7 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN doc_id > claimed THEN 'duplicate' WHEN relevance < 3 THEN 'out_of_scope' ELSE 'kept' END AS outcome FROM d JOIN c USING (digest)"""
 )
 def exact_dedupe_model_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("seq"), F.sha2(F.lower("text"), 256).alias("digest"), (F.col("doc_id") % 7).alias("relevance"))
+    docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").alias("seq"), F.sha2(F.lower("text"), 256).alias("digest"), (F.col("doc_id") % 7).alias("relevance"))
     return K.dedupe(docs, rules_planner=False).select("doc_id", "outcome")
 
 
@@ -91,7 +91,7 @@ _STATUS = "CASE doc_id % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'out_of_scope' WHEN
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 5
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, "review").when(k == 1, "out_of_scope").when(k == 2, "source_lead").when(k == 3, "failed").otherwise("duplicate").alias("status"))
+    return texts(spark, sf_dir).select("doc_id", F.when(k == 0, "review").when(k == 1, "out_of_scope").when(k == 2, "source_lead").when(k == 3, "failed").otherwise("duplicate").alias("status"))
 
 
 @query(f"SELECT {_STATUS} AS status, count(*) AS n FROM documents GROUP BY 1")
@@ -115,7 +115,7 @@ WHEN doc_id % 11 < 5 OR (doc_id % 4 = 0 AND doc_id % 13 < 6) THEN 'review' ELSE
 )
 def check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
-    checks = table(spark, sf_dir, "documents").select(
+    checks = texts(spark, sf_dir).select(
         "doc_id",
         (i % 2 == 0).alias("subject_match"),
         F.when(i % 3 != 0, "VN").alias("country"),
@@ -136,7 +136,7 @@ SELECT paper, page, CAST(row_number() OVER (PARTITION BY paper ORDER BY page) AS
 def page_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixty documents stand for a paper's pages."""
     i = F.col("doc_id")
-    pages = table(spark, sf_dir, "documents").select(F.floor(i / 60).alias("doc_id"), (i % 60 + 1).alias("page"), (i % 4).alias("score"))
+    pages = texts(spark, sf_dir).select(F.floor(i / 60).alias("doc_id"), (i % 60 + 1).alias("page"), (i % 4).alias("score"))
     return K.retain_pages(pages).select(F.col("doc_id").alias("paper"), "page", "position")
 
 
@@ -146,7 +146,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start = 0 ORDER BY score
 SELECT doc_id, start, score FROM r WHERE start = 0 OR k <= 3"""
 )
 def window_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = K.windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    w = K.windows(texts(spark, sf_dir).select("doc_id", "text"))
     scored = w.select("doc_id", "start", (F.length(F.replace("text", F.lit("e"), F.lit(""))) % 17).cast("long").alias("score"))
     return K.select_windows(scored)
 

@@ -13,7 +13,7 @@ from evidra.operators import responses as R
 from evidra.operators import retrieval as X
 from evidra.plans.registry import query, sql_words
 from evidra.plans.search_plans import LIFECYCLE, lifecycle
-from evidra.session import table
+from evidra.session import table, texts
 from evidra.sources.folders import folder
 
 
@@ -25,7 +25,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 A
 )
 def check_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text is one window."""
-    s = D.segments(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("start"), "text"))
+    s = D.segments(texts(spark, sf_dir).select("doc_id", F.lit(0).alias("start"), "text"))
     return s.select("doc_id", "id", "start", "end", F.sha2("text", 256).alias("digest"))
 
 
@@ -36,7 +36,7 @@ SELECT doc_id, coalesce(page, -1) AS page, sha256(string_agg(text, chr(10) || ch
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty documents stand for the items of a paper's pages; some have no page."""
     i = F.col("doc_id")
-    items = table(spark, sf_dir, "documents").select(F.floor(i / 40).alias("doc_id"), F.when(i % 9 != 0, i % 4).alias("page"), i.alias("seq"), i.cast("string").alias("ref"), F.lit("text").alias("label"), "text")
+    items = texts(spark, sf_dir).select(F.floor(i / 40).alias("doc_id"), F.when(i % 9 != 0, i % 4).alias("page"), i.alias("seq"), i.cast("string").alias("ref"), F.lit("text").alias("label"), "text")
     r = D.reading_order(items)
     return r.select("doc_id", F.coalesce("page", F.lit(-1)).alias("page"), F.sha2("text", 256).alias("digest"), F.element_at("items", -1)["char_start"].alias("last_start"))
 
@@ -48,7 +48,7 @@ FROM (SELECT doc_id, coalesce(substr(text, 1, length(text) // 2), '') AS head, c
 )
 def segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves cover each text; of each third text the first half is left out, an error unless that is blank."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     head, rest = F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))"), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")
     parts = F.when(F.col("doc_id") % 3 == 0, F.array(rest)).otherwise(F.array(head, rest))
     a = d.select("doc_id", D.aligned("text", parts, F.lit(400)).alias("a"))
@@ -87,7 +87,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = C.chunk(table(spark, sf_dir, "documents"), 400)
+    c = C.chunk(texts(spark, sf_dir), 400)
     return c.select("chunk_id", (F.col("doc_id") * 100_000 + F.col("ordinal")).alias("seq"), F.col("doc_id").cast("string").alias("section"), "char_start", "char_end", "text")
 
 
@@ -110,7 +110,7 @@ r AS (SELECT s.*, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGE
 
 @query(f"WITH {_SEARCH} SELECT doc_id, score, rank FROM (SELECT *, sum(n) OVER (ORDER BY rank) AS run FROM r) WHERE run <= 24000")
 def review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     evidence = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
     return X.review_search(evidence, lifecycle(docs), "thea, der! THEA", "2026-02-10", "de", k=10).select("doc_id", "score", "rank")
 
@@ -130,7 +130,7 @@ def pilot_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c AS \"check\", CASE c WHEN 'one_to_one' THEN (SELECT count(*) FROM documents WHERE doc_id % 100 = 0) WHEN 'text_equal' THEN (SELECT count(*) FROM documents WHERE doc_id % 100 = 1) WHEN 'document' THEN 0 ELSE 0 END AS failed FROM (VALUES ('one_to_one'), ('text_equal'), ('unique'), ('document')) t(c)")
 def audit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
     index = chunks.where("chunk_id % 100 <> 0").withColumn("text", F.when(F.col("chunk_id") % 100 == 1, "other").otherwise(F.col("text")))
     return D.audit_index(chunks, index, docs)

@@ -12,7 +12,7 @@ from evidra.operators import embedding as E
 from evidra.operators import search as S
 from evidra.operators.review import eligible
 from evidra.plans.registry import query, sql_words
-from evidra.session import table
+from evidra.session import table, texts
 
 #: One term twice: it counts twice.
 TERMS = ["thea", "ontion", "der", "thea", "leaux"]
@@ -35,7 +35,7 @@ def _bm25(source: str, terms: list[str] = TERMS) -> str:
 
 @query(f"WITH {_bm25('documents')} SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.lexical_topk(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    return S.lexical_topk(texts(spark, sf_dir), "doc_id", "text", TERMS)
 
 
 def lifecycle(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ ORDER BY score DESC, doc_id LIMIT 6"""
 )
 def lexical_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics over all approved evidence, filters before the limit."""
-    docs = lifecycle(table(spark, sf_dir, "documents"))
+    docs = lifecycle(texts(spark, sf_dir))
     approved = docs.where("status = 'approved'")
     now = eligible(approved, F.lit("2026-02-10").cast("date"), "en").select("doc_id")
     scored = S.bm25(approved, "doc_id", "text", TERMS).withColumn("score", F.round("score", 6)).join(now, "doc_id", "left_semi")
@@ -109,7 +109,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_bm25('documents')}, {_FUSED} SELECT id, rating, fused, rank, CAST(row_number() OVER (ORDER BY rating DESC, fused DESC, rank) AS INTEGER) AS position
 FROM f JOIN (SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS rating FROM documents) ON doc_id = id WHERE rating >= 2""")
 def rerank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratings = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("rating"))
+    ratings = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("rating"))
     return S.rerank(_fused(spark, sf_dir), ratings).select("id", "rating", "fused", "rank", "position")
 
 
@@ -130,7 +130,7 @@ _CHUNKS = f"""cut(doc_id, text, ordinal, char_start, char_end) AS (
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk(table(spark, sf_dir, "documents"), LIMIT)
+    return C.chunk(texts(spark, sf_dir), LIMIT)
 
 
 @query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, ordinal, char_start, char_end, chunk_id FROM chunks")
@@ -141,7 +141,7 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT true AS covered, count(*) AS n_docs FROM documents WHERE length(text) > 0")
 def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's chunks cover it exactly."""
-    return C.coverage(_chunked(spark, sf_dir), table(spark, sf_dir, "documents")).groupBy("covered").agg(F.count("*").alias("n_docs"))
+    return C.coverage(_chunked(spark, sf_dir), texts(spark, sf_dir)).groupBy("covered").agg(F.count("*").alias("n_docs"))
 
 
 @query(
@@ -149,7 +149,7 @@ def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c AS "check", CASE WHEN c = 'unique_id' THEN u ELSE n END AS checked, 0 AS failed FROM n, u, (VALUES ('document_found'), ('span_equal'), ('within_limit'), ('id_recomputed'), ('unique_id')) t(c)"""
 )
 def audit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.audit(_chunked(spark, sf_dir), table(spark, sf_dir, "documents"), LIMIT)
+    return C.audit(_chunked(spark, sf_dir), texts(spark, sf_dir), LIMIT)
 
 
 @query(
@@ -178,14 +178,14 @@ SELECT list, used, array_to_string(kept, ',') AS kept, omitted FROM fold QUALIFY
 )
 def context_budget_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty documents are a question's result list."""
-    items = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
+    items = texts(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
     kept = S.budget_skip(items, ["list"], "doc_id", "doc_id", "n_chars", 10_000)
     return kept.select("list", "used", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "omitted")
 
 
 @query("SELECT list, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT doc_id // 50 AS list, doc_id, sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS running FROM documents) WHERE running <= 24000")
 def context_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
+    items = texts(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("list"), "doc_id", "n_chars")
     return S.budget_prefix(items, ["list"], [F.asc("doc_id")], "n_chars", 24_000).select("list", "doc_id", F.col("running").cast("long").alias("running"))
 
 
@@ -194,7 +194,7 @@ p AS (SELECT doc_id, cache_key, CASE WHEN cache_key IN (SELECT cache_key FROM k
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
+    chunks = texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), "text")
     cache = chunks.where("chunk_id % 5 = 0").select(E.cache_key("stub", 8, F.col("text")).alias("cache_key"))
     return E.plan(chunks, cache, "stub", 8)
 
@@ -221,10 +221,10 @@ def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH w AS (SELECT doc_id, unnest({sql_words('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings folded to document and collection frequencies (A10)."""
-    return S.postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.postings(texts(spark, sf_dir), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"SELECT doc_id, sha256({sql_words('text')}[1]) AS first_word FROM documents WHERE len({sql_words('text')}) > 0")
 def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.words(T.fold(F.col("text"))).alias("w"))
+    d = texts(spark, sf_dir).select("doc_id", T.words(T.fold(F.col("text"))).alias("w"))
     return d.where(F.size("w") > 0).select("doc_id", F.sha2(F.col("w")[0], 256).alias("first_word"))

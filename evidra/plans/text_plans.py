@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidra.functions import text as T
 from evidra.functions import urls as U
 from evidra.plans.registry import query, sql_fold
-from evidra.session import table
+from evidra.session import table, texts
 from evidra.sources import sinks
 
 CONCEPTS = [["thea", "theanes"], ["ontion"], ["der", "und"], ["leaux"]]
@@ -17,12 +17,12 @@ PLAN = ["thea", "ontion", "nneverx", "ing"]
 
 @query(f"SELECT doc_id, sha256({sql_fold('text')}) AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded"))
 
 
 @query(f"SELECT doc_id, sha256(trim(regexp_replace({sql_fold('text')}, '\\s+', ' ', 'g'))) AS folded FROM documents")
 def fold_squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.squeeze(T.fold(F.col("text"))), 256).alias("folded"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(T.squeeze(T.fold(F.col("text"))), 256).alias("folded"))
 
 
 @query(f"SELECT item_id, array_to_string(regexp_extract_all({sql_fold('text')}, '[\\p{{L}}\\p{{N}}_]+')[:40], ' ') AS terms, CAST(least(len(list_distinct(regexp_extract_all({sql_fold('text')}, '[\\p{{L}}\\p{{N}}_]+'))), 24) AS INTEGER) AS n_distinct FROM benchmark")
@@ -60,7 +60,7 @@ CAST(round_even(10.0 * ({" + ".join(f"CAST({_sql_any(g)} AS INTEGER)" for g in C
 FROM (SELECT doc_id, {sql_fold('text')} AS f FROM documents)"""
 )
 def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.fold(F.col("text")).alias("f"))
+    d = texts(spark, sf_dir).select("doc_id", T.fold(F.col("text")).alias("f"))
     return d.select("doc_id", T.relevance(F.col("f"), "population", "VN", PLAN).alias("relevance"), T.concept_score(F.col("f"), CONCEPTS).alias("concept_score"))
 
 
@@ -153,4 +153,4 @@ FROM (SELECT {_DIGEST} AS h FROM documents)"""
 )
 def table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: a digest that doesn't depend on row order."""
-    return sinks.manifest(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return sinks.manifest(texts(spark, sf_dir), ["doc_id", "text"])

@@ -28,3 +28,23 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table that is dealt out again if it comes in fewer files than there are cores.
+SMALL = 256 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that costs far more than moving its rows.
+
+    A file of one row group is read by one task, whatever the cluster.  Tables
+    over ``SMALL`` bytes, and those with a file for each core, stay as they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for queries that read their texts."""
+    return dealt(table(spark, sf_dir, "documents"))
