@@ -20,7 +20,7 @@ from evidra.llm.scratch import stored
 from evidra.llm.tiff import file_features, texts_to_tiff, tiff_pages
 from evidra.llm.token_files import TokenFileParams, read_token_files, write_token_files
 from evidra.llm.toxicity import fit_toxicity, score_toxicity
-from evidra.session import table
+from evidra.session import table, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @_query
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), MinHashParams(words=4))
+    return near_duplicates(texts(spark, sf_dir), MinHashParams(words=4))
 
 
 ORACLES["op1_minhash"] = r"""
@@ -58,7 +58,7 @@ FROM sized LEFT JOIN low ON doc_id = x
 
 @_query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
@@ -85,19 +85,19 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = write_token_files(table(spark, sf_dir, "documents"), TokenFileParams(default_path(), end_id=2))
+    shards = write_token_files(texts(spark, sf_dir), TokenFileParams(default_path(), end_id=2))
     return read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), PackParams(default_path(), end_id=1, capacity=2048))
+    pieces = pack(texts(spark, sf_dir), PackParams(default_path(), end_id=1, capacity=2048))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @_query
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = texts_to_tiff(table(spark, sf_dir, "documents"), mixed=True)
+    media = texts_to_tiff(texts(spark, sf_dir), mixed=True)
     media = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     return file_features(tiff_pages(media))
 
@@ -147,7 +147,7 @@ def _held_out(mod: int, remainder: int) -> Column:
 
 @_query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels.where(_remainder(5) != 0))
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", _held_out(5, 0), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
@@ -155,7 +155,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     tagger = fit_toxicity(docs, labels.where(_remainder(4) != 2))
     scored = score_toxicity(docs, tagger)
     return scored.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])).alias("spans"))
@@ -173,11 +173,11 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 @_query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    found = find_pii(texts(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(_span_digest(F.col("spans"), BASE_KINDS), 256).alias("base_sha256"), _span_digest(F.col("spans"), KINDS).alias("spans"))
 
 
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(texts(spark, sf_dir))
