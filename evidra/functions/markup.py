@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from evidra.functions.udf import batched
 
 # Element and class names, and size limits.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSED_BY = {"p": frozenset("p div table ul ol h1 h2 h3 h4 h5 h6 blockquote pre section article".split()), "li": frozenset({"li"}), "tr": frozenset({"tr", "tbody", "thead", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
-SCOPE = frozenset("table ul ol article section div body html".split())
-NOISE = frozenset("script style noscript svg nav footer aside form".split())
-NOISE_NAMES = frozenset("related related-articles related-posts recommended comments share social-share sharing".split())
-BODY_NAMES = frozenset("article-body article-content story-body entry-content post-content content-detail".split())
-LEAD_NAMES = frozenset("lead brief sapo summary".split())
-BLOCKS = frozenset("article div p h1 h2 h3 h4 h5 h6 li blockquote pre figure figcaption table tr br td th".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
+CLOSED_BY = {"p": frozenset({"p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section", "article"}), "li": frozenset({"li"}), "tr": frozenset({"tr", "tbody", "thead", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
+SCOPE = frozenset({"table", "ul", "ol", "article", "section", "div", "body", "html"})
+NOISE = frozenset({"script", "style", "noscript", "svg", "nav", "footer", "aside", "form"})
+NOISE_NAMES = frozenset({"related", "related-articles", "related-posts", "recommended", "comments", "share", "social-share", "sharing"})
+BODY_NAMES = frozenset({"article-body", "article-content", "story-body", "entry-content", "post-content", "content-detail"})
+LEAD_NAMES = frozenset({"lead", "brief", "sapo", "summary"})
+BLOCKS = frozenset({"article", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "figure", "figcaption", "table", "tr", "br", "td", "th"})
 CHALLENGES = ("captcha", "cf-challenge", "are you a robot", "enable javascript and cookies to continue")
 
 
@@ -259,7 +259,7 @@ def tables(root: Node) -> list[dict]:
     """H4: outermost tables outside navigation, with caption, section heading, cells and grid."""
     root = _without(root, lambda n: n.tag in ("script", "style", "noscript"))
     out, heading = [], ""
-    wrapped = frozenset("table nav footer aside".split())
+    wrapped = frozenset({"table", "nav", "footer", "aside"})
     for n in root.walk():
         if n.tag in ("h1", "h2", "h3"):
             heading = n.text()

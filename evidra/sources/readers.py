@@ -1,4 +1,4 @@
-"""Readers and contract checks of inputs."""
+"""Readers and contract checks of inputs."""
 
 from __future__ import annotations
 
