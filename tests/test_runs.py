@@ -263,3 +263,38 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         folders.shared_folder(Session)
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    from evidra import session
+
+    one, many = f"file://{tmp_path}/one", f"file://{tmp_path}/many"
+    spark.range(100).coalesce(1).write.parquet(one)
+    spark.range(100).repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(many)
+    plan = lambda path: session.dealt(spark.read.parquet(path))._jdf.queryExecution().toString()
+    assert "RoundRobin" in plan(one) and "RoundRobin" not in plan(many)
+    assert session.dealt(spark.read.parquet(one)).count() == 100
+    monkeypatch.setattr(session, "SMALL", 1)
+    assert "RoundRobin" not in plan(one)
+
+
+def test_section_audit_finds_each_fault(spark):
+    schema = "parsed_path string, title string, source_note string, text string, pages array<struct<page:int,text:string>>, rows array<struct<k:int>>, tables array<struct<grid:array<array<struct<text:string>>>>>"
+    docs = spark.createDataFrame([("p", "T", None, "y" * 150, None, [(1,)], [])], schema)
+    chunks = C.make_chunks(docs, 100)
+    index = chunks.select("chunk_id", "text")
+    failed = lambda c, i=index, d=docs: {r.check for r in C.audit_sections(c, i, d, 100).where("failed > 0").collect()}
+    assert failed(chunks) == set()
+    assert failed(chunks.withColumn("text", F.concat("text", F.lit("!")))) == {"span_equal", "id_recomputed", "index_equal", "within_limit"}
+    assert failed(chunks.withColumn("kind", F.lit("figure"))) >= {"kind_known", "span_equal"}
+    assert failed(chunks, index.limit(1)) == {"index_equal"}
+    assert failed(chunks, index.unionByName(index.select(F.lit("x").alias("chunk_id"), "text").limit(1))) == {"index_known"}
+    assert failed(chunks.unionAll(chunks.limit(1))) == {"unique_id"}
+    assert failed(chunks, d=docs.withColumn("parsed_path", F.lit("q"))) >= {"document_found"}
+    assert "version_equal" in failed(chunks, d=docs.withColumn("text", F.concat("text", F.lit("z"))))
+
+
+def test_routes_of_files(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x"), "html"), ("b", bytearray(b"y"), "txt"), ("c", bytearray(b"z"), None)], "path string, content binary, kind string")
+    same = lambda f: f.select("path", F.col("content").cast("string").alias("text"))
+    assert rows(readers.routed(files, {"one": (("html",), same), "two": (("html", "txt"), same)}), "path", "route", "text") == [("a", "one", "x"), ("b", "two", "y"), ("c", None, None)]
