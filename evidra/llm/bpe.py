@@ -25,7 +25,7 @@ import pyarrow as pa
 
 from evidra.llm import blocks as B
 
-MAX_UNITS = 1_000_000
+MAX_UNITS = 450_000
 #: Bytes of a unit that the hash table compares: its first eight and its last eight.
 SHORT = 16
 #: Units of one text that is given to the library's model.
@@ -168,8 +168,8 @@ class Encoder:
         self.direct = kind.get("normalizer") is None and kind.get("truncation") is None and kind.get("padding") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.literals = [t["content"].encode() for t in kind.get("added_tokens") or []]
         self.characters = _byte_characters()
-        # The same model without the pattern, for words whose bytes are already the vocabulary's characters.
-        self.plain = Tokenizer.from_file(path)
+        # The same model, shared, without the pattern, for words whose bytes are already the vocabulary's characters.
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = CharDelimiterSplit("\n")
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)

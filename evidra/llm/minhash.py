@@ -59,7 +59,7 @@ class MinHashParams:
     rows: int = 5
     n_hashes: int = 160
     b: int = 4
-    block: int = 3_000_000
+    block: int = 2_000_000
     bucket: int = 8192
     partners: int = 8
     seed: int = 11
@@ -229,7 +229,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 #: Pairs of signatures that are compared at once.
-CELLS = 200_000
+CELLS = 100_000
 
 
 def _bucket_members(keys: DataFrame, rows: DataFrame, labels: DataFrame, p: MinHashParams) -> DataFrame:
@@ -349,7 +349,9 @@ def _block_links(texts: DataFrame, rows: DataFrame, labels: DataFrame, near: Dat
                     if side[k] == 0:
                         parts.append((own.copy(), int(doc[k]), int(label[k])))
                     elif parts:
-                        index = index or _Block(parts, p.percent)
+                        if index is None:
+                            index = _Block(parts, p.percent)
+                            parts = [None]  # the index holds the sets
                         for partner in index.linked(own, int(label[k])):
                             u.append(int(doc[k]))
                             v.append(partner)
@@ -371,8 +373,8 @@ class _Block:
     def __init__(self, parts: list[tuple[np.ndarray, int, int]], percent: int) -> None:
         self.size = np.array([len(s) for s, _, _ in parts])
         self.doc, self.label = np.array([d for _, d, _ in parts]), np.array([x for _, _, x in parts])
-        ids, owner = np.concatenate([s for s, _, _ in parts]), np.repeat(np.arange(len(parts)), self.size)
-        order = np.argsort(ids, kind="stable")
+        ids, owner = np.concatenate([s for s, _, _ in parts]), np.repeat(np.arange(len(parts), dtype=np.int32), self.size)
+        order = np.argsort(ids, kind="stable").astype(np.int32)
         self.ids, self.owner, self.percent = ids[order], owner[order], percent
 
     def linked(self, own: np.ndarray, label: int) -> list[int]:
@@ -380,9 +382,14 @@ class _Block:
         if not len(own):
             return []
         lo, hi = (np.searchsorted(self.ids, own, s) for s in ("left", "right"))
-        span = hi - lo
-        at = np.repeat(lo - (np.cumsum(span) - span), span) + np.arange(span.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.size))
+        total = np.concatenate(([0], np.cumsum(hi - lo)))
+        common, at = np.zeros(len(self.size), np.int64), 0
+        while at < len(own):  # postings in pieces, since a long text may have many frequent shingles
+            to = max(at + 1, int(np.searchsorted(total, total[at] + CELLS, "right")) - 1)
+            span = (hi - lo)[at:to]
+            place = np.arange(total[to] - total[at]) + np.repeat(lo[at:to] - (total[at:to] - total[at]), span)
+            common += np.bincount(self.owner[place], minlength=len(self.size))
+            at = to
         hit = np.flatnonzero((100 * common >= self.percent * (len(own) + self.size - common)) & (common > 0) & (self.label != label))
         _, first = np.unique(self.label[hit], return_index=True)
         return self.doc[hit[first]].tolist()
