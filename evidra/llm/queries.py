@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm.bpe import default_path
+from evidra.llm.byte_bpe import BpeParams, encode_texts
+from evidra.llm.byte_bpe import default_path as ranks_path
 from evidra.llm.chat import DEFAULT as CHAT
 from evidra.llm.chat import format_chat, read_chat
 from evidra.llm.chunk_dedup import repeated_passages
 from evidra.llm.decontaminate import contamination
+from evidra.llm.importance import resample
 from evidra.llm.minhash import MinHashParams, near_duplicates
 from evidra.llm.packing import PackParams, pack
 from evidra.llm.pii import BASE_KINDS, KINDS, find_pii
@@ -181,3 +184,51 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(texts(spark, sf_dir))
+
+
+@_query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, bpe = encode_texts(texts(spark, sf_dir).select("doc_id", "text"), BpeParams(ranks_path()))
+    ids = F.col("ids")
+    read = coded.select("doc_id", "ids", bpe.decode(ids).alias("bytes"))
+    return read.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(ids), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_importance"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), bw AS (
+  SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), df AS (
+  SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM dw
+), bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM bw),
+names AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)),
+coded AS (
+  SELECT f, xor(list_reduce([4294967295] || list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM names, crc
+), source AS (SELECT bucket, count(*) AS s FROM df JOIN coded USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM bf JOIN coded USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS sa, (SELECT coalesce(sum(t), 0) FROM target) AS ta),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (ta + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN source USING (bucket) LEFT JOIN target USING (bucket), sums
+), means AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS g FROM df JOIN coded USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (g - ((g % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS noise
+  FROM dw LEFT JOIN means USING (doc_id)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS total FROM scored WHERE n >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score,
+  CASE WHEN place <= 25 * total // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
