@@ -13,6 +13,7 @@ from evidra.llm.byte_bpe import default_path as ranks_path
 from evidra.llm.chat import DEFAULT as CHAT
 from evidra.llm.chat import format_chat, read_chat
 from evidra.llm.chunk_dedup import repeated_passages
+from evidra.llm.collocations import collocations
 from evidra.llm.decontaminate import contamination
 from evidra.llm.importance import resample
 from evidra.llm.minhash import MinHashParams, near_duplicates
@@ -232,3 +233,27 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
   CASE WHEN place <= 25 * total // 100 THEN CAST(place AS BIGINT) END AS rank
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
+
+
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(texts(spark, sf_dir))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM places GROUP BY lang, k, g HAVING count(*) >= 100),
+longer AS (SELECT lang, g[1:k - 1] AS g, f FROM counts WHERE k > 2 UNION ALL SELECT lang, g[2:k] AS g, f FROM counts WHERE k > 2),
+kept AS (SELECT * FROM counts c WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = c.lang AND o.g = c.g AND o.f >= c.f)),
+cuts AS (SELECT lang, g, k, f, unnest(range(1, k)) AS j FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.j, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:j] JOIN counts y ON y.lang = c.lang AND y.g = c.g[j + 1:c.k] JOIN totals t ON t.lang = c.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
