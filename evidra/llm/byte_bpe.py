@@ -33,6 +33,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.llm.scratch import stored
+
 #: Pieces from which on a step joins all pairs of the lowest rank.
 LONG = 64
 #: Characters that are white space to the splitting pattern, as Java writes them.
@@ -188,7 +190,8 @@ class Bpe:
         top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(p.words).repartition(docs.sparkSession.sparkContext.defaultParallelism)
         lists: list[dict[str, int]] = [{} for _ in range(p.buckets)]
         flat: list[int] = []
-        for word, ids, bucket in top.select("word", self.fold(F.col("word")), self._bucket(F.col("word"))).toLocalIterator():
+        folded = stored(top.select("word", self.fold(F.col("word")).alias("ids"), self._bucket(F.col("word")).alias("bucket")), "words")
+        for word, ids, bucket in folded.collect():  # at most ``words`` rows of ``word_bytes`` bytes
             lists[bucket][word] = len(flat) << 6 | len(ids)
             flat += ids
         self.known = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<map<string,bigint>>")

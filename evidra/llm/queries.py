@@ -192,7 +192,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, bpe = encode_texts(texts(spark, sf_dir).select("doc_id", "text"), BpeParams(ranks_path()))
     ids = F.col("ids")
     read = coded.select("doc_id", "ids", bpe.decode(ids).alias("bytes"))
-    return read.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(ids), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    # Stored, so that whoever reads the result doesn't carry the literal maps along.
+    return stored(read.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(ids), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")), "bpe")
 
 
 @_query
