@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidra.functions.secrets import mask_known
+
 from evidra.functions.udf import batched
 
 #: Publishers by category; a host counts if it is one of these or below it.
@@ -67,13 +69,16 @@ def canonical_url(url: Column | str) -> Column:
     return F.when((a.scheme != "") & a.user.isin("", ":"), F.concat(F.lower(a.scheme), F.lit("://"), F.lower(a.authority), path, _joined(kept)))
 
 
-def safe_url(url: Column | str) -> Column:
-    """The URL with the values of credential parameters masked; empty for anything but HTTP(S)."""
+def safe_url(url: Column | str, known: tuple[str, ...] = ()) -> Column:
+    """The URL with the values of credential parameters and all known secrets masked; empty for anything but HTTP(S).
+
+    Secrets are masked wherever they stand, in the given URL and in the finished one, whose values are encoded anew.
+    """
     column = F.col(url) if isinstance(url, str) else url
-    a = _Address(F.regexp_replace(column, r"^[\x00-\x20]+", ""))
+    a = _Address(mask_known(F.regexp_replace(column, r"^[\x00-\x20]+", ""), known))
     masked = F.transform(a.pairs(), lambda p: F.struct(p["k"].alias("k"), F.when(p["k"].rlike(CREDENTIAL), "[MASKED]").otherwise(p["v"]).alias("v")))
     shown = F.concat(F.lower(a.scheme), F.lit("://"), F.lower(a.host), a.path, _joined(masked))
-    return F.when(column.isNotNull(), F.when(a.scheme == "", "").otherwise(shown))
+    return F.when(column.isNotNull(), F.when(a.scheme == "", "").otherwise(mask_known(shown, known)))
 
 
 def host(url: Column) -> Column:

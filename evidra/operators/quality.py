@@ -10,7 +10,23 @@ DAMAGED = "\\x{FFFD}|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 DIRECTIVE = r"(?iu)ignore\s+(all\s+)?(previous|prior)\s+instructions|bỏ qua.{0,25}(chỉ dẫn|hướng dẫn)|system\s*prompt"
 SENSITIVE = r"(?iu)-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:api[_ -]?key|password|mật khẩu)\s*[:=]\s*\S+"
 SHORT_WORDS = 30
-SCHEMA = "struct<code:string,severity:string,penalty:int,start:int,end:int>"
+SCHEMA = "struct<code:string,severity:string,penalty:int,start:int,end:int,message:string,snippet:string>"
+#: What a reviewer is told; a parser's warning speaks for itself.
+MESSAGES = {
+    "empty": "No text was extracted; a scan needs OCR or a checked transcript.",
+    "short": "Very short; see whether parts of the source are missing.",
+    "partial": "Only a part of the source was parsed; a whole version is needed before approval.",
+    "encoding": "Damaged or control characters; compare with the original.",
+    "instruction": "Reads like an instruction to a model; it is data, and a person must look at it.",
+    "sensitive": "May hold sensitive data; confirm the right to use it and remove secrets before approval.",
+    "duplicate": "Same content as another document.",
+    "effective_date": "Depends on time, but has no first day of effect.",
+    "source_verification": "No public address to check the source at.",
+    "factual_review": "Facts weren't checked.",
+}
+#: Characters shown before and after a match.
+AROUND = {"encoding": (35, 50), "instruction": (30, 80)}
+HIDDEN = "[not shown again]"
 
 
 #: Words that a match of the two long patterns holds, in the form of :func:`_plain`.
@@ -30,13 +46,21 @@ def _holds(plain: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
-def _finding(when: Column, code: str, severity: str, penalty: int, pattern: str | None = None) -> Column:
-    """A finding where ``when`` holds; with a pattern, the place of its first match, which is looked for only there."""
+def _finding(when: Column, code: str, severity: str, penalty: int, pattern: str | None = None, message: Column | None = None) -> Column:
+    """A finding where ``when`` holds; with a pattern, the place of its first match, which is looked for only there.
+
+    A snippet shows what stands around the match, but a sensitive match never.
+    """
     null = F.lit(None).cast("int")
     # What stands before is split off; its length counts code points, while regexp_instr counts UTF-16 units.
     start = F.length(F.get(F.split("text", pattern or "x", 2), F.lit(0)))
     end = start + F.length(F.regexp_extract("text", pattern or "x", 0))
-    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(penalty).alias("penalty"), (start if pattern else null).alias("start"), (end if pattern else null).alias("end")))
+    before, after = AROUND.get(code, (0, 0))
+    first = F.greatest(F.lit(0), start - before)
+    shown = F.substring("text", first + 1, end - first + after) if code in AROUND else F.lit(HIDDEN if pattern else "")
+    fields = {"code": F.lit(code), "severity": F.lit(severity), "penalty": F.lit(penalty), "start": start if pattern else null, "end": end if pattern else null}
+    fields |= {"message": F.lit(MESSAGES[code]) if message is None else message, "snippet": shown}
+    return F.when(when, F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -60,7 +84,7 @@ def assess(docs: DataFrame) -> DataFrame:
         _finding(~blank & short, "short", "warning", 15),
         _finding(truth("partial"), "partial", "error", 40),
     ]
-    warnings = F.transform(F.coalesce(have.get("parser_warnings", null).cast("array<string>"), F.array().cast("array<string>")), lambda w: _finding(F.lit(True), "parser_warning", "warning", 5))
+    warnings = F.transform(F.coalesce(have.get("parser_warnings", null).cast("array<string>"), F.array().cast("array<string>")), lambda w: _finding(F.lit(True), "parser_warning", "warning", 5, message=w))
     two = [
         _finding(text.rlike(DAMAGED), "encoding", "warning", 25, DAMAGED),
         _finding(_holds(plain, DIRECTIVE_WORDS) & text.rlike(DIRECTIVE), "instruction", "warning", 10, DIRECTIVE),

@@ -50,9 +50,9 @@ def trace_view(nodes: DataFrame, issues: DataFrame, documents: DataFrame, secret
     clean = lambda c: redact_secrets(F.col(c), secrets)
     shown = nodes.orderBy(F.desc("seq")).limit(NODES_SHOWN)
     found = issues.orderBy(F.desc("seq")).limit(ISSUES_SHOWN)
-    one = shown.select(F.lit("node").alias("kind"), "seq", clean("id").alias("id"), "stage", _label(F.col("stage")).alias("stage_label"), clean("label").alias("label"), "status", safe_url("url").alias("url"), "issue")
+    one = shown.select(F.lit("node").alias("kind"), "seq", clean("id").alias("id"), "stage", _label(F.col("stage")).alias("stage_label"), clean("label").alias("label"), "status", safe_url("url", secrets).alias("url"), "issue")
     two = found.select(F.lit("issue").alias("kind"), "seq", clean("id").alias("id"), "stage", _label(F.col("stage")).alias("stage_label"), clean("message").alias("label"), clean("code").alias("status"), none.alias("url"), F.col("detected_at").alias("issue"))
-    three = documents.select(F.lit("import").alias("kind"), "seq", F.concat(F.lit("import-"), F.col("seq").cast("string")).alias("id"), F.lit("human-review").alias("stage"), F.lit("Queued for review").alias("stage_label"), clean("title").alias("label"), "status", safe_url("source_url").alias("url"), none.alias("issue"))
+    three = documents.select(F.lit("import").alias("kind"), "seq", F.concat(F.lit("import-"), F.col("seq").cast("string")).alias("id"), F.lit("human-review").alias("stage"), F.lit("Queued for review").alias("stage_label"), clean("title").alias("label"), "status", safe_url("source_url", secrets).alias("url"), none.alias("issue"))
     return one.unionByName(two).unionByName(three)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
 from evidra.functions import urls as U
+from evidra.functions.secrets import forms, mask_known
 from evidra.plans.registry import query, sql_fold
 from evidra.session import table, texts
 from evidra.sources import sinks
@@ -102,6 +103,56 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.redact_secrets(text).alias("masked"))
 
 
+#: Secrets that the two queries below hide in real texts and addresses, with signs that quoting changes; one begins like another.
+HIDDEN = ("a/b+c d&é=1", "k-9%~x y", "k-9%~x yz", "s3cret/zz")
+_HIDDEN_FORMS = [f for s in HIDDEN for f in forms(s)]
+_SHOWN_FORMS = sorted(set(_HIDDEN_FORMS), key=len, reverse=True)
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _form(at: str) -> str:
+    """SQL for the form that row ``at`` hides."""
+    return f"list_extract([{', '.join(map(_literal, _HIDDEN_FORMS))}], CAST({at} % {len(_HIDDEN_FORMS)} AS INTEGER) + 1)"
+
+
+def _without(text: str) -> str:
+    """SQL that masks all forms, the longest first."""
+    for f in _SHOWN_FORMS:
+        text = f"replace({text}, {_literal(f)}, '[MASKED]')"
+    return text
+
+
+def _hidden(at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, _HIDDEN_FORMS)), (at % len(_HIDDEN_FORMS)).cast("int"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, {_form("(conv_id * 3 + turn)")} AS f FROM conversations)
+SELECT conv_id, turn, {_without("x[:length(x) // 2] || f || x[length(x) // 2 + 1:] || f")} AS masked FROM t"""
+)
+def redact_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text hides a secret in its middle and at its end, in one of all forms; none is left."""
+    at, x = F.col("conv_id") * 3 + F.col("turn"), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(x) / 2).cast("int")
+    hidden = F.concat(F.substring(x, F.lit(1), half), _hidden(at), F.substring(x, half + 1, F.length(x)), _hidden(at))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mask_known(hidden, HIDDEN).alias("masked"))
+
+
+@query(
+    rf"""SELECT page_id, {_without(f"regexp_extract(url, '^https?://[^/?#]+') || '/' || {_form('page_id')} || '/x'")} || '?page=' || CAST(page_id AS VARCHAR) || '&token=%5BMASKED%5D' AS safe
+FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+(/|$)')"""
+)
+def safe_known_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secret in the path of each page's address; such a path keeps no part of it, and a credential parameter none of its value."""
+    pages = table(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[a-z0-9.-]+(/|$)"))
+    # A question mark or a hash sign would end the path, and no form has one.
+    url = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), F.lit("/"), _hidden(F.col("page_id")), F.lit("/x?page="), F.col("page_id").cast("string"), F.lit("&token=t#f"))
+    return pages.select("page_id", U.safe_url(url, HIDDEN).alias("safe"))
+
+
 @query("SELECT page_id, 'https://api.example.org/v2/data?id=' || CAST(page_id AS VARCHAR) || '&api_key=%5BMASKED%5D&Session_Token=%5BMASKED%5D' AS safe FROM pages")
 def redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id").cast("string")
