@@ -11,8 +11,10 @@ from evidra.operators import chunks as C
 from evidra.operators import embedding as E
 from evidra.operators import search as S
 from evidra.operators.review import eligible
+from evidra.operators.segments import SegmentedIndex
 from evidra.plans.registry import query, sql_words
 from evidra.session import table, texts
+from evidra.sources.folders import folder
 
 #: One term twice: it counts twice.
 TERMS = ["thea", "ontion", "der", "thea", "leaux"]
@@ -80,6 +82,22 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dense_topk(vectors, "vec_id", "embedding", _query_vector(vectors))
 
 
+_AFTER = """final AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' amended thea' ELSE text END AS text FROM documents
+  WHERE doc_id % 7 = 0 OR (doc_id % 11 <> 0 AND (doc_id % 3 = 0 OR doc_id % 5 <> 0)))"""
+
+
+@query(f"WITH {_AFTER}, {_bm25('final')} SELECT doc_id, score FROM scored")
+def evidence_index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents go through an index by three batches of approvals, withdrawals and edits, two at a time merged; every match is returned."""
+    docs, i = texts(spark, sf_dir).select("doc_id", "text"), F.col("doc_id")
+    index = SegmentedIndex(spark, folder(spark, "evidence"), fan=2)
+    index.apply(docs.where(i % 3 != 0))
+    index.apply(docs.where(i % 3 == 0), docs.where(i % 5 == 0))
+    index.compact()
+    index.apply(docs.where(i % 7 == 0).withColumn("text", F.concat("text", F.lit(" amended thea"))), docs.where(i % 11 == 0))
+    return index.scores(TERMS).withColumn("score", F.round("score", 6))
+
+
 @query(
     """SELECT vec_id, CASE WHEN vec_id % 7 IN (0, 1, 2) THEN false ELSE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0 END AS valid FROM embeddings"""
 )
