@@ -56,7 +56,7 @@ class CollocationParams:
     longest: int = 5
     top: int = 2000
     #: Words of a shard, which a task sorts at a time.
-    shard_words: int = 1 << 20
+    shard_words: int = 1 << 19
     #: Bits of either bitmap; a power of two.
     filter_bits: int = 1 << 25
 
@@ -107,13 +107,15 @@ def hits(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return found
 
 
-def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of a table's keys, made in tasks and united: its size is fixed, the number of keys isn't."""
+def _filter_of(words: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of a table of words or pairs, made in tasks and united: its size is fixed, the number of rows isn't."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bits >> 3, np.uint8)
         for batch in batches:
-            total |= bitmap(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            parts = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns], axis=1)
+            n, size = parts.shape
+            total |= bitmap(parts[:, 0] if size == 1 else phrase_key(parts.reshape(-1), np.arange(n) * size, size), bits)
         # Slices of 4 KiB, those with a bit only, united by place.
         rows = total.reshape(-1, min(4096, len(total)))
         at = np.flatnonzero(rows.any(axis=1))
@@ -121,7 +123,7 @@ def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(bits >> 3, np.uint8)
     rows = out.reshape(-1, min(4096, len(out)))
-    for at, own_bits in keys.coalesce(_FILTER_TASKS).mapInArrow(own, "at long, bits binary").collect():
+    for at, own_bits in words.coalesce(_FILTER_TASKS).mapInArrow(own, "at long, bits binary").collect():
         rows[at] |= np.frombuffer(bytes(own_bits), np.uint8)
     return out
 
@@ -208,7 +210,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.ndarray | None, least: int, longest: int) -> DataFrame:
-    """``key, size, f`` and the words' keys of all phrases of ``least`` to ``longest`` words with a count of ``p.least``.
+    """``words``, their keys in order, and ``f`` of all phrases of ``least`` to ``longest`` words with a count of ``p.least``.
 
     ``kept`` and ``pairs`` are the bitmaps of words and pairs of neighbours that a phrase may hold.
     """
@@ -216,6 +218,8 @@ def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.
     # Of fixed size: ``filter_bits`` / 8 bytes each.
     shared = spark.sparkContext.broadcast((kept, pairs))
 
+    names = [f"w{j}" for j in range(longest)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_bits, pair_bits = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -224,10 +228,10 @@ def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.
         def flush() -> Iterator[pa.RecordBatch]:
             words, run = (np.concatenate(x) for x in zip(*held, strict=True))
             for size, at, f in shard_counts(words, run, least, longest):
-                for a in range(0, len(at), 1 << 17):
-                    own = at[a : a + (1 << 17)]
-                    columns = [pa.array(phrase_key(words, own, size).view(np.int64)), pa.array(np.full(len(own), size, np.int8)), pa.array(f[a : a + (1 << 17)])]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "size", "n"])
+                for a in range(0, len(at), 1 << 16):
+                    own = at[a : a + (1 << 16)]
+                    parts = [pa.array(words[own + j].view(np.int64)) if j < size else pa.nulls(len(own), pa.int64()) for j in range(longest)]
+                    yield pa.RecordBatch.from_arrays([*parts, pa.array(f[a : a + (1 << 16)])], [*names, "n"])
 
         for batch in batches:
             for words, piece, *_ in words_of(batch):
@@ -250,55 +254,9 @@ def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.
         if n:
             yield from flush()
 
-    counted = docs.mapInArrow(count, "key long, size byte, n long")
-    return counted.groupBy("key", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
-
-
-def _spelled(docs: DataFrame, p: CollocationParams, kept: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """The words' keys of the phrases whose keys are in the bitmap ``wanted``; a task gives each phrase once."""
-    shared = docs.sparkSession.sparkContext.broadcast((kept, wanted))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, bits = shared.value
-        seen = np.zeros(0, np.uint64)
-        for batch in batches:
-            for words, piece, *_ in words_of(batch):
-                good = hits(words, word_bits)
-                ends = np.concatenate((np.flatnonzero((piece[1:] != piece[:-1]) | ~good[1:] | ~good[:-1]), [len(words) - 1]))
-                room = ends[np.searchsorted(ends, np.arange(len(words)))] - np.arange(len(words)) + 1
-                for size in range(2, p.longest + 1):
-                    at = np.flatnonzero((room >= size) & good)
-                    keys = phrase_key(words, at, size)
-                    found = hits(keys, bits)
-                    keys, first = np.unique(keys[found], return_index=True)
-                    at = at[found][first]
-                    new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
-                    keys, at = keys[new], at[new]
-                    seen = np.union1d(seen, keys)
-                    parts = np.stack([words[at + j] for j in range(size)], axis=1).view(np.int64).reshape(-1)
-                    own = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), own], ["key", "words"])
-
-    return docs.mapInArrow(find, "key long, words array<long>").groupBy("key").agg(F.first("words").alias("words"))
-
-
-def _key_of(parts: DataFrame) -> DataFrame:
-    """The key of each row's ``part``, an array of words' keys."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("part"))
-            flat, offs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            offs = offs - offs[0]
-            size = np.diff(offs)
-            keys = np.zeros(len(size), np.uint64)
-            for k in np.unique(size).tolist():
-                own = np.flatnonzero(size == k)
-                keys[own] = phrase_key(flat, offs[own], k) if k > 1 else flat[offs[own]]
-            yield batch.append_column("part_key", pa.array(keys.view(np.int64)))
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return parts.mapInArrow(keyed, f"{names}, part_key long")
+    counted = docs.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+    often = counted.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
+    return often.select(F.array_compact(F.array(*names)).alias("words"), "f")
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -321,29 +279,27 @@ def collocations(docs: DataFrame, params: CollocationParams | None = None, text:
     frequent = words.where(F.col("f") >= p.least)
     kept = _filter_of(frequent.select("key"), p.filter_bits)
     pairs = stored(_phrases(docs, p, kept, None, 2, 2), "pairs")
-    pair_bits = _filter_of(pairs.select("key"), p.filter_bits)
+    pair_bits = _filter_of(pairs.select(F.col("words")[0], F.col("words")[1]), p.filter_bits)
     found = stored(pairs.unionByName(_phrases(docs, p, kept, pair_bits, 3, p.longest)), "phrases") if p.longest > 2 else pairs
-    bits = _filter_of(found.select("key"), p.filter_bits)
-    spelled = stored(found.join(_spelled(docs, p, kept, bits), "key"), "spelled")
-    counts = found.select("key", "f").unionByName(frequent.select("key", "f"))
+    known = found.unionByName(frequent.select(F.array("key").alias("words"), "f")).select(F.col("words").alias("part"), F.col("f").alias("part_f"))
     # Both sides of every cut; those that are a word shorter may be made superfluous by this phrase.
-    cut = spelled.select("key", "f", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    cut = found.select("words", "f", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     sides = F.array(F.struct(F.lit(True).alias("left"), F.slice("words", F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(False).alias("left"), F.slice("words", F.col("k") + 1, F.size("words")).alias("part")))
-    parts = _key_of(cut.withColumn("side", F.explode(sides)).select("key", "f", "k", F.size("words").alias("size"), "side.left", "side.part"))
-    known = counts.select(F.col("key").alias("part_key"), F.col("f").alias("part_f"))
-    parts = stored(parts.withColumn("length", F.size("part")).drop("part").join(known, "part_key"), "parts")
-    dropped = parts.where("length > 1 AND length = size - 1 AND f >= part_f").select(F.col("part_key").alias("key")).distinct()
+    parts = cut.withColumn("side", F.explode(sides)).select("words", "f", "k", "side.left", "side.part")
+    parts = stored(parts.join(known, "part"), "parts")
+    shorter = (F.size("part") > 1) & (F.size("part") == F.size("words") - 1) & (F.col("f") >= F.col("part_f"))
+    dropped = parts.where(shorter).select(F.col("part").alias("words")).distinct()
     of = lambda left: F.max(F.when(F.col("left") == F.lit(left), F.col("part_f")))
-    cuts = parts.groupBy("key", "k").agg(of(True).alias("l"), of(False).alias("r"))
+    cuts = parts.groupBy("words", "f", "k").agg(of(True).alias("l"), of(False).alias("r")).join(dropped, "words", "left_anti")
     first = frequent.select(F.col("key").alias("first"), "lang")
-    own = spelled.join(dropped, "key", "left_anti").withColumn("first", F.col("words")[0]).join(first, "first").join(totals, "lang")
-    scored = own.join(cuts, "key").withColumn("score", exact_score(F.col("f"), F.col("n"), F.col("l"), F.col("r")))
-    best = scored.groupBy("key", "lang", "n", F.col("f").alias("a")).agg(F.first("words").alias("words"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    best = best.select("lang", "key", "words", "a", "n", "cut.l", "cut.r", "cut.score", F.pmod("key", F.lit(_PARTS)).alias("bin"))
+    own = cuts.withColumn("first", F.col("words")[0]).join(first, "first").join(totals, "lang").withColumnRenamed("f", "a")
+    scored = own.withColumn("score", exact_score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
+    best = scored.groupBy("words", "lang", "n", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = best.select("lang", "words", "a", "n", "cut.l", "cut.r", "cut.score", F.pmod(F.hash("words"), F.lit(_PARTS)).alias("bin"))
     # Only phrases that can be among the first are written out; ties at the end stay in.  Parts of a language come first, so no task has all of it.
     place = lambda *by: F.rank().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a")))
     top = best.withColumn("place", place("lang", "bin")).where(F.col("place") <= p.top).withColumn("place", place("lang")).where(F.col("place") <= p.top)
-    letters = top.select("key", F.posexplode("words").alias("at", "word_key")).join(frequent.select(F.col("key").alias("word_key"), "word"), "word_key")
-    phrase = letters.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    letters = top.select("words", F.posexplode("words").alias("at", "word_key")).join(frequent.select(F.col("key").alias("word_key"), "word"), "word_key")
+    phrase = letters.groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    return top.join(phrase, "key").withColumn("rank", rank).where(F.col("rank") <= p.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return top.join(phrase, "words").withColumn("rank", rank).where(F.col("rank") <= p.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
