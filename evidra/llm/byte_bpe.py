@@ -107,8 +107,9 @@ def java_pattern(spark: SparkSession) -> str:
     letter, number = (
         rf"\p{{{k}}}" + _ranges(spark.range(1).select(F.regexp_replace(F.lit(_class_of(rf"\p{{{k}}}")), rf"\p{{{k}}}+", "")).first()[0]) for k in ("L", "N")
     )
-    # ASCII marks come first, so that the long class is looked through for other characters only.
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?(?:[{MARKS}]|[^{WHITE}{letter}{number}])(?:[{MARKS}]++|[^{WHITE}{letter}{number}])*+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+    # Runs that an ASCII character or the end closes come first: the long classes are looked through for the others only.
+    plain = rf" ?\p{{L}}++(?=[\x00-\x7F]|\z)| ?\p{{N}}++(?=[\x00-\x7F]|\z)| ?[{MARKS}]++(?=[\t-\r 0-9A-Za-z]|\z)"
+    return rf"'(?:[stmd]|re|ve|ll)|{plain}| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -191,7 +192,7 @@ class Bpe:
         lists: list[dict[str, int]] = [{} for _ in range(p.buckets)]
         flat: list[int] = []
         folded = stored(top.select("word", self.fold(F.col("word")).alias("ids"), self._bucket(F.col("word")).alias("bucket")), "words")
-        for word, ids, bucket in folded.collect():  # at most ``words`` rows of ``word_bytes`` bytes
+        for word, ids, bucket in folded.toLocalIterator():  # at most ``words`` rows of ``word_bytes`` bytes
             lists[bucket][word] = len(flat) << 6 | len(ids)
             flat += ids
         self.known = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<map<string,bigint>>")
