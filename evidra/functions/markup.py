@@ -15,7 +15,7 @@ from evidra.functions.udf import batched
 
 # Element and class names, and size limits.
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
-CLOSED_BY = {"p": frozenset({"p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section", "article"}), "li": frozenset({"li"}), "tr": frozenset({"tr", "tbody", "thead", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
+CLOSED_BY = {"p": frozenset({"p", "div", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "section", "article", "address", "aside", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hr", "main", "nav"}), "li": frozenset({"li"}), "tr": frozenset({"tr", "tbody", "thead", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 SCOPE = frozenset({"table", "ul", "ol", "article", "section", "div", "body", "html"})
 NOISE = frozenset({"script", "style", "noscript", "svg", "nav", "footer", "aside", "form"})
 NOISE_NAMES = frozenset({"related", "related-articles", "related-posts", "recommended", "comments", "share", "social-share", "sharing"})
@@ -138,7 +138,13 @@ def links(root: Node) -> list[dict]:
 
 
 def article_text(root: Node, known: str = "") -> str | None:
-    """H1: the prose of the best article element that ``known`` doesn't hold already; null if there is none.
+    """H1: the text of :func:`article_body`; null if there is none."""
+    found = article_body(root, known)
+    return None if found is None else "\n".join(block_lines(found))
+
+
+def article_body(root: Node, known: str = "") -> Node | None:
+    """H1: the best article element whose prose ``known`` doesn't hold already.  Noise elements leave the tree.
 
     An article has two paragraphs of 80 characters at least, 200 together, and
     a quarter of its text in links at most.
@@ -156,7 +162,7 @@ def article_text(root: Node, known: str = "") -> str | None:
         covered = sum(len(t) for t in prose if t in known)
         if len(prose) >= 2 and size >= 200 and 4 * linked <= whole and 2 * covered < size and (best is None or (size, whole) > best[:2]):
             best = (size, whole, n)
-    return None if best is None else "\n".join(block_lines(best[2]))
+    return None if best is None else best[2]
 
 
 def block_lines(node: Node) -> list[str]:
@@ -184,7 +190,7 @@ def leads(root: Node, most: int = 3) -> list[dict]:
     return [{"text": t, "locator": p} for t, p in found.items()]
 
 
-_LEAF = frozenset("mi mn mo mtext".split())
+_LEAF = frozenset({"mi", "mn", "mo", "mtext"})
 _SCRIPTS = {"msup": ("{0}^{{{1}}}", 2), "msub": ("{0}_{{{1}}}", 2), "msubsup": ("{0}_{{{1}}}^{{{2}}}", 3), "mfrac": ("({0})/({1})", 2), "mroot": ("root({0},{1})", 2)}
 _JOINS = {"msqrt": ("sqrt(", "", ")"), "mtr": ("[", ", ", "]"), "mtable": ("", "; ", "")}
 

@@ -6,23 +6,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import markup as M
+from evidra.functions import reader as H
 from evidra.operators import chunks as C
 from evidra.plans.registry import query
 from evidra.session import table
 from evidra.sources import readers as R
 
 
+def _sql_plain(x: str) -> str:
+    """SQL text with the entities of the generator's pages resolved, and trimmed."""
+    return f"trim(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'))"
+
+
+def _sql_lines(x: str) -> str:
+    """Lines of a piece of the generator's markup, without empty ones."""
+    lines = f"regexp_replace(regexp_replace({x}, '</?(p|h1|br|aside)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({_sql_plain(lines)}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+def _sql_body(html: str) -> str:
+    """Lines of a page's article."""
+    return _sql_lines(f"regexp_extract({html}, '<article>(.*)</article>', 1, 's')")
+
+
+_SQL_AD = _sql_lines("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")
+
+
+#: The main content is the article, unless the advertisement before it holds more characters.
+_SQL_PAGE = f"""WITH a AS (SELECT page_id, html, {_sql_body('html')} AS article, {_SQL_AD} AS ad FROM pages),
+b AS (SELECT *, length(regexp_replace(article, '\\s', '', 'g')) AS n, length(regexp_replace(ad, '\\s', '', 'g')) AS m FROM a),
+t AS (SELECT page_id, html, CASE WHEN n > m THEN article WHEN m > n THEN ad ELSE ad || chr(10) || article END AS text FROM b)"""
+_SQL_TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", M.page_title("html").alias("title"))
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT page_id, {_sql_body('html')} AS article, list_filter(list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda p: length({_sql_plain("regexp_replace(regexp_replace(split_part(p, '</p>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')")})), lambda n: n >= 80) AS prose FROM pages),
+b AS (SELECT *, len(prose) >= 2 AND list_sum(prose) >= 200 AS kept FROM a)
+SELECT page_id, CASE WHEN kept THEN length(article) ELSE 0 END AS n_chars, CASE WHEN kept THEN sha256(article) ELSE 'none' END AS digest FROM b"""
+)
 def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", M.page_article("html").alias("article")).select("page_id", F.length("article").alias("n_chars"), F.sha2("article", 256).alias("digest"))
+    found = table(spark, sf_dir, "pages").select("page_id", M.page_article("html").alias("article"))
+    return found.select("page_id", F.coalesce(F.length("article"), F.lit(0)).alias("n_chars"), F.coalesce(F.sha2("article", 256), F.lit("none")).alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT page_id, concat_ws(chr(10), nullif({_SQL_AD}, ''), nullif({_sql_body('html')}, '')) AS t FROM pages)
+SELECT page_id, length(t) AS n_chars, sha256(t) AS digest FROM t"""
+)
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", M.page_text("html").alias("t")).select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
 
@@ -93,3 +128,36 @@ def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k == 0, "﻿year,amount\n2024,9999999999999999.0001\n2025,1\n").when(k == 1, "year;amount\n2024;9999999999999999.0001\n2025;2,5\n").otherwise("a,b\n1\n2,3,4\n")
     t = table(spark, sf_dir, "documents").select("doc_id", R.csv_table(text).alias("t"))
     return t.select("doc_id", F.when(F.col("t.rows").isNull(), 0).otherwise(F.size("t.rows")).alias("n_rows"), F.coalesce("t.error", F.lit("none")).alias("error"), F.coalesce(F.col("t.rows")[1][1], F.lit("none")).alias("exact"))
+
+
+@query(
+    f"""{_SQL_PAGE} SELECT page_id, CASE WHEN length(text) >= 150 THEN {_SQL_TITLE} ELSE '' END AS title, CASE WHEN length(text) >= 150 THEN length(text) ELSE 0 END AS n_chars, CASE WHEN length(text) >= 150 THEN sha256(text) ELSE '' END AS digest,
+CASE WHEN length(text) >= 150 THEN len(regexp_extract_all(html, '<a href=')) ELSE 0 END AS n_links, CASE WHEN length(text) < 150 THEN 'content is too short' ELSE 'none' END AS error FROM t"""
+)
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole reader over the bytes of every page; its charset is that of its meta element."""
+    pages = table(spark, sf_dir, "pages").select("page_id", H.html_document(F.encode("html", "UTF-8"), F.lit("text/html")).alias("d"))
+    return pages.select("page_id", F.coalesce("d.title", F.lit("")).alias("title"), F.coalesce(F.length("d.text"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.sha2("d.text", 256), F.lit("")).alias("digest"), F.when(F.col("d.links").isNull(), 0).otherwise(F.size("d.links")).cast("long").alias("n_links"), F.coalesce("d.error", F.lit("none")).alias("error"))
+
+
+_ID = "CAST(page_id AS VARCHAR)"
+_SQL_INSIDE = f"'Inner lead ' || {_ID} || repeat(' inside', 12)"
+_SQL_ASIDE = f"'Outer lead ' || {_ID} || repeat(' aside', 12)"
+_SQL_PLANTED = _sql_body(f"replace(html, '</h1>', '</h1><p>' || {_SQL_INSIDE} || '</p><p>Formula q_{{' || {_ID} || '}} stands here</p>')")
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, html, {_SQL_ASIDE} AS aside, {_SQL_INSIDE} AS inside, 'q_{{' || {_ID} || '}}' AS formula, 'r^{{' || {_ID} || '}}' AS foot, {_SQL_PLANTED} AS body FROM pages),
+x AS (SELECT *, aside || repeat(chr(10), 2) || body || repeat(chr(10), 2) || 'Công thức MathML bổ sung từ trang gốc (cần đối chiếu XPath):' || chr(10) || foot || ' [/html/body/footer/math]' || chr(10) AS text, string_split(body, chr(10))[1] AS heading FROM p),
+s AS (SELECT page_id, text, unnest([{{'kind': 'lead', 'cut': aside, 'start': 0}}, {{'kind': 'heading', 'cut': heading, 'start': length(aside) + 2}}, {{'kind': 'lead', 'cut': inside, 'start': instr(text, inside) - 1}}, {{'kind': 'formula', 'cut': formula, 'start': instr(text, formula) - 1}}, {{'kind': 'formula', 'cut': foot, 'start': instr(text, chr(10) || foot || ' [')}}]) AS z FROM x)
+SELECT page_id, z.kind AS kind, z.cut AS cut, z.start AS "start", z.start + length(z.cut) AS "end", sha256(text) AS digest FROM s"""
+)
+def html_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads and formulas planted into every page, inside the text and beside it, and cut out of it by their offsets (H3, H6)."""
+    i = F.col("page_id").cast("string")
+    inside = F.concat(F.lit("</h1><aside class=summary>Outer lead "), i, F.lit(" aside" * 12 + "</aside><p class='story-Lead'>Inner lead "), i, F.lit(" inside" * 12 + "</p><p>Formula <math><msub><mi>q</mi><mn>"), i, F.lit("</mn></msub></math> stands here</p>"))
+    foot = F.concat(F.lit("<footer><math><msup><mi>r</mi><mn>"), i, F.lit("</mn></msup></math>"))
+    html = F.replace(F.replace("html", F.lit("</h1>"), inside), F.lit("<footer>"), foot)
+    d = table(spark, sf_dir, "pages").select("page_id", H.html_document(F.encode(html, "UTF-16"), F.lit("text/html; charset=utf-16")).alias("d"))
+    s = d.select("page_id", "d.text", F.explode("d.spans").alias("s")).select("page_id", "text", "s.*")
+    return s.select("page_id", "kind", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("cut"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("digest"))
