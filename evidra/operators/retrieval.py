@@ -16,6 +16,7 @@ from evidra.functions import vectors as V
 from evidra.functions.contracts import check_question
 from evidra.operators import embedding as E
 from evidra.operators import search as S
+from evidra.operators.merkle import Sealed, TornError, seal
 from evidra.operators.review import eligible
 from evidra.sources import sinks
 from evidra.sources.folders import stored
@@ -30,15 +31,16 @@ class StaleIndexError(RuntimeError):
 
 @dataclass(frozen=True)
 class Index:
-    """Folder of a published index: ``chunks`` with vectors, ``postings``, and a one-row ``manifest``.
+    """Folder of a published index: ``chunks`` with vectors, sealed postings, and a one-row ``manifest``.
 
-    Its digest is checked once, by the first question.
+    The digest of the chunks, all of which a dense search reads, is checked
+    once, by the first question; that of the postings by each question, for
+    the ranges of its own terms.
     """
 
     spark: SparkSession
     path: str
     chunks: DataFrame = field(init=False)
-    postings: DataFrame = field(init=False)
     manifest: dict = field(init=False)
     seen: list = field(init=False, default_factory=list)
 
@@ -47,7 +49,6 @@ class Index:
         object.__setattr__(self, "manifest", manifest.asDict() if manifest else {})
         if self.manifest.get("status") == READY:
             object.__setattr__(self, "chunks", self.spark.read.parquet(f"{self.path}/chunks"))
-            object.__setattr__(self, "postings", self.spark.read.parquet(f"{self.path}/{self.manifest['postings']}"))
 
     def check(self, model: str, dims: int) -> None:
         """ready, of this model and size, and unchanged since it was published."""
@@ -58,11 +59,19 @@ class Index:
             raise StaleIndexError("the index has changed since it was published")
         self.seen.append(True)
 
+    def postings(self, terms: list[str]) -> DataFrame:
+        """Postings of these terms, proven and written to a narrow table, so they are read once."""
+        try:
+            found = Sealed(self.spark, f"{self.path}/{self.manifest['postings']}", self.manifest["postings_root"]).read(terms)
+        except TornError as error:
+            raise StaleIndexError("postings have changed since the index was published") from error
+        return stored(found, "terms")
+
 
 def _write_manifest(spark: SparkSession, path: str, **fields: object) -> None:
-    names = ["status", "model", "dims", "chunk_count", "digest", "postings", "avgdl"]
+    names = ["status", "model", "dims", "chunk_count", "digest", "postings", "postings_root", "avgdl"]
     row = [tuple(fields.get(n) for n in names)]
-    spark.createDataFrame(row, "status string, model string, dims int, chunk_count long, digest string, postings string, avgdl double").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    spark.createDataFrame(row, "status string, model string, dims int, chunk_count long, digest string, postings string, postings_root string, avgdl double").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int, embedder: Embedder, max_chunks: int = 10_000_000_000) -> dict:
@@ -85,8 +94,10 @@ def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int,
         written = spark.read.parquet(f"{path}/chunks")
         digest = sinks.manifest(written, ["chunk_id", "text", "vector"]).first()
         name = f"postings-{uuid.uuid4().hex}"
-        stats = S.write_postings(written, "chunk_id", "text", f"{path}/{name}")
-        state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "avgdl": float(stats["avgdl"])}
+        posted = stored(S.postings(written, "chunk_id", "text"), "postings")
+        root = seal(posted, f"{path}/{name}", ["term", "doc_id"])
+        words = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first().words
+        state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "postings_root": root, "avgdl": words / digest["rows"] if digest["rows"] else 0.0}
         _write_manifest(spark, path, **state)
         return state
     except Exception:
@@ -118,7 +129,7 @@ def retrieve(index: Index, question: str, model: str, dims: int, embedder: Embed
     query = spark.createDataFrame([(vector,)], "q array<double>")
     dense = S.dense_topk(chunks, "chunk_id", "vector", query).withColumnRenamed("vec_id", "id")
     folded = spark.range(1).select(T.query_terms(T.fold(F.lit(question))).alias("t")).first().t
-    scored = S.bm25_index(index.postings, index.manifest["chunk_count"], index.manifest["avgdl"], folded).withColumn("score", F.round("score", 6))
+    scored = S.bm25_index(index.postings(folded), index.manifest["chunk_count"], index.manifest["avgdl"], folded).withColumn("score", F.round("score", 6))
     sparse = S.ranked(scored, "score", [F.asc("doc_id")], S.DEPTH).withColumnRenamed("doc_id", "id")
     fused = S.fuse(dense, sparse)
     if ratings is not None:

@@ -10,11 +10,12 @@ from evidra.functions import vectors as V
 from evidra.operators import chunks as C
 from evidra.operators import embedding as E
 from evidra.operators import search as S
+from evidra.operators.merkle import Sealed, TornError, seal
 from evidra.operators.review import eligible
 from evidra.operators.segments import SegmentedIndex
 from evidra.plans.registry import query, sql_words
 from evidra.session import table, texts
-from evidra.sources.folders import folder
+from evidra.sources.folders import folder, stored
 
 #: One term twice: it counts twice.
 TERMS = ["thea", "ontion", "der", "thea", "leaux"]
@@ -246,3 +247,28 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = texts(spark, sf_dir).select("doc_id", T.words(T.fold(F.col("text"))).alias("w"))
     return d.where(F.size("w") > 0).select("doc_id", F.sha2(F.col("w")[0], 256).alias("first_word"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest({sql_words('text')}) AS term FROM documents), t AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY term),
+n AS (SELECT *, row_number() OVER (ORDER BY term) AS up, row_number() OVER (ORDER BY term DESC) AS down FROM t)
+SELECT term, CASE WHEN down = 1 THEN 'torn' ELSE 'intact' END AS state, CASE WHEN down = 1 THEN 0 ELSE df END AS df, CASE WHEN down = 1 THEN 0 ELSE tf END AS tf FROM n WHERE up <= 50 OR down = 1"""
+)
+def verified_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed postings of all texts: after one leaf was damaged, its terms are refused and others are still read."""
+    path = folder(spark, "sealed")
+    posted = stored(S.postings(texts(spark, sf_dir), "doc_id", "text"), "postings")
+    root = seal(posted, path, ["term", "doc_id"], leaves=64, fan=8)
+    terms = posted.select("term").distinct()
+    # Report: the first 50 terms, and the last one, whose leaf is damaged.
+    first, last = [r.term for r in terms.orderBy("term").limit(50).collect()], posted.agg(F.max("term")).first()[0]
+    leaf = f"{path}/rows/leaf={max(Sealed(spark, path, root).proven_leaves([last]))}"
+    spark.read.parquet(leaf).limit(1).write.mode("append").parquet(leaf)
+    table = Sealed(spark, path, root)
+    read = table.read(first).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).select("term", F.lit("intact").alias("state"), "df", "tf")
+    try:
+        table.read([last])
+        state = "intact"
+    except TornError:
+        state = "torn"
+    return read.unionByName(spark.range(1).select(F.lit(last).alias("term"), F.lit(state).alias("state"), F.lit(0).cast("long").alias("df"), F.lit(0).cast("long").alias("tf")))

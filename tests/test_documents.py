@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import contracts as J
 from evidra.operators import documents as D
+from evidra.operators.merkle import Sealed
 from evidra.operators import embedding as E
 from evidra.operators import responses as R
 from evidra.operators import retrieval as X
@@ -139,6 +140,12 @@ def test_index_life(spark, tmp_path):
         X.retrieve(X.Index(spark, path), "needle", "other", dims, embed)
     with pytest.raises(ValueError):
         X.retrieve(X.Index(spark, path), "needle", "m", dims, embed, budget=100)
+    index = X.Index(spark, path)
+    table = Sealed(spark, f"{path}/{index.manifest['postings']}", index.manifest["postings_root"])
+    leaf = f"{table.path}/rows/leaf={min(table.proven_leaves(['needle']))}"
+    spark.read.parquet(leaf).limit(1).write.mode("append").parquet(leaf)
+    with pytest.raises(X.StaleIndexError, match="postings"):
+        X.retrieve(index, "needle", "m", dims, embed)
     chunks.withColumn("vector", F.array(F.lit(1.0))).write.mode("overwrite").parquet(f"{path}/chunks")
     with pytest.raises(X.StaleIndexError):
         X.retrieve(X.Index(spark, path), "needle", "m", dims, embed)
