@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidra.functions.udf import batched
 from evidra.sources.folders import stored
 
 #: The stage at which each kind of issue is taken up again.
@@ -68,6 +71,74 @@ def descendants(nodes: DataFrame, seeds: DataFrame, rounds: int | None = None) -
     return reach(edges(nodes), seeds, "parent", "child", rounds).where("seed <> node")
 
 
+def numbered(seeds: DataFrame) -> DataFrame:
+    """``seed, number, bucket, bit``: distinct seeds, numbered without gaps inside a task, and their place in bitmaps.
+
+    Stored, so a number stays that of its seed.  Null seeds are left out.
+    """
+    found = seeds.select("seed").where(F.col("seed").isNotNull()).distinct().withColumn("number", F.monotonically_increasing_id())
+    return stored(found.withColumns({"bucket": F.bitmap_bucket_number("number"), "bit": F.bitmap_bit_position("number")}), "numbers")
+
+
+def reach_many(graph: DataFrame, numbers: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
+    """``node, bucket, bits``: which of many seeds reach a node along ``source`` to ``target``, a bitmap for each 32768 of them.
+
+    ``numbers`` is that of :func:`numbered`; a seed reaches itself.  Bitmaps
+    move along edges level by level and are united at each node, so a round
+    writes a row for each node whose bitmap grew, not for each pair, and an
+    edge is crossed again only when more seeds have come to its start.  What
+    has been written isn't written again: a node's bitmap is the union of its
+    rows.  Diamonds and cycles end; edges to nulls are left out.  More than
+    ``rounds`` are an error.
+    """
+    graph = graph.select(F.col(source).alias("node"), F.col(target).alias("next")).where(F.col("next").isNotNull()).distinct()
+    union = F.bitmap_or_agg("bits").alias("bits")
+    front = stored(numbers.groupBy(F.col("seed").alias("node"), "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "front")
+    written = front
+    for done in count():
+        came = front.join(graph, "node").select(F.col("next").alias("node"), "bucket", "bits").groupBy("node", "bucket").agg(union)
+        old = written.join(came.select("node", "bucket"), ["node", "bucket"], "left_semi").groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("old"))
+        both = came.join(old, ["node", "bucket"], "left")
+        grown = both.select("node", "bucket", "old", F.explode(F.array("bits", F.coalesce("old", "bits"))).alias("bits")).groupBy("node", "bucket").agg(union, F.first("old").alias("old"))
+        front = stored(grown.where(F.col("old").isNull() | (F.col("bits") != F.col("old"))).drop("old"), "front")
+        if front.isEmpty():
+            return written.groupBy("node", "bucket").agg(union)
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"the closure needs more than {rounds} rounds")
+        written = written.unionByName(front)
+
+
+@batched("array<int>")
+def _set_bits(bits: pd.Series) -> pd.Series:
+    return bits.map(lambda b: np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")).astype(np.int32))
+
+
+def pairs(reached: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``seed, node`` of the bitmaps of :func:`reach_many`."""
+    each = reached.select("node", "bucket", F.explode(_set_bits("bits")).alias("bit"))
+    return each.join(numbers.select("seed", "bucket", F.col("bit").cast("int").alias("bit")), ["bucket", "bit"]).select("seed", "node")
+
+
+def affected(nodes: DataFrame, targets: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """``target, node, direction`` of many targets: what each was made from (backward) and what was made from it (forward).
+
+    ``targets(id)``: nodes, or issues of ``issues(id, detected_at)``, that
+    stand for the node where they were found; unknown ones give no row, and a
+    target's own node is in neither direction.
+    """
+    starts = targets.select(F.col("id").alias("target")).distinct().withColumn("seed", F.col("target"))
+    if issues is not None:
+        found = issues.groupBy(F.col("id").alias("target")).agg(F.min("detected_at").alias("at"))
+        starts = starts.join(found, "target", "left").select("target", F.coalesce("at", "seed").alias("seed"))
+    starts = starts.join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
+    graph, numbers = edges(nodes), numbered(starts)
+    out = None
+    for direction, source, target in (("backward", "child", "parent"), ("forward", "parent", "child")):
+        own = pairs(reach_many(graph, numbers, source, target), numbers).where("seed <> node").withColumn("direction", F.lit(direction))
+        out = own if out is None else out.unionByName(own)
+    return starts.join(out, "seed").select("target", "node", "direction")
+
+
 def preorder(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """G1, C20: ``seed, node, place``: the backward trace of each start, depth first, parents in their order, each node once.
 

@@ -60,15 +60,8 @@ def catalogue_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("url", F.array_join("search_queries", ",").alias("queries"), "relevance", "catalog_verified")
 
 
-@query(
-    """WITH t AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'issue-' || CAST(doc_id AS VARCHAR) ELSE 'chunk-' || CAST(doc_id AS VARCHAR) END AS target FROM documents)
-SELECT target, 'chunk-' || CAST(doc_id AS VARCHAR) AS node, 0 AS place, 'none' AS intact FROM t
-UNION ALL SELECT target, 'doc-' || CAST(doc_id AS VARCHAR), 1, CASE WHEN doc_id % 7 = 0 THEN 'false' ELSE 'true' END FROM t
-UNION ALL SELECT target, 'crawl-' || source, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END, 'none' FROM t
-UNION ALL SELECT target, 'scope', CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END, 'none' FROM t"""
-)
-def lineage_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk, or an issue found at it, is traced back depth first; each third document names its crawl last."""
+def _provenance(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the graph from the scope over crawls and documents to chunks."""
     i = F.col("doc_id")
     d = table(spark, sf_dir, "documents").select("doc_id", i.cast("string").alias("i"), F.concat(F.lit("crawl-"), "source").alias("crawl"), F.sha2("text", 256).alias("sha256"), "text")
     none, path, string = F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -78,12 +71,39 @@ def lineage_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = d.select(F.concat(F.lit("doc-"), "i").alias("id"), F.when(i % 3 == 0, F.array(F.lit("scope"), "crawl")).otherwise(F.array("crawl")).alias("parents"), F.col("i").alias("path"), recorded.alias("sha256"))
     chunks = d.select(F.concat(F.lit("chunk-"), "i").alias("id"), F.array(F.concat(F.lit("doc-"), "i")).alias("parents"), path.alias("path"), string.alias("sha256"))
     nodes = scope.unionByName(crawls).unionByName(docs).unionByName(chunks)
+    return d, nodes
+
+
+@query(
+    """WITH t AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'issue-' || CAST(doc_id AS VARCHAR) ELSE 'chunk-' || CAST(doc_id AS VARCHAR) END AS target FROM documents)
+SELECT target, 'chunk-' || CAST(doc_id AS VARCHAR) AS node, 0 AS place, 'none' AS intact FROM t
+UNION ALL SELECT target, 'doc-' || CAST(doc_id AS VARCHAR), 1, CASE WHEN doc_id % 7 = 0 THEN 'false' ELSE 'true' END FROM t
+UNION ALL SELECT target, 'crawl-' || source, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END, 'none' FROM t
+UNION ALL SELECT target, 'scope', CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END, 'none' FROM t"""
+)
+def lineage_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk, or an issue found at it, is traced back depth first; each third document names its crawl last."""
+    i, (d, nodes) = F.col("doc_id"), _provenance(spark, sf_dir)
     issues = d.where("doc_id % 2 = 0").select(F.concat(F.lit("issue-"), "i").alias("id"), F.concat(F.lit("chunk-"), "i").alias("detected_at"))
     targets = d.select(F.concat(F.when(i % 2 == 0, "issue-").otherwise("chunk-"), "i").alias("id"))
     found = L.explain(nodes, issues, targets, d.select(F.col("i").alias("path"), F.col("text").cast("binary").alias("content")))
     return found.select("target", "node", "place", F.coalesce(F.col("intact").cast("string"), F.lit("none")).alias("intact"))
 
 
+@query(
+    """WITH d AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS doc, 'chunk-' || CAST(doc_id AS VARCHAR) AS chunk, 'crawl-' || source AS crawl, 'issue-' || CAST(doc_id AS VARCHAR) AS issue, doc_id % 2 = 0 AS odd FROM documents)
+SELECT DISTINCT crawl AS target, 'scope' AS node, 'backward' AS direction FROM d UNION ALL SELECT crawl, doc, 'forward' FROM d UNION ALL SELECT crawl, chunk, 'forward' FROM d
+UNION ALL SELECT doc, 'scope', 'backward' FROM d UNION ALL SELECT doc, crawl, 'backward' FROM d UNION ALL SELECT doc, chunk, 'forward' FROM d
+UNION ALL SELECT issue, 'scope', 'backward' FROM d WHERE odd UNION ALL SELECT issue, crawl, 'backward' FROM d WHERE odd UNION ALL SELECT issue, doc, 'backward' FROM d WHERE odd"""
+)
+def lineage_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crawl and document, and every issue found at a chunk, in both directions at once."""
+    i, (d, nodes) = F.col("doc_id"), _provenance(spark, sf_dir)
+    issues = d.where("doc_id % 2 = 0").select(F.concat(F.lit("issue-"), "i").alias("id"), F.concat(F.lit("chunk-"), "i").alias("detected_at"))
+    targets = d.select(F.explode(F.array("crawl", F.concat(F.lit("doc-"), "i"), F.when(i % 2 == 0, F.concat(F.lit("issue-"), "i")).otherwise(F.lit("unknown")))).alias("id"))
+    return L.affected(nodes, targets, issues)
+
+
 @query(
     """SELECT doc_id, sha256('{"raw_sha256":"' || sha256(text) || '","parser":' || CASE WHEN doc_id % 2 = 0 THEN '"native"' ELSE 'null' END || ',"parser_library_version":null,"parser_config":null,"chunker":"spans-1","content":"'
 || sha256('{"text":' || CAST(to_json(text) AS VARCHAR) || ',"tables":null}') || '"}') AS version FROM documents"""
