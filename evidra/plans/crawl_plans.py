@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import markup as M
 from evidra.functions import urls as U
+from evidra.operators import robots as B
 from evidra.operators import crawl as K
 from evidra.plans.registry import query
 from evidra.session import table, texts
@@ -177,3 +178,22 @@ def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def discovery_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.when(F.col("value") > 5, 202).otherwise(200).alias("http_status"))
     return K.discovery_failed(e)
+
+
+@query(
+    """WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '#.*$', '') AS path FROM pages),
+c AS (SELECT *, scheme = 'https' AND NOT starts_with(host, 'blog.') AND NOT starts_with(host, 'm.') AS checked FROM u),
+r AS (SELECT *, CASE WHEN NOT checked THEN 'none' WHEN regexp_matches(path, '^/en/.*\\.html$') THEN '/en/*.html$' WHEN regexp_matches(path, '^/.*\\?page=') THEN '/*?page=' WHEN starts_with(path, '/en/') THEN '/en/' ELSE 'none' END AS rule FROM c)
+SELECT page_id, CASE WHEN scheme = 'http' THEN 'not_present' WHEN checked THEN 'checked' ELSE 'unavailable' END AS state, CASE WHEN checked THEN CAST(length(host) + 8 AS DOUBLE) ELSE 0.6 END AS delay, rule,
+scheme = 'http' OR (checked AND length(host) <= 22 AND rule IN ('none', '/en/*.html$')) AS allowed FROM r"""
+)
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved answers of every origin of the pages: none for plain HTTP, failures and markup for some hosts, and rules with a delay of the name's length and 8."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    at = pages.select(B.origin(F.col("url")).alias("origin")).distinct()
+    name = F.substring_index("origin", "//", -1)
+    plain, blog, mobile = F.startswith("origin", F.lit("http:")), F.startswith(name, F.lit("blog.")), F.startswith(name, F.lit("m."))
+    rules = F.concat(F.lit("User-agent: *\nDisallow: /\n\nUser-agent: Other\nUser-agent: Evidra\nDisallow: /en/ # English\nAllow: /en/*.html$\nDisallow: /*?page=\nDisallow:\nCrawl-delay: "), (F.length(name) + 8).cast("string"))
+    saved = at.select("origin", F.when(plain, 404).when(blog, 503).otherwise(200).alias("status"), F.when(mobile, "<html>").otherwise(rules).alias("body"))
+    found = B.allowed(pages, saved, "evidra/1.0")
+    return found.select("page_id", F.col("robots_state").alias("state"), F.col("robots_delay").alias("delay"), F.coalesce("robots_rule", F.lit("none")).alias("rule"), F.col("robots_allowed").alias("allowed"))
