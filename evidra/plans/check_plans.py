@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from evidra.functions import contracts as J
 from evidra.functions import markup as M
 from evidra.functions import text as T
 from evidra.functions import urls as U
+from evidra.operators import judge as judge_operator
 from evidra.operators import chunks as C
 from evidra.operators import documents as D
 from evidra.operators import embedding as E
@@ -326,3 +329,29 @@ def failed_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetch = d.select("raw_path", F.concat(F.lit("u"), "raw_path").alias("url"), "sha256", F.lit(1).alias("seq"), F.when(_i() % 3 == 0, "failed").otherwise("success").alias("status"))
     later = fetch.withColumns({"seq": F.lit(2), "url": F.lit("later"), "status": F.when(F.col("status") == "success", "success").otherwise("failed")})
     return D.failed_extractions(d.where("doc_id % 2 = 1").select("doc_id", "raw_path"), fetch.unionByName(later)).select("doc_id", "url", "sha256")
+
+
+_VERDICT = {"type": "object", "properties": {"role": {"type": "string", "enum": ["user", "assistant"]}, "size": {"type": "integer", "minimum": 0, "maximum": 100_000}}}
+
+
+def _answers(tasks: list[str]) -> list[str]:
+    """A judge without a model: it forgets a key for texts with a question mark, once, and breaks off after those with a percent sign, always."""
+    out = []
+    for t in tasks:
+        role, _, text = t.partition("\n")
+        text, _, refused = text.partition("\n\nThe last answer was refused: ")
+        whole = {"role": role, "size": len(text)} if refused or "?" not in text else {"role": role}
+        out.append(json.dumps(whole)[: None if "%" not in text else 9])
+    return out
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, replace(coalesce(text, ''), chr(10), ' ') AS text, role FROM conversations),
+v AS (SELECT *, CASE WHEN contains(text, '%') OR role NOT IN ('user', 'assistant') THEN 'rejected' WHEN contains(text, '?') THEN 'repaired' ELSE 'accepted' END AS verdict FROM t)
+SELECT conv_id, turn, verdict, CASE verdict WHEN 'accepted' THEN 1 ELSE 2 END AS calls, CASE verdict WHEN 'rejected' THEN -1 ELSE length(text) END AS size FROM v"""
+)
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is put to a judge, whose faulty answers are asked for once more."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "\n", " ")).alias("task"))
+    found = judge_operator.judged(t, _answers, _VERDICT)
+    return found.select("conv_id", "turn", "verdict", "calls", F.coalesce(F.get_json_object("answer", "$.size").cast("int"), F.lit(-1)).alias("size"))
