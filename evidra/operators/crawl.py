@@ -13,9 +13,10 @@ RELEVANT = 3
 
 def merge_candidates(results: DataFrame) -> DataFrame:
     """One row for each URL of ``results(url, title, query, seq)``: its first title, its queries in order, its first place."""
-    row = F.struct("seq", "query")
-    merged = results.groupBy("url").agg(F.min_by("title", "seq").alias("title"), F.array_sort(F.collect_set(row)).alias("q"), F.min("seq").alias("first_seq"))
-    return merged.select("url", "title", F.array_distinct(F.transform("q", lambda x: x["query"])).alias("search_queries"), "first_seq")
+    # A query once for each URL, so what is gathered of a hot URL is its different queries.
+    asked = results.groupBy("url", "query").agg(F.min(F.struct("seq")).alias("at"), F.min_by(F.struct("seq", "title"), "seq").alias("first"))
+    merged = asked.groupBy("url").agg(F.min_by("first", "first.seq").alias("first"), F.array_sort(F.collect_list(F.struct("at", "query"))).alias("q"))
+    return merged.select("url", "first.title", F.transform("q", lambda x: x["query"]).alias("search_queries"), F.col("first.seq").alias("first_seq"))
 
 
 def rank_candidates(candidates: DataFrame, most: int) -> DataFrame:

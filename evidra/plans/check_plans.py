@@ -335,19 +335,19 @@ _VERDICT = {"type": "object", "properties": {"role": {"type": "string", "enum":
 
 
 def _answers(tasks: list[str]) -> list[str]:
-    """A judge without a model: it forgets a key for texts with a question mark, once, and breaks off after those with a percent sign, always."""
+    """A judge without a model: it forgets a key for texts with "que", once, and breaks off at those with "die", always."""
     out = []
     for t in tasks:
         role, _, text = t.partition("\n")
         text, _, refused = text.partition("\n\nThe last answer was refused: ")
-        whole = {"role": role, "size": len(text)} if refused or "?" not in text else {"role": role}
-        out.append(json.dumps(whole)[: None if "%" not in text else 9])
+        whole = {"role": role, "size": len(text)} if refused or "que" not in text else {"role": role}
+        out.append(json.dumps(whole)[: None if "die" not in text else 9])
     return out
 
 
 @query(
     """WITH t AS (SELECT conv_id, turn, replace(coalesce(text, ''), chr(10), ' ') AS text, role FROM conversations),
-v AS (SELECT *, CASE WHEN contains(text, '%') OR role NOT IN ('user', 'assistant') THEN 'rejected' WHEN contains(text, '?') THEN 'repaired' ELSE 'accepted' END AS verdict FROM t)
+v AS (SELECT *, CASE WHEN contains(text, 'die') OR role NOT IN ('user', 'assistant') THEN 'rejected' WHEN contains(text, 'que') THEN 'repaired' ELSE 'accepted' END AS verdict FROM t)
 SELECT conv_id, turn, verdict, CASE verdict WHEN 'accepted' THEN 1 ELSE 2 END AS calls, CASE verdict WHEN 'rejected' THEN -1 ELSE length(text) END AS size FROM v"""
 )
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 class AuditError(RuntimeError):
@@ -59,9 +58,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """K5: the row with the greatest ``order`` of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+    """K5: the row with the greatest ``order`` of each key, nulls below all; combined before the shuffle, so a hot key is no burden.
+
+    Of rows that tie, any one.
+    """
+    place = F.struct(F.col(order).isNotNull(), F.col(order))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), place).alias("_row")).select("_row.*")
 
 
 def freeze(df: DataFrame, store: str, content: str) -> DataFrame:

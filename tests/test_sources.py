@@ -117,3 +117,10 @@ def test_embed_stream_is_incremental(spark, tmp_path):
     spark.createDataFrame([(4, 4, "b"), (5, 5, "c")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     J.embed_stream(source(), cache, str(tmp_path / "cp"), "m", 4, E.hashed_embedder(4)).awaitTermination(120)
     assert spark.read.parquet(cache).count() == 3
+
+
+def test_last_wins_takes_null_places_last(spark):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", None, "z"), ("b", None, "n"), (None, 2, "k")]
+    got = S.last_wins(spark.createDataFrame(rows, "key string, seq int, v string"), ["key"], "seq")
+    assert got.columns == ["key", "seq", "v"]
+    assert {tuple(r) for r in got.collect()} == {("a", 3, "y"), ("b", None, "n"), (None, 2, "k")}
