@@ -15,7 +15,9 @@ from evidra.sources import readers as R
 
 def _sql_plain(x: str) -> str:
     """SQL text with the entities of the generator's pages resolved, and trimmed."""
-    return f"trim(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'))"
+    for entity, c in (("lt", "<"), ("gt", ">"), ("#x27", "''"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{entity};?', '{c}', 'g')"
+    return f"trim({x})"
 
 
 def _sql_lines(x: str) -> str:
@@ -36,7 +38,7 @@ _SQL_AD = _sql_lines("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)
 _SQL_PAGE = f"""WITH a AS (SELECT page_id, html, {_sql_body('html')} AS article, {_SQL_AD} AS ad FROM pages),
 b AS (SELECT *, length(regexp_replace(article, '\\s', '', 'g')) AS n, length(regexp_replace(ad, '\\s', '', 'g')) AS m FROM a),
 t AS (SELECT page_id, html, CASE WHEN n > m THEN article WHEN m > n THEN ad ELSE ad || chr(10) || article END AS text FROM b)"""
-_SQL_TITLE = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_SQL_TITLE = f"regexp_replace({_sql_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\\s+', ' ', 'g')"
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
