@@ -37,10 +37,15 @@ def _row_digest(columns: list[str]) -> Column:
 
 
 def _leaves(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """``node, digest, lo, hi, rows`` of each leaf; sums of digest parts are combined before the shuffle."""
-    hashed = rows.select("leaf", F.col(key).alias("k"), _row_digest(columns).alias("h"))
-    sums = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
-    found = hashed.groupBy("leaf").agg(F.count("*").alias("rows"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.concat_ws("|", *sums).alias("sums"))
+    """``node, digest, lo, hi, rows`` of each leaf; sums of digest parts are combined before the shuffle.
+
+    A row's digest goes into four 64-bit hashes, whose halves are summed: 32
+    bits each, so the sums of two thousand million rows fit.
+    """
+    digest = rows.select("leaf", F.col(key).alias("k"), _row_digest(columns).alias("h"))
+    hashed = digest.select("leaf", "k", *[F.xxhash64(F.lit(i), "h").alias(f"h{i}") for i in range(4)])
+    halves = [half for i in range(4) for half in (F.shiftrightunsigned(f"h{i}", 32), F.col(f"h{i}").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    found = hashed.groupBy("leaf").agg(F.count("*").alias("rows"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.concat_ws("|", *[F.sum(h).cast("string") for h in halves]).alias("sums"))
     return found.select(F.col("leaf").alias("node"), F.sha2(F.concat_ws(":", "leaf", "rows", "sums"), 256).alias("digest"), "lo", "hi", "rows")
 
 

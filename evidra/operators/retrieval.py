@@ -33,6 +33,9 @@ class StaleIndexError(RuntimeError):
 class Index:
     """Folder of a published index: ``chunks`` with vectors, sealed postings, and a one-row ``manifest``.
 
+    Postings name a chunk by its number ``ord`` in the published table, which
+    is far shorter than its id.
+
     The digest of the chunks, all of which a dense search reads, is checked
     once, by the first question; that of the postings by each question, for
     the ranges of its own terms.
@@ -90,11 +93,11 @@ def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int,
         planned = E.plan(chunks, cache, model, dims)
         known = cache.select("cache_key", "vector").unionByName(E.embed_misses(planned, embedder).select("cache_key", "vector"))
         rows = E.with_vectors(planned, known.dropDuplicates(["cache_key"])).drop("source", "legacy_key")
-        sinks.publish(rows, f"{path}/chunks", {"vector": V.valid_vector(F.col("vector"), dims)})
+        sinks.publish(rows.withColumn("ord", F.monotonically_increasing_id()), f"{path}/chunks", {"vector": V.valid_vector(F.col("vector"), dims)})
         written = spark.read.parquet(f"{path}/chunks")
         digest = sinks.manifest(written, ["chunk_id", "text", "vector"]).first()
         name = f"postings-{uuid.uuid4().hex}"
-        posted = stored(S.postings(written, "chunk_id", "text"), "postings")
+        posted = stored(S.postings(written, "ord", "text"), "postings")
         root = seal(posted, f"{path}/{name}", ["term", "doc_id"])
         words = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first().words
         state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "postings_root": root, "avgdl": words / digest["rows"] if digest["rows"] else 0.0}
@@ -129,8 +132,9 @@ def retrieve(index: Index, question: str, model: str, dims: int, embedder: Embed
     query = spark.createDataFrame([(vector,)], "q array<double>")
     dense = S.dense_topk(chunks, "chunk_id", "vector", query).withColumnRenamed("vec_id", "id")
     folded = spark.range(1).select(T.query_terms(T.fold(F.lit(question))).alias("t")).first().t
-    scored = S.bm25_index(index.postings(folded), index.manifest["chunk_count"], index.manifest["avgdl"], folded).withColumn("score", F.round("score", 6))
-    sparse = S.ranked(scored, "score", [F.asc("doc_id")], S.DEPTH).withColumnRenamed("doc_id", "id")
+    scored = S.bm25_index(index.postings(folded), index.manifest["chunk_count"], index.manifest["avgdl"], folded).select(F.col("doc_id").alias("ord"), F.round("score", 6).alias("score"))
+    named = scored.join(chunks.select("ord", F.col("chunk_id").alias("id")), "ord").select("id", "score")
+    sparse = S.ranked(named, "score", [F.asc("id")], S.DEPTH)
     fused = S.fuse(dense, sparse)
     if ratings is not None:
         fused = S.rerank(fused, ratings).withColumn("rank", F.col("position"))

@@ -298,3 +298,11 @@ def test_routes_of_files(spark):
     files = spark.createDataFrame([("a", bytearray(b"x"), "html"), ("b", bytearray(b"y"), "txt"), ("c", bytearray(b"z"), None)], "path string, content binary, kind string")
     same = lambda f: f.select("path", F.col("content").cast("string").alias("text"))
     assert rows(readers.routed(files, {"one": (("html",), same), "two": (("html", "txt"), same)}), "path", "route", "text") == [("a", "one", "x"), ("b", "two", "y"), ("c", None, None)]
+
+
+def test_postings_are_counted_inside_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a b, B"), (2, ""), (3, None), (4, "a")], "id int, text string")
+    found = S.postings(docs, "id", "text")
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1, 4), (1, "b", 3, 4), (4, "a", 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
