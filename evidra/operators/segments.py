@@ -124,8 +124,9 @@ class SegmentedIndex:
             bits.write.parquet(f"{self.path}/deletes-{number}/bits")
             deletes = (*deletes, f"deletes-{number}")
         docs = batch.select("born", "ord", "doc_id", F.size("w").alias("dl"))
-        tokens = batch.select("born", "ord", "doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).where("term is not null")
-        new = self._write(f"segment-{number}", docs, tokens.groupBy("term", "born", "ord", "doc_id", "dl").agg(F.count("*").alias("tf")))
+        # Words are counted inside their row; the outer form infers no filter, which would count them again.
+        posted = batch.select("born", "ord", "doc_id", F.size("w").alias("dl"), F.explode_outer(T.word_counts(F.col("w"))).alias("p")).where("p.term is not null")
+        new = self._write(f"segment-{number}", docs, posted.select("p.term", "born", "ord", "doc_id", "p.tf", "dl"))
         segments = (*v.segments, (f"segment-{number}", new[0])) if new[0] else v.segments
         return self._publish(Version(number, segments, deletes, v.rows - lost[0] + new[0], v.words - lost[1] + new[1]))
 

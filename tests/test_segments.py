@@ -110,3 +110,12 @@ def test_ids_of_another_type(spark):
     index.apply(spark.createDataFrame([("a", "alpha"), ("b", "beta")], "doc_id string, text string"))
     index.apply(spark.createDataFrame([("a", "beta")], "doc_id string, text string"))
     assert scores(index.scores(["beta"])).keys() == {"a", "b"}
+
+
+def test_a_batch_counts_words_inside_their_row(spark, tmp_path, monkeypatch):
+    plans, write = [], SegmentedIndex._write
+    monkeypatch.setattr(SegmentedIndex, "_write", lambda self, name, docs, posted: plans.append(posted._jdf.queryExecution().executedPlan().toString()) or write(self, name, docs, posted))
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    v = index.apply(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None)], "doc_id long, text string"))
+    assert (v.rows, v.words) == (3, 4) and sorted(map(tuple, index.postings(["a", "b"]).collect())) == [(1, "a", 1, 3), (1, "b", 2, 3), (2, "a", 1, 1)]
+    assert "Exchange" not in plans[0]
