@@ -17,7 +17,8 @@ def ship(spark: SparkSession) -> SparkSession:
 
     A batch size that the session's user has chosen stays.
     """
-    if spark.conf.get(_BATCH_KEY, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
+    # With a default of None, a setting that nobody has set is told as None.
+    if spark.conf.get(_BATCH_KEY) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)):
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):

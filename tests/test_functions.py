@@ -179,3 +179,20 @@ def test_formulas():
         M.formulas(M.parse("<math>" + "<mrow>" * 30 + "<mi>x</mi>" + "</mrow>" * 30 + "</math>"))
     with pytest.raises(M.MarkupError):
         M.formulas(M.parse("<math></math>"))
+
+
+def test_batches_are_bounded(spark):
+    from evidra.functions import udf
+    from evidra.session import BATCH_BYTES, ship
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(key)
+        assert ship(spark).conf.get(key) == str(BATCH_BYTES)
+        spark.conf.set(key, "1234567")
+        assert ship(spark).conf.get(key) == "1234567"
+    finally:
+        spark.conf.unset(key)
+    seen = udf.batched("int")(lambda x: x * 0 + len(x))
+    most = spark.range(0, 1000, 1, 1).select(seen("id").alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in most} == {256: 768, 232: 232}
