@@ -171,12 +171,8 @@ def fit_moments(moments: np.ndarray, p: QdaParams) -> Qda:
     return Qda(shift, scale, means, factors, offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, params: QdaParams = QdaParams()) -> Qda:
-    """Fits on every row of ``labels(doc_id, quality)`` whose quality is 0 or 1 and whose document exists.
-
-    Rows with nulls in either column are ignored; repeated label rows count
-    once each; without any labelled row every score is one half.
-    """
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``x, y``: statistics, as bytes, and quality of each labelled row, as :func:`fit_quality` reads them."""
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +181,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QdaParams = QdaParam
                 x = statistics(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    # A shuffled join, however few the labels: after a broadcast one, statistics and sums would run in one task, in a Python worker each.
+    return rows.mapInArrow(stats, "doc_id long, x binary").join(known.hint("merge"), "doc_id").select("x", "y")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, params: QdaParams = QdaParams()) -> Qda:
+    """Fits on every row of ``labels(doc_id, quality)`` whose quality is 0 or 1 and whose document exists.
+
+    Rows with nulls in either column are ignored; repeated label rows count
+    once each; without any labelled row every score is one half.
+    """
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + N + N * N))
         for batch in batches:
@@ -194,10 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QdaParams = QdaParam
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.reshape(-1)], names)
 
     names = [f"m{i}" for i in range(2 * (1 + N + N * N))]
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    joined = rows.mapInArrow(stats, "doc_id long, x binary").join(known, "doc_id").select("x", "y")
-    every = joined.mapInArrow(sums, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    every = labelled(docs, labels).mapInArrow(sums, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
     total = np.array([x or 0.0 for x in every]).reshape(2, -1)
     return fit_moments(total, params)
 
