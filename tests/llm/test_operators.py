@@ -20,7 +20,8 @@ from evidra.llm.components import connected_components
 from evidra.llm.decontaminate import PhraseParams, build_index, contamination, search
 from evidra.llm.minhash import MinHashParams, estimate, near_duplicates, pack_low_bits
 from evidra.llm.packing import PackParams, cuts, pack
-from evidra.llm.quality import fit_quality, labelled, score_quality, statistics
+from evidra.llm.quality import fit_quality, score_quality, statistics
+from evidra.llm.quality import labelled as labelled_statistics
 from evidra.llm.token_files import TokenFileParams, TokenShard, compress, read_token_files, write_token_files
 from evidra.llm.toxicity import ToxicityParams, fit_toxicity, score_toxicity, train_tagger
 
@@ -254,7 +255,7 @@ def test_quality(spark, docs, none):
 def test_quality_counts_and_sums_in_different_stages(spark):
     """Over few labels, a broadcast join would keep both Python functions of the fit in one task."""
     d = spark.createDataFrame([(i, prose(20, i)) for i in range(20)], DOC)
-    rows = labelled(d, spark.createDataFrame([(1, 1), (2, 0), (2, 0), (99, 1)], "doc_id long, quality int"))
+    rows = labelled_statistics(d, spark.createDataFrame([(1, 1), (2, 0), (2, 0), (99, 1)], "doc_id long, quality int"))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert sorted(r.y for r in rows.collect()) == [0, 0, 1]
