@@ -6,13 +6,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import count
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidra.functions.udf import batched
 from evidra.sources.folders import stored
 
 #: The stage at which each kind of issue is taken up again.
@@ -77,11 +74,11 @@ def numbered(seeds: DataFrame) -> DataFrame:
     Stored, so a number stays that of its seed.  Null seeds are left out.
     """
     found = seeds.select("seed").where(F.col("seed").isNotNull()).distinct().withColumn("number", F.monotonically_increasing_id())
-    return stored(found.withColumns({"bucket": F.bitmap_bucket_number("number"), "bit": F.bitmap_bit_position("number")}), "numbers")
+    return stored(found.withColumns({"bucket": F.shiftright("number", 6), "bit": F.col("number").bitwiseAND(F.lit(63)).cast("int")}), "numbers")
 
 
 def reach_many(graph: DataFrame, numbers: DataFrame, source: str, target: str, rounds: int | None = None) -> DataFrame:
-    """``node, bucket, bits``: which of many seeds reach a node along ``source`` to ``target``, a bitmap for each 32768 of them.
+    """``node, bucket, bits``: which of many seeds reach a node along ``source`` to ``target``, a bitmap for each 64 of them.
 
     ``numbers`` is that of :func:`numbered`; a seed reaches itself.  Bitmaps
     move along edges level by level and are united at each node, so a round
@@ -90,33 +87,31 @@ def reach_many(graph: DataFrame, numbers: DataFrame, source: str, target: str, r
     has been written isn't written again: a node's bitmap is the union of its
     rows.  Diamonds and cycles end; edges to nulls are left out.  More than
     ``rounds`` are an error.
+
+    A bitmap is one number, so a node that a single seed reaches costs a short
+    row, and unions need neither sorts nor buffers of a bitmap's size.
     """
     graph = graph.select(F.col(source).alias("node"), F.col(target).alias("next")).where(F.col("next").isNotNull()).distinct()
-    union = F.bitmap_or_agg("bits").alias("bits")
-    front = stored(numbers.groupBy(F.col("seed").alias("node"), "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "front")
+    union = F.bit_or("bits").alias("bits")
+    front = stored(numbers.select(F.col("seed").alias("node"), "bucket", F.expr("shiftleft(1L, bit)").alias("bits")), "front")
     written = front
     for done in count():
         came = front.join(graph, "node").select(F.col("next").alias("node"), "bucket", "bits").groupBy("node", "bucket").agg(union)
-        old = written.join(came.select("node", "bucket"), ["node", "bucket"], "left_semi").groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("old"))
-        both = came.join(old, ["node", "bucket"], "left")
-        grown = both.select("node", "bucket", "old", F.explode(F.array("bits", F.coalesce("old", "bits"))).alias("bits")).groupBy("node", "bucket").agg(union, F.first("old").alias("old"))
+        old = written.join(came.select("node", "bucket"), ["node", "bucket"], "left_semi").groupBy("node", "bucket").agg(F.bit_or("bits").alias("old"))
+        grown = came.join(old, ["node", "bucket"], "left").withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("old", F.lit(0).cast("long"))))
         front = stored(grown.where(F.col("old").isNull() | (F.col("bits") != F.col("old"))).drop("old"), "front")
         if front.isEmpty():
-            return written.groupBy("node", "bucket").agg(union)
+            return written.groupBy("node", "bucket").agg(F.unhex(F.lpad(F.hex(F.bit_or("bits")), 16, "0")).alias("bits"))
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"the closure needs more than {rounds} rounds")
         written = written.unionByName(front)
 
 
-@batched("array<int>")
-def _set_bits(bits: pd.Series) -> pd.Series:
-    return bits.map(lambda b: np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")).astype(np.int32))
-
-
 def pairs(reached: DataFrame, numbers: DataFrame) -> DataFrame:
     """``seed, node`` of the bitmaps of :func:`reach_many`."""
-    each = reached.select("node", "bucket", F.explode(_set_bits("bits")).alias("bit"))
-    return each.join(numbers.select("seed", "bucket", F.col("bit").cast("int").alias("bit")), ["bucket", "bit"]).select("seed", "node")
+    word = F.conv(F.hex("bits"), 16, -10).cast("long")
+    each = reached.select("node", "bucket", word.alias("word")).select("node", "bucket", F.explode(F.expr("filter(sequence(0, 63), k -> getbit(word, k) = 1)")).alias("bit"))
+    return each.join(numbers.select("seed", "bucket", "bit"), ["bucket", "bit"]).select("seed", "node")
 
 
 def affected(nodes: DataFrame, targets: DataFrame, issues: DataFrame | None = None) -> DataFrame:

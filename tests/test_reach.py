@@ -49,6 +49,15 @@ def test_affected_has_both_directions(spark):
     assert L.affected(nodes, spark.createDataFrame([], "id string")).count() == 0
 
 
+def test_a_node_of_one_seed_costs_a_short_row(spark):
+    numbers = L.numbered(spark.range(200).coalesce(1).select(F.concat(F.lit("s"), "id").alias("seed")))
+    graph = spark.createDataFrame([("s63", "a"), ("s64", "a"), ("s7", "b")], "parent string, child string")
+    reached = L.reach_many(graph, numbers, "parent", "child")
+    assert reached.agg(F.max(F.octet_length("bits"))).first()[0] <= 64
+    got = {(r.seed, r.node) for r in L.pairs(reached, numbers).where("seed <> node").collect()}
+    assert got == {("s63", "a"), ("s64", "a"), ("s7", "b")}
+
+
 def test_too_many_rounds(spark):
     graph = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "parent string, child string")
     with pytest.raises(RuntimeError):
