@@ -12,11 +12,18 @@ phrase with its count.  A phrase can be frequent though it is rare in each
 shard, so every interval, of one place too, is merged by key.
 
 What can't be part of a candidate is left out before the shards are sorted, in
-the manner of frequent item sets, and without changing a count: pieces are cut
-at words that are rarer than ``least`` in their language, and, for three words
-and more, where two neighbours together are rarer than that.  Both filters are
-Bloom bitmaps of ``filter_bits`` bits, however many frequent words there are; a
-false hit costs a key that the count by key drops again.
+the manner of frequent item sets, and without changing a count.  Pieces are cut
+at words that are rarer than ``least`` in their language.  Lengths come one
+after the other: a phrase is counted only where both phrases that are a word
+shorter are frequent.  These filters are Bloom bitmaps of ``filter_bits`` bits,
+however many frequent phrases there are; a false hit costs a key that the count
+by key drops again.
+
+Frequent pairs make many more rare triples, so triples are first counted by
+bucket of their fingerprint, ``filter_bits`` buckets in all, and only those of a
+bucket with ``least`` places go on as rows.  A bucket's count is never under
+that of a phrase in it.  With far over ``least * filter_bits`` places most
+buckets pass, and what bounds the rows is that a place makes one of each length.
 
 Words and phrases are compared by 64-bit fingerprints, two different ones
 collide with a probability of about 2^-64.  Scores are exact decimals of 38
@@ -28,7 +35,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,8 @@ _INSIDE = ~_BREAK
 _INSIDE[[9, 32]] = False
 #: Tasks that make a bitmap, each of which sends it to the driver.
 _FILTER_TASKS = 8
+#: Buckets whose counts are a row on their way to be summed; offsets in it are 16 bits.
+_SLICE = 1 << 14
 #: Parts of a language whose first phrases are found apart.
 _PARTS = 64
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -57,7 +66,7 @@ class CollocationParams:
     top: int = 2000
     #: Words of a shard, which a task sorts at a time.
     shard_words: int = 1 << 19
-    #: Bits of either bitmap; a power of two.
+    #: Bits of a bitmap, and buckets of triples; a power of two.
     filter_bits: int = 1 << 25
 
 
@@ -99,9 +108,9 @@ def bitmap(keys: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def hits(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def hits(keys: np.ndarray, bits: np.ndarray, shifts: tuple[int, ...] = (0, 32)) -> np.ndarray:
     found = np.ones(len(keys), bool)
-    for shift in (0, 32):
+    for shift in shifts:
         at = (keys >> np.uint64(shift)) & np.uint64(len(bits) * 8 - 1)
         found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
     return found
@@ -209,42 +218,115 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "key", "word").agg(F.sum("n").alias("f"))
 
 
-def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.ndarray | None, least: int, longest: int) -> DataFrame:
-    """``words``, their keys in order, and ``f`` of all phrases of ``least`` to ``longest`` words with a count of ``p.least``.
+@dataclass(frozen=True)
+class _Filters:
+    """Bitmaps of what a phrase of ``size`` words may hold: its words, both phrases a word shorter, and its own bucket."""
+
+    size: int
+    words: np.ndarray
+    shorter: np.ndarray | None = None
+    buckets: np.ndarray | None = None
+
+    def places(self, words: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Where a phrase may begin."""
+        n = len(words) - self.size + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        good = hits(words, self.words)
+        fits = piece[:n] == piece[self.size - 1 :]
+        for j in range(self.size):
+            fits &= good[j : j + n]
+        at = np.flatnonzero(fits)
+        if self.shorter is not None:
+            for j in (0, 1):
+                at = at[hits(phrase_key(words, at + j, self.size - 1), self.shorter)]
+        return self.own(words, at)
+
+    def own(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the phrases at ``at``, those whose bucket is full enough."""
+        return at if self.buckets is None else at[hits(phrase_key(words, at, self.size), self.buckets, (0,))]
+
+
+def _full_buckets(docs: DataFrame, p: CollocationParams, filters: _Filters) -> np.ndarray:
+    """The bitmap of buckets that ``least`` places or more fall in; slices of counts are summed in tasks."""
+    shared, width = docs.sparkSession.sparkContext.broadcast(filters), min(_SLICE, p.filter_bits)
 
-    ``kept`` and ``pairs`` are the bitmaps of words and pairs of neighbours that a phrase may hold.
-    """
-    spark = docs.sparkSession
-    # Of fixed size: ``filter_bits`` / 8 bytes each.
-    shared = spark.sparkContext.broadcast((kept, pairs))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may, n = shared.value, 0
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            bucket, f = np.unique(np.concatenate(held), return_counts=True)
+            at, begin = np.unique(bucket // width, return_index=True)
+            cuts = [*begin.tolist(), len(bucket)]
+            offset, f = (bucket % width).astype("<u2"), np.minimum(f, p.least).astype("<u4")
+            parts = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (offset, f)]
+            return pa.RecordBatch.from_arrays([pa.array(at), *parts], ["at", "offsets", "counts"])
+
+        for batch in batches:
+            for words, piece, *_ in words_of(batch):
+                at = may.places(words, piece)
+                held.append((phrase_key(words, at, may.size) & np.uint64(p.filter_bits - 1)).astype(np.int64))
+                n += len(at)
+                if n >= p.shard_words:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(width, np.int64)
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(sums >= p.least, bitorder="little").tobytes()], pa.binary())], ["at", "bits"])
+        for batch in batches:
+            for at, offsets, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now:
+                    if now is not None:
+                        yield full()
+                    now, sums = at, np.zeros(width, np.int64)
+                sums[np.frombuffer(offsets, "<u2")] += np.frombuffer(f, "<u4")
+        if now is not None:
+            yield full()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = docs.mapInArrow(count, "at long, offsets binary, counts binary")
+    summed = counted.repartition(n, "at").sortWithinPartitions("at").mapInArrow(total, "at long, bits binary")
+    out = np.zeros(p.filter_bits >> 3, np.uint8)
+    rows = out.reshape(-1, width >> 3)
+    for at, own_bits in summed.where(F.col("bits") != F.lit(bytes(width >> 3))).collect():
+        rows[at] = np.frombuffer(bytes(own_bits), np.uint8)
+    return out
 
-    names = [f"w{j}" for j in range(longest)]
+
+def _shard_rows(docs: DataFrame, p: CollocationParams, filters: _Filters) -> DataFrame:
+    """``w0, w1, ..., n``: each shard's different phrases of ``filters.size`` words that may be frequent, with their count in it."""
+    # Of fixed size: ``filter_bits`` / 8 bytes each.
+    shared, size = docs.sparkSession.sparkContext.broadcast(filters), filters.size
+    names = [f"w{j}" for j in range(size)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, pair_bits = shared.value
+        may = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n, runs = 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             words, run = (np.concatenate(x) for x in zip(*held, strict=True))
-            for size, at, f in shard_counts(words, run, least, longest):
+            for _, at, f in shard_counts(words, run, size, size):
                 for a in range(0, len(at), 1 << 16):
-                    own = at[a : a + (1 << 16)]
-                    parts = [pa.array(words[own + j].view(np.int64)) if j < size else pa.nulls(len(own), pa.int64()) for j in range(longest)]
-                    yield pa.RecordBatch.from_arrays([*parts, pa.array(f[a : a + (1 << 16)])], [*names, "n"])
+                    own, first = at[a : a + (1 << 16)], f[a : a + (1 << 16)]
+                    if may.buckets is not None:
+                        full = hits(phrase_key(words, own, size), may.buckets, (0,))
+                        own, first = own[full], first[full]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(words[own + j].view(np.int64)) for j in range(size)), pa.array(first)], [*names, "n"])
 
         for batch in batches:
             for words, piece, *_ in words_of(batch):
-                good = hits(words, word_bits)
-                # A word that is left out ends its run, and so does a pair that is.
-                ends = np.ones(len(words), bool)
-                ends[1:] = (piece[1:] != piece[:-1]) | ~good[1:] | ~good[:-1]
-                if pair_bits is not None:
-                    both = np.flatnonzero(~ends)
-                    ends[both[~hits(phrase_key(words, both - 1, 2), pair_bits)]] = True
-                run = np.cumsum(ends)
-                size = np.bincount(run)[run]
-                keep = good & (size >= least)
+                at = may.places(words, piece)
+                # Words that no such place covers are left out; a run ends where no place holds a word and the next.
+                joined, keep = np.zeros(len(words), bool), np.zeros(len(words), bool)
+                for j in range(size):
+                    keep[at + j] = True
+                    joined[at + j] |= j > 0
+                run = np.cumsum(~joined)
                 held.append((words[keep], run[keep] + runs))
                 runs += int(run[-1]) + 1
                 n += int(keep.sum())
@@ -254,9 +336,14 @@ def _phrases(docs: DataFrame, p: CollocationParams, kept: np.ndarray, pairs: np.
         if n:
             yield from flush()
 
-    counted = docs.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
-    often = counted.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
-    return often.select(F.array_compact(F.array(*names)).alias("words"), "f")
+    return docs.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+
+
+def _phrases(docs: DataFrame, p: CollocationParams, filters: _Filters) -> DataFrame:
+    """``words``, their keys in order, and ``f`` of all phrases of ``filters.size`` words with a count of ``p.least``."""
+    names = [f"w{j}" for j in range(filters.size)]
+    often = _shard_rows(docs, p, filters).groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= p.least)
+    return often.select(F.array(*names).alias("words"), "f")
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -278,9 +365,15 @@ def collocations(docs: DataFrame, params: CollocationParams | None = None, text:
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= p.least)
     kept = _filter_of(frequent.select("key"), p.filter_bits)
-    pairs = stored(_phrases(docs, p, kept, None, 2, 2), "pairs")
-    pair_bits = _filter_of(pairs.select(F.col("words")[0], F.col("words")[1]), p.filter_bits)
-    found = stored(pairs.unionByName(_phrases(docs, p, kept, pair_bits, 3, p.longest)), "phrases") if p.longest > 2 else pairs
+    found = level = stored(_phrases(docs, p, _Filters(2, kept)), "pairs")
+    for size in range(3, p.longest + 1):
+        filters = _Filters(size, kept, _filter_of(level.select(*[F.col("words")[j] for j in range(size - 1)]), p.filter_bits))
+        if not filters.shorter.any():
+            break
+        if size == 3:
+            filters = replace(filters, buckets=_full_buckets(docs, p, filters))
+        level = stored(_phrases(docs, p, filters), "phrases")
+        found = found.unionByName(level)
     known = found.unionByName(frequent.select(F.array("key").alias("words"), "f")).select(F.col("words").alias("part"), F.col("f").alias("part_f"))
     # Both sides of every cut; those that are a word shorter may be made superfluous by this phrase.
     cut = found.select("words", "f", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.llm import blocks as B
+from evidra.llm import collocations as K
 from evidra.llm.collocations import CollocationParams, collocations, exact_score, shard_counts
 from tests.llm.test_operators import AWKWARD, lower
 
@@ -70,6 +71,22 @@ def test_empty(spark):
     assert collocations(spark.createDataFrame([(1, None, None), (2, "a b", "en")], DOC)).collect() == []
 
 
+def test_rare_triples_of_frequent_pairs_are_no_rows(spark):
+    """All pairs of eight words are frequent and few of their triples are; triples once were a row for each shard they come up in."""
+    r, p = random.Random(4), CollocationParams(least=100, shard_words=1000)
+    rows = [(i, " ".join([*(r.choice("abcdefgh") for _ in range(60)), *"cab", f"u{i}"]), "en") for i in range(400)]
+    docs = K.with_lang(spark.createDataFrame(rows, DOC).repartition(4), "text", "lang")
+    kept = K._filter_of(K._word_counts(docs).where(F.col("f") >= p.least).select("key"), p.filter_bits)
+    pairs = K._phrases(docs, p, K._Filters(2, kept))
+    assert pairs.count() == 64
+    some = K._Filters(3, kept, K._filter_of(pairs.select(F.col("words")[0], F.col("words")[1]), p.filter_bits))
+    own = K.replace(some, buckets=K._full_buckets(docs, p, some))
+    found = {tuple(x.words): x.f for x in K._phrases(docs, p, own).collect()}
+    assert found == {tuple(x.words): x.f for x in K._phrases(docs, p, some).collect()} and 0 < len(found) < 20
+    assert K._shard_rows(docs, p, own).count() <= 30 * len(found) < K._shard_rows(docs, p, some).count() / 10
+    assert sorted(map(tuple, collocations(docs, p).collect())) == plain([(t, g) for _, t, g in rows], p)
+
+
 @pytest.mark.parametrize("depth", [2, 3, 5, 9])
 def test_suffix_array_counts(depth):
     r = np.random.default_rng(depth)
