@@ -1,10 +1,11 @@
 """Byte-level BPE in Spark's own expressions: higher-order functions fold ranked merges.
 
 A word, one match of the splitting pattern, becomes an array of the ids of its
-bytes.  Each step of a fold looks up the rank of every adjacent pair in a
-literal map and joins the pair of lowest rank, the leftmost first, until no
-pair has a rank.  Words of over ``LONG`` pieces join all such pairs in one
-step, so their work is linear for each different merge.
+bytes, each with the rank that a literal map gives to it and the next one.  Each
+step of a fold joins the pair of lowest rank, the leftmost first, and looks up
+the ranks of the two new pairs only, until no pair has a rank.  Words of over
+``LONG`` pieces join all such pairs in one step, so their work is linear for
+each different merge.
 
 The map holds one pair for each token: the two pieces that the token's own
 bytes come down to.  That is the pair by which ranked merges reach the token
@@ -13,7 +14,7 @@ in any context, as long as every token's bytes encode to the token itself;
 
 The distinct words of all texts are counted, and the ``words`` most frequent
 ones, of ``word_bytes`` bytes at most, are folded once; their ids are a second
-literal map.  All other words are folded where they stand, so no text, word
+literal map, whose lists begin with their most frequent words.  All other words are folded where they stand, so no text, word
 position or id is shuffled, and a row's ids don't depend on what the map holds.
 Both maps have a fixed bound and are part of the plan.
 
@@ -41,6 +42,10 @@ LONG = 64
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 MARKS = r"!-/:-@\[-`{-~"
 _LOW = 0xFFFFFFFF
+#: The rank of a pair that isn't in the map, above all ranks, in the upper half of a piece.
+_NONE = 0x7FFFFFFF << 32
+#: What stands in front of a word's first piece, and makes a pair with none.
+_BEGIN = 0x7FFFFFFF
 _PLAN_KEY, PLAN_CHARS = "spark.sql.maxPlanStringLength", 200_000
 
 
@@ -135,9 +140,9 @@ class Bpe:
         for token in tokens:
             if len(token) > 1:
                 a, b = last_pair(token, ranks)
-                lists[(a * 31 + b) & (params.buckets - 1)][str(a << 32 | b)] = ranks[token]
-        self.merges = F.from_json(F.lit(json.dumps(lists)), "array<map<string,int>>").cast("array<map<bigint,int>>")
-        self.bytes = self._array([str(ranks[bytes([i])]) for i in range(256)]).cast("array<int>")
+                lists[(a << 5 ^ b) & (params.buckets - 1)][str(a << 32 | b)] = ranks[token] << 32
+        self.merges = F.from_json(F.lit(json.dumps(lists)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+        self.bytes = self._array([*(str(ranks[bytes([i])]) for i in range(256)), str(_BEGIN)]).cast("array<bigint>")
         self.pieces = self._array([t.hex() for t in tokens])
         self.unsigned = self._array([i.to_bytes(4, "little").hex() for i in range(len(tokens))])
         self.pattern = java_pattern(spark)
@@ -150,37 +155,46 @@ class Bpe:
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _rank(self, a: Column, b: Column) -> Column:
-        bucket = F.get(self.merges, (a * 31 + b).bitwiseAND(F.lit(self.params.buckets - 1)))
-        return F.element_at(bucket, F.shiftleft(a.cast("long"), 32) + b)
+    def _ranked(self, merges: Column, a: Column, b: Column) -> Column:
+        """A piece, with the rank of the pair that it makes with the next one in its upper half."""
+        bucket = F.get(merges, F.shiftleft(a, 5).bitwiseXOR(b).bitwiseAND(F.lit(self.params.buckets - 1)))
+        return a.bitwiseOR(F.coalesce(F.element_at(bucket, F.shiftleft(a, 32).bitwiseOR(b)), F.lit(_NONE)))
 
-    def _state(self, pieces: Column) -> Column:
-        """The pieces, and the lowest rank of a pair with its place, null if there is none."""
-        ranks = F.transform(pieces, lambda a, i: F.shiftleft(self._rank(a, F.get(pieces, i + 1)).cast("long"), 32) + i)
-        return F.struct(pieces.alias("pieces"), F.array_min(ranks).alias("next"))
+    def _all_ranked(self, merges: Column, pieces: Column) -> Column:
+        return F.transform(pieces, lambda a, i: self._ranked(merges, a, F.get(pieces, i + 1)))
 
-    def _joined(self, state: Column) -> Column:
-        pieces = state["pieces"]
-        at, token = state["next"].bitwiseAND(F.lit(_LOW)).cast("int"), F.shiftright(state["next"], 32).cast("int")
-        one = F.concat(F.slice(pieces, F.lit(1), at), F.array(token), F.slice(pieces, at + 3, F.size(pieces)))
+    def _joined(self, merges: Column, ranked: Column, at: Column) -> Column:
+        """Ranked pieces after the join of the pair behind a place, or of all pairs like it."""
+        token = F.shiftright(F.get(ranked, at + 1), 32)
+        piece = lambda k: F.get(ranked, k).bitwiseAND(F.lit(_LOW))
+        before, own, gone = self._ranked(merges, piece(at), token), self._ranked(merges, token, piece(at + 3)), F.lit(-1).cast("bigint")
+        one = F.transform(ranked, lambda x, i: F.when(i < at, x).when(i > at + 2, x).when(i == at, before).when(i == at + 1, own).otherwise(gone))
         # Of pairs that overlap, as in a run of one letter, every second one is joined: "111" becomes "101".
-        own = F.transform(pieces, lambda a, k: F.when((a == F.get(pieces, at)) & (F.get(pieces, k + 1) == F.get(pieces, at + 1)), F.lit("1")).otherwise(F.lit("0")))
-        marks = F.split(F.replace(F.array_join(own, ""), F.lit("11"), F.lit("10")), "")
+        same = F.transform(ranked, lambda x: F.when(F.shiftright(x, 32) == token, F.lit("1")).otherwise(F.lit("0")))
+        marks = F.split(F.replace(F.array_join(same, ""), F.lit("11"), F.lit("10")), "")
 
         def every(m: Column) -> Column:
-            left = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: (k == 0) | (F.get(m, k - 1) != "1"))
-            return F.transform(left, lambda k: F.when(F.get(m, k) == "1", token).otherwise(F.get(pieces, k)))
-
-        return F.when(F.size(pieces) <= LONG, one).otherwise(_let(marks, every))
+            left = F.filter(F.sequence(F.lit(0), F.size(ranked) - 1), lambda k: (k == 0) | (F.get(m, k - 1) != "1"))
+            return F.transform(left, lambda k: F.when(F.get(m, k) == "1", token).otherwise(piece(k)))
+
+        return F.when(F.size(ranked) <= LONG, F.array_remove(one, gone)).otherwise(_let(_let(marks, every), lambda p: self._all_ranked(merges, p)))
+
+    def _fold(self, merges: Column, word: Column) -> Column:
+        # One character for each byte, and one for what stands in front.
+        each = F.split(F.concat(F.lit("\u0100"), F.decode(word.cast("binary"), "ISO-8859-1")), "")
+        begin = F.transform(each, lambda c: F.get(self.bytes, F.ascii(c)))
+        # The place before the leftmost pair of the lowest rank: pairs of one rank begin with the same piece.
+        first = lambda ranked: F.array((F.array_position(ranked, F.array_min(ranked)) - 2).cast("int"))
+        # The inner fold has one element, that place; unlike a transformation's, its result isn't copied.
+        join = lambda ranked: F.aggregate(first(ranked), ranked, lambda same, at: self._joined(merges, same, at))
+        step = lambda ranked, _: F.when(F.array_min(ranked) < _NONE, join(ranked)).otherwise(ranked)
+        ids = lambda ranked: F.transform(F.slice(ranked, 2, F.size(ranked)), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))
+        return _let(begin, lambda pieces: F.aggregate(pieces, self._all_ranked(merges, pieces), step, ids))
 
     def fold(self, word: Column) -> Column:
         """Ids of one word by ranked merges over its bytes."""
-        begin = F.transform(F.regexp_extract_all(F.hex(word), F.lit("(..)"), 1), lambda h: F.get(self.bytes, F.conv(h, 16, 10).cast("int")))
-        steps = F.sequence(F.lit(1), F.octet_length(word))
-        # The first step only looks for a pair, so that the map stands in the plan once.
-        first = F.struct(begin.alias("pieces"), F.lit(-1).cast("long").alias("next"))
-        pieces = lambda s: F.when(s["next"] < 0, s["pieces"]).otherwise(self._joined(s))
-        return F.aggregate(steps, first, lambda s, _: F.when(s["next"].isNull(), s).otherwise(_let(pieces(s), self._state)), lambda s: s["pieces"])
+        # Bound to a variable, the map stands in the plan once.
+        return _let(self.merges, lambda merges: self._fold(merges, word))
 
     def learn(self, docs: DataFrame, text: str = "text") -> Bpe:
         """Keeps the ids of the most frequent distinct words of all texts: at most ``words`` of ``word_bytes`` bytes."""
@@ -189,33 +203,34 @@ class Bpe:
             return self
         words = docs.select(F.explode(self.split(F.col(text))).alias("word")).where(F.octet_length("word") <= p.word_bytes)
         top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(p.words).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-        lists: list[dict[str, int]] = [{} for _ in range(p.buckets)]
-        flat: list[int] = []
-        folded = stored(top.select("word", self.fold(F.col("word")).alias("ids"), self._bucket(F.col("word")).alias("bucket")), "words")
-        for word, ids, bucket in folded.toLocalIterator():  # at most ``words`` rows of ``word_bytes`` bytes
-            lists[bucket][word] = len(flat) << 6 | len(ids)
-            flat += ids
-        self.known = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<map<string,bigint>>")
-        self.flat = self._array(list(map(str, flat)) or ["0"]).cast("array<int>")
+        folded = stored(top.select("word", self.fold(F.col("word")).alias("ids"), self._bucket(F.col("word")).alias("bucket"), "count"), "words")
+        lists: list[list[tuple[int, str, str]]] = [[] for _ in range(p.buckets)]
+        for word, ids, bucket, count in folded.toLocalIterator():  # at most ``words`` rows of ``word_bytes`` bytes
+            lists[bucket].append((-count, word, ",".join(map(str, ids))))
+        # A list is looked through from its begin on.
+        maps = ("{" + ",".join(f"{json.dumps(word, ensure_ascii=False)}:[{ids}]" for _, word, ids in sorted(found)) + "}" for found in lists)
+        self.known = F.from_json(F.lit("[" + ",".join(maps) + "]"), "array<map<string,array<int>>>")
         return self
 
     def _bucket(self, word: Column) -> Column:
         return F.hash(word).bitwiseAND(F.lit(self.params.buckets - 1))
 
-    def word_ids(self, word: Column) -> Column:
+    def _word_ids(self, merges: Column, word: Column) -> Column:
         if self.known is None:
-            return self.fold(word)
-        place = F.element_at(F.get(self.known, self._bucket(word)), word)
-        kept = _let(place, lambda v: F.slice(self.flat, (F.shiftright(v, 6) + 1).cast("int"), v.bitwiseAND(F.lit(63)).cast("int")))
-        return F.coalesce(kept, self.fold(word))
+            return self._fold(merges, word)
+        return F.coalesce(F.element_at(F.get(self.known, self._bucket(word)), word), self._fold(merges, word))
+
+    def word_ids(self, word: Column) -> Column:
+        return _let(self.merges, lambda merges: self._word_ids(merges, word))
 
     def encode(self, text: Column) -> Column:
         """Ids of a whole text: each match of the pattern by itself."""
-        return F.flatten(F.transform(self.split(text), self.word_ids))
+        return _let(self.merges, lambda merges: F.flatten(F.transform(self.split(text), lambda word: self._word_ids(merges, word))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their pieces one after the other; an unknown id is null."""
-        return F.when(F.forall(ids, lambda i: (i >= 0) & (i < F.size(self.pieces))), F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "")))
+        # No byte is written "x", so one makes the whole null.
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "", "x"))
 
     def little_endian(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -74,6 +74,16 @@ def test_same_cuts(spark, texts):
             assert r.words == regex.findall(public_tokenizers.PATTERN, r.text or "")
 
 
+def test_lists_begin_with_their_most_frequent_words(spark):
+    """A list of the known words is looked through from its begin on, so frequent words cost one comparison."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join(words[: 300 - i])) for i in range(300)]
+    bpe = Bpe(spark, BpeParams(default_path(), words=1000, buckets=64)).learn(spark.createDataFrame(rows, DOC).repartition(3))
+    lists = spark.range(1).select(F.transform(bpe.known, lambda m: F.map_keys(m)).alias("lists")).first().lists
+    found = [[words.index(w.strip()) for w in found if w != words[0]] for found in lists]
+    assert max(map(len, found)) > 2 and all(found == sorted(found) for found in found)
+
+
 def test_empty_table(spark):
     coded, _ = encode_texts(spark.createDataFrame([], DOC), BpeParams(default_path(), words=10))
     assert coded.collect() == []
