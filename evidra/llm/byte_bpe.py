@@ -204,11 +204,13 @@ class Bpe:
         words = docs.select(F.explode(self.split(F.col(text))).alias("word")).where(F.octet_length("word") <= p.word_bytes)
         top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(p.words).repartition(docs.sparkSession.sparkContext.defaultParallelism)
         folded = stored(top.select("word", self.fold(F.col("word")).alias("ids"), self._bucket(F.col("word")).alias("bucket"), "count"), "words")
-        lists: list[list[tuple[int, str, str]]] = [[] for _ in range(p.buckets)]
-        for word, ids, bucket, count in folded.toLocalIterator():  # at most ``words`` rows of ``word_bytes`` bytes
-            lists[bucket].append((-count, word, ",".join(map(str, ids))))
-        # A list is looked through from its begin on.
-        maps = ("{" + ",".join(f"{json.dumps(word, ensure_ascii=False)}:[{ids}]" for _, word, ids in sorted(found)) + "}" for found in lists)
+        # A list is looked through from its begin on.  Each comes to the driver as one text.
+        entry = F.to_json(F.create_map("word", "ids"))
+        kept = folded.select("bucket", F.struct(-F.col("count"), "word", F.substring(entry, F.lit(2), F.length(entry) - 2).alias("entry")).alias("kept"))
+        texts = kept.groupBy("bucket").agg(F.array_join(F.sort_array(F.collect_list("kept"))["entry"], ",").alias("text"))
+        maps = ["{}"] * p.buckets
+        for bucket, found in texts.toLocalIterator():  # at most ``words`` entries of ``word_bytes`` bytes
+            maps[bucket] = "{" + found + "}"
         self.known = F.from_json(F.lit("[" + ",".join(maps) + "]"), "array<map<string,array<int>>>")
         return self
 
