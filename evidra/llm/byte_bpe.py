@@ -187,8 +187,10 @@ class Bpe:
         first = lambda ranked: F.array((F.array_position(ranked, F.array_min(ranked)) - 2).cast("int"))
         # The inner fold has one element, that place; unlike a transformation's, its result isn't copied.
         join = lambda ranked: F.aggregate(first(ranked), ranked, lambda same, at: self._joined(merges, same, at))
-        step = lambda ranked, _: F.when(F.array_min(ranked) < _NONE, join(ranked)).otherwise(ranked)
-        ids = lambda ranked: F.transform(F.slice(ranked, 2, F.size(ranked)), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))
+        # A mark in front says that no pair is left, so that the steps behind it don't look at all pieces.
+        done = lambda ranked: F.flatten(F.array(F.array(F.lit(-1).cast("bigint")), ranked))
+        step = lambda ranked, _: F.when(F.get(ranked, F.lit(0)) < 0, ranked).when(F.array_min(ranked) < _NONE, join(ranked)).otherwise(done(ranked))
+        ids = lambda ranked: F.transform(F.filter(ranked, lambda x: x.bitwiseAND(F.lit(_LOW)) < _BEGIN), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))
         return _let(begin, lambda pieces: F.aggregate(pieces, self._all_ranked(merges, pieces), step, ids))
 
     def fold(self, word: Column) -> Column:
