@@ -134,29 +134,40 @@ def csv_table(text: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in text], dtype=object)
 
 
-@batched("struct<body:binary,error:string>")
-def decoded_body(encoding: pd.Series, body: pd.Series) -> pd.Series:
-    """Gzip or identity bodies; the size bound holds before and after decoding."""
+def decoded_body(encoding: Column | str, body: Column | str, limit: int = MAX_BODY) -> Column:
+    """Gzip or identity bodies; the size bound holds before and after decoding.
 
-    def one(kind: str | None, raw: bytes | None) -> dict:
-        raw, kind = raw or b"", (kind or "identity").lower()
-        try:
-            if kind == "gzip":
-                out = gzip.decompress(raw) if len(raw) <= MAX_BODY and _gzip_size(raw) <= MAX_BODY else None
-            elif kind == "identity":
-                out = raw
-            else:
-                return {"body": None, "error": "unknown encoding"}
-        except (OSError, EOFError, zlib.error):
-            return {"body": None, "error": "damaged body"}
-        if out is None or len(out) > MAX_BODY:
-            return {"body": None, "error": "body too large"}
-        return {"body": out, "error": None}
-
-    return pd.Series([one(k, b) for k, b in zip(encoding, body, strict=True)], dtype=object)
-
-
-def _gzip_size(raw: bytes) -> int:
+    A missing body stays missing.  Gzip without a single member, not even an
+    empty one, is damaged.
+    """
+
+    @batched("struct<body:binary,error:string>")
+    def decoded(encoding: pd.Series, body: pd.Series) -> pd.Series:
+        def one(kind: str | None, raw: bytes | None) -> dict:
+            kind = (kind or "identity").lower()
+            try:
+                if kind == "gzip":
+                    if not raw:
+                        raise EOFError
+                    out = gzip.decompress(raw) if len(raw) <= limit and _gzip_size(raw, limit) <= limit else None
+                elif kind == "identity":
+                    if raw is None:
+                        return {"body": None, "error": None}
+                    out = raw
+                else:
+                    return {"body": None, "error": "unknown encoding"}
+            except (OSError, EOFError, zlib.error):
+                return {"body": None, "error": "damaged body"}
+            if out is None or len(out) > limit:
+                return {"body": None, "error": "body too large"}
+            return {"body": out, "error": None}
+
+        return pd.Series([one(k, b) for k, b in zip(encoding, body, strict=True)], dtype=object)
+
+    return decoded(encoding, body)
+
+
+def _gzip_size(raw: bytes, limit: int) -> int:
     """Decoded size, counted in steps and at most one step beyond the bound."""
     total, rest = 0, raw
     while rest:
@@ -165,9 +176,9 @@ def _gzip_size(raw: bytes) -> int:
             piece = d.decompress(rest, 1 << 20)
             rest = d.unconsumed_tail
             total += len(piece)
-            if total > MAX_BODY or not (piece or rest):
+            if total > limit or not (piece or rest):
                 break
-        if total > MAX_BODY or not d.eof:
+        if total > limit or not d.eof:
             break
         rest = d.unused_data
     return total

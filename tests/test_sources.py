@@ -42,6 +42,27 @@ def test_bodies(spark):
     assert got == [(b"ab", None), (None, "damaged body"), (None, "unknown encoding"), (b"y", None), (None, "body too large")]
 
 
+def test_missing_and_empty_bodies(spark):
+    rows = [("gzip", b""), ("gzip", None), (None, None), ("identity", b""), ("gzip", gzip.compress(b"")), ("identity", b"abcd"), ("gzip", gzip.compress(b"abcd")), ("gzip", gzip.compress(b"0" * 99))]
+    df = spark.createDataFrame([(e, None if b is None else bytearray(b)) for e, b in rows], "e string, b binary")
+    got = [(r.d.body if r.d.body is None else bytes(r.d.body), r.d.error) for r in df.select(R.decoded_body("e", "b").alias("d")).collect()]
+    assert got == [(None, "damaged body"), (None, "damaged body"), (None, None), (b"", None), (b"", None), (b"abcd", None), (b"abcd", None), (b"0" * 99, None)]
+    assert [r.d.error for r in df.select(R.decoded_body("e", "b", 30).alias("d")).collect()][3:] == [None] * 4 + ["body too large"]
+
+
+def test_bodies_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from evidra.plans import catalogue
+
+    texts = [None, "", "a", "\x1f", "é" * 3, "x" * 600_001, "y" * 10_000_001]
+    docs = [(i, texts[(i + i // 7) % 7]) for i in range(-4, 45)] + [(None, None), (None, "a"), (None, texts[5])]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["bodies"](spark, f"file://{tmp_path}").collect()
+    want = duckdb.sql(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet') " + catalogue.ORACLES["bodies"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(got) == len(docs)
+
+
 def test_types(spark):
     rows = [("a.pdf", bytearray(b"%PDF-1"), "application/pdf"), ("a.pdf", bytearray(b"x"), None), ("a.txt", bytearray(b"%PDF-1"), None), ("a.exe", bytearray(b"x"), None), ("a.md", bytearray(b"\xff"), None)]
     df = spark.createDataFrame(rows, "n string, c binary, t string").select(R.upload_type(F.col("n"), F.col("c")), R.text_upload(F.col("c")))
