@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH = 16
+#: Bits of the bitmap of keys that several chunks or the cache may have.
+KEY_BITS = 1 << 25
 
 
 def cache_key(model: str, dims: int, text: Column) -> Column:
@@ -59,14 +61,22 @@ def hashed_embedder(dims: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed_misses(planned: DataFrame, embedder: Callable[[list[str]], np.ndarray], batch: int = BATCH) -> DataFrame:
-    """``cache_key, vector, request`` of the rows to embed, in requests of ``batch`` texts of a partition; a wrong number of vectors is an error."""
+def embed_misses(planned: DataFrame, embedder: Callable[[list[str]], np.ndarray], batch: int = BATCH, whole: bool = False) -> DataFrame:
+    """``cache_key, vector, request`` of the rows to embed, in requests of ``batch`` texts of a partition; a wrong number of vectors is an error.
+
+    ``whole`` rows keep all their columns, so a plan that is also read for all
+    of them is dealt out once.
+    """
+    asks = planned.where("source = 'embed'")
+    rows = asks if whole else asks.select("cache_key", "text")
+    kept = rows.columns if whole else ["cache_key"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", vector array<double>, request long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         request = TaskContext.get().partitionId() << 33
-        held = pd.DataFrame({"cache_key": [], "text": []}, dtype=object)
+        held = None
 
         def asked(rows: pd.DataFrame) -> pd.DataFrame:
             nonlocal request
@@ -74,18 +84,32 @@ def embed_misses(planned: DataFrame, embedder: Callable[[list[str]], np.ndarray]
             if len(got) != len(rows):
                 raise ValueError("embedder returned a wrong number of vectors")
             request += 1
-            return pd.DataFrame({"cache_key": rows["cache_key"], "vector": [list(map(float, v)) for v in got], "request": request})
+            return rows[kept].assign(vector=[list(map(float, v)) for v in got], request=request)
 
         for pdf in batches:
-            held = pd.concat([held, pdf])
+            held = pdf if held is None else pd.concat([held, pdf])
             full = len(held) - len(held) % batch
             for i in range(0, full, batch):
                 yield asked(held.iloc[i : i + batch])
             held = held.iloc[full:]
-        if len(held):
+        if held is not None and len(held):
             yield asked(held)
 
-    return planned.where("source = 'embed'").select("cache_key", "text").mapInPandas(run, "cache_key string, vector array<double>, request long")
+    return rows.mapInPandas(run, schema)
+
+
+def maybe_shared(keyed: DataFrame, again: DataFrame, bits: int | None = None) -> DataFrame:
+    """``keyed(cache_key)`` with ``shared``: false only for keys none of ``again(h)`` is the hash of.
+
+    The hashes' places are a bitmap of ``bits`` bits, ``KEY_BITS`` by default,
+    in rows of 4 KB that are broadcast.
+    """
+    at = lambda h: F.pmod(h, F.lit(bits or KEY_BITS))
+    bitmap = again.groupBy(F.bitmap_bucket_number(at(F.col("h"))).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at(F.col("h")))).alias("_bits"))
+    own = at(F.xxhash64("cache_key"))
+    joined = keyed.withColumn("_own", own).withColumn("_bucket", F.bitmap_bucket_number("_own")).join(F.broadcast(bitmap), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_own) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return joined.withColumn("shared", F.coalesce(F.getbit(byte, F.expr("cast(bitmap_bit_position(_own) % 8 as int)")) == 1, F.lit(False))).drop("_own", "_bucket", "_bits")
 
 
 def with_vectors(planned: DataFrame, cache: DataFrame, legacy: DataFrame | None = None) -> DataFrame:

@@ -56,10 +56,28 @@ def _parents(level: DataFrame, fan: int) -> DataFrame:
     return up.select(F.col("parent").alias("node"), F.sha2(F.to_json("children", {"ignoreNullFields": "false"}), 256).alias("digest"), F.array_min("children.lo").alias("lo"), F.array_max("children.hi").alias("hi"), F.aggregate("children", F.lit(0).cast("long"), lambda s, c: s + c["rows"]).alias("rows"), "children")
 
 
-def seal(df: DataFrame, path: str, by: list[str], leaves: int | None = None, fan: int = 16) -> str:
+#: Rows of whose keys the limits of passes are taken.
+_LOOKED_AT = 4096
+
+
+def _ranges(df: DataFrame, by: list[str], passes: int) -> list[DataFrame]:
+    """All of ``df`` in at most ``passes`` ranges of its key with about as many rows each; the first has the nulls."""
+    key = F.col(by[0])
+    looked = sorted(r[0] for r in df.where(key.isNotNull()).orderBy(F.xxhash64(*by)).select(by[0]).limit(_LOOKED_AT).collect())
+    limits = sorted({looked[len(looked) * i // passes] for i in range(1, passes)} - set(looked[:1])) if looked else []
+    if not limits:
+        return [df]
+    inner = [df.where((key >= F.lit(a)) & (key < F.lit(b))) for a, b in zip(limits, limits[1:], strict=False)]
+    return [df.where(key.isNull() | (key < F.lit(limits[0]))), *inner, df.where(key >= F.lit(limits[-1]))]
+
+
+def seal(df: DataFrame, path: str, by: list[str], leaves: int | None = None, fan: int = 16, passes: int = 1, **options: str) -> str:
     """Writes ``df`` as a sealed table in ``path``; ``by[0]`` is its key.  Returns the root digest.
 
-    An empty table can be sealed; a folder that exists is an error.
+    An empty table can be sealed; a folder that exists is an error.  With
+    several ``passes`` a range of keys is dealt out after the other, each over
+    its part of the leaves, so a shuffle holds that part of the rows only;
+    ``df`` is read for each.
     """
     if fan < 2:
         raise ValueError("fan must be 2 at least")
@@ -67,7 +85,12 @@ def seal(df: DataFrame, path: str, by: list[str], leaves: int | None = None, fan
         raise ValueError("the column leaf is the table's own")
     spark, key = df.sparkSession, by[0]
     n = leaves or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *by).withColumn("leaf", F.spark_partition_id()).sortWithinPartitions("leaf", *by).write.partitionBy("leaf").parquet(f"{path}/rows")
+    parts = [df] if passes == 1 else _ranges(df, by, passes)
+    each = -(-n // len(parts))
+    n = each * len(parts)
+    for i, part in enumerate(parts):
+        held = part.repartitionByRange(each, *by).withColumn("leaf", F.spark_partition_id() + F.lit(i * each)).sortWithinPartitions("leaf", *by)
+        held.write.mode("append" if i else "error").options(**options).partitionBy("leaf").parquet(f"{path}/rows")
     levels = 1
     while fan**levels < n:
         levels += 1

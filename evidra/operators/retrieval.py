@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,10 +19,12 @@ from evidra.operators import search as S
 from evidra.operators.merkle import Sealed, TornError, seal
 from evidra.operators.review import eligible
 from evidra.sources import sinks
-from evidra.sources.folders import stored
+from evidra.sources.folders import folder, removed, short_shuffles, stored
 
 Embedder = Callable[[list[str]], np.ndarray]
 READY = "ready_partial"
+#: Ranges of terms that are dealt out one after the other.
+PASSES = 3
 
 
 class StaleIndexError(RuntimeError):
@@ -34,7 +36,7 @@ class Index:
     """Folder of a published index: ``chunks`` with vectors, sealed postings, and a one-row ``manifest``.
 
     Postings name a chunk by its number ``ord`` in the published table, which
-    is far shorter than its id.
+    is far shorter than its id, and are lists of a term in a block of chunks.
 
     The digest of the chunks, all of which a dense search reads, is checked
     once, by the first question; that of the postings by each question, for
@@ -68,7 +70,7 @@ class Index:
             found = Sealed(self.spark, f"{self.path}/{self.manifest['postings']}", self.manifest["postings_root"]).read(terms)
         except TornError as error:
             raise StaleIndexError("postings have changed since the index was published") from error
-        return stored(found, "terms")
+        return stored(S.unlisted(found), "terms")
 
 
 def _write_manifest(spark: SparkSession, path: str, **fields: object) -> None:
@@ -83,29 +85,52 @@ def build(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int,
     ``chunks(chunk_id, seq, section, char_start, char_end, text)``.  More than
     ``max_chunks`` is an error, never a cut.  On an error the manifest says
     failed, so an old ready one never serves new chunks.
+
+    Disk is kept low.  Only chunks whose key another chunk or the cache may
+    have are dealt out by their key; all others are embedded where they are.
+    Shuffle files go with their step, and the copy of the postings from which
+    the sealed table is made with the build.
     """
     spark = chunks.sparkSession
     _write_manifest(spark, path, status="building", model=model, dims=dims)
+    scratch = folder(spark, "build")
     try:
-        n = chunks.count()
-        if n > max_chunks:
-            raise ValueError(f"{n} chunks exceed the limit of {max_chunks}")
-        planned = E.plan(chunks, cache, model, dims)
-        known = cache.select("cache_key", "vector").unionByName(E.embed_misses(planned, embedder).select("cache_key", "vector"))
-        rows = E.with_vectors(planned, known.dropDuplicates(["cache_key"])).drop("source", "legacy_key")
-        sinks.publish(rows.withColumn("ord", F.monotonically_increasing_id()), f"{path}/chunks", {"vector": V.valid_vector(F.col("vector"), dims)})
-        written = spark.read.parquet(f"{path}/chunks")
-        digest = sinks.manifest(written, ["chunk_id", "text", "vector"]).first()
-        name = f"postings-{uuid.uuid4().hex}"
-        posted = stored(S.postings(written, "ord", "text"), "postings")
-        root = seal(posted, f"{path}/{name}", ["term", "doc_id"])
-        words = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")).first().words
-        state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "postings_root": root, "avgdl": words / digest["rows"] if digest["rows"] else 0.0}
-        _write_manifest(spark, path, **state)
-        return state
+        with short_shuffles(spark):
+            return _built(chunks, cache, path, model, dims, embedder, max_chunks, scratch)
     except Exception:
         _write_manifest(spark, path, status="failed", model=model, dims=dims)
         raise
+    finally:
+        removed(spark, scratch)
+
+
+def _built(chunks: DataFrame, cache: DataFrame, path: str, model: str, dims: int, embedder: Embedder, max_chunks: int, scratch: str) -> dict:
+    spark, packed = chunks.sparkSession, {"compression": "zstd"}
+    keyed, seen = chunks.withColumn("cache_key", E.cache_key(model, dims, F.col("text"))), Observation()
+    # Hashes of keys: two keys with one hash only take the longer way.
+    counts = keyed.groupBy(F.xxhash64("cache_key").alias("h")).count()
+    counts.observe(seen, F.sum("count").alias("n")).where("count > 1").select("h").write.parquet(f"{scratch}/again")
+    n = seen.get["n"] or 0
+    if n > max_chunks:
+        raise ValueError(f"{n} chunks exceed the limit of {max_chunks}")
+    again = spark.read.schema("h long").parquet(f"{scratch}/again").unionByName(cache.select(F.xxhash64("cache_key").alias("h")))
+    marked = E.maybe_shared(keyed, again)
+    alone = E.embed_misses(marked.where("not shared").drop("shared").withColumn("source", F.lit("embed")), embedder, whole=True).drop("source", "request")
+    planned = E.plan(marked.where("shared").select(*chunks.columns), cache, model, dims)
+    known = cache.select("cache_key", "vector").unionByName(E.embed_misses(planned, embedder, whole=True).select("cache_key", "vector"))
+    rows = E.with_vectors(planned, known.dropDuplicates(["cache_key"])).drop("source", "legacy_key")
+    sinks.publish(alone.unionByName(rows).withColumn("ord", F.monotonically_increasing_id()), f"{path}/chunks", {"vector": V.valid_vector(F.col("vector"), dims)}, **packed)
+    written = spark.read.parquet(f"{path}/chunks")
+    digest = sinks.manifest(written, ["chunk_id", "text", "vector"]).first()
+    name = f"postings-{uuid.uuid4().hex}"
+    lists = S.posting_lists(written, "ord", "text", steps=True)
+    lists.write.options(**packed).parquet(f"{scratch}/postings")
+    posted = spark.read.schema(lists.schema).parquet(f"{scratch}/postings")
+    root = seal(posted, f"{path}/{name}", ["term", "first"], passes=PASSES, **packed)
+    words = posted.agg(F.coalesce(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("words")).first().words
+    state = {"status": READY if n else "no_evidence", "model": model, "dims": dims, "chunk_count": digest["rows"], "digest": digest.digest, "postings": name, "postings_root": root, "avgdl": words / digest["rows"] if digest["rows"] else 0.0}
+    _write_manifest(spark, path, **state)
+    return state
 
 
 def retrieve(index: Index, question: str, model: str, dims: int, embedder: Embedder, budget: int = 6000, top_k: int = 6, ratings: DataFrame | None = None, in_scope: Callable[[str], bool] = lambda q: True, cost: Column | None = None) -> DataFrame:

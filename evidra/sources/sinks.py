@@ -18,7 +18,7 @@ def _fs(df: DataFrame, path: str):  # noqa: ANN202
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(df: DataFrame, path: str, checks: dict[str, Column] | None = None, fmt: str = "parquet") -> dict[str, int]:
+def publish(df: DataFrame, path: str, checks: dict[str, Column] | None = None, fmt: str = "parquet", **options: str) -> dict[str, int]:
     """K1, K3, K8: writes to a staging folder, audits what was written, and renames it into place.
 
     ``checks`` are conditions that every written row must meet.  On a failure
@@ -28,7 +28,7 @@ def publish(df: DataFrame, path: str, checks: dict[str, Column] | None = None, f
     fs, target = _fs(df, path)
     staged = f"{path}.staging-{uuid.uuid4().hex}"
     try:
-        df.write.format(fmt).save(staged)
+        df.write.format(fmt).options(**options).save(staged)
         written = df.sparkSession.read.format(fmt).schema(df.schema).load(staged)
         counts = [F.count("*").alias("rows"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in (checks or {}).items()]]
         found = written.agg(*counts).first().asDict()

@@ -153,3 +153,62 @@ def test_index_life(spark, tmp_path):
         X.build(chunks, cache, path, "m", dims, stub, max_chunks=3)
     with pytest.raises(X.StaleIndexError):
         X.Index(spark, path).check("m", dims)
+
+
+def test_a_build_deals_out_shared_texts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(E, "KEY_BITS", 64)
+    dims, asked = 4, spark.sparkContext.accumulator(0)
+    stub = E.hashed_embedder(dims)
+
+    def embed(texts):
+        asked.add(len(texts))
+        return stub(texts)
+
+    texts = [f"own {i}" for i in range(40)] + ["twice"] * 2 + ["often"] * 30 + ["known"] * 2 + ["known once"]
+    chunks = spark.createDataFrame([(f"c{i}", i, "s", 10 * i, 10 * i + 10, t) for i, t in enumerate(texts)], "chunk_id string, seq long, section string, char_start long, char_end long, text string")
+    cached = [1.0, 2.0, 3.0, 4.0]
+    cache = spark.createDataFrame([("known", cached), ("known once", cached), ("other", cached)], "text string, vector array<double>").select(E.cache_key("m", dims, F.col("text")).alias("cache_key"), "vector")
+    path = f"file://{tmp_path}/index"
+    got = X.build(chunks, cache, path, "m", dims, embed)
+    rows = X.Index(spark, path).chunks.collect()
+    # Each text that the cache lacks is asked for once, however many chunks hold it.
+    assert asked.value == 42 and got["chunk_count"] == len(rows) == len(texts) == len({r.ord for r in rows})
+    assert {r.chunk_id: (r.seq, r.section, r.char_start, r.char_end, r.text) for r in rows} == {f"c{i}": (i, "s", 10 * i, 10 * i + 10, t) for i, t in enumerate(texts)}
+    assert all(r.vector == (cached if r.text.startswith("known") else stub([r.text])[0].tolist()) for r in rows)
+    assert got["avgdl"] == sum(len(t.split()) for t in texts) / len(texts)
+    by_ord = {r.ord: r.text for r in rows}
+    posted = {(by_ord[r.doc_id], r.term, r.tf, r.dl) for r in X.Index(spark, path).postings(["often", "own", "7", "none"]).collect()}
+    assert posted == {("often", "often", 1, 1), *((f"own {i}", "own", 1, 2) for i in range(40)), ("own 7", "7", 1, 2)}
+
+
+def test_a_text_of_its_own_stays_where_it_is(spark):
+    keyed = spark.range(300).select(F.sha2(F.col("id").cast("string"), 256).alias("cache_key"), "id")
+    marked = E.maybe_shared(keyed, keyed.where("id < 20").select(F.xxhash64("cache_key").alias("h")))
+    assert {r.id for r in marked.where("shared").collect()} == set(range(20))
+    few = E.maybe_shared(keyed, keyed.where("id < 20").select(F.xxhash64("cache_key").alias("h")), 64)
+    assert set(range(20)) <= {r.id for r in few.where("shared").collect()} and few.count() == 300
+    plan = marked.where("not shared")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_a_build_writes_no_more_than_it_needs(spark, tmp_path):
+    import random
+    from pathlib import Path
+
+    from evidra.sources.folders import shared_folder
+
+    def shuffled():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    # Marks only, so there are no words; half a MB that doesn't shrink much.
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("!#$%&()*+,-./:;<=>?@[]^_{|}~", k=400)) for _ in range(1200)]
+    chunks = spark.createDataFrame([(f"c{i}", i, "s", 400 * i, 400 * i + 400, t) for i, t in enumerate(texts)], "chunk_id string, seq long, section string, char_start long, char_end long, text string")
+    cache = spark.createDataFrame([], "cache_key string, vector array<double>")
+    kept = Path(shared_folder(spark).removeprefix("file://"), "evidra")
+    before, there = shuffled(), set(kept.glob("*"))
+    X.build(chunks, cache, f"file://{tmp_path}/index", "m", 4, E.hashed_embedder(4))
+    assert shuffled() - before < 100_000
+    assert set(kept.glob("*")) == there
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None

@@ -91,3 +91,16 @@ def test_empty_tables_and_null_keys(spark, words):
     assert [r.doc for r in Sealed(spark, path, root).read(["a"]).collect()] == [2]
     with pytest.raises(ValueError):
         seal(words.withColumn("leaf", F.lit(1)), folder(spark, "sealed"), ["term"])
+
+
+def test_passes_hold_the_same_rows(spark, tmp_path):
+    df = spark.range(500).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("k"), (F.col("id") % 90).cast("string"))).alias("k"), "id")
+    for passes, name in ((1, "one"), (3, "three"), (600, "many")):
+        path = f"file://{tmp_path}/{name}"
+        table = Sealed(spark, path, seal(df, path, ["k", "id"], leaves=8, fan=2, passes=passes))
+        assert sorted(map(tuple, table.read().collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+        assert sorted(r.id for r in table.read(["k7", "k88", "no"]).collect()) == [i for i in range(500) if i % 90 in (7, 88) and i % 50]
+    for name in ("empty", "nulls"):
+        path = f"file://{tmp_path}/{name}"
+        own = df.where("k is null") if name == "nulls" else df.limit(0)
+        assert Sealed(spark, path, seal(own, path, ["k", "id"], leaves=4, passes=3)).read().count() == own.count()

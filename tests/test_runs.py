@@ -319,3 +319,11 @@ def test_posting_lists_are_postings_of_blocks(spark, monkeypatch, block):
     # A frequent term was a row for each document.
     assert found.where("term = 'a'").count() == 1 or block < 1 << 20
     assert S.posting_lists(docs.limit(0), "id", "text").collect() == []
+
+
+def test_steps_are_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_WORDS", 40)
+    docs = spark.createDataFrame([(i * i + (1 << 40) * (i % 2), f"a b{i % 7} b{i % 7} c{i}") for i in range(60)] + [(5, None)], "id long, text string").coalesce(1)
+    got = S.unlisted(S.posting_lists(docs, "id", "text", steps=True))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.postings(docs, "id", "text").collect()))
+    assert S.unlisted(S.posting_lists(docs.limit(0), "id", "text", steps=True)).collect() == []
